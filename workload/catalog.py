@@ -153,15 +153,14 @@ def tree_languages(spark, sf):
 
 @query(
     "effective_levels",
-    f"""{o.with_(o.COMMITS)} , one AS (SELECT * FROM c WHERE k = 7)
-SELECT CAST(0 AS INTEGER) AS position, 'repo' AS level, count(DISTINCT repo) > 1 AS kept FROM one
-UNION ALL SELECT 1, 'author', count(DISTINCT k) > 1 FROM one
-UNION ALL SELECT 2, 'period', count(DISTINCT month) > 1 FROM one
+    f"""{o.with_(o.COMMITS)}
+SELECT CAST(0 AS INTEGER) AS position, 'repo' AS level, count(DISTINCT repo) > 1 AS kept FROM c
+UNION ALL SELECT 1, 'author', count(DISTINCT k) > 1 FROM c
+UNION ALL SELECT 2, 'period', count(DISTINCT month) > 1 FROM c
 UNION ALL SELECT 3, 'language', true""",
 )
 def effective_levels(spark, sf):
-    h = t.history(spark, sf).where(F.col("author.name") == "Customer#000000007")
-    return buckets.level_choice(h, ["repo", "author", "period", "language"])
+    return buckets.level_choice(t.history(spark, sf), ["repo", "author", "period", "language"])
 
 
 # ---- people -------------------------------------------------------------------------
@@ -220,7 +219,7 @@ def month_person_language(spark, sf):
 
 def _merged_sql(key: str) -> str:
     """Merged people with their languages; ``key`` names the group of customer p."""
-    login = f"CASE WHEN p % 3 = 0 AND p IN (SELECT c_custkey FROM customer) THEN 'Dev' || lpad(CAST(p // 2 AS VARCHAR), 9, '0') ELSE {o.name('p')} END"
+    login = f"CASE WHEN {o.KNOWN} THEN {o.LOGIN} ELSE {o.name('p')} END"
     group = login if key == "remote" else o.name("p")
     return f"""{o.with_(o.COMMITS, o.ROLES, o.CHANGES, o.PER_COMMIT)},
 g AS (SELECT *, {group} AS merge_key FROM who),
@@ -353,9 +352,11 @@ def me_email(spark, sf):
     return buckets.totals(t.history(spark, sf).where(identity.me_email("@mail.")))
 
 
-# Dev000000012 is customer 24 and, by halves, 25 of the ones known (every third): 24 only.
-_IS_DEV = f"commit_id IN (SELECT commit_id FROM who WHERE (p % 3 = 0 AND p // 2 = 12 AND p IN (SELECT c_custkey FROM customer)) OR lower({o.email('p')}) LIKE '%dev000000012@users.noreply.github.com')"
-_IS_770 = f"commit_id IN (SELECT commit_id FROM who WHERE p = 70)"
+_IS_DEV = (
+    f"commit_id IN (SELECT commit_id FROM who WHERE ({o.KNOWN} AND {o.LOGIN} = 'Dev000000012') "
+    f"OR lower({o.email('p')}) LIKE '%dev000000012@users.noreply.github.com')"
+)
+_IS_70 = "commit_id IN (SELECT commit_id FROM who WHERE p = 70)"
 
 
 @query("me_login", _who(o.totals_sql(_IS_DEV)))
@@ -377,7 +378,7 @@ def me_login_joined(spark, sf):
     "me_combined",
     _who(
         o.totals_sql(
-            f"({_IS_770}) OR ({_INVOLVED % '00011'} AND commit_id IN (SELECT commit_id FROM who "
+            f"({_IS_70}) OR ({_INVOLVED % '00011'} AND commit_id IN (SELECT commit_id FROM who "
             f"WHERE contains(lower({o.email('p')}), 'corp.example')))"
         )
     ),
@@ -391,7 +392,7 @@ def me_combined(spark, sf):
 
 @query(
     "sql_functions",
-    _who(o.bucket_sql("printf('%d-W%02d', isoyear(ts), week(ts))", f"({_IS_770}) OR {_INVOLVED % '00011'}")).replace(
+    _who(o.bucket_sql("printf('%d-W%02d', isoyear(ts), week(ts))", f"({_IS_70}) OR {_INVOLVED % '00011'}")).replace(
         f"{o.LINES}, {o.sums(files='files')}", "CAST(coalesce(sum(nm), 0) AS BIGINT) AS net_modifications"
     ),
 )
@@ -585,7 +586,7 @@ def parsed_days(spark, sf):
     "identity_join",
     f"""{o.with_(o.COMMITS, o.ROLES)}, pp AS (SELECT DISTINCT p FROM who)
 SELECT {o.email('p')} AS email, {o.name('p')} AS name,
-  CASE WHEN p % 3 = 0 AND p IN (SELECT c_custkey FROM customer) THEN 'Dev' || lpad(CAST(p // 2 AS VARCHAR), 9, '0')
+  CASE WHEN {o.KNOWN} THEN {o.LOGIN}
        WHEN p % 4 IN (1, 2) THEN 'customer' || lpad(CAST(p AS VARCHAR), 9, '0') END AS login FROM pp""",
 )
 def identity_join(spark, sf):
@@ -600,25 +601,25 @@ def distinct_emails(spark, sf):
 
 @query(
     "inactive_repos",
-    f"{o.with_(o.COMMITS)} SELECT n_name AS repo FROM nation WHERE n_name NOT IN (SELECT repo FROM c WHERE k < 10)",
+    """SELECT c_name AS repo FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders
+WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-07-01')""",
 )
 def inactive_repos(spark, sf):
-    listed = t.table(spark, sf, "nation").select(F.col("n_name").alias("repo"))
-    recent = t.commits(spark, sf).filter(F.regexp_extract("author.name", "([0-9]+)$", 1).cast("bigint") < 10)
-    return remote.inactive_repos(listed, recent)
+    """Here every customer owns a repository."""
+    listed = t.table(spark, sf, "customer").select(F.col("c_name").alias("repo"))
+    commits = t.commits(spark, sf).withColumn("repo", F.col("author.name"))
+    return remote.inactive_repos(listed, filters.in_window(commits, "1996-01-01", "1996-07-01"))
 
 
 @query(
     "private_repo_merge",
-    """SELECT lower(p) AS repo_key, CASE WHEN n <= 15 THEN CAST(3 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS commit_count
-FROM (SELECT DISTINCT 'acme/' || p_brand AS p, CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part)
-WHERE n <= 15 OR n % 5 <> 0""",
+    """SELECT 'acme/' || lower(s_name) AS repo_key, CASE WHEN s_acctbal >= 3000 THEN CAST(3 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS commit_count
+FROM supplier WHERE s_acctbal >= 3000 OR (s_acctbal < 5000 AND s_nationkey <> 3)""",
 )
 def private_repo_merge(spark, sf):
-    every = t.repos(spark, sf)
-    number = F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
-    listed = every.filter(number <= 15).withColumn("commit_count", F.lit(3).cast("bigint"))
-    private = every.filter(number > 8).withColumn("name", F.upper("name"))
+    every = t.supplier_repos(spark, sf)
+    listed = every.filter("balance >= 3000").drop("balance").withColumn("commit_count", F.lit(3).cast("bigint"))
+    private = every.filter("balance < 5000").drop("balance").withColumn("name", F.upper("name"))
     merged = remote.add_private(listed, private)
     return merged.select(identity.repo_key(F.col("owner"), F.col("name")).alias("repo_key"), "commit_count")
 
@@ -790,29 +791,33 @@ def remote_repo_languages(spark, sf):
 
 @query(
     "repo_contributions",
-    f"""{o.with_(o.HISTORY, o.WEEKS)}, r AS (SELECT DISTINCT p_brand, 'acme/' || p_brand AS repo FROM part)
-SELECT repo, CASE WHEN p_brand LIKE '%1' THEN CAST(2 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS commits,
-  {o.sums(adds='adds', dels='dels')} FROM r LEFT JOIN (SELECT * FROM w WHERE repo NOT LIKE '%2') w USING (repo)
-GROUP BY repo, p_brand HAVING p_brand LIKE '%1' OR coalesce(sum(adds), 0) > 0 OR coalesce(sum(dels), 0) > 0""",
+    f"""{o.with_(o.HISTORY, o.WEEKS)}, r AS (SELECT DISTINCT 'acme/' || p_brand AS repo, CAST(0 AS BIGINT) AS n FROM part
+  UNION ALL SELECT 'acme/' || s_name, CASE WHEN s_acctbal < 1000 THEN 2 ELSE 0 END FROM supplier)
+SELECT repo, n AS commits, {o.sums(adds='adds', dels='dels')} FROM r LEFT JOIN w USING (repo)
+GROUP BY repo, n HAVING n > 0 OR coalesce(sum(adds), 0) > 0 OR coalesce(sum(dels), 0) > 0""",
 )
 def repo_contributions(spark, sf):
-    weekly = remote.weekly_buckets(t.hosted_history(spark, sf)).filter(~F.col("repo").like("%2"))
-    counted = t.repos(spark, sf).withColumn("commit_count", F.when(F.col("name").like("%1"), 2).otherwise(0).cast("bigint"))
-    return remote.repo_line_totals(counted, weekly).select("repo", "commits", "adds", "dels")
+    """Brands have history; suppliers have none, and a commit count only for some."""
+    brands = t.repos(spark, sf).withColumn("commit_count", F.lit(0).cast("bigint"))
+    few = F.when(F.col("balance") < 1000, 2).otherwise(0).cast("bigint")
+    others = t.supplier_repos(spark, sf).withColumn("commit_count", few).drop("balance")
+    weekly = remote.weekly_buckets(t.hosted_history(spark, sf))
+    return remote.repo_line_totals(brands.unionByName(others), weekly).select("repo", "commits", "adds", "dels")
 
 
 # ---- refresh ------------------------------------------------------------------------
 
-_OLD, _NEW = "CAST(oid AS BIGINT) % 3 <> 0", "CAST(oid AS BIGINT) % 2 = 0"
+# A second load overlaps the first by five days.
+_OLD, _NEW = "moment <= TIMESTAMP '2024-01-20'", "moment >= TIMESTAMP '2024-01-15'"
 _RANGE = "moment >= TIMESTAMP '2024-01-05' AND moment <= TIMESTAMP '2024-01-25'"
 
 
 def _old(history: DataFrame) -> DataFrame:
-    return history.filter(F.col("oid").cast("bigint") % 3 != 0)
+    return filters.history_in_range(history, until="2024-01-20")
 
 
 def _new(history: DataFrame) -> DataFrame:
-    return history.filter(F.col("oid").cast("bigint") % 2 == 0)
+    return filters.history_in_range(history, since="2024-01-15")
 
 
 @query(
@@ -847,22 +852,28 @@ def history_append(spark, sf):
     )
 
 
+_UNTIL = "2024-01-30 22:00:00"
+
+
 @query(
     "refetch_plan",
-    f"""{o.with_(o.HISTORY)}, r AS (SELECT DISTINCT 'acme/' || p_brand AS repo, CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part),
-m AS (SELECT repo, max(moment) AS mark FROM h WHERE CAST(oid AS BIGINT) % 3 <> 0 GROUP BY 1),
-j AS (SELECT r.repo, n, CASE WHEN n % 4 <> 0 THEN mark END AS mark, n % 3 = 0 AS alive FROM r LEFT JOIN m USING (repo))
-SELECT repo, CASE WHEN mark IS NULL OR (mark < TIMESTAMP '2024-01-30 22:00:00' AND alive) THEN 'fetch'
-  WHEN mark < TIMESTAMP '2024-01-30 22:00:00' THEN 'skip' ELSE 'keep' END AS action,
-  strftime(CASE WHEN mark IS NULL THEN TIMESTAMP '2023-01-01' WHEN mark < TIMESTAMP '2024-01-30 22:00:00' AND alive THEN mark END, '%Y-%m-%d %H:%M:%S') AS fetch_since FROM j""",
+    f"""{o.with_(o.HISTORY)}, r AS (SELECT DISTINCT 'acme/' || p_brand AS repo FROM part UNION ALL SELECT 'acme/' || s_name FROM supplier),
+m AS (SELECT repo, max(moment) AS mark FROM h WHERE a > 40 AND moment IS NOT NULL GROUP BY 1),
+g AS (SELECT DISTINCT repo FROM h WHERE moment >= TIMESTAMP '2024-01-30 20:00:00' AND moment <= TIMESTAMP '{_UNTIL}'),
+j AS (SELECT r.repo, mark, g.repo IS NOT NULL AS alive FROM r LEFT JOIN m USING (repo) LEFT JOIN g ON g.repo = r.repo)
+SELECT repo, CASE WHEN mark IS NULL OR (mark < TIMESTAMP '{_UNTIL}' AND alive) THEN 'fetch'
+  WHEN mark < TIMESTAMP '{_UNTIL}' THEN 'skip' ELSE 'keep' END AS action,
+  strftime(CASE WHEN mark IS NULL THEN TIMESTAMP '2023-01-01' WHEN mark < TIMESTAMP '{_UNTIL}' AND alive THEN mark END, '%Y-%m-%d %H:%M:%S') AS fetch_since FROM j""",
 )
 def refetch_plan(spark, sf):
-    number = F.regexp_extract("repo", "([0-9]+)$", 1).cast("int")
-    history = filters.readable_history(_old(t.hosted_history(spark, sf))).filter(number % 4 != 0)
-    marks = history.select("repo", F.col("committed_at").alias("until"))
-    repos = t.repos(spark, sf).select(F.concat_ws("/", "owner", "name").alias("repo"))
-    until = F.lit("2024-01-30 22:00:00").cast("timestamp")
-    plan = refresh.plan_refetch(repos, marks, repos.filter(number % 3 == 0), "2023-01-01", until)
+    """Marks are the last big commits; the gap is the time since 20:00."""
+    history = filters.readable_history(t.hosted_history(spark, sf))
+    marks = history.filter("additions > 40").select("repo", F.col("committed_at").alias("until"))
+    until = F.lit(_UNTIL).cast("timestamp")
+    gap = filters.in_window(history, F.lit("2024-01-30 20:00:00").cast("timestamp"), until, on="committed_at")
+    named = F.concat_ws("/", "owner", "name").alias("repo")
+    repos = t.repos(spark, sf).select(named).unionByName(t.supplier_repos(spark, sf).select(named))
+    plan = refresh.plan_refetch(repos, marks, gap, "2023-01-01", until)
     return plan.withColumn("fetch_since", F.date_format("fetch_since", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -74,6 +74,10 @@ rl AS (
          CAST(sum(CASE WHEN p_brand = 'Brand#7' THEN 0 ELSE p_size END) AS BIGINT) AS bytes
   FROM part GROUP BY ALL)"""
 
+# Customers with a login, and the login of customer p.
+KNOWN = "p IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE'))"
+LOGIN = "'Dev' || lpad(CAST(p // 2 AS VARCHAR), 9, '0')"
+
 METRICS = {"adds": "additions", "dels": "deletions", "net_mods": "net_modifications", "net_adds": "net_additions"}
 
 

@@ -169,13 +169,28 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_languages(part, ["owner", "name"]).select("owner", "name", (number % 5 == 0).alias("is_fork"), "languages")
 
 
+# Market segments whose customers have a login.
+KNOWN_SEGMENTS = ("MACHINERY", "FURNITURE")
+
+
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logins of customers by e-mail; every third customer is known."""
+    """Logins of customers by e-mail; two neighbours in number may share one."""
     key = F.col("c_custkey")
-    known = table(spark, sf_dir, "customer").filter(key % 3 == 0)
+    known = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin(*KNOWN_SEGMENTS))
     return known.select(person(key)["email"].alias("email"), padded("Dev", F.floor(key / 2)).alias("login"))
 
 
+def supplier_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository per supplier; those of nation 3 are forks."""
+    return table(spark, sf_dir, "supplier").select(
+        F.lit("acme").alias("owner"),
+        F.col("s_name").alias("name"),
+        (F.col("s_nationkey") == 3).alias("is_fork"),
+        F.create_map(F.lit("Go"), F.col("s_suppkey")).alias("languages"),
+        F.col("s_acctbal").alias("balance"),
+    )
+
+
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File paths: each supplier has a repository, every fourth has one inside it."""
     key = F.col("s_suppkey")
