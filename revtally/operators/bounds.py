@@ -1,0 +1,13 @@
+"""Small results that may become literals of a plan, with their size checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Row
+
+LIMIT = 10_000
+
+
+def few_rows(df: DataFrame, limit: int = LIMIT) -> list[Row] | None:
+    """The rows of ``df``, or None when there are more than ``limit``; never reads further."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None

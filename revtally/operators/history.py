@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +14,10 @@ from revtally.operators import filters
 class History:
     """Commits and file changes joined on ``commit_id``, which names one commit row.
 
-    ``narrowed`` says that some commits were filtered out, so that file changes on their
-    own no longer describe this history.
+    File changes may repeat the ``ts`` and ``repo`` of their commit. A window or repository
+    filter then applies to both tables and prunes the larger one at its scan, before any
+    shuffle. ``narrowed`` says that some commits were filtered out, so that file changes on
+    their own no longer describe this history.
     """
 
     commits: DataFrame
@@ -25,13 +27,19 @@ class History:
     def where(self, predicate: Column | str) -> History:
         return replace(self, commits=self.commits.filter(predicate), narrowed=True)
 
+    def _narrow(self, column: str, keep: Callable[[DataFrame], DataFrame]) -> History:
+        changes = self.file_changes
+        if column in changes.columns:
+            changes = keep(changes)
+        return replace(self, commits=keep(self.commits), file_changes=changes, narrowed=True)
+
     def between(self, since=None, until=None) -> History:
         if since is None and until is None:
             return self
-        return replace(self, commits=filters.in_window(self.commits, since, until), narrowed=True)
+        return self._narrow("ts", lambda df: filters.in_window(df, since, until))
 
     def last_days(self, days: float, now) -> History:
-        return replace(self, commits=filters.last_days(self.commits, days, now), narrowed=True)
+        return self._narrow("ts", lambda df: filters.last_days(df, days, now))
 
     def involving(self, pattern: str) -> History:
         return replace(self, commits=filters.involving(self.commits, pattern), narrowed=True)
@@ -40,7 +48,8 @@ class History:
         return replace(self, commits=filters.by_committer(self.commits, pattern), narrowed=True)
 
     def in_repos(self, names: Iterable[str]) -> History:
-        return replace(self, commits=filters.in_repos(self.commits, names), narrowed=True)
+        names = list(names)
+        return self._narrow("repo", lambda df: filters.in_repos(df, names))
 
     def only_language(self, language: str) -> History:
         return replace(self, file_changes=filters.only_language(self.file_changes, language))
@@ -50,7 +59,11 @@ class History:
         return replace(self, file_changes=filters.exclude_languages(self.file_changes, languages))
 
     def save_bucketed(self, prefix: str, buckets: int = 512) -> None:
-        """Write both tables bucketed and sorted by ``commit_id``; joins on them need no shuffle."""
+        """Write both tables bucketed and sorted by ``commit_id``; joins on them need no shuffle.
+
+        Worth it for a history that is queried often and has no commit larger than a bucket
+        should be, since one task reads one bucket.
+        """
         for suffix, frame in (("commits", self.commits), ("file_changes", self.file_changes)):
             writer = frame.write.mode("overwrite").format("parquet")
             writer.bucketBy(buckets, "commit_id").sortBy("commit_id").saveAsTable(f"{prefix}_{suffix}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revtally.functions.identity import me_login, me_noreply, noreply_login
 from revtally.functions.text import split_person
+from revtally.operators.bounds import LIMIT, few_rows
 from revtally.operators.buckets import commits_with_lines, languages_of_commits
 from revtally.operators.history import History
 from revtally.operators.lines import METRICS, sums
@@ -85,30 +86,29 @@ def distinct_emails(commits: DataFrame) -> DataFrame:
     return distinct_people(commits).select("email").distinct()
 
 
+def one_login(identity: DataFrame) -> DataFrame:
+    """Identity table with each e-mail once, so that a join on it never multiplies rows."""
+    return identity.groupBy("email").agg(F.max("login").alias("login"))
+
+
 def identity_join(people: DataFrame, identity: DataFrame) -> DataFrame:
     """People with their login: by e-mail, else from a no-reply address, else NULL.
 
     ``people`` holds every e-mail once per name, so no e-mail is hot; the identity table
     grows with the data and Spark chooses how to join it from its size.
     """
-    known = identity.select("email", F.col("login").alias("known_login"))
+    known = one_login(identity).withColumnRenamed("login", "known_login")
     return people.join(known, "email", "left").withColumn(
         "login", F.coalesce(F.col("known_login"), noreply_login(F.col("email")))
     )
 
 
-EMAIL_LIMIT = 10_000
-
-
-def login_emails(identity: DataFrame, login: str, limit: int = EMAIL_LIMIT) -> list[str] | None:
-    """E-mails known for a login, or None when there are more than ``limit``."""
-    mine = identity.filter(F.lower("login") == login.lower()).select("email").distinct()
-    rows = mine.limit(limit + 1).collect()
-    return [r["email"] for r in rows] if len(rows) <= limit else None
+def _emails_of(identity: DataFrame, login: str) -> DataFrame:
+    return identity.filter(F.lower("login") == login.lower()).select("email").distinct()
 
 
 def mark_login(
-    commits: DataFrame, identity: DataFrame, login: str, into: str = "is_login", limit: int = EMAIL_LIMIT
+    commits: DataFrame, identity: DataFrame, login: str, into: str = "is_login", limit: int = LIMIT
 ) -> DataFrame:
     """Add ``into``: whether the author or a co-author is ``login``.
 
@@ -117,10 +117,10 @@ def mark_login(
     e-mails of one login become a literal set, which leaves the commits where they are; a
     login with more than ``limit`` of them is matched by a join instead.
     """
-    emails = login_emails(identity, login, limit)
-    if emails is not None:
-        return commits.withColumn(into, me_login(login, emails))
-    mine = identity.filter(F.lower("login") == login.lower()).select("email").distinct()
+    mine = _emails_of(identity, login)
+    known = few_rows(mine, limit)
+    if known is not None:
+        return commits.withColumn(into, me_login(login, [r["email"] for r in known]))
     found = (
         commits.select("commit_id", F.explode(roles()).alias("who"))
         .select("commit_id", F.col("who.email").alias("email"))
@@ -173,7 +173,7 @@ def merged_activity(h: History, dedup: str = "name", identity: DataFrame | None
     if dedup == "remote":
         if identity is None:
             return rows.withColumn("merge_key", F.col("name"))
-        return rows.join(identity.select("email", "login"), "email", "left").withColumn(
+        return rows.join(one_login(identity), "email", "left").withColumn(
             "merge_key", F.coalesce("login", "name")
         )
     raise ValueError(f"dedup must be one of {DEDUP_MODES}, got {dedup!r}")
@@ -197,14 +197,13 @@ def merged_languages(merged: DataFrame) -> DataFrame:
     )
 
 
-def language_rows(merged: DataFrame) -> DataFrame:
-    """Counters of merged people by language, with the e-mails seen on each row.
+def language_rows(merged: DataFrame, emails: bool = False) -> DataFrame:
+    """Counters of merged people by language, with the e-mails seen on each row if wanted.
 
     The row without a language carries the commits; every person has one.
     """
-    return merged.groupBy("merge_key", "language").agg(
-        F.min("name").alias("name"), *sums(*_COUNTERS), F.collect_set(F.nullif(F.col("email"), F.lit(""))).alias("emails")
-    )
+    listed = [F.collect_set(F.nullif(F.col("email"), F.lit(""))).alias("emails")] if emails else []
+    return merged.groupBy("merge_key", "language").agg(F.min("name").alias("name"), *sums(*_COUNTERS), *listed)
 
 
 def best_language() -> Column:
@@ -218,10 +217,9 @@ def merged_lists(lists: Column) -> Column:
 
 
 def author_totals(merged: DataFrame) -> DataFrame:
-    """One row per merged person with e-mails, counters, top language and number of languages."""
+    """One row per merged person with counters, top language and number of languages."""
     return language_rows(merged).groupBy("merge_key").agg(
         F.min("name").alias("name"),
-        merged_lists(F.collect_list("emails")).alias("emails"),
         *sums(*_COUNTERS),
         F.coalesce(best_language()["language"], F.lit("")).alias("top_language"),
         F.count("language").alias("n_languages"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtally.functions.timeparts import as_moment, month_label
@@ -66,7 +68,8 @@ def append_history(spark: SparkSession, path: str, new: DataFrame) -> None:
     if _has_data(spark, path):
         months = [r["month"] for r in fresh.select("month").distinct().collect()]  # calendar-bounded
         old = spark.read.parquet(path).filter(F.col("month").isin(months))
-        fresh = fresh.join(old, [*dedup_key(new), "month"], "left_anti")
+        same = [fresh[c].eqNullSafe(old[c]) for c in (*dedup_key(new), "month")]
+        fresh = fresh.join(old, reduce(Column.__and__, same), "left_anti")
     fresh.select(*new.columns, "month").write.mode("append").partitionBy("month").parquet(path)
 
 

@@ -56,8 +56,12 @@ def author_report(
     sort: str = "commits",
     email: str = "none",
 ) -> DataFrame:
-    """Merged people, best first, each followed by its languages when there is more than one."""
-    rows = people.language_rows(people.merged_activity(h, dedup, identity))
+    """Merged people, best first, each followed by its languages when there is more than one.
+
+    E-mails are gathered only when ``email`` asks to show them.
+    """
+    named = email != "none"
+    rows = people.language_rows(people.merged_activity(h, dedup, identity), emails=named)
     # One window per person, as long as the person has languages, puts the totals on each row.
     each = Window.partitionBy("merge_key")
     counters = ("commits", "additions", "deletions", "files")
@@ -67,11 +71,14 @@ def author_report(
             **{f"all_{m}": F.sum(c).over(each) for m, c in both.items()},
             "rank_value": -F.sum(author_rank(sort)).over(each),
             "name": F.min("name").over(each),
-            "emails": people.merged_lists(F.collect_list("emails").over(each)),
             "top_language": F.coalesce(people.best_language().over(each)["language"], F.lit("")),
             "n_languages": F.count("language").over(each),
         }
     )
+    shown = F.col("name")
+    if named:
+        shown = display.author_display(shown, people.merged_lists(F.col("all_emails")), email)
+        rows = rows.withColumn("all_emails", F.collect_list("emails").over(each))
     is_head = F.col("language").isNull()
 
     def pick(head: Column, sub: Column, name: str) -> Column:
@@ -83,7 +90,7 @@ def author_report(
         "merge_key",
         pick(F.lit("author"), F.lit("language"), "kind"),
         "name",
-        pick(display.author_display(F.col("name"), F.col("emails"), email), F.col("language"), "label"),
+        pick(shown, F.col("language"), "label"),
         pick(F.col("all_commits"), _zero(), "commits"),
         pick(F.col("all_additions"), a, "adds"),
         pick(F.col("all_deletions"), d, "dels"),

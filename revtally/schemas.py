@@ -10,7 +10,11 @@ COMMITS = f"""
     ts TIMESTAMP, message STRING, message_subject STRING
 """
 
-FILE_CHANGES = "commit_id STRING, path STRING, language STRING, additions BIGINT, deletions BIGINT"
+# ``repo`` and ``ts`` repeat the commit's and may be absent.
+FILE_CHANGES = """
+    commit_id STRING, repo STRING, ts TIMESTAMP, path STRING, language STRING,
+    additions BIGINT, deletions BIGINT
+"""
 
 IDENTITY = "email STRING, login STRING"
 

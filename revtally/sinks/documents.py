@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revtally.operators import buckets, people
 from revtally.operators.history import History
-from revtally.operators.lines import METRICS
+from revtally.operators.lines import METRICS, sums
 
 PAGE_SIZE = 10_000
 _LANG = {
@@ -53,13 +54,11 @@ def _language_maps(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(_as_map("language", _lang_struct()).alias("by_language"))
 
 
-def _people_maps(h: History, keys: dict[str, Column], page_size: int) -> DataFrame:
+def _people_maps(totals: DataFrame, langs: DataFrame, keys: list[str], page_size: int) -> DataFrame:
     """``by_author`` maps in pages: people are hashed over as many pages as their number asks for.
 
     A bucket with up to ``page_size`` people has one page. No task gathers a whole bucket.
     """
-    totals = people.bucket_people(h, keys)
-    langs = people.bucket_person_languages(h, keys)
     co = F.when(F.col("co_authored_files") > 0, F.struct(F.col("language").alias("k"), _lang_struct("co_authored_").alias("v")))
     spoken = langs.groupBy(*keys, "person").agg(
         _as_map("language", _lang_struct()).alias("languages"),
@@ -67,7 +66,7 @@ def _people_maps(h: History, keys: dict[str, Column], page_size: int) -> DataFra
     )
     sizes = totals.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(page_size)).cast("int").alias("pages"))
     if keys:
-        paged = totals.join(spoken, [*keys, "person"], "left").join(sizes, list(keys))
+        paged = totals.join(spoken, [*keys, "person"], "left").join(sizes, keys)
     else:
         paged = totals.join(spoken, "person", "left").withColumn("pages", sizes.scalar())
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(_LANG_ARRAY))
@@ -96,13 +95,14 @@ def _body(label: Column) -> Column:
     )
 
 
-def _folded(head: DataFrame, maps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Totals and language map of each bucket in one row, stacked and folded rather than joined."""
-    counters = [c for c in head.columns if c not in keys]
-    stacked = head.unionByName(maps, allowMissingColumns=True)
-    return stacked.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in counters], F.first("by_language", ignorenulls=True).alias("by_language")
-    )
+def _folded(keys: Sequence[str], *frames: DataFrame) -> DataFrame:
+    """Frames that share ``keys`` and nothing else, one row per key: stacked and folded, not joined.
+
+    Each column comes from one frame only, so the first value there is is the value.
+    """
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+    values = [c for c in stacked.columns if c not in keys]
+    return stacked.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
 
 
 def to_stats_json(h: History, key: Column, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -111,17 +111,27 @@ def to_stats_json(h: History, key: Column, page_size: int = PAGE_SIZE) -> DataFr
     Language maps are as long as there are languages. ``by_author`` may be long, so it comes
     in pages: page 0 carries totals, languages and the first people, later pages only people.
     """
-    out = None
-    for section, keys in (("periods", {"label": key}), ("totals", {})):
-        names = list(keys)
-        maps = _language_maps(buckets.bucket_languages(h, keys), names)
-        head = _folded(buckets.bucket_totals(h, keys), maps, names)
-        authors = _people_maps(h, keys, page_size)
-        rows = head.withColumn("page", F.lit(0).cast("bigint")).join(authors, [*names, "page"], "full")
-        label = F.col("label") if keys else F.lit(buckets.TOTAL)
-        docs = rows.select(F.lit(section).alias("section"), label.alias("label"), "page", _body(label).alias("json"))
-        out = docs if out is None else out.unionByName(docs)
-    return out
+    keys = {"label": key}
+    per_bucket = people.bucket_people(h, keys), people.bucket_person_languages(h, keys)
+    overall = tuple(_merged_over(df, "label") for df in per_bucket)
+    out = []
+    for section, names, (totals, langs) in (("periods", ["label"], per_bucket), ("totals", [], overall)):
+        # Every commit has one author, so the authored parts of the people add up to the bucket.
+        head = totals.groupBy(*names).agg(*sums("commits", *(m for m in METRICS if m != "files")))
+        authored = langs.groupBy(*names, "language").agg(
+            *[F.sum(F.col(m) - F.col(f"co_authored_{m}")).alias(m) for m in METRICS]
+        )
+        first = [f.withColumn("page", F.lit(0).cast("bigint")) for f in (head, _language_maps(authored, names))]
+        rows = _folded([*names, "page"], *first, _people_maps(totals, langs, names, page_size))
+        label = F.col("label") if names else F.lit(buckets.TOTAL)
+        out.append(rows.select(F.lit(section).alias("section"), label.alias("label"), "page", _body(label).alias("json")))
+    return out[0].unionByName(out[1])
+
+
+def _merged_over(rows: DataFrame, key: str) -> DataFrame:
+    """People rows of all buckets added up."""
+    kept = [c for c in ("person", "language") if c in rows.columns]
+    return rows.groupBy(*kept).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in (key, *kept)])
 
 
 def to_scan_json(repos: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -169,7 +179,7 @@ def to_fetch_json(
     grand = bucket_totals.agg(
         *[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(f"total_{c}") for c in counters]
     )
-    folded = _folded(grand, _language_maps(langs, []), [])
+    folded = _folded([], grand, _language_maps(langs, []))
     return (
         one("metadata", metadata)
         .unionByName(one("user", user))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtally.functions.text import co_authors, subject
+from revtally.operators.bounds import few_rows
 from revtally.operators.filters import with_defaults
 from revtally.operators.languages import with_language
 
@@ -66,9 +67,21 @@ def _flaw() -> Column:
     )
 
 
+# What file changes repeat of their commit, so that windows can prune them at the scan.
+_COMMIT_KEYS = ("commit_id", "repo", "ts")
+
+
+def _well_formed(records: DataFrame) -> DataFrame:
+    return (
+        _parsed(records)
+        .filter(_flaw().isNull())
+        .withColumns({"repo": repo_name(F.col("path")), "ts": F.timestamp_seconds("epoch")})
+    )
+
+
 def commits_of(records: DataFrame) -> DataFrame:
     """Commits of well-formed records. ``ts`` is the committer time in whole seconds."""
-    parsed = _parsed(records).filter(_flaw().isNull())
+    parsed = _well_formed(records)
     message = F.regexp_replace("message", r"\n+$", "\n")
 
     def person(who: str) -> Column:
@@ -78,11 +91,11 @@ def commits_of(records: DataFrame) -> DataFrame:
 
     rows = parsed.select(
         "commit_id",
-        repo_name(F.col("path")).alias("repo"),
+        "repo",
         "oid",
         person("author").alias("author"),
         person("committer").alias("committer"),
-        F.timestamp_seconds("epoch").alias("ts"),
+        "ts",
         message.alias("message"),
     )
     return (
@@ -102,14 +115,14 @@ def read_commit_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 def read_numstat(records: DataFrame) -> DataFrame:
     """Per-file line counts of records with ``--numstat`` lines; binary files (``-``) have none."""
     shape = r"^(\d+)\t(\d+)\t(.+)$"
-    lines = _parsed(records).filter(_flaw().isNull()).select("commit_id", F.explode(F.split("body", "\n")).alias("line"))
+    lines = _well_formed(records).select(*_COMMIT_KEYS, F.explode(F.split("body", "\n")).alias("line"))
     counted = lines.filter(F.col("line").rlike(shape)).select(
-        "commit_id",
+        *_COMMIT_KEYS,
         F.regexp_extract("line", shape, 3).alias("path"),
         F.regexp_extract("line", shape, 1).cast("bigint").alias("additions"),
         F.regexp_extract("line", shape, 2).cast("bigint").alias("deletions"),
     )
-    return with_language(counted).select("commit_id", "path", "language", "additions", "deletions")
+    return with_language(counted).select(*_COMMIT_KEYS, "path", "language", "additions", "deletions")
 
 
 def count_patch_lines(records: DataFrame) -> DataFrame:
@@ -119,9 +132,8 @@ def count_patch_lines(records: DataFrame) -> DataFrame:
     begin with ``+`` or ``-`` after the first hunk header. Nothing is shuffled or ordered.
     """
     parts = (
-        _parsed(records)
-        .filter(_flaw().isNull())
-        .select("commit_id", F.explode(F.split("body", r"(?m)^diff --(?:git |cc |combined )")).alias("part"))
+        _well_formed(records)
+        .select(*_COMMIT_KEYS, F.explode(F.split("body", r"(?m)^diff --(?:git |cc |combined )")).alias("part"))
         .filter(F.col("part").rlike(r"(?m)^(index |--- |new file|deleted file|old mode|similarity )"))
     )
     head = F.regexp_extract("part", r"(?s)^(.*?)(?=\n@@|\z)", 1)
@@ -132,12 +144,12 @@ def count_patch_lines(records: DataFrame) -> DataFrame:
     path = F.when((new != "") & (new != "/dev/null"), new).when((old != "") & (old != "/dev/null"), old)
     binary = head.rlike(r"(?m)^(Binary files |GIT binary patch)")
     counted = parts.filter(~binary).select(
-        "commit_id",
+        *_COMMIT_KEYS,
         F.coalesce(path, named).alias("path"),
         F.regexp_count(hunks, F.lit(r"(?m)^\+")).cast("bigint").alias("additions"),
         F.regexp_count(hunks, F.lit(r"(?m)^-")).cast("bigint").alias("deletions"),
     )
-    return with_language(counted).select("commit_id", "path", "language", "additions", "deletions")
+    return with_language(counted).select(*_COMMIT_KEYS, "path", "language", "additions", "deletions")
 
 
 def load_errors(records: DataFrame) -> DataFrame:
@@ -161,7 +173,13 @@ def read_many(
             missing.append((path, e.getCondition() or "unreadable"))
     records = read_records(spark, found) if found else spark.createDataFrame([], _RAW)
     bad = load_errors(records)
-    good = records.join(bad.select("path"), "path", "left_anti")
+    known = few_rows(bad)
+    if known is None:
+        good = records.join(bad.select("path"), "path", "left_anti")
+    else:
+        # A few bad logs become a literal filter: the records stay where they were read.
+        bad = spark.createDataFrame(known, "path STRING, error STRING")
+        good = records.filter(~F.col("path").isin([r["path"] for r in known])) if known else records
     errors = bad.unionByName(spark.createDataFrame(missing, "path STRING, error STRING"))
     changes = count_patch_lines(good) if patches else read_numstat(good)
     return commits_of(good), changes, errors

@@ -103,6 +103,15 @@ def test_until_day_holds_only_its_first_second(build):
     assert rows(buckets.totals(h.last_days(1.0, "2024-01-02")), "commits") == [(3,)]
 
 
+def test_windows_narrow_dated_file_changes_too(build):
+    h = build([(i, "a", "A", [], f"2024-01-0{i} 00:00:00") for i in (1, 2, 3)], [(i, "x", "Rust", i, 0) for i in (1, 2, 3)])
+    dated = h.file_changes.join(h.commits.select("commit_id", "ts", "repo"), "commit_id")
+    both = type(h)(h.commits, dated).between("2024-01-02", "2024-01-02")
+    assert rows(both.file_changes, "additions") == [(2,)]
+    assert rows(buckets.totals(both), "commits", "additions") == [(1, 2)]
+    assert rows(both.in_repos(["b"]).file_changes) == []
+
+
 def test_empty_history(build):
     h = build([], [])
     assert rows(buckets.totals(h), "commits", "additions") == [(0, 0)]
@@ -179,7 +188,10 @@ def test_remote_dedup_merges_names(spark, five):
     identity = spark.createDataFrame([("alice@test.com", "dev"), ("bob@test.com", "dev")], "email STRING, login STRING")
     merged = people.author_totals(people.merged_activity(five, "remote", identity))
     assert rows(merged, "merge_key", "name", "commits", "n_languages") == [("Charlie", "Charlie", 0, 1), ("dev", "Alice", 5, 5)]
-    assert rows(merged.filter("merge_key = 'dev'"), F.array_join("emails", " ")) == [("alice@test.com bob@test.com",)]
+    report = reports.author_report(five, "remote", identity.unionByName(identity), email="full")
+    assert rows(report.filter("kind = 'author'"), "label", "commits") == [
+        ("Alice <alice@test.com>, <bob@test.com>", 5), ("Charlie <charlie@test.com>", 1),
+    ]
 
 
 def test_author_without_lines_has_no_top_language(build):

@@ -39,6 +39,7 @@ def test_plan_has_no_cross_join_and_no_python(spark, name):
 
 
 def plan_of(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 1000)
     return df._jdf.queryExecution().executedPlan().toString()
 
 

@@ -225,8 +225,7 @@ def _merged_sql(key: str) -> str:
 g AS (SELECT *, {group} AS merge_key FROM who),
 heads AS (SELECT merge_key, min({o.name('p')}) AS name, count(*) FILTER (WHERE NOT co) AS commits,
     count(*) FILTER (WHERE co) AS co_commits, CAST(coalesce(sum(a), 0) AS BIGINT) AS adds,
-    CAST(coalesce(sum(d), 0) AS BIGINT) AS dels, CAST(coalesce(sum(files), 0) AS BIGINT) AS files,
-    string_agg(DISTINCT {o.email('p')}, ' ' ORDER BY {o.email('p')}) AS emails
+    CAST(coalesce(sum(d), 0) AS BIGINT) AS dels, CAST(coalesce(sum(files), 0) AS BIGINT) AS files
   FROM g LEFT JOIN fc USING (commit_id) GROUP BY 1),
 langs AS (SELECT merge_key, language, CAST(sum(a) AS BIGINT) AS adds, CAST(sum(d) AS BIGINT) AS dels, count(*) AS files
   FROM g JOIN f USING (commit_id) GROUP BY 1, 2),
@@ -237,7 +236,7 @@ best AS (SELECT merge_key, language AS top, count(*) OVER (PARTITION BY merge_ke
 @query(
     "author_totals",
     _merged_sql("remote")
-    + """ SELECT h.merge_key, name, emails, commits, co_commits, adds, dels, files,
+    + """ SELECT h.merge_key, name, commits, co_commits, adds, dels, files,
        coalesce(top, '') AS top_language, coalesce(n, 0) AS n_languages
 FROM heads h LEFT JOIN best b ON b.merge_key = h.merge_key AND rn = 1""",
 )
@@ -246,7 +245,6 @@ def author_totals(spark, sf):
     return people.author_totals(merged).select(
         "merge_key",
         "name",
-        F.array_join("emails", " ").alias("emails"),
         "commits",
         F.col("co_authored_commits").alias("co_commits"),
         (F.col("additions") + F.col("co_authored_additions")).alias("adds"),
@@ -257,6 +255,27 @@ def author_totals(spark, sf):
     )
 
 
+@query(
+    "author_emails",
+    f"""{o.with_(o.COMMITS, o.ROLES)} SELECT DISTINCT CASE WHEN {o.KNOWN} THEN {o.LOGIN} ELSE {o.name('p')} END AS merge_key,
+  {o.email('p')} AS email FROM who""",
+)
+def author_emails(spark, sf):
+    merged = people.merged_activity(t.history(spark, sf), "remote", t.identity(spark, sf))
+    return people.merged_emails(merged)
+
+
+@query(
+    "author_report_emails",
+    f"""{o.with_(o.COMMITS, o.ROLES)}, g AS (SELECT CASE WHEN {o.KNOWN} THEN {o.LOGIN} ELSE {o.name('p')} END AS merge_key, * FROM who)
+SELECT merge_key, min({o.name('p')}) || ' ' || string_agg(DISTINCT '<' || {o.email('p')} || '>', ', ' ORDER BY '<' || {o.email('p')} || '>') AS label, count(*) AS commits
+FROM g GROUP BY 1""",
+)
+def author_report_emails(spark, sf):
+    report = reports.author_report(t.history(spark, sf), "remote", t.identity(spark, sf), email="full")
+    return report.filter("kind = 'author'").select("merge_key", "label", "commits")
+
+
 @query(
     "author_report",
     _merged_sql("name")

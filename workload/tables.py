@@ -105,7 +105,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, customer = F.col("o_orderkey"), F.col("o_custkey")
     bot = F.struct(F.lit("Merge Bot").alias("name"), F.lit("bot@corp.example").alias("email"))
     text = message(order, customer, F.col("o_orderpriority"))
-    return orders.join(nation, "n_nationkey").select(
+    return orders.join(F.broadcast(nation), "n_nationkey").select(
         order.alias("commit_id"),
         F.col("n_name").alias("repo"),
         F.lower(F.lpad(F.hex(order), 40, "0")).alias("oid"),
