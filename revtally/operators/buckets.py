@@ -46,13 +46,17 @@ def keyed(h: History, keys: dict[str, Column], *extra: str) -> DataFrame:
 
 
 def commits_with_lines(h: History, keys: dict[str, Column], *extra: str) -> DataFrame:
-    """One row per commit with its line counters, NULL where no file is left."""
-    return keyed(h, keys, *extra).join(per_commit(h.file_changes), "commit_id", "left")
+    """One row per commit with its line counters, NULL where no file is left.
+
+    Both sides grow with the history, and a size estimate taken from compressed files can be
+    far too small. The hint keeps the lines from being broadcast on such an estimate.
+    """
+    return keyed(h, keys, *extra).join(per_commit(h.file_changes).hint("merge"), "commit_id", "left")
 
 
 def languages_of_commits(h: History, keys: dict[str, Column], *extra: str) -> DataFrame:
     """One row per commit and language."""
-    return keyed(h, keys, *extra).join(per_commit_language(h.file_changes), "commit_id")
+    return keyed(h, keys, *extra).join(per_commit_language(h.file_changes).hint("merge"), "commit_id")
 
 
 def bucket_totals(h: History, keys: dict[str, Column]) -> DataFrame:

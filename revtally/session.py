@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "revtally", master: str | None = None, **conf: object) -> SparkSession:
@@ -44,3 +45,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(named)
     return named
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new folder next to the checkpoints, which every executor can reach."""
+    return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` once and read it back, for a result that several branches of a plan use.
+
+    The branches would prune it differently and so not share its shuffles. The written table
+    survives lost executors and is read column by column.
+    """
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from revtally.operators import buckets, people
 from revtally.operators.history import History
 from revtally.operators.lines import METRICS, sums
+from revtally.session import materialize
 
 PAGE_SIZE = 10_000
 _LANG = {
@@ -38,12 +39,9 @@ def _lang_struct(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c).alias(name) for c, name in _LANG.items()])
 
 
-def _in_key_order(a: Column, b: Column) -> Column:
-    return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
-
-
 def _map_of(entry: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.collect_list(entry), _in_key_order))
+    """Map from ``(key, value)`` entries; the key order of a JSON object means nothing."""
+    return F.map_from_entries(F.collect_list(entry))
 
 
 def _as_map(key: str, value: Column) -> Column:
@@ -112,7 +110,10 @@ def to_stats_json(h: History, key: Column, page_size: int = PAGE_SIZE) -> DataFr
     in pages: page 0 carries totals, languages and the first people, later pages only people.
     """
     keys = {"label": key}
-    per_bucket = people.bucket_people(h, keys), people.bucket_person_languages(h, keys)
+    per_bucket = (
+        materialize(people.bucket_people(h, keys), "people"),
+        materialize(people.bucket_person_languages(h, keys), "person-languages"),
+    )
     overall = tuple(_merged_over(df, "label") for df in per_bucket)
     out = []
     for section, names, (totals, langs) in (("periods", ["label"], per_bucket), ("totals", [], overall)):

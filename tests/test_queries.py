@@ -28,6 +28,7 @@ def test_entry(spark):
     assert set(entry_point.oracle_sql()) == set(entry_point.queries())
 
 
+# The banned operators would cross, nest or leave the JVM.
 BANNED = re.compile(r"CartesianProduct|BroadcastNestedLoopJoin|PythonUDF|ArrowEvalPython|BatchEvalPython|MapInPandas")
 WRITES = {"history_append", "stats_json_roundtrip", "commit_log_text", "patch_line_counts", "stream_weekly", "stream_dedup", "repo_list"}
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,7 +12,7 @@ from revtally.functions import display, identity, sql, text, timeparts
 from revtally.operators import buckets, cards, filters, languages, paths, people, ranking, refresh, remote
 from revtally.plans import reports
 from revtally.plans.stats import stats
-from revtally.session import ensure_checkpoint_dir, use_utc
+from revtally.session import scratch_path, use_utc
 from revtally.sinks import documents
 from revtally.sources import commit_log, stats_json
 from revtally.streaming import live
@@ -39,11 +38,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder next to the checkpoints, which every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def day(ts: str | Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
@@ -861,7 +855,7 @@ def dedup_history(spark, sf):
     f"{o.sums(additions='a', deletions='d')} FROM h WHERE moment IS NOT NULL AND ({_OLD} OR {_NEW}) GROUP BY ALL",
 )
 def history_append(spark, sf):
-    history, path = t.hosted_history(spark, sf), scratch(spark, "history")
+    history, path = t.hosted_history(spark, sf), scratch_path(spark, "history")
     refresh.append_history(spark, path, _old(history))
     refresh.append_history(spark, path, _new(history))
     return (
@@ -1172,7 +1166,7 @@ SELECT 'acme' AS username, CAST(30 AS BIGINT) AS days, (SELECT count(DISTINCT p_
 )
 def stats_json_roundtrip(spark, sf):
     """A fetch document written, loaded again and stripped of two languages."""
-    path = scratch(spark, "fetch")
+    path = scratch_path(spark, "fetch")
     documents.write_report(documents.fetch_document(_fetch_sections(spark, sf)), path, "text")
     loaded = stats_json.without_languages(stats_json.read_stats_json(spark, path), ["promo", "OTHER"])
     return loaded.select(
@@ -1192,7 +1186,7 @@ def _export(spark, sf, body: Column) -> str:
     head = F.concat_ws("\x1f", *fields, seconds, "message")
     key = F.col("commit_id")
     record = F.concat(F.lit("\x1e"), head, F.lit("\x1d\n\n"), body)
-    path = scratch(spark, "log")
+    path = scratch_path(spark, "log")
     rows = commits.withColumns({"n": key % 9, "m": key % 4}).select(record.alias("value"))
     rows.write.option("lineSep", "\n").text(path)
     return path
@@ -1252,8 +1246,8 @@ def _arriving(spark, sf) -> DataFrame:
 
 
 def _drain(spark, stream: DataFrame, by_month: bool = False) -> DataFrame:
-    path = scratch(spark, "stream")
-    done = live.append_to(stream, path, scratch(spark, "progress"), by_month)
+    path = scratch_path(spark, "stream")
+    done = live.append_to(stream, path, scratch_path(spark, "progress"), by_month)
     done.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
