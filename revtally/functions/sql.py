@@ -30,6 +30,18 @@ DEFINITIONS = {
         "exists(co_authors, x -> coalesce(regexp_replace(split_part(CASE WHEN endswith(lower(x.email), "
         "'@users.noreply.github.com') THEN lower(x.email) END, '@', 1), '^[^+]*[+]', '') = lower(p), false))",
     ),
+    "me_login": (
+        f"(p STRING, known ARRAY<STRING>, {_PEOPLE}) RETURNS BOOLEAN",
+        "me_noreply(p, author, co_authors) OR array_contains(known, author.email) OR "
+        "exists(co_authors, x -> array_contains(known, x.email))",
+    ),
+    "involves": (
+        f"(p STRING, {_PEOPLE}) RETURNS BOOLEAN",
+        "me_name(p, author, co_authors) OR me_email(p, author, co_authors)",
+    ),
+    "repo_key": ("(owner STRING, name STRING) RETURNS STRING", "lower(concat_ws('/', owner, name))"),
+    "day_label": ("(t TIMESTAMP) RETURNS STRING", "date_format(t, 'yyyy-MM-dd')"),
+    "month_label": ("(t TIMESTAMP) RETURNS STRING", "date_format(t, 'yyyy-MM')"),
     "iso_week": (
         "(t TIMESTAMP) RETURNS STRING",
         "concat(extract(YEAROFWEEK FROM t), '-W', lpad(extract(WEEK FROM t), 2, '0'))",

@@ -58,6 +58,14 @@ class History:
         """Drop lines of languages. Commits, buckets and people stay."""
         return replace(self, file_changes=filters.exclude_languages(self.file_changes, languages))
 
+    def union(self, other: History) -> History:
+        """Both histories; commit ids have to be distinct between them."""
+        return History(
+            self.commits.unionByName(other.commits),
+            self.file_changes.unionByName(other.file_changes),
+            self.narrowed or other.narrowed,
+        )
+
     def save_bucketed(self, prefix: str, buckets: int = 512) -> None:
         """Write both tables bucketed and sorted by ``commit_id``; joins on them need no shuffle.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revtally.operators.filters import with_additions
 from revtally.session import ensure_checkpoint_dir
 
 _LANGUAGE_SORTS = {
@@ -66,7 +67,7 @@ def top_language(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def language_share(rows: DataFrame, k: int | None = None) -> DataFrame:
     """Percent of additions per language, over all languages, and only then the first ``k``."""
-    adding = rows.filter(F.col("additions") > 0).groupBy("language").agg(F.sum("additions").alias("additions"))
+    adding = with_additions(rows).groupBy("language").agg(F.sum("additions").alias("additions"))
     whole = adding.agg(F.sum("additions").alias("whole")).scalar()
     share = adding.withColumn("share", F.col("additions").cast("double") / whole * F.lit(100.0))
     if k is None:
@@ -74,6 +75,14 @@ def language_share(rows: DataFrame, k: int | None = None) -> DataFrame:
     return share.orderBy(*language_order()).limit(k)
 
 
+def weeks_in_order() -> list[Column]:
+    return [F.col("repo").asc(), F.col("week_start").asc()]
+
+
+def files_in_order() -> list[Column]:
+    return [F.col("commit_id").asc(), F.col("path").asc()]
+
+
 def numbered(df: DataFrame, order: Sequence[Column | str], into: str = "number") -> DataFrame:
     """Rows numbered from 1 in ``order`` without pulling them into one task.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from revtally import schemas
 from revtally.operators import cards, filters, refresh, remote
+from revtally.plans.fetch import fetch
 
 HISTORY = "repo STRING, committed_date STRING, additions BIGINT, deletions BIGINT"
 REPOS = "owner STRING, name STRING, is_fork BOOLEAN, languages MAP<STRING, BIGINT>"
@@ -160,6 +161,28 @@ def test_card_languages_by_additions(spark):
     assert abs(got[0]["share"] - 999 / 2009 * 100) < 1e-9
 
 
+def test_fetch_keeps_the_first_group_and_excludes_languages(spark):
+    chunks = spark.createDataFrame(
+        [
+            ("2024-01-01", "Me", "a", False, {"Rust": 7, "Go": 3}, 2),
+            ("2024-01-01", "me", "idle", False, {"C": 1}, 0),
+            ("2024-01-01", "me", "fork", True, {"C": 1}, 4),
+            ("2024-01-01", "you", "b", False, {"C": 1}, 4),
+        ],
+        "window_start STRING, owner STRING, name STRING, is_fork BOOLEAN, languages MAP<STRING, BIGINT>, commit_count BIGINT",
+    )
+    history = spark.createDataFrame([("Me/a", "2025-01-06T00:00:00Z", 10, 0), ("Me/a", "2025-06-06T00:00:00Z", 10, 0), ("you/b", "2025-01-06T00:00:00Z", 5, 0)], HISTORY)
+    private = spark.createDataFrame([("me", "p", False, {"Zig": 1})], REPOS)
+    plan = fetch(chunks, history, "ME", until="2025-02-01", exclude=["rust"], private=private)
+    assert plan.group == "language"
+    assert rows(plan.repos, "repo", "commits", "adds") == [("Me/a", 2, 10)]
+    assert rows(plan.languages(), "label", "language", "additions") == [("2025-01", "Go", 3)]
+    assert rows(plan.totals(), "commits", "additions") == [(1, 3)]
+    both = fetch(chunks, history, "me", include_contributed=True, include_forks=True, group=["repo"])
+    assert rows(both.buckets(), "label", "commits", "additions") == [("Me/a", 2, 20), ("me/fork", 0, 0), ("you/b", 1, 5)]
+    assert rows(both.active_repos()) == [(3,)]
+
+
 # ---- refresh ------------------------------------------------------------------------
 
 

@@ -209,8 +209,10 @@ def test_sql_functions(spark, build):
     got = h.commits.selectExpr(
         "me_name('CHAR', author, co_authors) AS a", "me_email('zzz', author, co_authors) AS b", "iso_week(ts) AS w",
         "noreply_login('1+Bob@users.noreply.github.com') AS l", "net_additions(3, 9) AS n", "net_modifications(3, 9) AS m",
+        "me_login('x', array('charlie@test.com'), author, co_authors) AS k", "involves('HUGO@', author, co_authors) AS i",
+        "repo_key('A', 'B') AS r", "day_label(ts) AS d", "month_label(ts) AS mo",
     )
-    assert rows(got) == [(True, False, "2025-W01", "bob", 0, 9)]
+    assert rows(got) == [(True, False, "2025-W01", "bob", 0, 9, True, True, "a/b", "2024-12-31", "2024-12")]
 
 
 def test_repository_roots(spark):

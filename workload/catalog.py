@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from revtally.functions import display, identity, sql, text, timeparts
 from revtally.operators import buckets, cards, filters, languages, paths, people, ranking, refresh, remote
 from revtally.plans import reports
+from revtally.plans.fetch import fetch
 from revtally.plans.stats import stats
 from revtally.session import scratch_path, use_utc
 from revtally.sinks import documents
@@ -818,6 +819,41 @@ def repo_contributions(spark, sf):
     return remote.repo_line_totals(brands.unionByName(others), weekly).select("repo", "commits", "adds", "dels")
 
 
+def _merged_chunks(spark, sf) -> DataFrame:
+    """Contribution windows of the brands, in two halves that have to be merged."""
+    half = t.repos(spark, sf).withColumns({"commit_count": F.lit(1).cast("bigint"), "window_start": F.lit("2023-01-01").cast("timestamp")})
+    later = half.withColumns({"name": F.upper("name"), "window_start": F.lit("2024-01-01").cast("timestamp")})
+    return half.unionByName(later)
+
+
+_FETCH_RANGE = "moment >= TIMESTAMP '2024-01-04' AND moment <= TIMESTAMP '2024-01-27'"
+_FETCHED = f"""{o.with_(o.HISTORY, o.WEEKS.replace('WHERE moment IS NOT NULL', f"WHERE {_FETCH_RANGE} AND CAST(substr(repo, 12) AS INTEGER) % 5 <> 0"), o.REPO_LANGUAGES, o.apportioned('w', 'repo, week'))}"""
+
+
+@query(
+    "fetch_entry",
+    f"""{_FETCHED}, t AS (SELECT strftime(week, '%Y-%m-%d') AS label, {o.sums(commits='commits')} FROM w GROUP BY 1)
+SELECT t.label, t.commits, {_REMOTE_SUMS} FROM t LEFT JOIN split s ON strftime(s.week, '%Y-%m-%d') = t.label AND language NOT IN ('PROMO', 'Other') GROUP BY 1, 2""",
+)
+def fetch_entry(spark, sf):
+    plan = fetch(
+        _merged_chunks(spark, sf), t.hosted_history(spark, sf), "ACME",
+        since="2024-01-04", until="2024-01-27", group=["period", "repo"], period="day", exclude=["promo", "OTHER"],
+    )
+    return plan.buckets()
+
+
+@query(
+    "fetch_repo_languages",
+    f"{_FETCHED} SELECT repo AS label, language, {_REMOTE_SUMS}, count(*) AS files FROM split GROUP BY 1, 2",
+)
+def fetch_repo_languages(spark, sf):
+    plan = fetch(
+        _merged_chunks(spark, sf), t.hosted_history(spark, sf), "acme", since="2024-01-04", until="2024-01-27", group=["repo"]
+    )
+    return plan.languages()
+
+
 # ---- refresh ------------------------------------------------------------------------
 
 # A second load overlaps the first by five days.

@@ -136,7 +136,7 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         path.alias("path"),
         F.get(F.array(*[F.lit(x) for x in LANGUAGES]), kind).alias("language"),
         F.col("l_quantity").cast("bigint").alias("additions"),
-        (F.round(F.col("l_discount") * 100) * 4).cast("bigint").alias("deletions"),
+        (F.rint(F.col("l_discount") * 100) * 4).cast("bigint").alias("deletions"),
     )
 
 
