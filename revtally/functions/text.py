@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # Fixed values. (?d) makes \n the only line end; the class is Unicode white space.
 _WS = r"[\s\u0085\p{Z}]"
 TRAILER = rf"(?imd)^co-authored-by:{_WS}*(.+?){_WS}*<(.+?)>"
-_EDGES = rf"^{_WS}+|{_WS}+$"
+
+# The characters Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def subject(message: Column) -> Column:
@@ -20,13 +22,9 @@ def co_authors(message: Column) -> Column:
     """People named in co-author trailers, in order, repeats kept."""
     names = F.regexp_extract_all(message, F.lit(TRAILER), F.lit(1))
     emails = F.regexp_extract_all(message, F.lit(TRAILER), F.lit(2))
+    space = F.lit(WHITE_SPACE)
     people = F.zip_with(
-        names,
-        emails,
-        lambda n, e: F.struct(
-            F.regexp_replace(n, _EDGES, "").alias("name"),
-            F.regexp_replace(e, _EDGES, "").alias("email"),
-        ),
+        names, emails, lambda n, e: F.struct(F.btrim(n, space).alias("name"), F.btrim(e, space).alias("email"))
     )
     return F.coalesce(people, F.array().cast("array<struct<name:string,email:string>>"))
 

@@ -18,7 +18,8 @@ def build_session(app: str = "revtally", master: str | None = None, **conf: obje
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Recording the Python call site of every Column call makes large plans slow to build.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{k: str(v) for k, v in conf.items()},
     }
     for key, value in settings.items():

@@ -17,7 +17,7 @@ inventory  supplier a supplier owns a folder
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtally.functions.text import subject
@@ -47,51 +47,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def padded(prefix: str, key: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(key.cast("string"), 9, "0"))
+# The commit mapping is written as SQL text, which Spark parses faster than Python can build it.
 
 
-def person(key: Column) -> Column:
-    """A customer as a person; the kind of e-mail address depends on the key."""
-    handle = padded("customer", key)
-    email = (
-        F.when(key % 4 == 0, F.concat(handle, F.lit("@corp.example")))
-        .when(key % 4 == 1, F.concat(key.cast("string"), F.lit("+"), handle, F.lit("@users.noreply.github.com")))
-        .when(key % 4 == 2, F.concat(handle, F.lit("@users.noreply.github.com")))
-        .otherwise(F.concat(padded("Customer", key), F.lit("@Mail.example")))
+def padded(prefix: str, key: str) -> str:
+    return f"concat('{prefix}', lpad(cast({key} AS STRING), 9, '0'))"
+
+
+def email(key: str) -> str:
+    """The kind of e-mail address depends on the key."""
+    low = padded("customer", key)
+    return (
+        f"CASE {key} % 4 WHEN 0 THEN concat({low}, '@corp.example') "
+        f"WHEN 1 THEN concat(cast({key} AS STRING), '+', {low}, '@users.noreply.github.com') "
+        f"WHEN 2 THEN concat({low}, '@users.noreply.github.com') "
+        f"ELSE concat({padded('Customer', key)}, '@Mail.example') END"
     )
-    return F.struct(padded("Customer#", key).alias("name"), email.alias("email"))
 
 
-def _trailer(word: str, key: Column) -> Column:
-    who = person(key)
-    return F.concat(F.lit(f"\n{word}: "), who["name"], F.lit(" <"), who["email"], F.lit(">"))
+def person(key: str) -> str:
+    """A customer as a person."""
+    return f"named_struct('name', {padded('Customer#', key)}, 'email', {email(key)})"
 
 
-def message(order: Column, customer: Column, priority: Column) -> Column:
-    """Subject, body and trailers: none, one, two, the author again, or one person twice."""
-    word = "Co-authored-by"
-    kind = order % 6
-    trailers = (
-        F.when(kind == 1, _trailer(word, customer + 1))
-        .when(kind == 2, F.concat(_trailer(word, customer + 1), _trailer("co-authored-by", customer + 2)))
-        .when(kind == 3, _trailer("CO-AUTHORED-BY", customer))
-        .when(kind == 4, F.concat(_trailer(word, customer + 3), _trailer(word, customer + 3)))
-        .otherwise(F.lit(""))
+def helper_keys(order: str, customer: str) -> str:
+    """Co-authors of an order: none, one, two, the author again, or one person twice."""
+    one, two, three = (f"{customer} + {i}" for i in (1, 2, 3))
+    return (
+        f"CASE {order} % 6 WHEN 1 THEN array({one}) WHEN 2 THEN array({one}, {two}) "
+        f"WHEN 3 THEN array({customer}) WHEN 4 THEN array({three}, {three}) ELSE cast(array() AS ARRAY<BIGINT>) END"
     )
-    return F.concat(F.lit("Order "), order.cast("string"), F.lit(" "), priority, F.lit("\n\nbody\n"), trailers)
 
 
-def helpers(order: Column, customer: Column) -> Column:
-    """The people that :func:`message` names in its trailers."""
-    kind = order % 6
-    nobody = F.array().cast("array<struct<name:string,email:string>>")
+def message(order: str, keys: str, priority: str) -> str:
+    """Subject, body and one trailer per helper, in several spellings."""
+    word = (
+        f"CASE WHEN {order} % 6 = 3 THEN 'CO-AUTHORED-BY' WHEN {order} % 6 = 2 AND i = 1 THEN 'co-authored-by' "
+        "ELSE 'Co-authored-by' END"
+    )
+    trailer = f"concat('\\n', {word}, ': ', {padded('Customer#', 'x')}, ' <', {email('x')}, '>')"
     return (
-        F.when(kind == 1, F.array(person(customer + 1)))
-        .when(kind == 2, F.array(person(customer + 1), person(customer + 2)))
-        .when(kind == 3, F.array(person(customer)))
-        .when(kind == 4, F.array(person(customer + 3), person(customer + 3)))
-        .otherwise(nobody)
+        f"concat('Order ', cast({order} AS STRING), ' ', {priority}, '\\n\\nbody\\n', "
+        f"array_join(transform({keys}, (x, i) -> {trailer}), ''))"
     )
 
 
@@ -100,21 +97,23 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``co_authors`` is what parsing ``message`` gives, as a loaded history table would hold it.
     """
-    orders = table(spark, sf_dir, "orders").withColumn("n_nationkey", (F.col("o_custkey") % 25).cast("int"))
+    orders = table(spark, sf_dir, "orders").withColumn("n_nationkey", F.expr("cast(o_custkey % 25 AS INT)"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    order, customer = F.col("o_orderkey"), F.col("o_custkey")
-    bot = F.struct(F.lit("Merge Bot").alias("name"), F.lit("bot@corp.example").alias("email"))
-    text = message(order, customer, F.col("o_orderpriority"))
-    return orders.join(F.broadcast(nation), "n_nationkey").select(
-        order.alias("commit_id"),
-        F.col("n_name").alias("repo"),
-        F.lower(F.lpad(F.hex(order), 40, "0")).alias("oid"),
-        person(customer).alias("author"),
-        F.when(F.col("o_orderstatus") == "F", bot).otherwise(person(customer)).alias("committer"),
-        helpers(order, customer).alias("co_authors"),
-        F.col("o_orderdate").alias("ts"),
-        text.alias("message"),
-        subject(text).alias("message_subject"),
+    author, keys = person("o_custkey"), helper_keys("o_orderkey", "o_custkey")
+    return (
+        orders.join(F.broadcast(nation), "n_nationkey")
+        .selectExpr(
+            "o_orderkey AS commit_id",
+            "n_name AS repo",
+            "lower(lpad(hex(o_orderkey), 40, '0')) AS oid",
+            f"{author} AS author",
+            "CASE WHEN o_orderstatus = 'F' THEN named_struct('name', 'Merge Bot', 'email', 'bot@corp.example') "
+            f"ELSE {author} END AS committer",
+            f"transform({keys}, x -> {person('x')}) AS co_authors",
+            "o_orderdate AS ts",
+            f"{message('o_orderkey', keys, 'o_orderpriority')} AS message",
+        )
+        .withColumn("message_subject", subject(F.col("message")))
     )
 
 
@@ -175,9 +174,8 @@ KNOWN_SEGMENTS = ("MACHINERY", "FURNITURE")
 
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logins of customers by e-mail; two neighbours in number may share one."""
-    key = F.col("c_custkey")
     known = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin(*KNOWN_SEGMENTS))
-    return known.select(person(key)["email"].alias("email"), padded("Dev", F.floor(key / 2)).alias("login"))
+    return known.selectExpr(f"{email('c_custkey')} AS email", f"{padded('Dev', '(c_custkey div 2)')} AS login")
 
 
 def supplier_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
