@@ -115,7 +115,8 @@ def level_choice(h: History, levels: Sequence[str], period: str = "month") -> Da
     Two values differ exactly when the smallest and the greatest do, so one pass with
     min and max answers for every level without any distinct count.
     """
-    check_levels(levels) if len(levels) > 1 else None
+    if len(levels) > 1:
+        check_levels(levels)
     aggs = []
     for i, level in enumerate(levels):
         if level == "language" or len(levels) == 1:

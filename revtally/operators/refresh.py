@@ -56,6 +56,11 @@ def advance_marks(plan: DataFrame, until) -> DataFrame:
     return plan.filter(F.col("action") != "keep").select("repo", as_moment(until).alias("until"))
 
 
+def append_marks(path: str, plan: DataFrame, until) -> None:
+    """Log the new marks; :func:`high_water` reads the latest of each repository."""
+    advance_marks(plan, until).write.mode("append").parquet(path)
+
+
 def append_history(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Add the rows of ``new`` that the table at ``path`` lacks.
 

@@ -86,8 +86,9 @@ def stats(
     used; ``groups`` adds tree levels below it. The choice looks at the commits in the
     window that pass ``me``, before ``author`` and ``language`` apply.
     """
-    buckets.check_levels(group) if len(group) > 1 else None
-    buckets.check_levels(groups) if len(groups) > 1 else None
+    for levels in (group, groups):
+        if len(levels) > 1:
+            buckets.check_levels(levels)
     if days is not None:
         if now is None:
             raise ValueError("days needs now")
@@ -98,10 +99,9 @@ def stats(
         h = h.where(me)
     kept = buckets.effective_levels(h, group, period)
     level = kept[0] if kept else "language"
-    levels: tuple[str, ...] = ()
-    if groups:
-        levels = tuple(dict.fromkeys([level, *groups]))
-        buckets.check_levels(levels) if len(levels) > 1 else None
+    levels = tuple(dict.fromkeys([level, *groups])) if groups else ()
+    if len(levels) > 1:
+        buckets.check_levels(levels)
     if author is not None:
         h = h.involving(author)
     if language is not None:

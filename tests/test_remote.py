@@ -209,7 +209,7 @@ def test_append_is_repeatable(spark, tmp_path):
     assert rows(spark.read.parquet(path), "committed_date", "month") == [("2025-01-05T00:00:00Z", "2025-01"), ("2025-02-05T00:00:00Z", "2025-02")]
 
 
-def test_refetch_plan(spark):
+def test_refetch_plan(spark, tmp_path):
     repos = spark.createDataFrame([(x,) for x in ("new", "busy", "idle", "done")], "repo STRING")
     marks = spark.createDataFrame(
         [("busy", "2025-01-01"), ("busy", "2025-01-03"), ("idle", "2025-01-02"), ("done", "2025-02-01")], "repo STRING, until STRING"
@@ -221,3 +221,8 @@ def test_refetch_plan(spark):
         ("busy", "fetch", "2025-01-03"), ("done", "keep", None), ("idle", "skip", None), ("new", "fetch", "2024-06-01"),
     ]
     assert rows(refresh.advance_marks(plan, "2025-01-10"), "repo") == [("busy",), ("idle",), ("new",)]
+    path = str(tmp_path / "marks")
+    marks.write.parquet(path)
+    refresh.append_marks(path, plan, "2025-01-10")
+    again = refresh.plan_refetch(repos, spark.read.parquet(path), active, "2024-06-01", "2025-01-10")
+    assert rows(again, "action") == [("keep",)] * 4

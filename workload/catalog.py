@@ -1302,6 +1302,20 @@ def stream_weekly(spark, sf):
     return weeks.withColumn("week_start", day("week_start"))
 
 
+@query(
+    "stream_daily",
+    """WITH e AS (SELECT 'acme/Brand#' || (user_id % 25 + 1) AS repo, ts, CAST(floor(value) AS BIGINT) AS a,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS d FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
+SELECT repo, strftime(ts, '%Y-%m-%d') AS day_start, CAST(sum(a) AS BIGINT) AS adds, CAST(sum(d) AS BIGINT) AS dels,
+  count(*) AS commits, CAST(sum(greatest(a, d)) AS BIGINT) AS net_mods, CAST(sum(greatest(a - d, 0)) AS BIGINT) AS net_adds
+FROM e, m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY 1, 2""",
+)
+def stream_daily(spark, sf):
+    """Days that have closed when the stream has drained."""
+    days = _drain(spark, live.day_buckets(_arriving(spark, sf)))
+    return days.withColumn("day_start", day("day_start"))
+
+
 @query(
     "stream_dedup",
     """SELECT 'acme/Brand#' || (user_id % 25 + 1) AS repo, count(*) AS commits, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS additions
