@@ -103,7 +103,8 @@ def week_languages(contributions: DataFrame) -> DataFrame:
     """Busy weeks by language, the four counters split by byte share.
 
     A repository without language bytes goes to ``Other`` when the week has lines. ``files``
-    is 1 on every row. The result keeps the other columns of the input.
+    is 1 on every row. A repository without a week gives no rows. The result keeps the other
+    columns of the input.
     """
     keep = [c for c in contributions.columns if c not in (*_SPLIT, "commits", "languages")]
     shares = language_shares(F.coalesce("languages", _no_languages()))
@@ -121,7 +122,7 @@ def week_languages(contributions: DataFrame) -> DataFrame:
     other = F.array(
         F.struct(F.lit(OTHER).alias("language"), *[F.col(m).alias(name) for m, name in _SPLIT.items()])
     )
-    rows = F.when(F.col("_bytes") > 0, split).when((F.col("adds") > 0) | (F.col("dels") > 0), other)
+    rows = F.when(F.col("adds").isNotNull() & (F.col("_bytes") > 0), split).when((F.col("adds") > 0) | (F.col("dels") > 0), other)
     return (
         weighed.withColumns(parts)
         .select(*keep, F.inline(rows))

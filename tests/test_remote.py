@@ -91,6 +91,9 @@ def test_repo_statistics(spark):
     ]
     totals = rows(remote.remote_by_repo(contributed), "label", "commits", "additions")
     assert totals == [("o/a", 2, 35), ("o/b", 1, 4), ("o/c", 0, 0), ("o/d", 1, 0)]
+    assert remote.week_languages(contributed).filter("week_start IS NULL").count() == 0
+    idle = remote.contributions(spark.createDataFrame([("o", "idle", False, {"Rust": 7})], REPOS), weekly)
+    assert idle.count() == 1 and remote.week_languages(idle).count() == 0
     # A Saturday belongs to the month of its Monday.
     late = remote.contributions(repos, weeks(spark, [("o/a", "2025-02-01T00:00:00Z", 3, 0)]))
     assert rows(remote.remote_by_period(late), "label", "commits") == [("2025-01", 1)]
