@@ -131,7 +131,9 @@ def file_name(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """Text after the last dot of the file name; a leading dot alone starts no extension."""
-    return F.nullif(F.regexp_extract(file_name(path), r"(?s)^.+\.([^.]*)$", 1), F.lit(""))
+    name = file_name(path)
+    dotted = F.instr(F.substr(name, F.lit(2)), ".") > 0
+    return F.when(dotted, F.nullif(F.substring_index(name, ".", -1), F.lit("")))
 
 
 def with_language(changes: DataFrame, dim: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,15 +71,14 @@ def append_history(spark: SparkSession, path: str, new: DataFrame) -> None:
     """
     at = committed_at(F.col("committed_date"))
     fresh = dedup_history(new.filter(at.isNotNull())).withColumn("month", month_label(at))
-    if _has_data(spark, path):
+    try:
+        old = spark.read.schema(fresh.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
         months = [r["month"] for r in fresh.select("month").distinct().collect()]  # calendar-bounded
-        old = spark.read.parquet(path).filter(F.col("month").isin(months))
+        old = old.filter(F.col("month").isin(months))
         same = [fresh[c].eqNullSafe(old[c]) for c in (*dedup_key(new), "month")]
         fresh = fresh.join(old, reduce(Column.__and__, same), "left_anti")
     fresh.select(*new.columns, "month").write.mode("append").partitionBy("month").parquet(path)
-
-
-def _has_data(spark: SparkSession, path: str) -> bool:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(folder))
