@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import byte_bpe, chat, mixing, sharding
 from .common import saved, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +100,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = saved(rows, "texts")
     sharded = sharding.balanced_shards(rows, sharding.equal_text_links(rows), 40)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, rows = public_tokenizers.path("byte_bpe_50k.tiktoken"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(rows, path, public_tokenizers.PATTERN, drop_text=True)
+    digest = F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256")
+    decoded = byte_bpe.decode(encoded, path)
+    return decoded.select("doc_id", "n_tokens", digest, F.sha2("decoded", 256).alias("decoded_sha256"))
