@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of one bucket of a distributed order.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def shared_folder(spark: SparkSession) -> str:
