@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, mixing, sharding
+from . import byte_bpe, chat, html_density, mixing, sharding
 from .common import saved, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256")
     decoded = byte_bpe.decode(encoded, path)
     return decoded.select("doc_id", "n_tokens", digest, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_text_density")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), drop_html=True)
