@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, html_density, mixing, sharding
+from . import byte_bpe, chat, html_density, mixing, perplexity, sharding
 from .common import saved, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_text_density")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), drop_html=True)
+
+
+@query("op2_ngram_perplexity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = perplexity.judge(perplexity.score(rows))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "perplexity", "low", "high")
