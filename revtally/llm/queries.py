@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, html_density, mixing, perplexity, sharding
+from . import byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding
 from .common import saved, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     judged = perplexity.judge(perplexity.score(rows))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "perplexity", "low", "high")
+
+
+@query("op5_prefix_tree_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_trie.join(rows).select("doc_id", "n_shingles", "component_id", "n_links")
