@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding
+from . import byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup
 from .common import saved, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_trie.join(rows).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query("op4_bwt_merge_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = suffix_dedup.deduplicate(rows, carry=["doc_id"])
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
