@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -58,10 +57,34 @@ def language(rows: pa.Table) -> list[str]:
     return ["?" if x is None else "=" + x for x in rows.column("lang").to_pylist()]
 
 
-def ngrams(word: str, order: int) -> list[str]:
-    """The n-gram that predicts each symbol of a word and its end."""
-    marked = FIRST + word + LAST
-    return [marked[max(0, i - order + 1) : i + 1] for i in range(1, len(marked))]
+#: Words whose n-grams are worked out at a time.
+_AT_A_TIME = 50_000
+
+
+def _salt(lang: str) -> np.uint64:
+    """A number for each language, by which the keys of its n-grams differ from others'."""
+    raw = np.frombuffer(lang.encode(), dtype=np.uint8)
+    return H.spans(H.prefix_sums(raw), np.zeros(1, np.int64), np.array([len(raw)]))[0]
+
+
+def ngrams(words: list[bytes], lang: str, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams that predict each symbol of each word and its end, some words at a time: their
+    keys, the code points with marks, where the n-grams begin and end in these."""
+    salt = _salt(lang)
+    for at in range(0, len(words), _AT_A_TIME):
+        texts = [w.decode() for w in words[at : at + _AT_A_TIME]]
+        codes = np.frombuffer((FIRST + (LAST + FIRST).join(texts) + LAST).encode("utf-32-le"), dtype=np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        end = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes) + 1
+        start = np.maximum(np.repeat(begins, sizes), end - order + 1)
+        sums = H.prefix_sums(codes.view(np.uint8))
+        yield H.mixed(H.spans(sums, 4 * start, 4 * end + 4) ^ salt), codes, start, end + 1
+
+
+def _per_word(words: list[bytes]) -> np.ndarray:
+    """How many n-grams each word has: its symbols and its end."""
+    return np.fromiter((len(w.decode()) + 1 for w in words), np.int64, len(words))
 
 
 def word_counts(rows: pa.Table) -> dict[str, Counter]:
@@ -79,15 +102,25 @@ def count(blocks: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             for payload in batch.column("payload"):
                 for lang, words in word_counts(B.unpacked(payload.as_py())).items():
-                    grams: Counter = Counter()
-                    for word, n in words.items():
-                        for gram in ngrams(word.decode(), order):
-                            grams[gram] += n
+                    grams: dict[int, list] = {}
+                    times = np.fromiter(words.values(), np.int64, len(words))
+                    each, done = _per_word(list(words)), 0
+                    for keys, codes, start, end in ngrams(list(words), lang, order):
+                        n = np.searchsorted(np.cumsum(each[done:]), len(keys)) + 1
+                        distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
+                        total = np.bincount(place, weights=np.repeat(times[done : done + n], each[done : done + n]))
+                        done += n
+                        text = codes.tobytes()
+                        for key, f, t in zip(distinct.tolist(), first.tolist(), total.astype(np.int64).tolist()):
+                            if key in grams:
+                                grams[key][1] += t
+                            else:
+                                grams[key] = [text[4 * start[f] : 4 * end[f]].decode("utf-32-le"), t]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "lang": pa.array([lang] * len(grams), pa.string()),
-                            "gram": pa.array(list(grams), pa.string()),
-                            "n": pa.array(list(grams.values()), pa.int64()),
+                            "gram": pa.array([g for g, _ in grams.values()], pa.string()),
+                            "n": pa.array([n for _, n in grams.values()], pa.int64()),
                         }
                     )
 
@@ -136,11 +169,11 @@ def fit(counts: DataFrame, order: int) -> DataFrame:
 
 
 def gram_keys(lang: str, grams: list[str]) -> np.ndarray:
-    """A 64-bit key for each n-gram of a language."""
-    raw = [f"{lang}\0{g}".encode() for g in grams]
-    sums = H.prefix_sums(np.frombuffer(b"".join(raw), dtype=np.uint8))
-    ends = np.cumsum([0, *map(len, raw)])
-    return H.spans(sums, ends[:-1], ends[1:])
+    """The keys of n-grams of a language."""
+    raw = "".join(grams).encode("utf-32-le")
+    ends = 4 * np.cumsum([0, *map(len, grams)])
+    sums = H.prefix_sums(np.frombuffer(raw, dtype=np.uint8))
+    return H.mixed(H.spans(sums, ends[:-1], ends[1:]) ^ _salt(lang))
 
 
 def hash_arrays(model: DataFrame, parts: int) -> DataFrame:
@@ -166,10 +199,7 @@ def hash_arrays(model: DataFrame, parts: int) -> DataFrame:
 
 
 def _asked(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    found = []
-    for lang, words in word_counts(rows).items():
-        grams = set(chain.from_iterable(ngrams(w.decode(), order) for w in words))
-        found.append(gram_keys(lang, list(grams)))
+    found = [np.unique(keys) for lang, words in word_counts(rows).items() for keys, *_ in ngrams(list(words), lang, order)]
     keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
     return keys, np.zeros(len(keys), np.uint8)
 
@@ -226,21 +256,16 @@ _ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def _scored(rows: pa.Table, got: pd.DataFrame, order: int, carried: list[str]) -> Iterable[pd.DataFrame]:
-    keys, _ = _asked(rows, order)
+    counted = word_counts(rows)
+    asked = {lang: [k for k, *_ in ngrams(list(words), lang, order)] for lang, words in counted.items()}
+    keys = np.unique(np.concatenate([np.unique(k) for own in asked.values() for k in own] or [np.zeros(0, np.uint64)]))
     values = B.told(got, np.float32).astype(np.float64)
+    values[np.isnan(values)] = np.log(1e-7)  # an n-gram that the model has never seen
     of_word: dict[str, dict[bytes, float]] = {}
-    floor = np.log(1e-7)  # an n-gram that the model has never seen
-    for lang, words in word_counts(rows).items():
-        each = [ngrams(w.decode(), order) for w in words]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = list(chain.from_iterable(each))
-        distinct = list(dict.fromkeys(flat))
-        score = values[np.searchsorted(keys, gram_keys(lang, distinct))]
-        score = dict(zip(distinct, np.where(np.isnan(score), floor, score).tolist()))
-        per_gram = np.fromiter(map(score.__getitem__, flat), np.float64, len(flat))
-        ends = np.cumsum(sizes)
-        sums = np.add.reduceat(per_gram, ends - sizes) if len(flat) else np.zeros(0)
-        of_word[lang] = dict(zip(words, sums.tolist()))
+    for lang, words in counted.items():
+        each = _per_word(list(words))
+        score = np.concatenate([values[np.searchsorted(keys, k)] for k in asked.pop(lang)] or [np.zeros(0)])
+        of_word[lang] = dict(zip(words, np.add.reduceat(score, np.cumsum(each) - each).tolist())) if len(each) else {}
     for part in B.parts_of(rows):
         texts = [t or "" for t in part.column("text").to_pylist()]
         frame = part.select(carried).to_pandas()
