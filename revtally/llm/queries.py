@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup
+from . import byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup, vector_graph
 from .common import saved, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = suffix_dedup.deduplicate(rows, carry=["doc_id"])
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_pruned_graph")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
