@@ -82,7 +82,7 @@ def _prefixed(rows: pa.Table, got: pd.DataFrame, percent: int, carried: list[str
     keys, _ = _asked(rows)
     for part in B.parts_of(rows):
         sets = shingle_sets(part.column("text").to_pylist())
-        frame = part.select(carried).to_pandas()
+        frame = part.select(carried).to_pandas(integer_object_nulls=True)
         size, node, check, tokens, members = [], [], [], [], []
         for own in sets:
             n = len(own)
@@ -254,16 +254,20 @@ def _pieces(sets: DataFrame, family: DataFrame) -> DataFrame:
     return placed.join(sides, ["family", "piece"]).select("task", "side", "node", "n_shingles", "copies", "members")
 
 
-def join(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id with n_shingles, n_links (other documents linked directly) and component_id (the
-    least id reachable over links), one row per row of documents."""
-    id_type = dict(documents.dtypes)[id_col]
-    slim = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = B.pack(slim)
+_ADDED = ("n_shingles", "node", "check", "tokens", "members", "n_links", "component_id", "class")
+
+
+def join(documents: DataFrame, percent: int = PERCENT, carry: list[str] | None = None) -> DataFrame:
+    """The carried columns of documents (doc_id, if not said) with n_shingles, n_links (other
+    documents linked directly), component_id (the least doc_id reachable over links) and class
+    (a number for the component, null for documents without any link), one row per row."""
+    carry = ["doc_id"] if carry is None else [c for c in carry if c not in _ADDED]
+    blocks = B.pack(documents.select(*dict.fromkeys([*carry, "doc_id", "text"])))
     asked = B.questions(blocks, _asked, B.ranges(blocks), "uint16")
     answered = B.answers(asked, _frequencies, "uint16")
-    schema = f"doc_id {id_type}, n_shingles long, node long, check long, tokens array<long>, members binary"
-    ordered = saved(B.meet(blocks, answered, lambda rows, got: _prefixed(rows, got, percent, ["doc_id"]), schema), "sets")
+    types = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    schema = ", ".join([*(f"{c} {types[c]}" for c in carry), "n_shingles long, node long, check long, tokens array<long>, members binary"])
+    ordered = saved(B.meet(blocks, answered, lambda rows, got: _prefixed(rows, got, percent, carry), schema), "sets")
     shared = ordered.filter(F.col("tokens").isNotNull())
     sets = shared.groupBy("node", "check").agg(
         F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("members").alias("members")
@@ -292,8 +296,16 @@ def join(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", t
     roots = components(found.filter("u != v"))
     labels = sets.select("node", "copies").join(linked, "node", "left").join(roots, "node", "left")
     labels = saved(labels.select("node", F.coalesce("root", "node").alias("root"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_links")), "labels")
-    own = shared.select("doc_id", "n_shingles", "node").join(labels, "node")
+    own = shared.drop("check", "tokens", "members").join(labels, "node")
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classed = own.join(least, "root").select("doc_id", "n_shingles", F.col("_links").alias("n_links"), "component_id")
-    lone = ordered.filter(F.col("tokens").isNull()).select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    return classed.union(lone).withColumnRenamed("doc_id", id_col)
+    classed = own.join(least, "root").select(*carry, "n_shingles", F.col("_links").alias("n_links"), "component_id", F.when(F.col("_links") > 0, F.col("root")).alias("class"))
+    lone = ordered.filter(F.col("tokens").isNull()).select(*carry, "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class"))
+    return classed.union(lone)
+
+
+def one_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """documents with one row of each component: one of those with its least id."""
+    joined = join(documents, percent, documents.columns)
+    alone = joined.filter(F.col("class").isNull())
+    first = joined.filter(F.col("class").isNotNull() & (F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return alone.unionByName(first.dropDuplicates(["class"])).select(*documents.columns)

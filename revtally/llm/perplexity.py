@@ -268,7 +268,7 @@ def _scored(rows: pa.Table, got: pd.DataFrame, order: int, carried: list[str]) -
         of_word[lang] = dict(zip(words, np.add.reduceat(score, np.cumsum(each) - each).tolist())) if len(each) else {}
     for part in B.parts_of(rows):
         texts = [t or "" for t in part.column("text").to_pylist()]
-        frame = part.select(carried).to_pandas()
+        frame = part.select(carried).to_pandas(integer_object_nulls=True)
         for name, column in base_figures(texts).items():
             frame[name] = column
         frame["log_p"] = [sum(map(of_word[lang].__getitem__, t.encode().split())) for lang, t in zip(language(part), texts)]
@@ -277,8 +277,13 @@ def _scored(rows: pa.Table, got: pd.DataFrame, order: int, carried: list[str]) -
 
 
 def score(documents: DataFrame, order: int = ORDER, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns of documents with base figures, log_p and n_predicted."""
-    carry = carry or ["doc_id", "lang"]
+    """The carried columns of documents (all, if not said; lang always) with base figures, log_p
+    and n_predicted."""
+    added = [c.split()[0] for c in _ADDED.split(", ")]
+    documents = documents.drop(*added, "base_failed", "perplexity", "low", "high", "kept")
+    carry = documents.columns if carry is None else carry
+    if "lang" not in documents.columns:
+        documents, carry = documents.withColumn("lang", F.lit(None).cast("string")), [*carry, "lang"]
     blocks = B.pack(documents)
     parts = B.ranges(blocks)
     arrays = hash_arrays(fit(count(blocks, order), order), parts)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup, vector_graph
+from . import byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup, toxicity, vector_graph
 from .common import saved, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pruned_graph")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query("op1_classifier_chain")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models, cut = toxicity.fit(rows, table(spark, sf_dir, "labels"))
+    return toxicity.score(rows, models, cut)

@@ -330,7 +330,7 @@ def _crowd_verdicts(distinct: np.ndarray, place: np.ndarray, n: np.ndarray) -> n
     return (np.bincount(place, weights=n, minlength=len(distinct)) > 1).astype(np.uint8)[place]
 
 
-def _cleaned(rows: pa.Table, got: pd.DataFrame, length: int, carried: list[str]) -> Iterable[pd.DataFrame]:
+def _cleaned(rows: pa.Table, got: pd.DataFrame, length: int, carried: list[str], as_text: bool) -> Iterable[pd.DataFrame]:
     docs, begins, ends = [], [], []
     runs = {r["part"]: r for r in got[got["kind"] == 2].to_dict("records")}
     for r in got[got["kind"] == 1].to_dict("records"):
@@ -356,9 +356,9 @@ def _cleaned(rows: pa.Table, got: pd.DataFrame, length: int, carried: list[str])
     doc, begin, end = doc[order], begin[order], end[order]
     offset = 0
     for part in B.parts_of(rows):
-        frame = part.select(carried).to_pandas()
+        frame = part.select(carried).to_pandas(integer_object_nulls=True)
         cuts = np.searchsorted(doc, offset + np.arange(part.num_rows + 1))
-        kept, size, spans = [], [], []
+        kept, size, removed, spans = [], [], [], []
         for k, text in enumerate(part.column("text").to_pylist()):
             raw = (text or "").encode()
             a, b = cuts[k], cuts[k + 1]
@@ -370,19 +370,21 @@ def _cleaned(rows: pa.Table, got: pd.DataFrame, length: int, carried: list[str])
                 gone = np.cumsum(edge[:-1]) > 0
                 left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 n = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            kept.append(left)
+            kept.append(left.decode(errors="ignore") if as_text else left)
             size.append(len(raw))
+            removed.append(len(raw) - len(left))
             spans.append(n)
         offset += part.num_rows
-        yield frame.assign(n_bytes=size, n_removed=np.array(size, np.int64) - np.array([len(x) for x in kept], np.int64), n_spans=spans, kept=kept)
+        yield frame.assign(n_bytes=size, n_removed=removed, n_spans=spans, kept=kept)
 
 
 _STRINGS = "sent binary, sizes binary, weights binary, strings binary, wanted binary, which binary, docs binary, starts binary"
 
 
-def deduplicate(documents: DataFrame, length: int = LENGTH, stride: int = STRIDE, gathered: int = GATHERED, carry: list[str] | None = None) -> DataFrame:
+def deduplicate(documents: DataFrame, length: int = LENGTH, stride: int = STRIDE, gathered: int = GATHERED, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """The carried columns of documents (all, if not said) with n_bytes, n_removed, n_spans and
-    kept, the bytes that remain. length is a multiple of stride."""
+    kept, the bytes that remain; as text, if asked, without the halves of characters at a cut.
+    length is a multiple of stride."""
     documents = documents.drop("n_bytes", "n_removed", "n_spans", "kept")
     carry = documents.columns if carry is None else carry
     blocks = B.pack(documents)
@@ -399,10 +401,6 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, stride: int = STRIDE
     told = told.union(crowd.select("block", "part", F.lit(3), "values", none, none))
     told = told.union(verdicts.join(crowd.select("block").distinct(), "block", "left_semi").select("block", "part", F.lit(0), "values", none, none))
     types = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
-    schema = ", ".join([*(f"{c} {types[c]}" for c in carry), "n_bytes long, n_removed long, n_spans long, kept binary"])
-    return B.meet(blocks, told, lambda rows, got: _cleaned(rows, got, length, carry), schema)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in carry), "n_bytes long, n_removed long, n_spans long", f"kept {'string' if as_text else 'binary'}"])
+    return B.meet(blocks, told, lambda rows, got: _cleaned(rows, got, length, carry, as_text), schema)
 
-
-def text_of(kept: str = "kept") -> F.Column:
-    """The remaining bytes as text; halves of characters at a cut are left out."""
-    return F.decode(F.col(kept), "UTF-8")
