@@ -1,25 +1,61 @@
-"""A corpus pipeline out of five operators; each stage works on all that the one before it kept."""
+"""A corpus pipeline out of five operators; each stage works on all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns
+of documents. run() writes what a stage returns as Parquet and reads it again for the next one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revtally.llm import byte_bpe, jaccard_trie, mixing, perplexity, suffix_dedup
+from revtally.llm.common import saved
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or lie outside of their language's band."""
+    return perplexity.judge(perplexity.score(docs)).filter("kept").select(*docs.columns)
+
 
-from revtally.llm import mixing
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document of each group of near-duplicates."""
+    return jaccard_trie.one_of_each(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of the texts; every document stays, with what is left of it."""
+    cleaned = suffix_dedup.deduplicate(docs, as_text=True).withColumn("text", F.col("kept"))
+    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes every document as often as the mix does."""
     return mixing.mixed(docs)
 
 
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts, and decodes the ids again for a digest of what they stand for."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, drop_text=True)
+    return byte_bpe.decode(encoded, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("suffix-array dedup", suffix_array_dedup),
     ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", byte_level_bpe),
 ]
 
+#: SQL can't express the model, the merge of transforms or the encoding; see tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
