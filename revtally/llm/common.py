@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parents[1]
+    path = Path(tempfile.mkdtemp(prefix="spark-llm-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in package.rglob("*.py"):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written below the shared folder and read back: cuts lineage, gives sizes to the planner."""
     spark = df.sparkSession

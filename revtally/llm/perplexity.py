@@ -148,9 +148,9 @@ def fit(counts: DataFrame, order: int) -> DataFrame:
         rows = levels[k].withColumn("_c", F.expr("substring(gram, 1, char_length(gram) - 1)")).withColumn("_k", F.least("n", F.lit(3)))
         n = {j: F.count_if(F.col("n") == j) for j in (1, 2, 3, 4)}
         seen = rows.groupBy("lang").agg(*[n[j].alias(f"_n{j}") for j in n])
-        y = F.col("_n1") / (F.col("_n1") + 2 * F.col("_n2"))
+        y = F.try_divide(F.col("_n1"), F.col("_n1") + 2 * F.col("_n2"))
         discount = [
-            F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(float(j)), j - (j + 1) * y * F.col(f"_n{j + 1}") / F.col(f"_n{j}"))), F.lit(j / 2)).alias(f"_d{j}")
+            F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(float(j)), j - F.try_divide((j + 1) * y * F.col(f"_n{j + 1}"), F.col(f"_n{j}")))), F.lit(j / 2)).alias(f"_d{j}")
             for j in (1, 2, 3)
         ]
         discounts = seen.select("lang", *[F.when((F.col("_n1") > 0) & (F.col(f"_n{j}") > 0), d).otherwise(F.lit(j / 2)).alias(f"_d{j}") for j, d in zip((1, 2, 3), discount)])

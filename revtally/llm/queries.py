@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup, toxicity, vector_graph
-from .common import saved, word_count
+from .common import saved, ship, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql:
             ORACLES[name] = sql
         return function
