@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 _NONE = np.int64(1 << 62)
 #: Longer pieces get a tree of their own; a memo of pieces is emptied beyond so many.
-LONG, MEMO = 64, 400_000
+LONG, MEMO = 64, 200_000
 #: Bytes of text encoded at a time.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 class Ranks:
