@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,6 +52,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all but the used columns under names that nothing else has, and a function that
+    brings back the columns of df, by their names and in their order."""
+    names = {c: c if c in used else f"_aside_{k}" for k, c in enumerate(df.columns)}
+    renamed = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

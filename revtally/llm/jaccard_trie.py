@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import hashing as H
-from .common import saved
+from .common import saved, set_aside
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -305,7 +305,8 @@ def join(documents: DataFrame, percent: int = PERCENT, carry: list[str] | None =
 
 def one_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """documents with one row of each component: one of those with its least id."""
-    joined = join(documents, percent, documents.columns)
+    rows, restored = set_aside(documents, ("doc_id", "text"))
+    joined = join(rows, percent, rows.columns)
     alone = joined.filter(F.col("class").isNull())
     first = joined.filter(F.col("class").isNotNull() & (F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    return alone.unionByName(first.dropDuplicates(["class"])).select(*documents.columns)
+    return restored(alone.unionByName(first.dropDuplicates(["class"])))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running, saved, word_count
+from .common import running, saved, set_aside, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -83,7 +83,6 @@ def sized(documents: DataFrame) -> DataFrame:
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of documents as often as the mix takes it, same columns."""
-    columns = documents.columns
-    plan = mix(sized(documents), **options)
-    copies = plan.filter(F.col("epochs") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
-    return copies.select(*columns)
+    rows, restored = set_aside(documents, ("doc_id", "text", "source"))
+    plan = mix(sized(rows), **options)
+    return restored(plan.filter(F.col("epochs") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))))

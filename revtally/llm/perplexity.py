@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import hashing as H
-from .common import saved
+from .common import saved, set_aside
 
 ORDER = 5
 #: Robust standard deviations.
@@ -294,6 +294,12 @@ def score(documents: DataFrame, order: int = ORDER, carry: list[str] | None = No
     return B.meet(blocks, answered, lambda rows, got: _scored(rows, got, order, carry), schema)
 
 
+def kept_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
+    """The documents that the rules and their language's band leave."""
+    rows, restored = set_aside(documents, ("doc_id", "text", "lang"))
+    return restored(judge(score(rows, order)).filter("kept"))
+
+
 def judge(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """scored with base_failed, perplexity, the language's band and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -317,7 +323,7 @@ def judge(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> Data
         F.col("_middle_of").alias("_lang"), "_middle", F.greatest(F.lit(LEAST), width * below).alias("_below"), F.greatest(F.lit(LEAST), width * above).alias("_above")
     )
     judged = rows.join(saved(band, "bands"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    judged = judged.withColumn("_low", F.col("_middle") - F.col("_below") / steadiness).withColumn("_high", F.col("_middle") + F.col("_above") / steadiness)
+    judged = judged.withColumn("_low", F.col("_middle") - F.try_divide(F.col("_below"), steadiness)).withColumn("_high", F.col("_middle") + F.try_divide(F.col("_above"), steadiness))
     inside = F.coalesce(F.col("_h").between(F.col("_low"), F.col("_high")), F.lit(False))
     return judged.select(
         *[c for c in rows.columns if c not in ("_h", "log_p", "n_predicted")],

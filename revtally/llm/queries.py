@@ -148,5 +148,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_classifier_chain")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    models, cut = toxicity.fit(rows, table(spark, sf_dir, "labels"))
-    return toxicity.score(rows, models, cut)
+    return toxicity.score(rows, toxicity.fit(rows, table(spark, sf_dir, "labels")))

@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
 Linked documents start in random shards. In every round each asks for the shard in which most of
-its senior neighbours are (more links, or as many and a smaller id); a shard accepts as many as its
-quota has room for. Seniority gives the moves a direction, so that neighbours don't swap places for
+its senior neighbours are (more links, or as many and a smaller id). Between two shards as many may
+move one way as the other, and more as far as a shard's quota has room. Seniority gives the moves a direction, so that neighbours don't swap places for
 ever. Afterwards documents without links and those beyond a quota fill the shards up, so that
 row counts are at most one apart.
 
@@ -13,7 +13,7 @@ empty result; a group larger than a shard is spread.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import running, saved, unit_hash
@@ -39,17 +39,26 @@ def propagate(ids: DataFrame, links: DataFrame, shards: int, quota: int, rounds:
     ours = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("degree").alias("_theirs")), "dst")
     senior = (F.col("_theirs") > F.col("degree")) | ((F.col("_theirs") == F.col("degree")) & (F.col("dst") < F.col("src")))
     upward = saved(ours.filter(senior).select("src", "dst"), "upward")
-    labels = saved(degree.select(F.col("src").alias("doc_id"), F.floor(unit_hash(F.lit("shard"), F.col("src")) * shards).cast("int").alias("shard")), "labels")
+    # those without a senior neighbour stay where they begin, so they begin evenly, by their links
+    roots = degree.join(upward.select("src").distinct(), "src", "left_anti").withColumn("_all", F.lit(0)).withColumn("_weight", F.col("degree") + 1)
+    total = roots.agg(F.sum("_weight")).first()[0] or 1
+    begun = running(roots, "_all", ["src"], F.col("_weight"), "_before").select(F.col("src").alias("doc_id"), F.floor(F.col("_before") * shards / total).cast("int").alias("shard"))
+    others = upward.select(F.col("src").alias("doc_id")).distinct()
+    labels = saved(begun.union(others.select("doc_id", F.floor(unit_hash(F.lit("shard"), F.col("doc_id")) * shards).cast("int"))), "labels")
     for turn in range(rounds):
         votes = upward.join(labels.select(F.col("doc_id").alias("dst"), "shard"), "dst").groupBy("src", "shard").agg(F.count(F.lit(1)).alias("_votes"))
         wish = votes.groupBy("src").agg(F.max(F.struct("_votes", (-F.col("shard")).alias("_shard"))).alias("_best")).select(F.col("src").alias("doc_id"), (-F.col("_best._shard")).cast("int").alias("_to"))
         asked = labels.join(wish, "doc_id", "left").withColumn("_moves", F.coalesce(F.col("_to") != F.col("shard"), F.lit(False)))
-        # one row per shard: who is there, who asks to come in
+        # per pair of shards: as many as want to go the other way may go, and more where there is room
         here = asked.groupBy("shard").agg(F.count(F.lit(1)).alias("_here")).withColumnRenamed("shard", "_to")
-        come = asked.filter("_moves").groupBy("_to").agg(F.count(F.lit(1)).alias("_come"))
-        odds = come.join(here, "_to", "left").select("_to", ((F.lit(quota) - F.coalesce("_here", F.lit(0))) / F.col("_come")).alias("_odds"))
+        flows = saved(asked.filter("_moves").groupBy("shard", "_to").agg(F.count(F.lit(1)).alias("_go")), "flows")
+        back = flows.select(F.col("_to").alias("shard"), F.col("shard").alias("_to"), F.col("_go").alias("_come"))
+        traded = flows.join(back, ["shard", "_to"], "left").withColumn("_traded", F.least("_go", F.coalesce("_come", F.lit(0))))
+        more = Window.partitionBy("_to")
+        room = F.greatest(F.lit(quota) - F.coalesce("_here", F.lit(0)), F.lit(0)) / F.greatest(F.sum(F.col("_go") - F.col("_traded")).over(more), F.lit(1))
+        odds = traded.join(here, "_to", "left").select("shard", "_to", ((F.col("_traded") + F.least(room, F.lit(1.0)) * (F.col("_go") - F.col("_traded"))) / F.col("_go")).alias("_odds"))
         accepted = F.col("_moves") & (unit_hash(F.lit(f"turn {turn}"), F.col("doc_id")) < F.coalesce("_odds", F.lit(0.0)))
-        moved = saved(asked.join(odds, "_to", "left").select("doc_id", F.when(accepted, F.col("_to")).otherwise(F.col("shard")).alias("shard"), accepted.alias("_moved")), "labels")
+        moved = saved(asked.join(odds, ["shard", "_to"], "left").select("doc_id", F.when(accepted, F.col("_to")).otherwise(F.col("shard")).alias("shard"), accepted.alias("_moved")), "labels")
         labels = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             break

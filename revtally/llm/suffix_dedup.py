@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import hashing as H
-from .common import saved
+from .common import saved, set_aside
 
 LENGTH, STRIDE = 200, 25
 #: Different stretches of an anchor beyond which its passages are counted one by one.
@@ -404,3 +404,11 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, stride: int = STRIDE
     schema = ", ".join([*(f"{c} {types[c]}" for c in carry), "n_bytes long, n_removed long, n_spans long", f"kept {'string' if as_text else 'binary'}"])
     return B.meet(blocks, told, lambda rows, got: _cleaned(rows, got, length, carry, as_text), schema)
 
+
+def cleaned_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """documents with what is left of their texts, and its length where there is n_chars."""
+    rows, restored = set_aside(documents, ("doc_id", "text", "n_chars"))
+    out = deduplicate(rows, length, as_text=True).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
+    return restored(out)

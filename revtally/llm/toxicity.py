@@ -35,6 +35,8 @@ CATEGORIES = ("insult", "veiled", "severe", "toxic")
 SAMPLE, FEATURES, BUCKETS, FOLDS, ORDER = 3000, 4096, 1 << 20, 5, 5
 #: Least number of positive rows that hold a feature.
 LEAST = 3
+#: The probability of the last category from which on a document is called toxic.
+CUT = 0.5
 
 
 def categories(toxic: Column, text: Column) -> dict[str, Column]:
@@ -127,7 +129,9 @@ def fit_one(text: np.ndarray, bucket: np.ndarray, y: np.ndarray, before: np.ndar
 def fit_chain(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> tuple[list[Linear], np.ndarray]:
     """The chain fitted on all rows, and the out-of-fold probabilities of each category."""
     rows, kinds = labels.shape
-    fold = np.arange(rows) % folds
+    # every fold gets its share of every combination of categories
+    fold = np.empty(rows, dtype=np.int64)
+    fold[np.lexsort(labels.T)] = np.arange(rows) % folds
     aside = np.zeros((rows, kinds))
     models = []
     for k in range(kinds):
@@ -145,18 +149,6 @@ def fit_chain(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray, folds: i
     return models, aside
 
 
-def best_cut(probability: np.ndarray, y: np.ndarray) -> float:
-    """The probability from which on calling a row positive gives the best F1; of those that do,
-    the one nearest to a half."""
-    order = np.argsort(-probability, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(y.sum(), 1))
-    ends = np.append(np.diff(probability[order]) != 0, True)
-    k = int(np.argmax(np.where(ends, f1, -1)))
-    nearby = probability[order[k + 1]] if k + 1 < len(y) else 0.0
-    return float(min(max(0.5, nearby + 1e-9), probability[order[k]]))
-
-
 def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, toxic): a bounded number of labelled documents, drawn by hash."""
     known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("boolean").alias("toxic"))
@@ -167,8 +159,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     return documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[Linear], float]:
-    """The chain and the cut for its last category."""
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear]:
+    """The chain, fitted on a bounded sample of the labelled rows."""
     rows = training_rows(documents, labels, sample)
     wanted = categories(F.col("toxic"), F.col("text"))
     rows = rows.select("doc_id", "text", *[c.cast("int").alias(k) for k, c in wanted.items()])
@@ -189,17 +181,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
         group = group.sort_values("doc_id", kind="stable")
         sets = [np.frombuffer(f, np.int32) for f in group["features"]]
         text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        models, aside = fit_chain(text, np.concatenate(sets).astype(np.int64), np.array(group["kinds"].tolist()))
-        cut = best_cut(aside[:, -1], np.array(group["kinds"].tolist())[:, -1])
-        return pd.DataFrame({"place": range(len(models)), "chosen": [m.chosen for m in models], "weights": [m.weights for m in models], "earlier": [m.earlier for m in models], "intercept": [m.intercept for m in models], "cut": cut})
+        models, _ = fit_chain(text, np.concatenate(sets).astype(np.int64), np.array(group["kinds"].tolist()))
+        return pd.DataFrame({"place": range(len(models)), "chosen": [m.chosen for m in models], "weights": [m.weights for m in models], "earlier": [m.earlier for m in models], "intercept": [m.intercept for m in models]})
 
-    schema = "place int, chosen array<long>, weights array<double>, earlier array<double>, intercept double, cut double"
+    schema = "place int, chosen array<long>, weights array<double>, earlier array<double>, intercept double"
     trained = featured.groupBy().applyInPandas(train, schema).orderBy("place").collect()  # bounded by FEATURES
-    models = [Linear(np.array(r["chosen"], np.int64), np.array(r["weights"]), np.array(r["earlier"]), r["intercept"]) for r in trained]
-    return models, (trained[0]["cut"] if trained else 1.0)
+    return [Linear(np.array(r["chosen"], np.int64), np.array(r["weights"]), np.array(r["earlier"]), r["intercept"]) for r in trained]
 
 
-def score(documents: DataFrame, models: list[Linear], cut: float) -> DataFrame:
+def score(documents: DataFrame, models: list[Linear], cut: float = CUT) -> DataFrame:
     """doc_id, p_<category> for every category, toxic: whether the last one reaches the cut."""
     id_type = dict(documents.dtypes)["doc_id"]
     schema = ", ".join([f"doc_id {id_type}", *(f"p_{c} double" for c in CATEGORIES), "toxic boolean"])
