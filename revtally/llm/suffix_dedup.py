@@ -45,6 +45,9 @@ from .common import saved, set_aside
 LENGTH, STRIDE = 200, 25
 #: Different stretches of an anchor beyond which its passages are counted one by one.
 GATHERED = 4096
+#: How many times finer than usual the ranges of anchors are cut; a merge takes some hundred bytes
+#: of memory for each byte it gets.
+FINER = 4
 _PLACE = np.uint64((1 << 28) - 1)
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: What a block is told of a stretch: alone; its anchor has too many; sent by another; to be
@@ -66,12 +69,11 @@ class Stretches:
         if not total:
             self.doc = self.start = self.count = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, np.uint64)
-            self.sums = np.zeros(1, np.uint64)
             return
-        self.sums = H.prefix_sums(self.data)
+        sums = H.prefix_sums(self.data)
         n = len(self.data)
         starts = np.arange(n - k + 1)
-        grams = H.spans(self.sums, starts, starts + k)
+        grams = H.spans(sums, starts, starts + k)
         keyed = (grams & ~_PLACE) | starts.astype(np.uint64)
         padded = np.full(-(-(len(keyed) + w) // w) * w, _NEVER)
         padded[: len(keyed)] = keyed
@@ -87,8 +89,9 @@ class Stretches:
         first = np.flatnonzero(new)
         self.doc, self.count = doc[first], np.diff(np.append(first, total))
         self.start = at[first]
-        self.anchor = grams[place[first]]
-        self.content = H.spans(self.sums, self.start, self.start + self.count + length - 1)
+        # the least hashes are small numbers: hash again, to spread them over all ranges
+        self.anchor = H.mixed(grams[place[first]] ^ np.uint64(0x5851F42D4C957F2D))
+        self.content = H.spans(sums, self.start, self.start + self.count + length - 1)
 
 
 def _rows(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +133,10 @@ class Told:
         self.start = whole([s.start - s.begins[s.doc] for s in self.pieces], np.int64)
         self.kept, self.place = _rows(self.anchor, self.content)
 
+    def string(self, i: int, length: int) -> np.ndarray:
+        """The bytes of a stretch."""
+        return self.pieces[self.piece[i]].data[self.at[i] : self.at[i] + self.count[i] + length - 1]
+
     def hear(self, verdict: np.ndarray) -> None:
         self.verdict = verdict[self.place]
         self.sends = self.kept[verdict >= SEND]
@@ -170,11 +177,12 @@ def _sent(rows: pa.Table, got: pd.DataFrame, length: int, parts: int) -> Iterabl
     sends = own.sends[np.argsort(part[own.sends], kind="stable")]
     repeated = own.repeated[np.argsort(part[own.sends], kind="stable")]
     send_cuts = np.searchsorted(part[sends], np.arange(parts + 1))
+    out = []
     for r in np.flatnonzero(np.diff(cuts)).tolist():
         mine = asks[cuts[r] : cuts[r + 1]]
         mail = sends[send_cuts[r] : send_cuts[r + 1]]
         wanted, which = np.unique(own.content[mine], return_inverse=True)
-        strings = [own.pieces[own.piece[i]].data[own.at[i] : own.at[i] + own.count[i] + length - 1] for i in mail.tolist()]
+        strings = [own.string(i, length) for i in mail.tolist()]
         row = {
             "sent": own.content[mail],
             "sizes": (own.count[mail] + length - 1).astype(np.uint32),
@@ -185,7 +193,8 @@ def _sent(rows: pa.Table, got: pd.DataFrame, length: int, parts: int) -> Iterabl
             "docs": own.doc[mine].astype(np.uint32),
             "starts": own.start[mine].astype(np.uint32),
         }
-        yield pd.DataFrame({"block": [got["block"].iloc[0]], "part": [r], **{k: [B.squeezed(v)] for k, v in row.items()}})
+        out.append((got["block"].iloc[0], r, *map(B.squeezed, row.values())))
+    yield pd.DataFrame(out, columns=["block", "part", *(c.split()[0] for c in _STRINGS.split(", "))])
 
 
 def stable_order(symbols: np.ndarray) -> np.ndarray:
@@ -214,47 +223,52 @@ def repeated_passages(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], l
     string of a weight over one."""
     data = np.concatenate([d for d, _, _ in shards])
     sizes = np.concatenate([s for _, s, _ in shards]).astype(np.int64)
-    weight = np.repeat(np.concatenate([w for _, _, w in shards]).astype(np.int64), sizes)
+    weight = np.repeat(np.concatenate([w for _, _, w in shards]), sizes)
     n, depth = len(data), length // stride
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     last = np.cumsum(sizes)
-    ends, firsts = np.repeat(last, sizes), np.repeat(last - sizes, sizes)
+    ends = np.repeat(last.astype(np.int32), sizes)
     whole = at + stride <= ends
-    runs = H.spans(H.prefix_sums(data), at[whole], at[whole] + stride)
+    places = np.flatnonzero(whole)
+    runs = H.spans(H.prefix_sums(data), places, places + stride)
     # symbols: 0 is none; what is left at the end of a string is like nothing else; then runs
     tails = n - len(runs)
-    symbol = np.empty(n, dtype=np.int64)
+    symbol = np.empty(n, dtype=np.int32)
     symbol[~whole] = 1 + np.arange(tails)
-    symbol[whole] = 1 + tails + np.unique(runs, return_inverse=True)[1]
+    symbol[places] = 1 + tails + np.unique(runs, return_inverse=True)[1]
+    del runs, places, whole
     after = np.where(at + stride < ends, at + stride, -1)
-    before = np.where(at - stride >= firsts, symbol[np.maximum(at - stride, 0)], 0)
+    back = at - stride
+    before = np.where(back >= np.repeat((last - sizes).astype(np.int32), sizes), symbol[np.maximum(back, 0)], 0)
+    del back
     # each shard's suffixes in order, and its transform
     bounds = np.cumsum([0, *(len(d) for d, _, _ in shards)])
-    order = np.empty(n, dtype=np.int64)
+    order = np.empty(n, dtype=np.int32)
     for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
         local = np.where(after[a:b] >= 0, after[a:b] - a, -1)
         order[a:b] = a + sorted_suffixes(np.unique(symbol[a:b], return_inverse=True)[1], local, depth)
     transform = before[order]
     leads = transform > 0
-    shard = np.repeat(np.arange(len(shards)), np.diff(bounds)).astype(np.uint16)
+    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), np.diff(bounds))
     # suffixes with nothing behind their symbol; the transform leads to all others
-    ending = np.flatnonzero(after[order] < 0)
-    place = np.arange(n)  # which suffix of which shard stands at each place of the interleave
-    interval = np.zeros(n, dtype=np.int64)
+    ending = np.flatnonzero(after[order] < 0).astype(np.int32)
+    end_symbol = symbol[order[ending]]
+    del symbol, before, after
+    place = np.arange(n, dtype=np.int32)  # which suffix of which shard stands at each place of the interleave
+    interval = np.zeros(n, dtype=np.int32)
     for turn in range(depth):
         read = leads[place]
         entries = np.concatenate([ending, place[read]])
-        symbols = np.concatenate([symbol[order[ending]], transform[place[read]]])
-        known = np.concatenate([np.full(len(ending), -1 if turn else 0), interval[read]])
+        symbols = np.concatenate([end_symbol, transform[place[read]]])
+        known = np.concatenate([np.full(len(ending), -1 if turn else 0, dtype=np.int32), interval[read]])
         dealt = stable_order(symbols)
         symbols, known = symbols[dealt], known[dealt]
         new = np.ones(n, dtype=bool)
         new[1:] = (symbols[1:] != symbols[:-1]) | (known[1:] != known[:-1])
-        interval = np.cumsum(new) - 1
+        interval = np.cumsum(new, dtype=np.int32) - np.int32(1)
         # the n-th place of a shard in the interleave holds the n-th suffix of the shard
         interleave = shard[entries][dealt]
-        place = np.empty(n, dtype=np.int64)
-        place[np.argsort(interleave, kind="stable")] = np.arange(n)
+        place[np.argsort(interleave, kind="stable")] = np.arange(n, dtype=np.int32)
     suffix = order[place]
     total = np.bincount(interval, weights=weight[suffix])
     repeated = np.zeros(n, dtype=bool)
@@ -305,7 +319,7 @@ def _crowded(own: Told, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     docs, starts, keys = [], [], []
     for i in np.flatnonzero(own.verdict == CROWDED).tolist():
         at = np.arange(own.count[i])
-        keys.append(H.spans(own.pieces[own.piece[i]].sums, own.at[i] + at, own.at[i] + at + length))
+        keys.append(H.spans(H.prefix_sums(own.string(i, length)), at, at + length))
         docs.append(np.full(len(at), own.doc[i]))
         starts.append(own.start[i] + at)
     if not keys:
@@ -388,7 +402,7 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, stride: int = STRIDE
     documents = documents.drop("n_bytes", "n_removed", "n_spans", "kept")
     carry = documents.columns if carry is None else carry
     blocks = B.pack(documents)
-    parts = B.ranges(blocks)
+    parts = FINER * B.ranges(blocks)
     asked = B.questions(blocks, lambda rows: _asked(rows, length), parts, "uint64")
     verdicts = saved(B.answers(asked, lambda d, p, w: _verdicts(d, p, w, gathered), "uint64"), "verdicts")
     sent = saved(B.meet(blocks, verdicts, lambda rows, got: _sent(rows, got, length, parts), f"block long, part int, {_STRINGS}"), "stretches")
