@@ -17,11 +17,16 @@ NOREPLY_LOOSE = "noreply.github.com"
 
 
 def _anyone(test: Callable[[Column], Column]) -> Column:
-    return test(F.col("author")) | F.exists(F.col("co_authors"), test)
+    return test(F.col("author")) | F.coalesce(F.exists(F.col("co_authors"), test), F.lit(False))
+
+
+def _sure(test: Column) -> Column:
+    """A test that is false, not unknown, where a name or an address is missing."""
+    return F.coalesce(test, F.lit(False))
 
 
 def _holds(text: Column, pattern: str) -> Column:
-    return F.contains(F.lower(text), F.lower(F.lit(pattern)))
+    return _sure(F.contains(F.lower(text), F.lower(F.lit(pattern))))
 
 
 def involves(pattern: str) -> Column:
@@ -39,13 +44,13 @@ def me_email(pattern: str) -> Column:
 
 def me_noreply(login: str) -> Column:
     """Author or a co-author whose no-reply address carries ``login``."""
-    return _anyone(lambda p: F.coalesce(noreply_login(p["email"]) == F.lower(F.lit(login)), F.lit(False)))
+    return _anyone(lambda p: _sure(noreply_login(p["email"]) == F.lower(F.lit(login))))
 
 
 def me_login(login: str, emails: Sequence[str] = ()) -> Column:
     """As :func:`me_noreply`, or by an e-mail known to belong to ``login``."""
     by_address = me_noreply(login)
-    return by_address | _anyone(lambda p: p["email"].isin(*emails)) if emails else by_address
+    return by_address | _anyone(lambda p: _sure(p["email"].isin(*emails))) if emails else by_address
 
 
 def committed_by(pattern: str) -> Column:

@@ -13,11 +13,13 @@ _PEOPLE = f"author {_PERSON}, co_authors ARRAY<{_PERSON}>"
 DEFINITIONS = {
     "me_name": (
         f"(p STRING, {_PEOPLE}) RETURNS BOOLEAN",
-        "contains(lower(author.name), lower(p)) OR exists(co_authors, x -> contains(lower(x.name), lower(p)))",
+        "coalesce(contains(lower(author.name), lower(p)), false) OR "
+        "coalesce(exists(co_authors, x -> coalesce(contains(lower(x.name), lower(p)), false)), false)",
     ),
     "me_email": (
         f"(p STRING, {_PEOPLE}) RETURNS BOOLEAN",
-        "contains(lower(author.email), lower(p)) OR exists(co_authors, x -> contains(lower(x.email), lower(p)))",
+        "coalesce(contains(lower(author.email), lower(p)), false) OR "
+        "coalesce(exists(co_authors, x -> coalesce(contains(lower(x.email), lower(p)), false)), false)",
     ),
     "noreply_login": (
         "(email STRING) RETURNS STRING",
@@ -27,13 +29,13 @@ DEFINITIONS = {
     "me_noreply": (
         f"(p STRING, {_PEOPLE}) RETURNS BOOLEAN",
         "coalesce(noreply_login(author.email) = lower(p), false) OR "
-        "exists(co_authors, x -> coalesce(regexp_replace(split_part(CASE WHEN endswith(lower(x.email), "
-        "'@users.noreply.github.com') THEN lower(x.email) END, '@', 1), '^[^+]*[+]', '') = lower(p), false))",
+        "coalesce(exists(co_authors, x -> coalesce(regexp_replace(split_part(CASE WHEN endswith(lower(x.email), "
+        "'@users.noreply.github.com') THEN lower(x.email) END, '@', 1), '^[^+]*[+]', '') = lower(p), false)), false)",
     ),
     "me_login": (
         f"(p STRING, known ARRAY<STRING>, {_PEOPLE}) RETURNS BOOLEAN",
-        "me_noreply(p, author, co_authors) OR array_contains(known, author.email) OR "
-        "exists(co_authors, x -> array_contains(known, x.email))",
+        "me_noreply(p, author, co_authors) OR coalesce(array_contains(known, author.email), false) OR "
+        "coalesce(exists(co_authors, x -> coalesce(array_contains(known, x.email), false)), false)",
     ),
     "involves": (
         f"(p STRING, {_PEOPLE}) RETURNS BOOLEAN",

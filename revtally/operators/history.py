@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtally.operators import filters
-from revtally.operators.bounds import LIMIT, few_rows
 
 
 @dataclass(frozen=True)
@@ -60,19 +59,6 @@ class History:
         """Drop lines of languages. Commits, buckets and people stay."""
         return replace(self, file_changes=filters.exclude_languages(self.file_changes, languages))
 
-    def prune(self, limit: int = LIMIT) -> History:
-        """Cut the file changes down to the commits that are left, when those are few.
-
-        Their ids become a literal filter that the scan can use, so a search for few commits
-        does not shuffle the lines of all. With more than ``limit`` commits nothing changes.
-        The commits are read once for this.
-        """
-        ids = few_rows(self.commits.select("commit_id"), limit)
-        if ids is None:
-            return self
-        kept = F.col("commit_id").isin([r["commit_id"] for r in ids])
-        return replace(self, file_changes=self.file_changes.filter(kept))
-
     def union(self, other: History) -> History:
         """Both histories; commit ids have to be distinct between them."""
         return History(

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revtally.functions.identity import me_login, me_noreply, noreply_login
+from revtally.functions.identity import me_noreply, noreply_login
 from revtally.functions.text import split_person
-from revtally.operators.bounds import LIMIT, few_rows
 from revtally.operators.buckets import commits_with_lines, languages_of_commits
 from revtally.operators.history import History
 from revtally.operators.lines import METRICS, sums
@@ -107,20 +106,14 @@ def _emails_of(identity: DataFrame, login: str) -> DataFrame:
     return identity.filter(F.lower("login") == login.lower()).select("email").distinct()
 
 
-def mark_login(
-    commits: DataFrame, identity: DataFrame, login: str, into: str = "is_login", limit: int = LIMIT
-) -> DataFrame:
+def mark_login(commits: DataFrame, identity: DataFrame, login: str, into: str = "is_login") -> DataFrame:
     """Add ``into``: whether the author or a co-author is ``login``.
 
     The identity table decides by exact e-mail; a no-reply address carrying the login counts
-    as well. The flag is a column, so it combines with the other identity predicates. The few
-    e-mails of one login become a literal set, which leaves the commits where they are; a
-    login with more than ``limit`` of them is matched by a join instead.
+    as well. The flag is a column and never NULL, so it combines with the other identity
+    predicates and can be negated. How the addresses are joined is Spark's choice by their size.
     """
     mine = _emails_of(identity, login)
-    known = few_rows(mine, limit)
-    if known is not None:
-        return commits.withColumn(into, me_login(login, [r["email"] for r in known]))
     found = (
         commits.select("commit_id", F.explode(roles()).alias("who"))
         .select("commit_id", F.col("who.email").alias("email"))

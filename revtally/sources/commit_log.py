@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtally.functions.text import co_authors, subject
-from revtally.operators.bounds import few_rows
 from revtally.operators.filters import with_defaults
 from revtally.operators.languages import with_language
 
@@ -67,6 +66,30 @@ def _flaw() -> Column:
     )
 
 
+def unquoted(path: Column) -> Column:
+    """A path as it is on disk; one with special characters is exported in quotes with escapes."""
+    safe = F.replace(F.replace(path, F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))
+    inner = F.substring(safe, F.lit(2), F.char_length(safe) - 2)
+
+    def decoded(text: Column) -> Column:
+        for escape, code in _ESCAPES.items():
+            text = F.replace(text, F.lit("\\" + escape), F.lit(code))
+        pieces = F.split(text, r"\\(?=[0-7]{3})")
+        numbers = F.transform(
+            F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))),
+            lambda x: F.concat(F.lit("%"), F.lpad(F.conv(F.substring(x, 1, 3), 8, 16), 2, "0"), F.substring(x, F.lit(4), F.char_length(x))),
+        )
+        return F.concat(pieces[0], F.array_join(numbers, ""))
+
+    # pairs of backslashes first, so that what follows one is not taken for an escape
+    plain = F.try_url_decode(F.array_join(F.transform(F.split(inner, r"\\\\"), decoded), "%5C"))
+    return F.when(path.rlike('(?s)^".*"$') & (F.char_length(path) > 1), F.coalesce(plain, path)).otherwise(path)
+
+
+# Letters of escapes in quoted paths, as URL codes.
+_ESCAPES = {'"': "%22", "a": "%07", "b": "%08", "t": "%09", "n": "%0A", "v": "%0B", "f": "%0C", "r": "%0D"}
+
+
 # What file changes repeat of their commit, so that windows can prune them at the scan.
 _COMMIT_KEYS = ("commit_id", "repo", "ts")
 
@@ -114,11 +137,11 @@ def read_commit_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 def read_numstat(records: DataFrame) -> DataFrame:
     """Per-file line counts of records with ``--numstat`` lines; binary files (``-``) have none."""
-    shape = r"^(\d+)\t(\d+)\t(.+)$"
+    shape = r"(?s)^(\d+)\t(\d+)\t(.+)\z"
     lines = _well_formed(records).select(*_COMMIT_KEYS, F.explode(F.split("body", "\n")).alias("line"))
     counted = lines.filter(F.col("line").rlike(shape)).select(
         *_COMMIT_KEYS,
-        F.regexp_extract("line", shape, 3).alias("path"),
+        unquoted(F.regexp_extract("line", shape, 3)).alias("path"),
         F.regexp_extract("line", shape, 1).cast("bigint").alias("additions"),
         F.regexp_extract("line", shape, 2).cast("bigint").alias("deletions"),
     )
@@ -133,53 +156,59 @@ def count_patch_lines(records: DataFrame) -> DataFrame:
     """
     parts = (
         _well_formed(records)
-        .select(*_COMMIT_KEYS, F.explode(F.split("body", r"(?m)^diff --(?:git |cc |combined )")).alias("part"))
-        .filter(F.col("part").rlike(r"(?m)^(index |--- |new file|deleted file|old mode|similarity )"))
+        .select(*_COMMIT_KEYS, F.explode(F.split("body", r"(?dm)^diff --(?:git |cc |combined )")).alias("part"))
+        .filter(F.col("part").rlike(r"(?dm)^(index |--- |new file|deleted file|old mode|similarity )"))
     )
     head = F.regexp_extract("part", r"(?s)^(.*?)(?=\n@@|\z)", 1)
     hunks = F.regexp_extract("part", r"(?s)\n(@@.*)\z", 1)
-    new = F.regexp_extract(head, r"(?m)^\+\+\+ (?:b/)?(.*?)\t?$", 1)
-    old = F.regexp_extract(head, r"(?m)^--- (?:a/)?(.*?)\t?$", 1)
-    named = F.regexp_extract(head, r"^a/.* b/(.*)", 1)
+
+    def side(mark: str, prefix: str) -> Column:
+        return F.regexp_replace(unquoted(F.regexp_extract(head, rf"(?dm)^{mark} (.*?)\t?$", 1)), f"^{prefix}/", "")
+
+    new, old = side(r"\+\+\+", "b"), side("---", "a")
+    named = F.regexp_replace(unquoted(F.regexp_extract(head, r'(?d)^(?:"a/.*" |a/.* )("b/.*"|b/.*)', 1)), "^b/", "")
     path = F.when((new != "") & (new != "/dev/null"), new).when((old != "") & (old != "/dev/null"), old)
-    binary = head.rlike(r"(?m)^(Binary files |GIT binary patch)")
+    binary = head.rlike(r"(?dm)^(Binary files |GIT binary patch)")
     counted = parts.filter(~binary).select(
         *_COMMIT_KEYS,
         F.coalesce(path, named).alias("path"),
-        F.regexp_count(hunks, F.lit(r"(?m)^\+")).cast("bigint").alias("additions"),
-        F.regexp_count(hunks, F.lit(r"(?m)^-")).cast("bigint").alias("deletions"),
+        F.regexp_count(hunks, F.lit(r"(?dm)^\+")).cast("bigint").alias("additions"),
+        F.regexp_count(hunks, F.lit(r"(?dm)^-")).cast("bigint").alias("deletions"),
     )
     return with_language(counted).select(*_COMMIT_KEYS, "path", "language", "additions", "deletions")
 
 
 def load_errors(records: DataFrame) -> DataFrame:
-    """``(path, error)`` of every log with a record that cannot be read, one row per log."""
-    return _parsed(records).groupBy("path").agg(F.min(_flaw()).alias("error")).filter("error IS NOT NULL")
+    """``(path, error, records)``: what is wrong in each log, and with how many of its records."""
+    flawed = _parsed(records).select("path", _flaw().alias("error")).filter("error IS NOT NULL")
+    return flawed.groupBy("path", "error").agg(F.count(F.lit(1)).alias("records"))
+
+
+def _readable(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[tuple[str, str, int]]]:
+    """The paths that exist, and the others with their errors; looked up singly only if need be."""
+    try:
+        spark.read.text(list(paths))
+        return list(paths), []
+    except AnalysisException as e:
+        if len(paths) == 1:
+            return [], [(paths[0], e.getCondition() or "unreadable", 0)]
+    half = len(paths) // 2
+    (found, missing), (more, gone) = _readable(spark, paths[:half]), _readable(spark, paths[half:])
+    return found + more, missing + gone
 
 
 def read_many(
-    spark: SparkSession, paths: Sequence[str], patches: bool = False
+    spark: SparkSession, paths: Sequence[str], patches: bool = False, whole_logs: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(commits, file_changes, load_errors)`` of many logs.
+    """``(commits, file_changes, errors)`` of many logs.
 
-    A log that cannot be read is reported and left out as a whole; the others are kept.
+    Records that cannot be read are reported and left out, the others of their log are kept;
+    with ``whole_logs`` a log with such a record is left out as a whole.
     """
-    found, missing = [], []
-    for path in paths:
-        try:
-            spark.read.text(path)
-            found.append(path)
-        except AnalysisException as e:
-            missing.append((path, e.getCondition() or "unreadable"))
+    found, missing = _readable(spark, paths) if paths else ([], [])
     records = read_records(spark, found) if found else spark.createDataFrame([], _RAW)
     bad = load_errors(records)
-    known = few_rows(bad)
-    if known is None:
-        good = records.join(bad.select("path"), "path", "left_anti")
-    else:
-        # A few bad logs become a literal filter: the records stay where they were read.
-        bad = spark.createDataFrame(known, "path STRING, error STRING")
-        good = records.filter(~F.col("path").isin([r["path"] for r in known])) if known else records
-    errors = bad.unionByName(spark.createDataFrame(missing, "path STRING, error STRING"))
+    errors = bad.unionByName(spark.createDataFrame(missing, "path STRING, error STRING, records BIGINT"))
+    good = records.join(bad.select("path"), "path", "left_anti") if whole_logs else records
     changes = count_patch_lines(good) if patches else read_numstat(good)
     return commits_of(good), changes, errors

@@ -1,64 +1,66 @@
-"""History as a stream: deduplicated refresh and running buckets.
+"""History as a stream: deduplicated refresh, and buckets of what it has written.
 
-Every function maps a streaming frame with a TIMESTAMP ``committed_at`` to another one. The
-sinks take a checkpoint location, which is the high-water mark of a restarted query.
+Nothing depends on the order in which commits arrive: a commit that comes a year late is stored and
+counted like any other. Each micro-batch is compared with the stored months that it touches, and
+buckets are aggregates of the stored history, so there is no watermark and no state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from revtally.functions.timeparts import month_label
-from revtally.operators.refresh import dedup_key
+from revtally.operators.refresh import append_history
 
 _TIME = "committed_at"
 
 
-def fresh_commits(arriving: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Each arriving commit once. A repeat within ``delay`` is dropped by state kept that long."""
-    return arriving.withWatermark(_TIME, delay).dropDuplicatesWithinWatermark(dedup_key(arriving))
+def refresh(arriving: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add each arriving commit to the history at ``path`` once, all available input at once.
 
+    The checkpoint is the mark of a restarted query. A micro-batch that is run again after a
+    failure finds its rows stored and adds nothing.
+    """
 
-def _buckets(arriving: DataFrame, delay: str, length: str, offset: str | None) -> DataFrame:
+    def add(batch: DataFrame, _: int) -> None:
+        append_history(batch.sparkSession, path, batch)
+
+    return arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The history that :func:`refresh` has written."""
+    return spark.read.parquet(path)
+
+
+def _buckets(history: DataFrame, **span: Column) -> DataFrame:
     a, d = F.col("additions"), F.col("deletions")
-    span = F.window(_TIME, length, length, offset) if offset else F.window(_TIME, length)
-    return (
-        arriving.withWatermark(_TIME, delay)
-        .groupBy("repo", span.alias("span"))
-        .agg(
-            F.sum(a).alias("adds"),
-            F.sum(d).alias("dels"),
-            F.count(F.lit(1)).alias("commits"),
-            F.sum(F.greatest(a, d)).alias("net_mods"),
-            F.sum(F.greatest(a - d, F.lit(0).cast("bigint"))).alias("net_adds"),
-        )
-        .select("repo", F.col("span.start").alias("start"), "adds", "dels", "commits", "net_mods", "net_adds")
+    return history.groupBy("repo", *[c.alias(name) for name, c in span.items()]).agg(
+        F.sum(a).alias("adds"),
+        F.sum(d).alias("dels"),
+        F.count(F.lit(1)).alias("commits"),
+        F.sum(F.greatest(a, d)).alias("net_mods"),
+        F.sum(F.greatest(a - d, F.lit(0).cast("bigint"))).alias("net_adds"),
     )
 
 
-def week_buckets(arriving: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Monday weeks. Windows count from 1970-01-01, a Thursday, hence the offset."""
-    return _buckets(arriving, delay, "7 days", "4 days").withColumnRenamed("start", "week_start")
+def week_buckets(history: DataFrame) -> DataFrame:
+    """Monday weeks."""
+    return _buckets(history, week_start=F.date_trunc("week", _TIME))
 
 
-def day_buckets(arriving: DataFrame, delay: str = "1 day") -> DataFrame:
-    return _buckets(arriving, delay, "1 day", None).withColumnRenamed("start", "day_start")
+def day_buckets(history: DataFrame) -> DataFrame:
+    return _buckets(history, day_start=F.date_trunc("day", _TIME))
+
+
+def month_buckets(history: DataFrame) -> DataFrame:
+    return _buckets(history, month=month_label(F.col(_TIME)))
 
 
 def month_totals(arriving: DataFrame) -> DataFrame:
-    """Running month totals for update mode: months have no fixed length and no window."""
+    """Running month totals for update mode; the state is a row per repository and month."""
     return arriving.groupBy("repo", month_label(F.col(_TIME)).alias("month")).agg(
         F.sum("additions").alias("adds"), F.sum("deletions").alias("dels"), F.count(F.lit(1)).alias("commits")
     )
-
-
-def append_to(stream: DataFrame, path: str, checkpoint: str, by_month: bool = True) -> StreamingQuery:
-    """Append a stream to a parquet table, all available input at once."""
-    if by_month:
-        stream = stream.withColumn("month", month_label(F.col(_TIME)))
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    if by_month:
-        writer = writer.partitionBy("month")
-    return writer.trigger(availableNow=True).start(path)

@@ -112,14 +112,6 @@ def test_windows_narrow_dated_file_changes_too(build):
     assert rows(both.in_repos(["b"]).file_changes) == []
 
 
-def test_pruning_keeps_results(five):
-    mine = five.where("author.name = 'Bob'")
-    assert rows(mine.prune().file_changes, "additions") == [(20,), (4,), (5,), (8,), (8,)]
-    assert mine.prune(limit=1).file_changes is mine.file_changes
-    assert rows(buckets.totals(mine.prune())) == rows(buckets.totals(mine))
-    assert five.where("false").prune().file_changes.count() == 0
-
-
 def test_union_of_histories(build):
     one = build([(1, "a", "A", [], "2024-01-01 00:00:00")], [(1, "x", "Rust", 1, 0)])
     two = build([(2, "b", "B", [], "2024-01-01 00:00:00")], [(2, "x", "Rust", 2, 0)])

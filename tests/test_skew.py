@@ -69,9 +69,8 @@ def test_hot_email_meets_the_identity_table(spark, skewed):
     identity = spark.range(3000).selectExpr("concat('a', cast(id AS STRING), '@x') AS email", "'dev' AS login")
     merged = people.author_totals(people.merged_activity(skewed, "remote", identity))
     assert rows(merged, "merge_key", "commits", "co_authored_commits") == [("dev", N, N)]
-    for limit in (10_000, 10):
-        marked = people.mark_login(skewed.commits, identity, "dev", limit=limit)
-        assert marked.filter("is_login").count() == N
+    marked = people.mark_login(skewed.commits, identity, "dev")
+    assert marked.filter("is_login").count() == N
 
 
 def test_hot_folder(spark, skewed):

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from revtally.functions.identity import involves, me_email, me_login, me_name
 from revtally.operators import buckets, people, remote
 from revtally.operators.history import History
 from revtally.sinks import documents
@@ -61,6 +62,8 @@ def test_bad_logs_are_reported_and_left_out(spark, log, tmp_path):
     bad.write_bytes((record(1, "Eve", 1705312800, "m", "1\t1\ta.py\n") + "\x1ejunk").encode())
     gone = str(tmp_path / "gone.log")
     commits, changes, errors = commit_log.read_many(spark, [log, str(bad), gone])
+    assert commits.count() == 4 and changes.count() == 5
+    commits, changes, _ = commit_log.read_many(spark, [log, str(bad), gone], whole_logs=True)
     assert commits.count() == 3 and changes.count() == 4
     found = {r["path"].split("/")[-1]: r["error"] for r in errors.collect()}
     assert set(found) == {"bad.log", "gone.log"} and found["bad.log"] == "incomplete record"
@@ -106,6 +109,23 @@ def test_patch_lines(spark, tmp_path):
     ]
 
 
+def test_patch_and_counts_with_odd_characters(spark, tmp_path):
+    for mark in ("\r", "\u0085", "\u2028"):
+        patch = f"diff --git a/x.py b/x.py\nindex 1..2\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n+a{mark}+b{mark}-c\n"
+        path = tmp_path / "odd.log"
+        path.write_bytes(record(1, "Alice", 1705312800, "m", patch).encode())
+        got = commit_log.count_patch_lines(commit_log.read_records(spark, str(path)))
+        assert rows(got, "path", "additions", "deletions") == [("x.py", 1, 0)]
+    quoted = 'diff --git "a/a\\"b\\\\n%+\\303\\251.py" "b/a\\"b\\\\n%+\\303\\251.py"\nindex 1..2\n'
+    sides = '--- "a/a\\"b\\\\n%+\\303\\251.py"\n+++ "b/a\\"b\\\\n%+\\303\\251.py"\n@@ -1 +1 @@\n+a\n'
+    path.write_bytes(record(1, "Alice", 1705312800, "m", quoted + sides).encode())
+    got = commit_log.count_patch_lines(commit_log.read_records(spark, str(path)))
+    assert rows(got, "path", "language", "additions") == [('a"b\\n%+é.py', "Python", 1)]
+    path.write_bytes(record(1, "Alice", 1705312800, "m", '1\t2\t"a\\tb.py"\n3\t4\tc\u2028d.py\n').encode())
+    got = commit_log.read_numstat(commit_log.read_records(spark, str(path)))
+    assert rows(got, "path", "language", "additions") == [("a\tb.py", "Python", 1), ("c\u2028d.py", "Python", 3)]
+
+
 # ---- pages --------------------------------------------------------------------------
 
 
@@ -263,26 +283,25 @@ def feed(spark, tmp_path, data):
 
 def test_stream_keeps_each_commit_once_over_restarts(spark, tmp_path):
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
-    first = [("r", "a", "2024-01-01T10:00:00Z", 1, 0), ("r", "a", "2024-01-01T10:00:00Z", 1, 0)]
-    second = [("r", "a", "2024-01-01T10:00:00Z", 1, 0), ("r", "b", "2024-01-02T10:00:00Z", 2, 0)]
+    first = [("r", "a", "2024-01-01T10:00:00Z", 1, 0), ("r", "a", "2024-01-01T10:00:00Z", 1, 0), ("r", "c", "2024-03-02T10:00:00Z", 3, 0)]
+    second = [("r", "a", "2024-01-01T10:00:00Z", 1, 0), ("r", "b", "2024-01-02T10:00:00Z", 2, 0), ("r", "late", "2022-12-30T10:00:00Z", 4, 1)]
     for batch in (first, second):
-        stream = live.fresh_commits(feed(spark, tmp_path, batch))
-        live.append_to(stream, out, progress).awaitTermination()
-    assert rows(spark.read.parquet(out), "oid", "month") == [("a", "2024-01"), ("b", "2024-01")]
+        live.refresh(feed(spark, tmp_path, batch), out, progress).awaitTermination()
+    stored = live.stored(spark, out)
+    assert rows(stored, "oid", "month") == [("a", "2024-01"), ("b", "2024-01"), ("c", "2024-03"), ("late", "2022-12")]
+    assert rows(live.month_buckets(stored), "month", "adds", "commits") == [("2022-12", 4, 1), ("2024-01", 3, 2), ("2024-03", 3, 1)]
 
 
-def test_stream_buckets_equal_batch_once_closed(spark, tmp_path):
+def test_stream_buckets_equal_batch(spark, tmp_path):
     data = [("r", str(i), f"2024-01-{1 + i:02d}T12:00:00Z", i, 1) for i in range(20)] + [("r", "z", "2024-03-01T00:00:00Z", 0, 0)]
-    arriving = feed(spark, tmp_path, data)
+    out = str(tmp_path / "out")
+    live.refresh(feed(spark, tmp_path, data), out, str(tmp_path / "progress")).awaitTermination()
     batch = spark.read.schema(ARRIVING).parquet(str(tmp_path / "in"))
-    for name, fn, column in (("w", live.week_buckets, "week_start"), ("d", live.day_buckets, "day_start")):
-        out = str(tmp_path / name)
-        live.append_to(fn(arriving), out, str(tmp_path / f"p{name}"), by_month=False).awaitTermination()
-        unit = "week" if name == "w" else "day"
-        want = batch.filter("oid <> 'z'").groupBy(F.date_trunc(unit, "committed_at").alias(column)).agg(
+    for unit, fn, column in (("week", live.week_buckets, "week_start"), ("day", live.day_buckets, "day_start")):
+        want = batch.groupBy(F.date_trunc(unit, "committed_at").alias(column)).agg(
             F.sum("additions").alias("adds"), F.count(F.lit(1)).alias("commits"), F.sum(F.greatest(F.col("additions") - F.col("deletions"), F.lit(0))).alias("n")
         )
-        assert rows(spark.read.parquet(out), column, "adds", "commits", "net_adds") == rows(want)
+        assert rows(fn(live.stored(spark, out)), column, "adds", "commits", "net_adds") == rows(want)
 
 
 def test_stream_months(spark, tmp_path):
@@ -296,9 +315,13 @@ def test_stream_months(spark, tmp_path):
 def test_people_of_a_login(spark, build):
     h = build([(1, "a", "Hugo", ["Charlie"], "2024-01-01 00:00:00"), (2, "a", "Eve", [], "2024-01-01 00:00:00")], [])
     identity = spark.createDataFrame([("charlie@test.com", "Dev"), ("x@test.com", "dev")], "email STRING, login STRING")
-    for limit in (10, 1, 0):
-        marked = people.mark_login(h.commits, identity, "dEV", limit=limit)
-        assert rows(marked, "commit_id", "is_login") == [(1, True), (2, False)]
+    marked = people.mark_login(h.commits, identity, "dEV")
+    assert rows(marked, "commit_id", "is_login") == [(1, True), (2, False)]
+    nobody = h.commits.withColumn("author", F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("email")))
+    marked = people.mark_login(nobody, identity, "dEV")
+    assert rows(marked.filter("NOT is_login"), "commit_id") == [(2,)]
+    for test in (me_name("hugo"), me_email("hugo"), involves("hugo"), me_login("dev", ["hugo@test.com"])):
+        assert rows(nobody.filter(~test), "commit_id") == [(1,), (2,)]
     joined = people.identity_join(people.distinct_people(h.commits), identity)
     assert rows(joined, "name", "login") == [("Charlie", "Dev"), ("Eve", None), ("Hugo", None)]
     assert people.distinct_emails(h.commits).count() == 3

@@ -173,9 +173,10 @@ KNOWN_SEGMENTS = ("MACHINERY", "FURNITURE")
 
 
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logins of customers by e-mail; two neighbours in number may share one."""
-    known = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin(*KNOWN_SEGMENTS))
-    return known.selectExpr(f"{email('c_custkey')} AS email", f"{padded('Dev', '(c_custkey div 2)')} AS login")
+    """Logins of all customers by e-mail, NULL where there is none; two neighbours may share one."""
+    segments = ", ".join(f"'{s}'" for s in KNOWN_SEGMENTS)
+    login = f"CASE WHEN c_mktsegment IN ({segments}) THEN {padded('Dev', '(c_custkey div 2)')} END"
+    return table(spark, sf_dir, "customer").selectExpr(f"{email('c_custkey')} AS email", f"{login} AS login")
 
 
 def supplier_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
