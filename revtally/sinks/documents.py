@@ -13,7 +13,6 @@ from revtally.operators.history import History
 from revtally.operators.lines import METRICS, sums
 from revtally.session import materialize
 
-PAGE_SIZE = 10_000
 _LANG = {
     "additions": "additions",
     "deletions": "deletions",
@@ -52,47 +51,9 @@ def _language_maps(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(_as_map("language", _lang_struct()).alias("by_language"))
 
 
-def _people_maps(totals: DataFrame, langs: DataFrame, keys: list[str], page_size: int) -> DataFrame:
-    """``by_author`` maps in pages: people are hashed over as many pages as their number asks for.
-
-    A bucket with up to ``page_size`` people has one page. No task gathers a whole bucket.
-    """
-    co = F.when(F.col("co_authored_files") > 0, F.struct(F.col("language").alias("k"), _lang_struct("co_authored_").alias("v")))
-    spoken = langs.groupBy(*keys, "person").agg(
-        _as_map("language", _lang_struct()).alias("languages"),
-        _map_of(co).alias("co_authored_languages"),
-    )
-    sizes = totals.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(page_size)).cast("int").alias("pages"))
-    if keys:
-        paged = totals.join(spoken, [*keys, "person"], "left").join(sizes, keys)
-    else:
-        paged = totals.join(spoken, "person", "left").withColumn("pages", sizes.scalar())
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(_LANG_ARRAY))
-    who = F.struct(
-        *_PERSON,
-        F.coalesce("languages", empty).alias("languages"),
-        F.coalesce("co_authored_languages", empty).alias("co_authored_languages"),
-    )
-    page = F.pmod(F.xxhash64("person"), F.col("pages").cast("bigint"))
-    return paged.groupBy(*keys, page.alias("page")).agg(_as_map("person", who).alias("by_author"))
-
-
 _LANG_ARRAY = "array<struct<" + ",".join(f"{n}:bigint" for n in _LANG.values()) + ">>"
 
 
-def _body(label: Column) -> Column:
-    return F.to_json(
-        F.struct(
-            label.alias("period_label"),
-            "page",
-            "by_language",
-            "by_author",
-            F.col("commits").alias("total_commits"),
-            *[F.col(m).alias(f"total_{m}") for m in METRICS if m != "files"],
-        )
-    )
-
-
 def _folded(keys: Sequence[str], *frames: DataFrame) -> DataFrame:
     """Frames that share ``keys`` and nothing else, one row per key: stacked and folded, not joined.
 
@@ -103,30 +64,52 @@ def _folded(keys: Sequence[str], *frames: DataFrame) -> DataFrame:
     return stacked.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
 
 
-def to_stats_json(h: History, key: Column, page_size: int = PAGE_SIZE) -> DataFrame:
-    """``(section, label, page, json)``: one document per bucket and one for the totals.
+def _people(langs: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per person of each bucket with counters and language maps."""
+    co = F.when(F.col("co_authored_files") > 0, F.struct(F.col("language").alias("k"), _lang_struct("co_authored_").alias("v")))
+    lines = langs.groupBy(*keys, "person").agg(
+        *[F.sum(F.col(m) - F.col(f"co_authored_{m}")).alias(m) for m in METRICS if m != "files"],
+        *sums(*(f"co_authored_{m}" for m in METRICS if m != "files")),
+        _as_map("language", _lang_struct()).alias("languages"),
+        _map_of(co).alias("co_authored_languages"),
+    )
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(_LANG_ARRAY))
+    return _folded([*keys, "person"], lines, commits).select(
+        *keys,
+        "person",
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in _PERSON],
+        *[F.coalesce(c, empty).alias(c) for c in ("languages", "co_authored_languages")],
+    )
+
 
-    Language maps are as long as there are languages. ``by_author`` may be long, so it comes
-    in pages: page 0 carries totals, languages and the first people, later pages only people.
+def to_stats_json(h: History, key: Column) -> DataFrame:
+    """``(section, label, kind, person, json)``: of every bucket, and of all of them, one ``head``
+    with totals and languages and one ``person`` row for each person. The shape is the same for
+    any number of people.
+
+    Lines are joined to commits once: figures of people and buckets are sums over the languages
+    of people, and commits are counted from commits alone.
     """
     keys = {"label": key}
-    per_bucket = (
-        materialize(people.bucket_people(h, keys), "people"),
-        materialize(people.bucket_person_languages(h, keys), "person-languages"),
-    )
-    overall = tuple(_merged_over(df, "label") for df in per_bucket)
+    langs = materialize(people.bucket_person_languages(h, keys), "person-languages")
+    commits = materialize(people.bucket_commits(h, keys), "person-commits")
     out = []
-    for section, names, (totals, langs) in (("periods", ["label"], per_bucket), ("totals", [], overall)):
-        # Every commit has one author, so the authored parts of the people add up to the bucket.
-        head = totals.groupBy(*names).agg(*sums("commits", *(m for m in METRICS if m != "files")))
-        authored = langs.groupBy(*names, "language").agg(
-            *[F.sum(F.col(m) - F.col(f"co_authored_{m}")).alias(m) for m in METRICS]
-        )
-        first = [f.withColumn("page", F.lit(0).cast("bigint")) for f in (head, _language_maps(authored, names))]
-        rows = _folded([*names, "page"], *first, _people_maps(totals, langs, names, page_size))
+    for section, names in (("periods", ["label"]), ("totals", [])):
+        if not names:
+            langs, commits = _merged_over(langs, "label"), _merged_over(commits, "label")
         label = F.col("label") if names else F.lit(buckets.TOTAL)
-        out.append(rows.select(F.lit(section).alias("section"), label.alias("label"), "page", _body(label).alias("json")))
-    return out[0].unionByName(out[1])
+        # Every commit has one author, so the authored parts of the people add up to the bucket.
+        authored = langs.groupBy(*names, "language").agg(*[F.sum(F.col(m) - F.col(f"co_authored_{m}")).alias(m) for m in METRICS])
+        lines = authored.groupBy(*names).agg(*sums(*(m for m in METRICS if m != "files")), _as_map("language", _lang_struct()).alias("by_language"))
+        head = _folded(names, commits.groupBy(*names).agg(*sums("commits")), lines)
+        totals = [F.coalesce(m, F.lit(0).cast("bigint")).alias(f"total_{m}") for m in METRICS if m != "files"]
+        body = F.to_json(F.struct(label.alias("period_label"), "by_language", F.col("commits").alias("total_commits"), *totals))
+        none = F.lit(None).cast("string")
+        out.append(head.select(F.lit(section).alias("section"), label.alias("label"), F.lit("head").alias("kind"), none.alias("person"), body.alias("json")))
+        who = _people(langs, commits, names)
+        fields = F.struct(label.alias("period_label"), F.col("person").alias("author"), *_PERSON, "languages", "co_authored_languages")
+        out.append(who.select(F.lit(section), label, F.lit("person"), "person", F.to_json(fields)))
+    return reduce(DataFrame.union, out)
 
 
 def _merged_over(rows: DataFrame, key: str) -> DataFrame:
@@ -135,16 +118,11 @@ def _merged_over(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(*kept).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in (key, *kept)])
 
 
-def to_scan_json(repos: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Repository list with its count as JSON lines; up to ``page_size`` roots make one line."""
-    count = repos.agg(F.count(F.lit(1)).alias("n")).scalar()
-    pages = F.greatest(F.ceil(count / F.lit(page_size)).cast("bigint"), F.lit(1).cast("bigint"))
-    paths = repos.select(F.pmod(F.xxhash64("path"), pages).alias("page"), "path")
-    # An empty list is a document too, so page 0 always has a row.
-    first = repos.sparkSession.range(1).select(F.col("id").alias("page"), F.lit(None).cast("string").alias("path"))
-    listed = paths.unionByName(first).groupBy("page").agg(F.sort_array(F.collect_list("path")).alias("repositories"))
-    body = F.to_json(F.struct("repositories", count.alias("count"), "page"))
-    return listed.select("page", body.alias("json"))
+def to_scan_json(repos: DataFrame) -> DataFrame:
+    """``(kind, path, json)``: a ``head`` with the number of repositories, a row for each of them."""
+    head = repos.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("count"))).alias("json"))
+    head = head.select(F.lit("head").alias("kind"), F.lit(None).cast("string").alias("path"), "json")
+    return head.union(repos.select(F.lit("repository"), "path", F.to_json(F.struct("path"))))
 
 
 def to_fetch_json(
@@ -221,9 +199,6 @@ def to_tree_json(nodes: DataFrame, languages: DataFrame) -> DataFrame:
     return rows.select("depth", "path", body.alias("json"))
 
 
-def write_report(df: DataFrame, path: str | None = None, fmt: str = "json", mode: str = "error") -> None:
-    """Write a result to ``path``, or show its first rows when there is none."""
-    if path is None:
-        df.show(truncate=False)
-    else:
-        df.write.mode(mode).format(fmt).save(path)
+def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "error") -> None:
+    """Write a whole result to ``path``."""
+    df.write.mode(mode).format(fmt).save(path)

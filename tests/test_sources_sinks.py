@@ -200,37 +200,24 @@ def test_user_page(spark, tmp_path):
 # ---- documents ----------------------------------------------------------------------
 
 
-def test_stats_document_holds_nested_maps(five):
+def test_stats_document_has_a_head_and_its_people(five):
     docs = documents.to_stats_json(five, buckets.level_key("period")).collect()
-    found = {(r["section"], r["label"]): json.loads(r["json"]) for r in docs}
-    assert len(docs) == 3
-    total = found["totals", "Total"]
+    found = {(r["section"], r["label"], r["person"]): json.loads(r["json"]) for r in docs}
+    assert len(docs) == 3 + 8 and all((r["kind"] == "head") == (r["person"] is None) for r in docs)
+    total = found["totals", "Total", None]
     assert total["total_commits"] == 5 and total["total_additions"] == 74
     assert total["by_language"]["Rust"] == {"additions": 24, "deletions": 5, "files_changed": 3, "net_modifications": 24, "net_additions": 19}
-    charlie = found["periods", "2024-01"]["by_author"]["Charlie"]
+    charlie = found["periods", "2024-01", "Charlie"]
     assert charlie["commits"] == 0 and charlie["co_authored_commits"] == 1
     assert charlie["languages"] == charlie["co_authored_languages"]
-    assert found["periods", "2024-02"]["by_author"]["Alice"]["co_authored_languages"] == {}
-
-
-def test_stats_document_pages(five):
-    docs = documents.to_stats_json(five, buckets.level_key("period"), page_size=1).collect()
-    seen = {}
-    for r in docs:
-        doc = json.loads(r["json"])
-        assert ("total_commits" in doc) == (r["page"] == 0)
-        seen.setdefault((r["section"], r["label"]), []).extend(doc.get("by_author", {}))
-    assert {k: sorted(v) for k, v in seen.items()} == {
-        ("periods", "2024-01"): ["Alice", "Bob", "Charlie"], ("periods", "2024-02"): ["Alice", "Bob"], ("totals", "Total"): ["Alice", "Bob", "Charlie"],
-    }
+    assert found["periods", "2024-02", "Alice"]["co_authored_languages"] == {}
 
 
 def test_scan_document(spark):
     repos = spark.createDataFrame([("/b",), ("/a",)], "path STRING")
-    doc = json.loads(documents.to_scan_json(repos).collect()[0]["json"])
-    assert doc["repositories"] == ["/a", "/b"] and doc["count"] == 2
-    empty = json.loads(documents.to_scan_json(repos.limit(0)).collect()[0]["json"])
-    assert empty["repositories"] == [] and empty["count"] == 0
+    docs = [(r["kind"], r["path"], json.loads(r["json"])) for r in documents.to_scan_json(repos).collect()]
+    assert sorted(docs, key=str) == [("head", None, {"count": 2}), ("repository", "/a", {"path": "/a"}), ("repository", "/b", {"path": "/b"})]
+    assert [json.loads(r["json"]) for r in documents.to_scan_json(repos.limit(0)).collect()] == [{"count": 0}]
 
 
 def test_fetch_document_round_trip(spark, tmp_path):

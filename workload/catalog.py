@@ -1099,10 +1099,10 @@ def formatted_report(spark, sf):
 
 # ---- documents ----------------------------------------------------------------------
 
+_HEAD_JSON = "STRUCT<total_commits: BIGINT, total_additions: BIGINT, by_language: MAP<STRING, STRUCT<additions: BIGINT>>>"
 _PERSON_JSON = (
-    "STRUCT<total_commits: BIGINT, total_additions: BIGINT, by_language: MAP<STRING, STRUCT<additions: BIGINT>>, "
-    "by_author: MAP<STRING, STRUCT<commits: BIGINT, co_authored_additions: BIGINT, "
-    "co_authored_languages: MAP<STRING, STRUCT<deletions: BIGINT>>>>>"
+    "STRUCT<author: STRING, commits: BIGINT, co_authored_additions: BIGINT, "
+    "co_authored_languages: MAP<STRING, STRUCT<deletions: BIGINT>>>"
 )
 
 
@@ -1116,13 +1116,12 @@ SELECT 'periods' AS section, month AS label, person, commits, co_adds, co_dels F
 UNION ALL SELECT 'totals', 'Total', person, CAST(sum(commits) AS BIGINT), CAST(sum(co_adds) AS BIGINT), CAST(sum(co_dels) AS BIGINT) FROM p GROUP BY person""",
 )
 def stats_document(spark, sf):
-    """People read back out of the nested documents, over several pages."""
-    docs = documents.to_stats_json(t.history(spark, sf), by_month()["label"], page_size=100)
-    parsed = docs.select("section", "label", F.from_json("json", _PERSON_JSON).alias("doc"))
-    rows = parsed.select("section", "label", F.explode("doc.by_author").alias("person", "s"))
+    """People read back out of their documents."""
+    docs = documents.to_stats_json(t.history(spark, sf), by_month()["label"]).filter("kind = 'person'")
+    rows = docs.select("section", "label", F.from_json("json", _PERSON_JSON).alias("s"))
     dels = F.aggregate(F.map_values("s.co_authored_languages"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["deletions"])
     return rows.select(
-        "section", "label", "person", "s.commits", F.col("s.co_authored_additions").alias("co_adds"), dels.alias("co_dels")
+        "section", "label", F.col("s.author").alias("person"), "s.commits", F.col("s.co_authored_additions").alias("co_adds"), dels.alias("co_dels")
     )
 
 
@@ -1133,8 +1132,8 @@ def stats_document(spark, sf):
     + " UNION ALL SELECT 'totals', 'Total', count(*), CAST(sum(a) AS BIGINT), CAST(sum(a) AS BIGINT) FROM c LEFT JOIN fc USING (commit_id)",
 )
 def stats_document_heads(spark, sf):
-    docs = documents.to_stats_json(t.history(spark, sf), by_month()["label"]).filter("page = 0")
-    parsed = docs.select("section", "label", F.from_json("json", _PERSON_JSON).alias("doc"))
+    docs = documents.to_stats_json(t.history(spark, sf), by_month()["label"]).filter("kind = 'head'")
+    parsed = docs.select("section", "label", F.from_json("json", _HEAD_JSON).alias("doc"))
     langs = F.aggregate(F.map_values("doc.by_language"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["additions"])
     return parsed.select(
         "section",
@@ -1150,9 +1149,10 @@ def stats_document_heads(spark, sf):
     "SELECT '/srv/n' || s_nationkey || '/s' || s_suppkey AS path, (SELECT count(*) FROM supplier) AS count FROM supplier",
 )
 def scan_document(spark, sf):
-    docs = documents.to_scan_json(paths.discover_repos(t.inventory(spark, sf)), page_size=30)
-    parsed = docs.select(F.from_json("json", "STRUCT<repositories: ARRAY<STRING>, count: BIGINT>").alias("d"))
-    return parsed.select(F.explode("d.repositories").alias("path"), "d.count")
+    docs = documents.to_scan_json(paths.discover_repos(t.inventory(spark, sf)))
+    parsed = docs.select("kind", F.from_json("json", "STRUCT<path: STRING, count: BIGINT>").alias("d"))
+    count = parsed.filter("kind = 'head'").select("d.count")
+    return parsed.filter("kind = 'repository'").select("d.path", count.scalar().alias("count"))
 
 
 @query(
