@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from revtally.functions.display import format_number
 from revtally.functions.timeparts import member_since
-from revtally.operators import remote
+from revtally.operators import filters, remote
 from revtally.operators.filters import readable_history
 from revtally.operators.languages import with_color
 from revtally.operators.lines import sums
@@ -83,12 +83,25 @@ def card_languages(language_rows: DataFrame, rows: int = 2) -> DataFrame:
     return with_color(top).orderBy(*language_order())
 
 
-def multi_window(history: DataFrame, repos: DataFrame, days: Sequence[float], now) -> tuple[DataFrame, DataFrame]:
+def multi_window(
+    history: DataFrame,
+    repos: DataFrame,
+    days: Sequence[float],
+    now,
+    counts: DataFrame | None = None,
+    exclude: Sequence[str] = (),
+    include_forks: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """Figures and top languages of several look-back windows, from one scan of the history.
 
-    A window without any contribution has no row. Commits are bucketed by week within each
-    window first, so languages are split on weekly sums as in a single-window query.
+    ``counts`` holds what contribution windows report, ``(window_days, owner, name, commits)``: a
+    repository with commits there is active even if none of them is in the history. Languages
+    in ``exclude`` give no lines. Private and contributed repositories take part when they are
+    in ``repos``. A window without any contribution has no row. Commits are bucketed by week
+    within each window first, so languages are split on weekly sums as in a single-window query.
     """
+    if not include_forks:
+        repos = filters.drop_forks(repos)
     spread = in_windows(readable_history(history), days, now, F.col("committed_at"))
     # The window joins the repository key: weeks cut by a window border stay apart.
     tagged = spread.withColumn("repo", F.struct("window_days", "repo"))
@@ -97,20 +110,29 @@ def multi_window(history: DataFrame, repos: DataFrame, days: Sequence[float], no
     )
     listed = repos.select(F.concat_ws("/", "owner", "name").alias("repo"), "languages")
     contributed = weekly.join(listed, "repo")
-    figures = contributed.groupBy("window_days", "repo").agg(
-        *[F.sum(c).alias(c) for c in ("commits", "adds", "dels", "net_adds")]
+    per_repo = contributed.groupBy("window_days", "repo").agg(*[F.sum(c).alias(c) for c in _FIGURES])
+    if counts is not None:
+        counted = counts.filter("commits > 0").select("window_days", F.concat_ws("/", "owner", "name").alias("repo"))
+        counted = counted.join(listed.select("repo"), "repo", "left_semi")
+        both = per_repo.unionByName(counted, allowMissingColumns=True)
+        per_repo = both.groupBy("window_days", "repo").agg(*[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in _FIGURES])
+    figures = per_repo.groupBy("window_days").agg(
+        F.count(F.lit(1)).alias("repos"), *[F.sum(c).alias(name) for c, name in _FIGURES.items()]
     )
-    figures = figures.groupBy("window_days").agg(
-        F.count(F.lit(1)).alias("repos"),
-        F.sum("commits").alias("commits"),
-        F.sum("adds").alias("additions"),
-        F.sum("dels").alias("deletions"),
-        F.sum("net_adds").alias("net_additions"),
-    )
-    languages = window_languages(remote.week_languages(contributed))
-    return figures, languages
+    split = remote.week_languages(contributed)
+    if exclude:
+        lines = [n for n in _FIGURES.values() if n != "commits"]
+        kept = filters.exclude_languages(split, exclude)
+        gone = split.join(kept.select("language").distinct(), "language", "left_anti")
+        gone = gone.groupBy("window_days").agg(*[F.sum(n).alias(f"_{n}") for n in lines])
+        figures = figures.join(gone, "window_days", "left").select(
+            "window_days", "repos", "commits", *[(F.col(n) - F.coalesce(F.col(f"_{n}"), F.lit(0).cast("bigint"))).alias(n) for n in lines]
+        )
+        split = kept
+    return figures, window_languages(split)
 
 
+_FIGURES = {"commits": "commits", "adds": "additions", "dels": "deletions", "net_adds": "net_additions"}
 _WEEK = ("repo", "week_start", "adds", "dels", "commits", "net_mods", "net_adds")
 
 

@@ -25,5 +25,6 @@ def in_windows(df: DataFrame, days: Sequence[float], now, on: Column) -> DataFra
             for d in days
         ]
     )
+    df = df.filter((on >= days_before(now, max(days))) & (on <= now))
     hit = F.filter(windows, lambda w: (on >= w["start"]) & (on <= now))
     return df.withColumn("window_days", F.explode(F.transform(hit, lambda w: F.ceil(w["days"]).cast("bigint"))))

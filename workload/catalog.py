@@ -1004,18 +1004,46 @@ wd AS (SELECT window_days, repo, date_trunc('week', moment) AS week, CAST(sum(a)
   WHERE repo IN (SELECT repo FROM rl) GROUP BY ALL)"""
 
 
-def _multi(spark, sf) -> tuple[DataFrame, DataFrame]:
-    return cards.multi_window(t.hosted_history(spark, sf), t.repos(spark, sf), [7, 14, 1], _NOW)
+_COUNTED = f"""{_WINDOWED},
+cw AS (SELECT DISTINCT window_days, repo FROM d, rl WHERE CAST(regexp_extract(repo, '([0-9]+)$', 1) AS INTEGER) % 2 = 0),
+active AS (SELECT window_days, count(*) AS repos FROM (SELECT window_days, repo FROM wd UNION SELECT window_days, repo FROM cw) GROUP BY 1),
+wsum AS (SELECT window_days, {o.sums(commits='commits', additions='adds', deletions='dels', net_additions='net_adds')} FROM wd GROUP BY 1)"""
+
+
+def _multi(spark, sf, *exclude: str) -> tuple[DataFrame, DataFrame]:
+    """Contribution windows report commits of the repositories with an even number."""
+    repos, days = t.repos(spark, sf), [7, 14, 1]
+    even = F.regexp_extract("name", "([0-9]+)$", 1).cast("int") % 2 == 0
+    windows = F.explode(F.array(*[F.lit(d).cast("bigint") for d in days])).alias("window_days")
+    counts = repos.select(windows, "owner", "name", F.when(even, F.lit(3)).otherwise(F.lit(0)).alias("commits"))
+    return cards.multi_window(t.hosted_history(spark, sf), repos, days, _NOW, counts, exclude)
 
 
 @query(
     "multi_window",
-    f"{_WINDOWED} SELECT window_days, count(DISTINCT repo) AS repos, {o.sums(commits='commits', additions='adds', deletions='dels', net_additions='net_adds')} FROM wd GROUP BY 1",
+    f"""{_COUNTED} SELECT window_days, repos, coalesce(commits, 0) AS commits, coalesce(additions, 0) AS additions,
+  coalesce(deletions, 0) AS deletions, coalesce(net_additions, 0) AS net_additions FROM active LEFT JOIN wsum USING (window_days)""",
 )
 def multi_window(spark, sf):
     return _multi(spark, sf)[0]
 
 
+_EXCLUDED = ("PROMO", "Other")
+
+
+@query(
+    "multi_window_excluded",
+    f"""{_COUNTED}, {o.apportioned('wd', 'window_days, repo, week', ('adds', 'dels', 'net_adds'))},
+gone AS (SELECT window_days, CAST(sum(adds) AS BIGINT) AS a, CAST(sum(dels) AS BIGINT) AS x, CAST(sum(net_adds) AS BIGINT) AS n
+  FROM split WHERE lower(language) IN ({", ".join(f"'{e.lower()}'" for e in _EXCLUDED)}) GROUP BY 1)
+SELECT window_days, repos, coalesce(commits, 0) AS commits, coalesce(additions, 0) - coalesce(a, 0) AS additions,
+  coalesce(deletions, 0) - coalesce(x, 0) AS deletions, coalesce(net_additions, 0) - coalesce(n, 0) AS net_additions
+FROM active LEFT JOIN wsum USING (window_days) LEFT JOIN gone USING (window_days)""",
+)
+def multi_window_excluded(spark, sf):
+    return _multi(spark, sf, *_EXCLUDED)[0]
+
+
 @query(
     "multi_window_languages",
     f"""{_WINDOWED}, {o.apportioned('wd', 'window_days, repo, week', ('adds', 'dels'))},
