@@ -9,91 +9,186 @@ from revtally.functions.text import ascii_lower
 
 # Languages by lower-case file extension.
 EXTENSIONS = {
+    "ABAP": "abap",
+    "ActionScript": "as",
     "Ada": "ada adb ads",
+    "Agda": "agda",
+    "Alloy": "als",
+    "APL": "apl aplf apls",
+    "Arduino C++": "ino",
+    "AsciiDoc": "adoc asciidoc",
+    "ASN.1": "asn1",
+    "ASP": "asa asp",
+    "ASP.NET": "asax ascx asmx aspx master sitemap webinfo",
     "Assembly": "asm",
+    "Astro": "astro",
+    "ATS": "dats hats sats atxt",
+    "Autoconf": "in",
+    "AutoHotKey": "ahk",
+    "Automake": "am",
     "AWK": "awk",
-    "Batch": "bat btm cmd",
+    "Ballerina": "bal",
     "BASH": "bash",
+    "Batch": "bat btm cmd",
+    "Bazel": "bzl bazel bzlmod",
+    "Bicep": "bicep bicepparam",
+    "BitBake": "bb bbclass bbappend inc",
+    "BrightScript": "brs",
     "C": "c ec pgc",
     "C Header": "h",
+    "C Shell": "csh",
+    "C#": "cs csx",
     "C++": "cc cpp cxx c++ pcc tpp",
     "C++ Header": "hh hpp hxx inl ipp",
-    "C#": "cs csx",
-    "C Shell": "csh",
+    "Cabal": "cabal",
+    "Cap'n Proto": "capnp",
+    "Ceylon": "ceylon",
     "Clojure": "clj",
     "ClojureScript": "cljs",
     "CMake": "cmake",
+    "COBOL": "cob cbl ccp cobol cpy",
     "CoffeeScript": "coffee cjsx",
+    "ColdFusion": "cfm",
+    "ColdFusion CFScript": "cfc",
+    "Common Lisp": "lisp lsp asd",
     "Crystal": "cr",
     "CSS": "css",
     "CUDA": "cu",
+    "CUE": "cue",
     "Cython": "pyx pxd pxi",
     "D": "d",
+    "DAML": "daml",
     "Dart": "dart",
+    "Device Tree": "dts dtsi",
+    "Dhall": "dhall",
     "Dockerfile": "dockerfile dockerignore",
+    "Edn": "edn",
     "Elixir": "ex exs",
     "Elm": "elm",
     "Emacs Lisp": "el",
     "Erlang": "erl hrl",
     "F#": "fs fsi fsx fsscript",
+    "Factor": "factor",
+    "Fennel": "fnl fnlm",
     "Fish": "fish",
+    "Forth": "4th forth frt fth f83 fb fpm e4 rx ft",
+    "FORTRAN Legacy": "f for ftn f77 pfo",
+    "FORTRAN Modern": "f03 f08 f90 f95 fpp",
+    "FreeMarker": "ftl ftlh ftlx",
+    "GDScript": "gd",
+    "Gherkin (Cucumber)": "feature",
+    "Gleam": "gleam",
     "GLSL": "vert tesc tese geom frag comp glsl",
     "Go": "go",
+    "Gradle": "gradle",
     "GraphQL": "gql graphql",
     "Groovy": "groovy grt gtpl gvy",
+    "Haml": "haml",
+    "Handlebars": "hbs handlebars",
     "Haskell": "hs",
+    "Haxe": "hx",
     "HCL": "hcl tf tfvars",
+    "HLSL": "hlsl",
     "HTML": "html htm",
+    "Idris": "idr lidr",
     "INI": "ini",
+    "Janet": "janet",
     "Java": "java",
     "JavaScript": "cjs js mjs",
+    "Jinja2": "j2 jinja",
     "JSON": "json",
+    "Jsonnet": "jsonnet libsonnet",
     "JSX": "jsx",
     "Julia": "jl",
     "Jupyter Notebooks": "ipynb",
     "Kotlin": "kt kts",
+    "Lean": "lean hlean",
     "LESS": "less",
+    "LLVM": "ll",
     "Lua": "lua luau",
+    "M4": "m4",
     "Makefile": "makefile mak mk",
+    "Mako": "mako mao",
     "Markdown": "md markdown",
+    "MDX": "mdx",
     "Meson": "build",
+    "MoonScript": "moon",
+    "MSBuild": "csproj vbproj fsproj props targets",
+    "Mustache": "mustache",
+    "Nextflow": "nextflow nf",
     "Nim": "nim",
     "Nix": "nix",
+    "Nushell": "nu",
     "Objective-C": "m",
     "Objective-C++": "mm",
     "OCaml": "ml mli re rei",
+    "Odin": "odin",
+    "OpenSCAD": "scad",
     "Org": "org",
     "Pascal": "pas",
     "Perl": "pl pm",
     "PHP": "php",
     "Plain Text": "text txt",
+    "Pony": "pony",
+    "PostCSS": "pcss sss",
     "PowerShell": "ps1 psm1 psd1 ps1xml cdxml pssc psc1",
+    "Prolog": "p pro",
     "Protocol Buffers": "proto",
+    "Pug": "pug",
+    "Puppet": "pp",
+    "PureScript": "purs",
     "Python": "py pyw pyi",
+    "QML": "qml",
     "R": "r",
     "Racket": "rkt scrbl",
+    "Rakefile": "rake",
+    "Razor": "cshtml razor",
+    "ReScript": "res resi",
     "ReStructuredText": "rst",
+    "RON": "ron",
     "Ruby": "rb",
     "Rust": "rs",
     "Sass": "sass scss",
     "Scala": "sc scala",
     "Scheme": "scm ss",
     "Shell": "sh",
+    "Slint": "slint",
+    "Smalltalk": "st",
+    "Snakemake": "smk rules",
     "Solidity": "sol",
     "SQL": "sql",
+    "Stan": "stan",
+    "Standard ML (SML)": "sml",
+    "Stylus": "styl",
     "Svelte": "svelte",
     "SVG": "svg",
     "Swift": "swift",
+    "SystemVerilog": "sv svh",
     "TCL": "tcl",
+    "Templ": "templ",
+    "Tera": "tera",
     "TeX": "tex sty",
+    "Thrift": "thrift",
     "TOML": "toml",
     "TSX": "tsx",
+    "Twig": "twig",
     "TypeScript": "ts mts cts",
+    "Typst": "typ",
+    "Vala": "vala",
+    "VBScript": "vbs",
+    "Velocity": "vm",
     "Verilog": "vg vh v",
     "VHDL": "vhd vhdl",
     "Vim Script": "vim",
+    "Visual Basic": "vb",
+    "Visual Studio Solution": "sln",
     "Vue": "vue",
+    "WebAssembly": "wat wast",
+    "WebGPU Shading Language": "wgsl",
+    "Wolfram": "nb wl",
+    "XAML": "xaml",
     "XML": "xml",
+    "XSL": "xsl xslt",
     "YAML": "yaml yml",
     "Zig": "zig",
     "Zsh": "zsh",
@@ -111,7 +206,6 @@ FILE_NAMES = {
 }
 
 DIMENSION = "kind STRING, key STRING, language STRING"
-_LIMIT = 100_000
 
 
 def language_dim(spark: SparkSession) -> DataFrame:

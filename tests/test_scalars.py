@@ -60,6 +60,8 @@ def test_language_of_path(spark):
         "src/main.rs": "Rust", "lib.py": "Python", "app.js": "JavaScript", "style.css": "CSS", "README.md": "Markdown",
         "Makefile": "Makefile", "src/lib/utils.rs": "Rust", "a/B.PY": "Python", "unknown.xyz": None, "plain": None,
         ".rs": None, "x.": None, "a.b/c": None, "CMakeLists.txt": "CMake",
+        "a.f90": "FORTRAN Modern", "build.gradle": "Gradle", "a.sv": "SystemVerilog", "a.thrift": "Thrift", "a.vb": "Visual Basic",
+        "a.lisp": "Common Lisp", "a.mdx": "MDX", "a.astro": "Astro", "a.m4": "M4", "a.adoc": "AsciiDoc", "a.pug": "Pug", "a.hbs": "Handlebars",
     }
     df = spark.createDataFrame([(p, 1) for p in known], "path STRING, n INT")
     assert dict(map(tuple, with_language(df).select("path", "language").collect())) == known
