@@ -12,8 +12,14 @@ from revtally.operators.remote import language_map
 MISSING = "response has no data"
 
 
-def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+#: A path to documents, or a frame whose column ``value`` holds their text.
+Pages = str | DataFrame
+
+
+def read_pages(spark: SparkSession, path: Pages, schema: str) -> DataFrame:
     """Documents read with a given schema, so nothing is inferred."""
+    if isinstance(path, DataFrame):
+        return path.select(F.from_json("value", schema).alias("page")).select("page.*")
     return spark.read.schema(schema).json(path)
 
 
@@ -61,7 +67,7 @@ def contribution_summary(data: DataFrame) -> DataFrame:
     return found.select(*[F.coalesce(c, F.lit(0).cast("bigint")).alias(n) for n, c in names.items()])
 
 
-def read_contributions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_contributions(spark: SparkSession, path: Pages) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(contributions, summary, errors)`` of contribution pages."""
     data, errors = split_responses(read_pages(spark, path, schemas.CONTRIBUTIONS_PAGE))
     return contributions(data), contribution_summary(data), errors
@@ -90,7 +96,7 @@ def history_rows(data: DataFrame) -> DataFrame:
     )
 
 
-def read_history_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_history_pages(spark: SparkSession, path: Pages) -> tuple[DataFrame, DataFrame]:
     data, errors = split_responses(read_pages(spark, path, schemas.HISTORY_PAGE))
     return history_rows(data), errors
 
@@ -109,7 +115,7 @@ def repo_rows(data: DataFrame, kind: str, include_forks: bool = False) -> DataFr
 
 
 def read_repo_pages(
-    spark: SparkSession, path: str, kind: str = "owned", include_forks: bool = False
+    spark: SparkSession, path: Pages, kind: str = "owned", include_forks: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """``(repos, errors)`` of owned or contributed repository pages."""
     data, errors = split_responses(read_pages(spark, path, _CONNECTIONS[kind][0]))
@@ -117,7 +123,7 @@ def read_repo_pages(
 
 
 def read_private_repos(
-    spark: SparkSession, path: str, user: str, include_forks: bool = False
+    spark: SparkSession, path: Pages, user: str, include_forks: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Private repositories of the token holder; pages of another holder than ``user`` do not count."""
     data, errors = split_responses(read_pages(spark, path, schemas.PRIVATE_PAGE))
@@ -125,7 +131,7 @@ def read_private_repos(
     return repo_rows(mine, "private", include_forks), errors
 
 
-def read_user(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_user(spark: SparkSession, path: Pages) -> tuple[DataFrame, DataFrame]:
     """``(user, errors)`` of a profile page; a page without a user is an error."""
     data, errors = split_responses(read_pages(spark, path, schemas.USER_PAGE))
     found = F.col("data.user").isNotNull()

@@ -15,7 +15,7 @@ from revtally.plans.fetch import fetch
 from revtally.plans.stats import stats
 from revtally.session import scratch_path, use_utc
 from revtally.sinks import documents
-from revtally.sources import commit_log, stats_json
+from revtally.sources import commit_log, pages, stats_json
 from revtally.streaming import live
 from workload import oracle as o
 from workload import tables as t
@@ -1295,6 +1295,175 @@ def patch_line_counts(spark, sf):
     return _log_months(commit_log.commits_of(records), commit_log.count_patch_lines(records))
 
 
+# ---- response pages -----------------------------------------------------------------
+
+
+def _key() -> Column:
+    return F.col("s_suppkey")
+
+
+def _node() -> Column:
+    return F.struct(
+        F.col("s_name").alias("name"),
+        (F.col("s_nationkey") == 3).alias("isFork"),
+        F.struct(F.lit("acme").alias("login")).alias("owner"),
+        F.struct(
+            F.array(
+                F.struct(_key().alias("size"), F.struct(F.lit("Go").alias("name")).alias("node")),
+                F.struct((_key() + 1).alias("size"), F.struct(F.lit("Go").alias("name")).alias("node")),
+                F.struct(F.lit(5).alias("size"), F.struct(F.lit("C").alias("name")).alias("node")),
+            ).alias("edges")
+        ).alias("languages"),
+    )
+
+
+def _inside(value: Column, *names: str) -> Column:
+    """The value as a nested field, the outermost name first."""
+    for name in reversed(names):
+        value = F.struct(value.alias(name))
+    return value
+
+
+def _connection(*names: str) -> Column:
+    return _inside(F.array(_node()), *names, "nodes")
+
+
+def _pages(spark, sf, **fields: Column) -> DataFrame:
+    """A response per supplier, as text."""
+    suppliers = t.table(spark, sf, "supplier")
+    return suppliers.select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value"))
+
+
+_PAGE_REPOS = (
+    "SELECT 'acme' AS owner, s_name AS name, s_nationkey = 3 AS is_fork, CAST(2 * s_suppkey + 1 AS BIGINT) AS go, CAST(5 AS BIGINT) AS c FROM supplier"
+)
+
+
+def _listed(repos: DataFrame) -> DataFrame:
+    return repos.select("owner", "name", "is_fork", F.col("languages")["Go"].alias("go"), F.col("languages")["C"].alias("c"))
+
+
+def _contribution_pages(spark, sf) -> DataFrame:
+    """Each repository in two windows."""
+    entry = F.struct(_node().alias("repository"), _inside(_key(), "totalCount").alias("contributions"))
+    body = F.struct(
+        F.col("s_nationkey").alias("totalPullRequestContributions"),
+        _key().alias("totalPullRequestReviewContributions"),
+        F.array(entry).alias("commitContributionsByRepository"),
+    )
+    windows = [
+        _pages(spark, sf, window_start=F.lit(f"{year}-01-01T00:00:00Z"), data=_inside(body, "user", "contributionsCollection"))
+        for year in (2023, 2024)
+    ]
+    return windows[0].union(windows[1])
+
+
+@query("pages_contributions", "SELECT lower('acme/' || s_name) AS repo_key, CAST(2 * s_suppkey AS BIGINT) AS commit_count FROM supplier")
+def pages_contributions(spark, sf):
+    found, _, _ = pages.read_contributions(spark, _contribution_pages(spark, sf))
+    return remote.merge_windows(found).select("repo_key", "commit_count")
+
+
+@query(
+    "pages_contribution_summary",
+    "SELECT CAST(2 * sum(s_nationkey) AS BIGINT) AS total_prs, CAST(2 * sum(s_suppkey) AS BIGINT) AS total_reviews, CAST(0 AS BIGINT) AS total_issues FROM supplier",
+)
+def pages_contribution_summary(spark, sf):
+    return remote.summary(pages.read_contributions(spark, _contribution_pages(spark, sf))[1])
+
+
+@query(
+    "pages_history",
+    """SELECT 'acme/' || s_name AS repo, CAST(s_suppkey + i AS VARCHAR) AS oid, '2024-01-0' || (i + 1) || 'T00:00:00Z' AS committed_date,
+  CAST(s_suppkey AS BIGINT) AS additions, CAST(s_nationkey AS BIGINT) AS deletions FROM supplier, range(2) r(i)""",
+)
+def pages_history(spark, sf):
+    """Answers are aliased along the list of repositories; one has no branch."""
+    nodes = F.array(
+        *[
+            F.struct(
+                (_key() + i).cast("string").alias("oid"),
+                _key().alias("additions"),
+                F.col("s_nationkey").alias("deletions"),
+                F.lit(f"2024-01-0{i + 1}T00:00:00Z").alias("committedDate"),
+            )
+            for i in (0, 1)
+        ]
+    )
+    answer = _inside(nodes, "defaultBranchRef", "target", "history", "nodes")
+    listed = F.array(F.lit("acme/none"), F.concat(F.lit("acme/"), "s_name"))
+    answers = F.create_map(F.lit("repo1"), answer, F.lit("repo0"), F.lit(None))
+    rows, _ = pages.read_history_pages(spark, _pages(spark, sf, repos=listed, data=answers))
+    return rows.drop("alias")
+
+
+@query("pages_owned", f"{_PAGE_REPOS} WHERE s_nationkey <> 3")
+def pages_owned(spark, sf):
+    return _listed(pages.read_repo_pages(spark, _pages(spark, sf, data=_connection("user", "repositories")))[0])
+
+
+@query("pages_contributed", _PAGE_REPOS)
+def pages_contributed(spark, sf):
+    found = _pages(spark, sf, data=_connection("user", "repositoriesContributedTo"))
+    return _listed(pages.read_repo_pages(spark, found, "contributed", include_forks=True)[0])
+
+
+@query("pages_private", f"{_PAGE_REPOS} WHERE s_nationkey <> 3 AND s_suppkey % 2 = 0")
+def pages_private(spark, sf):
+    """Half of the pages belong to another token holder."""
+    holder = F.when(_key() % 2 == 0, F.lit("Me")).otherwise(F.lit("You"))
+    viewer = F.struct(holder.alias("login"), _inside(F.array(_node()), "nodes").alias("repositories"))
+    return _listed(pages.read_private_repos(spark, _pages(spark, sf, data=_inside(viewer, "viewer")), "mE")[0])
+
+
+def _user() -> Column:
+    return F.when(
+        _key() % 5 != 0,
+        F.struct(_key().cast("string").alias("id"), F.col("s_name").alias("login"), _inside(_key(), "totalCount").alias("publicRepositories")),
+    )
+
+
+@query(
+    "pages_user",
+    "SELECT CAST(s_suppkey AS VARCHAR) AS node_id, s_name AS login, CAST(s_suppkey AS BIGINT) AS public_repos FROM supplier WHERE s_suppkey % 5 <> 0",
+)
+def pages_user(spark, sf):
+    found, _ = pages.read_user(spark, _pages(spark, sf, data=_inside(_user(), "user")))
+    return found.select("node_id", "login", "public_repos")
+
+
+@query(
+    "pages_errors",
+    """SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'x' || s_suppkey || '; y' WHEN s_suppkey % 3 = 1 THEN 'response has no data' ELSE 'user not found' END AS error,
+  count(*) AS pages FROM supplier WHERE s_suppkey % 3 <> 2 OR s_suppkey % 5 = 0 GROUP BY 1""",
+)
+def pages_errors(spark, sf):
+    """A third of the pages fails, a third has no data; some users do not exist."""
+    listed = F.array(F.struct(F.concat(F.lit("x"), _key().cast("string")).alias("message")), F.struct(F.lit("y").alias("message")))
+    data = F.when(_key() % 3 != 1, _inside(_user(), "user"))
+    _, errors = pages.read_user(spark, _pages(spark, sf, errors=F.when(_key() % 3 == 0, listed), data=data))
+    return errors.groupBy("error").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(
+    "bad_logs",
+    """SELECT CASE o_orderkey % 4 WHEN 1 THEN 'bad object id' WHEN 2 THEN 'incomplete record' ELSE 'bad commit time' END AS error,
+  count(*) AS records FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1""",
+)
+def bad_logs(spark, sf):
+    """Three of four records are flawed, each in its way; the others stay."""
+    key = F.col("commit_id")
+    commits = t.commits(spark, sf)
+    oid = F.when(key % 4 == 1, F.lit("zz")).otherwise(F.col("oid"))
+    seconds = F.when(key % 4 == 3, F.lit("noon")).otherwise(F.unix_timestamp("ts").cast("string"))
+    fields = F.concat_ws("\x1f", oid, "author.name", "author.email", "committer.name", "committer.email", seconds)
+    message = F.when(key % 4 == 2, F.lit("")).otherwise(F.concat(F.lit("\x1f"), "message", F.lit("\x1d\n")))
+    path = scratch_path(spark, "bad-log")
+    commits.select(F.concat(F.lit("\x1e"), fields, message).alias("value")).write.text(path)
+    _, _, errors = commit_log.read_many(spark, [path])
+    return errors.groupBy("error").agg(F.sum("records").alias("records"))
+
+
 # ---- streams ------------------------------------------------------------------------
 
 
