@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revtally.functions.timeparts import period_label
 from revtally.operators.history import History
-from revtally.operators.lines import METRICS, per_commit, per_commit_language, per_language, sums
+from revtally.operators.lines import METRICS, per_commit, per_commit_language, per_key, sums
 
 LEVELS = ("repo", "author", "period", "language")
 TOTAL = "Total"
@@ -59,21 +60,33 @@ def languages_of_commits(h: History, keys: dict[str, Column], *extra: str) -> Da
     return keyed(h, keys, *extra).join(per_commit_language(h.file_changes).hint("merge"), "commit_id")
 
 
+def _carried(h: History, keys: dict[str, Column]) -> bool:
+    """Whether file changes carry the keys themselves and describe the whole history."""
+    if h.narrowed:
+        return False
+    try:
+        h.file_changes.select(*keys.values())
+    except AnalysisException:
+        return False
+    return True
+
+
 def bucket_totals(h: History, keys: dict[str, Column]) -> DataFrame:
     """Commits and lines of every bucket."""
-    if not keys and not h.narrowed:
-        # Nothing ties lines to commits here, so two scans are added up without a join.
-        commits = h.commits.select(F.lit(1).cast("bigint").alias("commits"))
-        lines = per_language(h.file_changes).drop("language")
-        return commits.unionByName(lines, allowMissingColumns=True).agg(*sums("commits", *METRICS))
+    if _carried(h, keys):
+        # Nothing ties lines to commits here, so two aggregates are added up without a join.
+        own = [c.alias(k) for k, c in keys.items()]
+        commits = h.commits.groupBy(*own).agg(F.count(F.lit(1)).alias("commits"))
+        lines = per_key(h.file_changes, own)
+        return commits.unionByName(lines, allowMissingColumns=True).groupBy(*keys).agg(*sums("commits", *METRICS))
     rows = commits_with_lines(h, keys)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("commits"), *sums(*METRICS))
 
 
 def bucket_languages(h: History, keys: dict[str, Column]) -> DataFrame:
     """Lines of every bucket by language; ``files`` counts changed files, not distinct paths."""
-    if not keys and not h.narrowed:
-        return per_language(h.file_changes)
+    if _carried(h, keys):
+        return per_key(h.file_changes, [c.alias(k) for k, c in keys.items()], "language")
     return languages_of_commits(h, keys).groupBy(*keys, "language").agg(*sums(*METRICS))
 
 

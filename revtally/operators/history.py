@@ -17,8 +17,9 @@ class History:
 
     File changes may repeat the ``ts`` and ``repo`` of their commit. A window or repository
     filter then applies to both tables and prunes the larger one at its scan, before any
-    shuffle. ``narrowed`` says that some commits were filtered out, so that file changes on
-    their own no longer describe this history.
+    shuffle. ``narrowed`` says that some commits were filtered out and their lines were not, so
+    that file changes on their own no longer describe this history. Every file change belongs to
+    a commit of the history it was loaded with; sums over file changes rely on that.
     """
 
     commits: DataFrame
@@ -29,10 +30,10 @@ class History:
         return replace(self, commits=self.commits.filter(predicate), narrowed=True)
 
     def _narrow(self, column: str, keep: Callable[[DataFrame], DataFrame]) -> History:
-        changes = self.file_changes
-        if column in changes.columns:
-            changes = keep(changes)
-        return replace(self, commits=keep(self.commits), file_changes=changes, narrowed=True)
+        if column not in self.file_changes.columns:
+            return replace(self, commits=keep(self.commits), narrowed=True)
+        # both tables are cut alike, so lines on their own still describe this history
+        return replace(self, commits=keep(self.commits), file_changes=keep(self.file_changes))
 
     def between(self, since=None, until=None) -> History:
         if since is None and until is None:

@@ -46,6 +46,8 @@ def per_commit_language(file_changes: DataFrame) -> DataFrame:
     return _rows(file_changes, "commit_id", "language")
 
 
-def per_language(file_changes: DataFrame) -> DataFrame:
-    """Language sums with no regard to commits: no join and one small shuffle."""
-    return _rows(file_changes, "language")
+def per_key(file_changes: DataFrame, keys: list[Column], *more: str) -> DataFrame:
+    """Sums by keys that file changes carry themselves, with no regard to commits."""
+    rows = with_net(file_changes.select(*keys, *[labelled(F.col(c)).alias(c) for c in more], "additions", "deletions"))
+    names = [c for c in rows.columns if c not in METRICS]
+    return rows.groupBy(*names).agg(*sums(*METRICS[:4]), F.count(F.lit(1)).alias("files"))

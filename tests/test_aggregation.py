@@ -260,3 +260,17 @@ def test_bucketed_tables_join_without_shuffle(spark, five):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE tallied_commits")
         spark.sql("DROP TABLE tallied_file_changes")
+
+
+def test_dated_file_changes_need_no_join(five):
+    dated = five.file_changes.join(five.commits.select("commit_id", "ts", "repo"), "commit_id")
+    both = type(five)(five.commits, dated)
+    for h in (both, both.between("2024-01-16", "2024-01-31"), both.in_repos(["demo"])):
+        plain = type(five)(h.commits, five.file_changes, narrowed=True)
+        for found in (buckets.by_period, buckets.by_repo):
+            assert rows(found(h)) == rows(found(plain))
+        by_month = {"label": buckets.level_key("period")}
+        assert rows(buckets.bucket_languages(h, by_month)) == rows(buckets.bucket_languages(plain, by_month))
+    plan = buckets.by_period(type(five)(five.commits.limit(5), dated.limit(99)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the one that made the dated rows
+    assert rows(buckets.by_author(both)) == rows(buckets.by_author(five))
