@@ -246,7 +246,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", drop_
                 columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes)]
                 if round_trip:
                     token = encoder.ranks.token.__getitem__
-                    columns.append(pa.array([b"".join(map(token, x.tolist())) for x in np.split(ids, offsets[1:-1])], pa.binary()))
+                    columns.append(pa.array([b"".join(map(token, x.tolist())) for x in np.split(ids, offsets[1:-1])[: b - a]], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
