@@ -1295,6 +1295,62 @@ def patch_line_counts(spark, sf):
     return _log_months(commit_log.commits_of(records), commit_log.count_patch_lines(records))
 
 
+# ---- orders made visible ------------------------------------------------------------
+
+
+def _position_sql(of: str, order: str, *columns: str) -> str:
+    """Rows of another query's SQL with their place in an order."""
+    return f"SELECT {', '.join(columns)}, row_number() OVER (ORDER BY {order}) AS number FROM ({ORACLES[of]})"
+
+
+@query("remote_repo_positions", _position_sql("remote_by_repo", "additions DESC, label", "label", "additions"))
+def remote_repo_positions(spark, sf):
+    rows = remote.remote_by_repo(_contributed(spark, sf)).select("label", "additions")
+    return ranking.numbered(rows, ranking.remote_repo_order())
+
+
+@query("owned_repo_positions", _position_sql("owned_repos", "lower(repo)", "repo"))
+def owned_repo_positions(spark, sf):
+    number = F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
+    rows = t.repos(spark, sf).withColumn("owner", F.when(number % 2 == 0, F.lit("ACME")).otherwise(F.lit("other")))
+    mine = filters.owned_by(filters.drop_forks(rows), "Acme").select("owner", "name")
+    placed = ranking.numbered(mine, ranking.repo_order())
+    return placed.select(F.concat_ws("/", "owner", "name").alias("repo"), "number")
+
+
+@query("week_positions", _position_sql("weekly_buckets", "repo, week_start", "repo", "week_start", "adds"))
+def week_positions(spark, sf):
+    rows = remote.weekly_buckets(t.hosted_history(spark, sf)).select("repo", "week_start", "adds")
+    return ranking.numbered(rows, ranking.weeks_in_order()).withColumn("week_start", day("week_start"))
+
+
+@query("language_churn_positions", _position_sql("language_totals", "additions + deletions DESC, language", "language"))
+def language_churn_positions(spark, sf):
+    rows = buckets.bucket_languages(t.history(spark, sf), {})
+    return ranking.numbered(rows, ranking.churn_order()).select("language", "number")
+
+
+@query("commits_oldest_first", "SELECT o_orderkey AS commit_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS number FROM orders")
+def commits_oldest_first(spark, sf):
+    return ranking.numbered(t.commits(spark, sf).select("commit_id", "ts"), ranking.oldest_first()).drop("ts")
+
+
+@query(
+    "author_positions_unmerged",
+    _merged_sql("none") + " SELECT merge_key, adds, row_number() OVER (ORDER BY adds DESC, merge_key) AS number FROM heads",
+)
+def author_positions_unmerged(spark, sf):
+    """People as recorded, by lines added in any role."""
+    totals = people.author_totals(people.merged_activity(t.history(spark, sf), "none"))
+    placed = ranking.numbered(totals, ranking.author_order("additions", "merge_key"))
+    return placed.select("merge_key", (F.col("additions") + F.col("co_authored_additions")).alias("adds"), "number")
+
+
+@query("active_repos", "SELECT count(DISTINCT p_brand) AS active_repos FROM part")
+def active_repos(spark, sf):
+    return remote.active_repos(_contributed(spark, sf).select("repo").distinct())
+
+
 # ---- response pages -----------------------------------------------------------------
 
 
