@@ -5,7 +5,7 @@ also gets the probabilities of the categories before it. For training these come
 haven't seen the row (out of fold), so that later models learn how far earlier ones can be trusted;
 for scoring they come from the models fitted on all training rows.
 
-Training uses at most about `SAMPLE` labelled rows of either class, drawn by hash; all documents are
+Training uses at most about `SAMPLE` toxic labelled rows and twice as many others, drawn by hash; all documents are
 scored, over their whole texts. What a model keeps is bounded by `FEATURES`, so that it can be sent
 to every task.
 
@@ -32,9 +32,11 @@ from .perplexity import ngrams
 #: Words by which toxic rows are told apart into categories.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 CATEGORIES = ("insult", "veiled", "severe", "toxic")
-SAMPLE, FEATURES, BUCKETS, FOLDS, ORDER = 3000, 4096, 1 << 20, 5, 5
+SAMPLE, FEATURES, BUCKETS, FOLDS, ORDER = 1500, 4096, 1 << 20, 5, 5
 #: Least number of positive rows that hold a feature.
 LEAST = 3
+#: How many times more often toxic rows must hold a feature for it to be looked at in training.
+SCREEN = 1.25
 #: The probability of the last category from which on a document is called toxic.
 CUT = 0.5
 
@@ -149,6 +151,18 @@ def fit_chain(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray, folds: i
     return models, aside
 
 
+def screened(sets: list[np.ndarray], positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) pairs of the features that positive rows hold more often than others."""
+    held = np.zeros((2, BUCKETS), dtype=np.int32)
+    for own, y in zip(sets, positive.tolist()):
+        held[int(y), own] += 1
+    rows = positive.sum(), len(sets) - positive.sum()
+    useful = (held[1] >= LEAST) & ((held[1] + 0.5) / (rows[0] + 1) > SCREEN * (held[0] + 0.5) / (rows[1] + 1))
+    sets = [own[useful[own]] for own in sets]
+    text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return text, np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, toxic): a bounded number of labelled documents, drawn by hash."""
     known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("boolean").alias("toxic"))
@@ -179,9 +193,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[L
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id", kind="stable")
-        sets = [np.frombuffer(f, np.int32) for f in group["features"]]
-        text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        models, _ = fit_chain(text, np.concatenate(sets).astype(np.int64), np.array(group["kinds"].tolist()))
+        labels = np.array(group["kinds"].tolist())
+        text, bucket = screened([np.frombuffer(f, np.int32) for f in group["features"]], labels[:, -1] > 0)
+        models, _ = fit_chain(text, bucket, labels)
         return pd.DataFrame({"place": range(len(models)), "chosen": [m.chosen for m in models], "weights": [m.weights for m in models], "earlier": [m.earlier for m in models], "intercept": [m.intercept for m in models]})
 
     schema = "place int, chosen array<long>, weights array<double>, earlier array<double>, intercept double"
