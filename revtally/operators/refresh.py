@@ -62,12 +62,12 @@ def append_marks(path: str, plan: DataFrame, until) -> None:
     advance_marks(plan, until).write.mode("append").parquet(path)
 
 
-def append_history(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Add the rows of ``new`` that the table at ``path`` lacks.
+def append_history(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Add the rows of ``new`` that the table at ``path`` lacks; returns those with unreadable dates.
 
     The table is partitioned by month and only appended to, so a refresh costs what is new:
     the anti join reads the months that occur in ``new`` and no others. Running it again
-    after a failure adds nothing twice. Rows with unreadable dates are not history.
+    after a failure adds nothing twice.
     """
     at = committed_at(F.col("committed_date"))
     fresh = dedup_history(new.filter(at.isNotNull())).withColumn("month", month_label(at))
@@ -77,8 +77,10 @@ def append_history(spark: SparkSession, path: str, new: DataFrame) -> None:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
-        months = [r["month"] for r in fresh.select("month").distinct().collect()]  # calendar-bounded
+        # the rows as they come, before they are deduplicated; calendar-bounded
+        months = [r["month"] for r in new.filter(at.isNotNull()).select(month_label(at).alias("month")).distinct().collect()]
         old = old.filter(F.col("month").isin(months))
         same = [fresh[c].eqNullSafe(old[c]) for c in (*dedup_key(new), "month")]
         fresh = fresh.join(old, reduce(Column.__and__, same), "left_anti")
     fresh.select(*new.columns, "month").write.mode("append").partitionBy("month").parquet(path)
+    return new.filter(at.isNull())
