@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import new_path
 
 #: Bytes of text in a block, and of it worked on at a time.
 BLOCK, PART = 16 << 20, 1 << 20
@@ -89,7 +89,7 @@ def pack(df: DataFrame, text_col: str = "text") -> DataFrame:
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # payloads are compressed already
-    packed.write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "none").bucketBy(buckets, "block").saveAsTable(name)
+    packed.write.option("path", new_path(spark, name)).option("compression", "none").bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)
 
 
