@@ -1,39 +1,67 @@
 """A corpus pipeline out of five operators; each stage works on all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns
-of documents. run() writes what a stage returns as Parquet and reads it again for the next one.
+of documents. What a stage returns is written as Parquet and read again for the next one, as run()
+does; so a stage begins with removing the intermediate tables of the one before it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtally.llm import byte_bpe, jaccard_trie, mixing, perplexity, suffix_dedup
-from revtally.llm.common import saved, ship
+from revtally.llm.common import collecting, remove, saved, ship
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+_left: list[str] = []
+
+
+def staged(function: Stage) -> Stage:
+    """Removes what the stage before has left, and notes what this one leaves."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left)
+        with collecting() as made:
+            out = function(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
 
 
+@staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or lie outside of their language's band."""
     return perplexity.kept_documents(docs)
 
 
+@staged
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one document of each group of near-duplicates."""
     return jaccard_trie.one_of_each(docs)
 
 
+@staged
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; every document stays, with what is left of it."""
     return suffix_dedup.cleaned_documents(docs)
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes every document as often as the mix does."""
     return mixing.mixed(docs)
 
 
+@staged
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts, and decodes the ids again for a digest of what they stand for."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
