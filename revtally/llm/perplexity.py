@@ -4,13 +4,23 @@ The model is a modified Kneser-Ney model over the symbols of words (code points
 marks), one per language. Spark counts the n-grams of all documents; the probabilities end up in
 sorted arrays of hashes, one per range of the hash space. Blocks of documents ask these ranges for
 the n-grams they hold and score their words with the answers, so the model may be of any size: it
-is never in one place. A document's perplexity is that of its words; documents outside of their
-language's band are rejected, as are those failing the base rules.
+is never in one place. A document's perplexity is that of its words.
 
-The band reaches from `below` to `above` robust standard deviations around the median of the log
-perplexities of all documents of the language that meet the base rules; for a short text, whose
+A second model of the same kind, per language, holds the joins of words: the last symbols of a word,
+a blank, and the first symbols of the next word, which it predicts. So n-grams run over word bounds.
+
+Four measures are held against bands, and a document outside of any is rejected, as are those
+failing the base rules: the perplexity per symbol; per symbol and per word without the document's own
+counts; per join without the document's own counts. Per symbol, predictable junk hides among many
+symbols; per word it doesn't. Own counts are taken out of an n-gram and of its context, not out of the
+lower orders, which count distinct symbols.
+
+A band reaches from `below` to `above` robust standard deviations around the median of the measure's
+logarithm over all documents of the language that meet the base rules; for a short text, whose
 perplexity varies more, the band is wider. Median and deviation come from an exact count of
-documents per ten-thousandth, which is the same at every size.
+documents per ten-thousandth, which is the same at every size. `low` and `high` are the tightest
+limits of the four, each moved by how far the measure is from the perplexity per symbol, so that
+the perplexity lies between them if all measures lie in their bands.
 
 Defined results: a null text has no words and fails the base rules; a null language is a language
 of its own; a document without words has no perplexity (null); repeated rows count repeatedly; an
@@ -20,7 +30,6 @@ are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,10 +50,14 @@ LEAST = 0.05
 #: Symbols from which on a text's perplexity is steady; bands are wider for shorter texts, by the
 #: square root.
 STEADY = 3000
+#: The same for measures per word or join.
+STEADY_WORDS = 500
 #: Marks before and after a word.
 FIRST, LAST = "\x02", "\x03"
 #: Base rules.
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
+#: Symbols of a join on either side of the blank.
+SIDE = 2
 _SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
 _STEPS = 10_000
@@ -87,12 +100,54 @@ def _per_word(words: list[bytes]) -> np.ndarray:
     return np.fromiter((len(w.decode()) + 1 for w in words), np.int64, len(words))
 
 
-def word_counts(rows: pa.Table) -> dict[str, Counter]:
-    """Words of a block by language."""
-    counts: dict[str, Counter] = {}
-    for lang, text in zip(language(rows), rows.column("text").to_pylist()):
-        counts.setdefault(lang, Counter()).update((text or "").encode().split())
-    return counts
+class _Index(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def joins_of(lang: str) -> str:
+    """The name under which the joins of a language's words are counted."""
+    return "+" + lang
+
+
+#: Words (or joins) of a block, and for each of its rows their numbers, one row after another.
+Units = tuple[list[bytes], np.ndarray, np.ndarray]
+
+
+def units(rows: pa.Table) -> dict[str, Units]:
+    """By language, and by joins_of(language): the distinct words or joins of a block, the row of
+    each occurrence, and which one it is."""
+    index: dict[str, _Index] = {}
+    found: dict[str, list] = {}
+    for row, (lang, text) in enumerate(zip(language(rows), rows.column("text").to_pylist())):
+        if lang not in index:
+            index[lang], found[lang] = _Index(), []
+        words = (text or "").encode().split()
+        found[lang].append((row, np.fromiter(map(index[lang].__getitem__, words), np.int64, len(words))))
+    out: dict[str, Units] = {}
+    for lang, own in found.items():
+        words = list(index[lang])
+        row = np.repeat(np.array([r for r, _ in own]), [len(x) for _, x in own])
+        which = np.concatenate([x for _, x in own])
+        out[lang] = words, row, which
+        tails, heads = _Index(), _Index()
+        texts = [w.decode() for w in words]
+        tail = np.fromiter((tails[t[-SIDE:]] for t in texts), np.int64, len(texts))
+        head = np.fromiter((heads[t[:SIDE]] for t in texts), np.int64, len(texts))
+        at = np.flatnonzero(row[1:] == row[:-1])
+        codes, place = np.unique(tail[which[at]] * max(len(heads), 1) + head[which[at + 1]], return_inverse=True)
+        before, after = list(tails), list(heads)
+        joined = [f"{before[c // len(after)]} {after[c % len(after)]}".encode() for c in codes.tolist()]
+        out[joins_of(lang)] = joined, row[at], place
+    return out
+
+
+def word_counts(rows: pa.Table) -> dict[str, dict[bytes, int]]:
+    """Words and joins of a block by language."""
+    return {lang: dict(zip(words, np.bincount(which, minlength=len(words)).tolist())) for lang, (words, _, which) in units(rows).items()}
 
 
 def count(blocks: DataFrame, order: int) -> DataFrame:
@@ -131,9 +186,14 @@ def _tail(gram: str) -> Column:
     return F.substring(F.col(gram), F.lit(2), F.char_length(gram))
 
 
+#: What the model has for an n-gram.
+FIGURES = np.dtype([(name, np.float32) for name in ("n", "taken", "total", "rest", "shorter")])
+
+
 def fit(counts: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, logp) for every counted n-gram: its last symbol's log probability after the
-    others, with modified Kneser-Ney smoothing."""
+    """(lang, gram, n, taken, total, rest, shorter) for every counted n-gram. Its last symbol's
+    probability after the others, with modified Kneser-Ney smoothing, is (n - taken) / total +
+    rest * shorter."""
     counts = saved(counts, "ngrams")
     size = F.char_length("gram")
     levels = {order: counts.filter(size == order).select("lang", "gram", "n")}
@@ -160,12 +220,14 @@ def fit(counts: DataFrame, order: int) -> DataFrame:
         shorter = lower.withColumnRenamed("gram", "_g").withColumnRenamed("p", "_p")
         joined = rows.withColumn("_g", _tail("gram")).join(context, ["lang", "_c"]).join(shorter, ["lang", "_g"])
         p = (F.col("n") - taken) / F.col("_total") + F.col("_rest") * F.col("_p")
-        lower = saved(joined.select("lang", "gram", p.alias("p")), f"p{k}")
-        parts.append(lower.filter((F.lit(k) == order) | F.col("gram").startswith(FIRST)))
+        figures = [F.col("n"), taken.alias("taken"), F.col("_total").alias("total"), F.col("_rest").alias("rest"), F.col("_p").alias("shorter")]
+        level = saved(joined.select("lang", "gram", p.alias("p"), *figures), f"p{k}")
+        lower = level.select("lang", "gram", "p")
+        parts.append(level.drop("p").filter((F.lit(k) == order) | F.col("gram").startswith(FIRST)))
     model = parts[0]
     for part in parts[1:]:
         model = model.union(part)
-    return model.filter(F.char_length("gram") > 1).select("lang", "gram", F.log("p").alias("logp"))
+    return model.filter(F.char_length("gram") > 1).select("lang", "gram", *FIGURES.names)
 
 
 def gram_keys(lang: str, grams: list[str]) -> np.ndarray:
@@ -177,8 +239,8 @@ def gram_keys(lang: str, grams: list[str]) -> np.ndarray:
 
 
 def hash_arrays(model: DataFrame, parts: int) -> DataFrame:
-    """(part, model_keys, model_values): the model as sorted arrays of hashes with log
-    probabilities, one row per range of the hash space."""
+    """(part, model_keys, model_values): the model as sorted arrays of hashes with their
+    figures, one row per range of the hash space."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,15 +248,18 @@ def hash_arrays(model: DataFrame, parts: int) -> DataFrame:
             for lang, group in rows.groupby("lang"):
                 keys = gram_keys(lang, group["gram"].tolist())
                 part = (keys >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"part": pa.array(part), "key": pa.array(keys.view(np.int64)), "logp": pa.array(group["logp"].to_numpy())})
+                figures = {name: pa.array(group[name].to_numpy(np.float32)) for name in FIGURES.names}
+                yield pa.RecordBatch.from_pydict({"part": pa.array(part), "key": pa.array(keys.view(np.int64)), **figures})
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         keys = group["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        values = group["logp"].to_numpy().astype(np.float32)[order]
+        values = np.empty(len(keys), FIGURES)
+        for name in FIGURES.names:
+            values[name] = group[name].to_numpy()[order]
         return pd.DataFrame({"part": [group["part"].iloc[0]], "model_keys": [B.squeezed_keys(keys[order])], "model_values": [B.squeezed(values)]})
 
-    rows = model.mapInArrow(keyed, "part int, key long, logp double")
+    rows = model.mapInArrow(keyed, "part int, key long, " + ", ".join(f"{name} float" for name in FIGURES.names))
     return rows.groupBy("part").applyInPandas(packed, "part int, model_keys binary, model_values binary")
 
 
@@ -205,17 +270,19 @@ def _asked(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def look_up(asked: DataFrame, arrays: DataFrame) -> DataFrame:
-    """(block, part, values): log probabilities of the asked n-grams, NaN where there are none."""
+    """(block, part, values): figures of the asked n-grams, NaN where there are none."""
 
     def run(group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if len(model):
-            known, values = B.widened_keys(model["model_keys"].iloc[0]), B.widened(model["model_values"].iloc[0], np.float32)
+            known, values = B.widened_keys(model["model_keys"].iloc[0]), B.widened(model["model_values"].iloc[0], FIGURES)
         else:
-            known, values = np.zeros(1, np.uint64), np.full(1, np.nan, np.float32)
+            known, values = np.zeros(1, np.uint64), np.full(1, np.nan, FIGURES)
         out = []
         for keys in map(B.widened_keys, group["keys"]):
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            out.append(B.squeezed(np.where(known[at] == keys, values[at], np.float32(np.nan)).astype(np.float32)))
+            told = values[at]
+            told[known[at] != keys] = np.full(1, np.nan, FIGURES)[0]
+            out.append(B.squeezed(told))
         return pd.DataFrame({"block": group["block"], "part": group["part"], "values": out})
 
     return asked.groupBy("part").cogroup(arrays.groupBy("part")).applyInPandas(run, "block long, part int, values binary")
@@ -252,33 +319,98 @@ def base_figures(texts: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
-_ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_p double, n_predicted long"
+_ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_p double, own_out double, joins_out double, n_predicted long, n_joins long"
+#: The probability of an n-gram that the model has never seen.
+_UNSEEN = 1e-7
+
+
+def _summed(group: np.ndarray, place: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (group, place), which of them each row has, and their weights."""
+    width = int(place.max()) + 1 if len(place) else 1
+    pairs, which = np.unique(group * width + place, return_inverse=True)
+    return pairs, which, np.bincount(which, weights=weight, minlength=len(pairs))
+
+
+class _Scores:
+    """Log probabilities of the words (or joins) of a block: by the whole model, and without
+    what a row itself has counted."""
+
+    def __init__(self, words: list[bytes], lang: str, order: int, keys: np.ndarray, figures: np.ndarray, skip: np.ndarray | None):
+        self.each, grams, contexts = _per_word(words), [], []
+        for k, codes, start, end in ngrams(words, lang, order):
+            grams.append(np.searchsorted(keys, k))
+            contexts.append(H.spans(H.prefix_sums(codes.view(np.uint8)), 4 * start, 4 * end - 4))
+        empty = [np.zeros(0, np.int64)]
+        self.grams = np.concatenate(grams or empty)
+        self.contexts = np.unique(np.concatenate(contexts or empty), return_inverse=True)[1]
+        self.begins = np.cumsum(self.each) - self.each
+        if skip is not None:
+            self.begins, self.each = self.begins + skip, self.each - skip
+        n, taken, total, rest, shorter = (figures[name].astype(np.float64) for name in FIGURES.names)
+        self.n, self.taken, self.total, self.spared, self.shorter = n, taken, total, rest * total, shorter
+        with np.errstate(invalid="ignore", divide="ignore"):
+            p = (n - taken) / total + rest * shorter
+        sums = np.cumsum(np.concatenate([[0.0], np.log(np.where(p > 0, p, _UNSEEN))[self.grams]]))
+        self.of_word = sums[self.begins + self.each] - sums[self.begins] if len(words) else np.zeros(0)
+
+    def rows(self, row: np.ndarray, which: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sums over the rows: by the whole model, and without each row's own counts."""
+        pairs, _, times = _summed(row, which, np.ones(len(row)))
+        width = int(which.max()) + 1 if len(which) else 1
+        row, word = pairs // width, pairs % width
+        whole = np.bincount(row, weights=times * self.of_word[word], minlength=n_rows)
+        each = self.each[word]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - self.begins[word], each)
+        row, times = np.repeat(row, each), np.repeat(times, each)
+        gram, context = self.grams[at], self.contexts[at]
+        _, in_context, of_context = _summed(row, context, times)
+        pairs, which, own = _summed(row, gram, times)
+        gram_width = int(gram.max()) + 1 if len(gram) else 1
+        gram, row = pairs % gram_width, pairs // gram_width
+        context_own = np.zeros(len(pairs))
+        context_own[which] = of_context[in_context]
+        left, total = np.maximum(self.n[gram] - own, 0), np.maximum(self.total[gram] - context_own, 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            # of few that are left, no more than half are taken
+            p = (left - np.minimum(self.taken[gram], left / 2)) / total + np.minimum(self.spared[gram] / total, 1) * self.shorter[gram]
+        p = np.where(total > 0, p, self.shorter[gram])
+        return whole, np.bincount(row, weights=own * np.log(np.where(p > 0, p, _UNSEEN)), minlength=n_rows)
 
 
 def _scored(rows: pa.Table, got: pd.DataFrame, order: int, carried: list[str]) -> Iterable[pd.DataFrame]:
-    counted = word_counts(rows)
-    asked = {lang: [k for k, *_ in ngrams(list(words), lang, order)] for lang, words in counted.items()}
-    keys = np.unique(np.concatenate([np.unique(k) for own in asked.values() for k in own] or [np.zeros(0, np.uint64)]))
-    values = B.told(got, np.float32).astype(np.float64)
-    values[np.isnan(values)] = np.log(1e-7)  # an n-gram that the model has never seen
-    of_word: dict[str, dict[bytes, float]] = {}
-    for lang, words in counted.items():
-        each = _per_word(list(words))
-        score = np.concatenate([values[np.searchsorted(keys, k)] for k in asked.pop(lang)] or [np.zeros(0)])
-        of_word[lang] = dict(zip(words, np.add.reduceat(score, np.cumsum(each) - each).tolist())) if len(each) else {}
+    held = units(rows)
+    keys = np.unique(np.concatenate([np.unique(k) for lang, (words, *_) in held.items() for k, *_ in ngrams(words, lang, order)] or [np.zeros(0, np.uint64)]))
+    figures = B.told(got, FIGURES)
+    scores = {}
+    for lang, (words, *_) in held.items():
+        # of a join, what follows the blank is predicted
+        skip = np.array([len(w.decode().split(" ")[0]) + 1 for w in words], np.int64) if lang.startswith("+") else None
+        scores[lang] = _Scores(words, lang, order, keys, figures, skip)
+    first = 0
     for part in B.parts_of(rows):
-        texts = [t or "" for t in part.column("text").to_pylist()]
+        last = first + part.num_rows
         frame = part.select(carried).to_pandas(integer_object_nulls=True)
-        for name, column in base_figures(texts).items():
+        for name, column in base_figures([t or "" for t in part.column("text").to_pylist()]).items():
             frame[name] = column
-        frame["log_p"] = [sum(map(of_word[lang].__getitem__, t.encode().split())) for lang, t in zip(language(part), texts)]
-        frame["n_predicted"] = frame["word_chars"] + frame["n_words"]
-        yield frame
+        sums = {name: np.zeros(part.num_rows) for name in ("log_p", "own_out", "joins_out", "n_joins")}
+        for lang, (_, row, which) in held.items():
+            here = slice(*np.searchsorted(row, (first, last)))
+            whole, out = scores[lang].rows(row[here] - first, which[here], part.num_rows)
+            if lang.startswith("+"):
+                sums["joins_out"] += out
+                sums["n_joins"] += np.bincount(row[here] - first, minlength=part.num_rows)
+            else:
+                sums["log_p"] += whole
+                sums["own_out"] += out
+        frame = frame.assign(**sums, n_predicted=frame["word_chars"] + frame["n_words"])
+        frame["n_joins"] = frame["n_joins"].astype(np.int64)
+        first = last
+        yield frame[[*carried, *(c.split()[0] for c in _ADDED.split(", "))]]
 
 
 def score(documents: DataFrame, order: int = ORDER, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns of documents (all, if not said; lang always) with base figures, log_p
-    and n_predicted."""
+    """The carried columns of documents (all, if not said; lang always) with base figures and the
+    log probabilities: log_p, own_out and joins_out (without own counts), n_predicted and n_joins."""
     added = [c.split()[0] for c in _ADDED.split(", ")]
     documents = documents.drop(*added, "base_failed", "perplexity", "low", "high", "kept")
     carry = documents.columns if carry is None else carry
@@ -303,31 +435,38 @@ def kept_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
 def judge(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """scored with base_failed, perplexity, the language's band and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    ppl = F.when(F.col("n_predicted") > 0, -F.col("log_p") / F.col("n_predicted"))
-    rows = saved(scored.withColumn("base_failed", failed).withColumn("_h", ppl), "scored")
-    fine = rows.filter(~F.col("base_failed"))
+    measures = [("log_p", "n_predicted", STEADY), ("own_out", "n_predicted", STEADY), ("own_out", "n_words", STEADY_WORDS), ("joins_out", "n_joins", STEADY_WORDS)]
+    xs = {f"_x{k}": F.when(F.col(n) > 0, -F.col(log_p) / F.col(n)) for k, (log_p, n, _) in enumerate(measures)}
+    steadiness = [F.sqrt(F.least(F.col(n), F.lit(steady)) / steady) for _, n, steady in measures]
+    rows = saved(scored.withColumn("base_failed", failed).withColumns(xs), "scored")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"_x{k}").alias("_x"), s.alias("_steadiness")) for k, s in enumerate(steadiness)]))
+    fine = rows.filter(~F.col("base_failed")).select("lang", each.alias("_m")).select("lang", "_m.*").filter("_x is not null")
 
     def median(counted: DataFrame, name: str) -> DataFrame:
-        bins = saved(counted.groupBy("lang", F.round(F.col("_x") * _STEPS).cast("long").alias("_x")).agg(F.count(F.lit(1)).alias("_n")), "bins")
-        whole = Window.partitionBy("lang")
+        bins = saved(counted.groupBy("lang", "_k", F.round(F.col("_x") * _STEPS).cast("long").alias("_x")).agg(F.count(F.lit(1)).alias("_n")), "bins")
+        whole = Window.partitionBy("lang", "_k")
         half = bins.withColumn("_upto", F.sum("_n").over(whole.orderBy("_x"))).withColumn("_all", F.sum("_n").over(whole))
-        middle = half.filter(F.col("_upto") * 2 >= F.col("_all")).groupBy("lang").agg((F.min("_x") / _STEPS).alias(name))
-        return saved(middle.withColumnRenamed("lang", f"{name}_of"), "medians")
+        middle = half.filter(F.col("_upto") * 2 >= F.col("_all")).groupBy("lang", "_k").agg((F.min("_x") / _STEPS).alias(name))
+        return saved(middle.withColumnRenamed("lang", f"{name}_of").withColumnRenamed("_k", f"{name}_k"), "medians")
 
-    middle = median(fine.withColumn("_x", F.col("_h")), "_middle")
-    steadiness = F.sqrt(F.least(F.col("n_predicted"), F.lit(STEADY)) / STEADY)
-    away = fine.join(middle, F.col("lang").eqNullSafe(F.col("_middle_of"))).withColumn("_x", F.abs(F.col("_h") - F.col("_middle")) * steadiness)
+    middle = median(fine, "_middle")
+    same = F.col("lang").eqNullSafe(F.col("_middle_of")) & (F.col("_k") == F.col("_middle_k"))
+    away = fine.join(middle, same).withColumn("_x", F.abs(F.col("_x") - F.col("_middle")) * F.col("_steadiness"))
     spread = median(away, "_spread")
     width = F.col("_spread") * 1.4826
-    band = middle.join(spread, F.col("_middle_of").eqNullSafe(F.col("_spread_of"))).select(
-        F.col("_middle_of").alias("_lang"), "_middle", F.greatest(F.lit(LEAST), width * below).alias("_below"), F.greatest(F.lit(LEAST), width * above).alias("_above")
-    )
+    both = middle.join(spread, F.col("_middle_of").eqNullSafe(F.col("_spread_of")) & (F.col("_middle_k") == F.col("_spread_k")))
+    limits = F.struct("_middle", F.greatest(F.lit(LEAST), width * below).alias("below"), F.greatest(F.lit(LEAST), width * above).alias("above"))
+    band = both.groupBy(F.col("_middle_of").alias("_lang")).agg(*[F.max(F.when(F.col("_middle_k") == k, limits)).alias(f"_b{k}") for k in range(len(measures))])
     judged = rows.join(saved(band, "bands"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    judged = judged.withColumn("_low", F.col("_middle") - F.try_divide(F.col("_below"), steadiness)).withColumn("_high", F.col("_middle") + F.try_divide(F.col("_above"), steadiness))
-    inside = F.coalesce(F.col("_h").between(F.col("_low"), F.col("_high")), F.lit(False))
+    # limits of a measure, moved to where the perplexity per symbol is
+    moved = [F.col("_x0") - F.col(f"_x{k}") + F.col(f"_b{k}._middle") for k in range(len(measures))]
+    low = F.greatest(*[m - F.try_divide(F.col(f"_b{k}.below"), s) for k, (m, s) in enumerate(zip(moved, steadiness))])
+    high = F.least(*[m + F.try_divide(F.col(f"_b{k}.above"), s) for k, (m, s) in enumerate(zip(moved, steadiness))])
+    judged = judged.withColumn("_low", low).withColumn("_high", high)
+    inside = F.coalesce(F.col("_x0").between(F.col("_low"), F.col("_high")), F.lit(False))
     return judged.select(
-        *[c for c in rows.columns if c not in ("_h", "log_p", "n_predicted")],
-        F.exp("_h").alias("perplexity"),
+        *[c for c in rows.columns if c not in (*xs, "log_p", "own_out", "joins_out", "n_predicted", "n_joins")],
+        F.exp("_x0").alias("perplexity"),
         F.exp("_low").alias("low"),
         F.exp("_high").alias("high"),
         (~F.col("base_failed") & inside).alias("kept"),

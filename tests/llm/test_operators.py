@@ -148,6 +148,38 @@ def test_band_rejects_what_reads_unlike_its_language(spark):
     assert not kept.pop(100) and all(kept.values())
 
 
+def ordered_prose(rng, n):
+    """Words whose endings choose the beginnings of the next words."""
+    begin, end = ["kan", "top", "mir", "res", "sol", "und", "der", "bel"], ["ure", "ilo", "ast", "eny", "omi", "ugs", "ark", "iva"]
+    at, out = 0, []
+    for _ in range(n):
+        last = rng.randrange(8)
+        out.append(begin[at] + rng.choice(["", "a", "er", "in", "o"]) + end[last])
+        at = (3 * last + rng.choice([0, 1])) % 8
+    return " ".join(out)
+
+
+def test_band_rejects_junk_among_ordinary_words(spark):
+    """Symbols behind words, a menu with bars, shuffled words, and a text that only its own
+    counts make ordinary."""
+    ship(spark)
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 400), "en") for k in range(120)]
+    rows += [(200, " ".join(w + rng.choice(["%%%", "&&&", "###", "$$$", "***"]) for w in prose(rng, 400).split()), "en")]
+    rows += [(201, " | ".join(prose(rng, 400).split()), "en")]
+    own = ["".join(rng.choice("qzxjvwyg") for _ in range(6)) for _ in range(300)]
+    rows += [(202, " ".join(rng.choice(own) for _ in range(3000)), "en")]
+    ordered = [(300 + k, ordered_prose(rng, 400), "fr") for k in range(120)]
+    shuffled = ordered[0][1].split()
+    rng.shuffle(shuffled)
+    rows += [*ordered, (500, " ".join(shuffled), "fr")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in perplexity.judge(perplexity.score(df)).collect()}
+    assert not [k for k in (200, 201, 202, 500) if got[k].base_failed or got[k].kept]
+    assert got[500].perplexity == pytest.approx(got[300].perplexity)
+    assert sum(r.kept for k, r in got.items() if k not in (200, 201, 202, 500)) >= 234
+
+
 # --- n-gram Jaccard join
 
 
