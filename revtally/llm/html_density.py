@@ -3,9 +3,11 @@
 The page becomes a tree of block elements; menus, adverts, scripts and the like are left out by
 tag, role or class name. Every node gets a density: its characters per tag, adjusted by how many
 of characters and tags belong to links. The node whose children's densities sum up to most is the
-core. The least density on the way from the body to the core is the threshold, and the smallest
-subtree that holds the core and every node over the threshold is the article; its blocks are
-joined in page order.
+core. It is lifted to the outermost enclosing article or main of few links, or without one to the
+highest ancestor up to which few characters belong to links; all its blocks are text of the article,
+whatever their density. The least density on the way from the body to the
+core is the threshold; outside of the lifted core, the smallest subtree that holds it and every node
+over the threshold belongs to the article as well. Its blocks are joined in page order.
 
 Defined results: null or empty html and pages without text give an empty text; unclosed and
 crossing tags are closed by their surroundings; whole pages are read whatever their length; repeated
@@ -48,6 +50,8 @@ _BOILERPLATE = frozenset(
 _CORE = frozenset("content article main story entry body text".split())
 #: An element that opens one of these closes an open one of those, unless a container lies between.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: Share of linked characters up to which an ancestor of the core is all article.
+FEW_LINKS = 0.25
 _SCOPE = frozenset("ul ol dl table div section article main body aside nav footer header form blockquote".split())
 
 
@@ -182,6 +186,19 @@ def _measure(root: Node) -> list[Node]:
     return nodes
 
 
+def lifted(core: Node) -> Node:
+    """The core's outermost article or main of few links, or else its highest ancestor of few links."""
+    marked, highest, one = None, core, core.parent
+    if core.tag in ("article", "main"):
+        marked = core
+    while one and one.link_chars <= FEW_LINKS * one.chars:
+        highest = one
+        if one.tag in ("article", "main"):
+            marked = one
+        one = one.parent
+    return marked or highest
+
+
 def main_text(page: str | None) -> str:
     """The text of the article, one line per block."""
     if not page:
@@ -197,8 +214,8 @@ def main_text(page: str | None) -> str:
     while one.parent:
         one = one.parent
         threshold = min(threshold, one.density)
-    # the smallest subtree that holds the core and all nodes over the threshold
-    top = core
+    # the smallest subtree that holds the lifted core and all nodes over the threshold
+    top = core = lifted(core)
     above = {id(top)}
     up = top
     while up.parent:

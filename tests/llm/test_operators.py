@@ -416,6 +416,24 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_article_text_beside_the_densest_container():
+    def p(word, n=25):
+        return f"<p>{word} " + "letters " * n + "</p>"
+
+    div = f"<div>{p('one')}{p('two')}{p('three')}</div>"
+    pages = [
+        (f"<article><h1>Head lines</h1><p>A standfirst of some sixty characters, which says a little.</p>{div}</article>", ["Head lines", "A standfirst"]),
+        (f"<div id=x><h1>Head lines</h1>{div}<section>{p('four', 8)}{p('five', 8)}</section><section><p>six</p></section></div>", ["Head lines", "four", "five", "six"]),
+        (f"<main><h1>Head lines</h1>{div}<table>{''.join(f'<tr><td>row{k}<td>{k}' for k in range(200))}</table></main>", ["Head lines", "row0", "row199"]),
+    ]
+    links = "<div><ul>" + "".join(f"<li><a href=x>elsewhere {k} on this site</a>" for k in range(60)) + "</ul></div>"
+    for body, wanted in pages:
+        for more in ("", links):
+            text = html_density.main_text(f"<html><body>{body}{more}</body></html>")
+            assert not [w for w in [*wanted, "one", "two", "three"] if w not in text]
+            assert "elsewhere" not in text
+
+
 # --- embeddings
 
 
