@@ -6,6 +6,10 @@ move one way as the other, and more as far as a shard's quota has room. Seniorit
 ever. Afterwards documents without links and those beyond a quota fill the shards up, so that
 row counts are at most one apart.
 
+Members of a group larger than a quota can't be together. They begin, one after another, in the
+stretch of shards that the group's weight spans, and stay there, so that they take no room that
+smaller groups need; where a shard is over its quota, they leave first.
+
 Defined results: a null text is an empty one; repeated ids are rows of their own and share the
 links of that id; links to unknown ids and to oneself count for nothing; an empty table gives an
 empty result; a group larger than a shard is spread.
@@ -30,7 +34,8 @@ def equal_text_links(documents: DataFrame) -> DataFrame:
 
 
 def propagate(ids: DataFrame, links: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, shard) of the linked ids after some rounds of label propagation."""
+    """(doc_id, shard, large) of the linked ids after some rounds of label propagation; large are
+    members of groups larger than a quota, but for the first ones."""
     both = links.filter("src != dst").select("src", "dst").union(links.filter("src != dst").select(F.col("dst"), F.col("src"))).distinct()
     known = ids.select("doc_id").distinct()
     both = both.join(known.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(known.withColumnRenamed("doc_id", "dst"), "dst", "left_semi")
@@ -42,13 +47,19 @@ def propagate(ids: DataFrame, links: DataFrame, shards: int, quota: int, rounds:
     # those without a senior neighbour stay where they begin, so they begin evenly, by their links
     roots = degree.join(upward.select("src").distinct(), "src", "left_anti").withColumn("_all", F.lit(0)).withColumn("_weight", F.col("degree") + 1)
     total = roots.agg(F.sum("_weight")).first()[0] or 1
-    begun = running(roots, "_all", ["src"], F.col("_weight"), "_before").select(F.col("src").alias("doc_id"), F.floor(F.col("_before") * shards / total).cast("int").alias("shard"))
-    others = upward.select(F.col("src").alias("doc_id")).distinct()
-    labels = saved(begun.union(others.select("doc_id", F.floor(unit_hash(F.lit("shard"), F.col("doc_id")) * shards).cast("int"))), "labels")
+    begun = saved(running(roots, "_all", ["src"], F.col("_weight"), "_before").select("src", "_weight", "_before"), "begun")
+    large = begun.filter(F.col("_weight") > quota).select(F.col("src").alias("dst"), "_before")
+    member = upward.join(large, "dst").groupBy("src").agg(F.max(F.struct("_before", "dst")).alias("_first")).select("src", "_first.*")
+    stretch = running(saved(member, "members"), "dst", ["src"], F.lit(1), "_place").withColumn("_at", F.col("_before") + F.col("_place") + 1)
+    stretch = saved(stretch.select(F.col("src").alias("doc_id"), F.floor(F.col("_at") * shards / total).cast("int").alias("shard"), F.lit(True).alias("large")), "stretch")
+    others = upward.select(F.col("src").alias("doc_id")).distinct().join(stretch, "doc_id", "left_anti")
+    first = begun.select(F.col("src").alias("doc_id"), F.floor(F.col("_before") * shards / total).cast("int").alias("shard"), F.lit(False).alias("large"))
+    others = others.select("doc_id", F.floor(unit_hash(F.lit("shard"), F.col("doc_id")) * shards).cast("int"), F.lit(False))
+    labels = saved(first.union(stretch).union(others), "labels")
     for turn in range(rounds):
         votes = upward.join(labels.select(F.col("doc_id").alias("dst"), "shard"), "dst").groupBy("src", "shard").agg(F.count(F.lit(1)).alias("_votes"))
         wish = votes.groupBy("src").agg(F.max(F.struct("_votes", (-F.col("shard")).alias("_shard"))).alias("_best")).select(F.col("src").alias("doc_id"), (-F.col("_best._shard")).cast("int").alias("_to"))
-        asked = labels.join(wish, "doc_id", "left").withColumn("_moves", F.coalesce(F.col("_to") != F.col("shard"), F.lit(False)))
+        asked = labels.join(wish, "doc_id", "left").withColumn("_moves", ~F.col("large") & F.coalesce(F.col("_to") != F.col("shard"), F.lit(False)))
         # per pair of shards: as many as want to go the other way may go, and more where there is room
         here = asked.groupBy("shard").agg(F.count(F.lit(1)).alias("_here")).withColumnRenamed("shard", "_to")
         flows = saved(asked.filter("_moves").groupBy("shard", "_to").agg(F.count(F.lit(1)).alias("_go")), "flows")
@@ -58,7 +69,7 @@ def propagate(ids: DataFrame, links: DataFrame, shards: int, quota: int, rounds:
         room = F.greatest(F.lit(quota) - F.coalesce("_here", F.lit(0)), F.lit(0)) / F.greatest(F.sum(F.col("_go") - F.col("_traded")).over(more), F.lit(1))
         odds = traded.join(here, "_to", "left").select("shard", "_to", ((F.col("_traded") + F.least(room, F.lit(1.0)) * (F.col("_go") - F.col("_traded"))) / F.col("_go")).alias("_odds"))
         accepted = F.col("_moves") & (unit_hash(F.lit(f"turn {turn}"), F.col("doc_id")) < F.coalesce("_odds", F.lit(0.0)))
-        moved = saved(asked.join(odds, ["shard", "_to"], "left").select("doc_id", F.when(accepted, F.col("_to")).otherwise(F.col("shard")).alias("shard"), accepted.alias("_moved")), "labels")
+        moved = saved(asked.join(odds, ["shard", "_to"], "left").select("doc_id", F.when(accepted, F.col("_to")).otherwise(F.col("shard")).alias("shard"), "large", accepted.alias("_moved")), "labels")
         labels = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             break
@@ -74,13 +85,17 @@ def balanced_shards(documents: DataFrame, links: DataFrame, shards: int, rounds:
     labels = propagate(slim, links, shards, total // shards, rounds)
     placed = saved(slim.join(labels, "doc_id", "left"), "placed")
     key = ["doc_id"]
-    ranked = saved(running(placed.filter("shard is not null"), "shard", key, F.lit(1), "slot"), "ranked")
+    # members of large groups come last in their shard
+    ordered = placed.filter("shard is not null").withColumn("_half", 2 * F.col("shard") + F.col("large").cast("int"))
+    ranked = saved(running(ordered, "_half", key, F.lit(1), "slot"), "ranked")
     # bounded by the number of shards
-    kept = {r["shard"]: min(r["n"], quotas[r["shard"]]) for r in ranked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    kept = [kept.get(k, 0) for k in range(shards)]
+    n = {r["_half"]: r["n"] for r in ranked.groupBy("_half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kept = [min(n.get(2 * k, 0) + n.get(2 * k + 1, 0), quotas[k]) for k in range(shards)]
+    before = F.element_at(F.array(*[F.lit(n.get(2 * k, 0)) for k in range(shards)]), F.col("shard") + 1)
+    ranked = ranked.withColumn("slot", F.col("slot") + F.when(F.col("large"), before).otherwise(0)).drop("_half", "large")
     limit = F.element_at(F.array(*map(F.lit, kept)), F.col("shard") + 1)
     stays = ranked.filter(F.col("slot") < limit)
-    free = placed.filter("shard is null").drop("shard").unionByName(ranked.filter(F.col("slot") >= limit).drop("shard", "slot"))
+    free = placed.filter("shard is null").drop("shard", "large").unionByName(ranked.filter(F.col("slot") >= limit).drop("shard", "slot"))
     numbered = running(free.withColumn("_all", F.lit(0)), "_all", key, F.lit(1), "_no").drop("_all")
     begins = [0]
     for quota, k in zip(quotas, kept):

@@ -344,6 +344,19 @@ def test_sharding_keeps_groups_together(spark):
     assert set(Counter(r.shard for r in got).values()) == {50}
 
 
+def test_sharding_spares_small_groups_beside_a_large_one(spark):
+    first = [(k, 0 if k < 800 else 800 + (k - 800) // 4 * 4 if k < 2000 else k) for k in range(2400)]
+    rows = spark.createDataFrame(first, "doc_id long, g long")
+    links = rows.selectExpr("doc_id as src", "g as dst")
+    got = sharding.balanced_shards(rows, links, 12).collect()
+    assert set(Counter(r.shard for r in got).values()) == {200} and len({(r.shard, r.slot) for r in got}) == 2400
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.g].add(r.shard)
+    cut = sum(len(s) - 1 for g, s in groups.items() if 800 <= g < 2000)
+    assert cut < 30, cut  # of 900, all avoidable
+
+
 # --- chat
 
 
