@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup, toxicity, vector_graph
-from .common import saved, ship, word_count
+from . import alignment, byte_bpe, chat, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup, token_files, toxicity, vector_graph, whitening
+from .common import new_path, saved, ship, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,3 +148,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(rows, toxicity.fit(rows, table(spark, sf_dir, "labels")))
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token_files")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), first, second)
