@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revtally.functions.timeparts import period_label
@@ -60,15 +59,28 @@ def languages_of_commits(h: History, keys: dict[str, Column], *extra: str) -> Da
     return keyed(h, keys, *extra).join(per_commit_language(h.file_changes).hint("merge"), "commit_id")
 
 
+#: The columns of a commit that a level reads.
+_READS = {"repo": "repo", "author": "author", "period": "ts"}
+
+
+def level_keys(*levels: str, period: str = "month", label: str | None = None) -> dict[str, Column]:
+    """Keys of some levels, under their own names; one level may be given another."""
+    return Keys({label or x: level_key(x, period) for x in levels}, [_READS[x] for x in levels])
+
+
+class Keys(dict):
+    """Bucket keys that know which columns of a commit they read."""
+
+    def __init__(self, keys: dict[str, Column], reads: Sequence[str]):
+        super().__init__(keys)
+        self.reads = tuple(reads)
+
+
 def _carried(h: History, keys: dict[str, Column]) -> bool:
-    """Whether file changes carry the keys themselves and describe the whole history."""
-    if h.narrowed:
-        return False
-    try:
-        h.file_changes.select(*keys.values())
-    except AnalysisException:
+    """Whether file changes describe the whole history by themselves and carry what the keys read."""
+    if h.narrowed or not h.owned:
         return False
-    return True
+    return not keys or (isinstance(keys, Keys) and set(keys.reads) <= set(h.file_changes.columns))
 
 
 def bucket_totals(h: History, keys: dict[str, Column]) -> DataFrame:
@@ -90,6 +102,59 @@ def bucket_languages(h: History, keys: dict[str, Column]) -> DataFrame:
     return languages_of_commits(h, keys).groupBy(*keys, "language").agg(*sums(*METRICS))
 
 
+# ---- both grains in one pass ----------------------------------------------------------
+
+
+def both_grains(h: History, keys: dict[str, Column], *extra: str) -> DataFrame:
+    """Commits and their lines by language in one table, from one scan of each.
+
+    A row is a commit and one of its languages, or a commit without lines and no language.
+    ``commits`` is 1 on one row of each commit and 0 on its others, so both the commits and the
+    lines of any group are plain sums. The rows come out of the join by commit and sorted, so
+    picking the first language of each needs neither a shuffle nor a sort.
+    """
+    lines = per_commit_language(h.file_changes).hint("merge")
+    joined = keyed(h, keys, *extra).join(lines, "commit_id", "left")
+    first = F.min("language").over(Window.partitionBy("commit_id"))
+    return joined.withColumn("commits", F.col("language").eqNullSafe(first).cast("bigint"))
+
+
+def leaves(h: History, keys: dict[str, Column]) -> DataFrame:
+    """Both grains by key and language: few rows, from which every total and subtotal follows.
+
+    Commits stand on some language of their bucket, so they mean something only summed over
+    languages. Where file changes carry the keys, two aggregates are stacked without a join.
+    """
+    if _carried(h, keys):
+        own = [c.alias(k) for k, c in keys.items()]
+        commits = h.commits.groupBy(*own).agg(F.count(F.lit(1)).alias("commits"))
+        rows = commits.unionByName(per_key(h.file_changes, own, "language"), allowMissingColumns=True)
+    else:
+        rows = both_grains(h, keys)
+    return rows.groupBy(*keys, "language").agg(*sums("commits", *METRICS))
+
+
+def rolled_up(rows: DataFrame, levels: Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Leaves, and an empty one, by sets of levels; see :func:`with_subtotals`."""
+    nothing = rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("language"))
+    seeded = rows.unionByName(nothing, allowMissingColumns=True)
+    return seeded.groupingSets([list(s) for s in sets], *levels, "language").agg(
+        *_node(levels), (F.grouping("language") == 0).alias("by_language"), *sums("commits", *METRICS)
+    )
+
+
+def with_subtotals(rows: DataFrame, levels: Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Leaves added up by each of the sets of ``levels`` and ``language``, all in one aggregate.
+
+    ``depth`` is the number of levels a row goes by, ``by_language`` whether it goes by language
+    too. The grand total is there even if nothing else is.
+    """
+    rolled = rolled_up(rows, levels, sets)
+    # rows of the seed, and languages of commits that have no lines
+    real = F.when(F.col("by_language"), F.col("language").isNotNull()).otherwise((F.col("commits") > 0) | (F.col("depth") == 0))
+    return rolled.filter(real)
+
+
 def add_total(buckets: DataFrame, key: str = "label") -> DataFrame:
     """Bucket rows and one ``Total`` row (``is_total``) from the rows themselves."""
     counters = [c for c in buckets.columns if c != key]
@@ -102,16 +167,16 @@ def add_total(buckets: DataFrame, key: str = "label") -> DataFrame:
 
 
 def by_period(h: History, period: str = "month") -> DataFrame:
-    return bucket_totals(h, {"label": level_key("period", period)})
+    return bucket_totals(h, level_keys("period", period=period, label="label"))
 
 
 def by_repo(h: History) -> DataFrame:
-    return bucket_totals(h, {"label": level_key("repo")})
+    return bucket_totals(h, level_keys("repo", label="label"))
 
 
 def by_author(h: History) -> DataFrame:
     """Buckets of commit authors; co-authors open none."""
-    return bucket_totals(h, {"label": level_key("author")})
+    return bucket_totals(h, level_keys("author", label="label"))
 
 
 def totals(h: History) -> DataFrame:
@@ -176,7 +241,7 @@ def _node(levels: Sequence[str]) -> list[Column]:
     return [depth.alias("depth")]
 
 
-def _with_path(rolled: DataFrame, levels: Sequence[str], rest: Sequence[str]) -> DataFrame:
+def with_path(rolled: DataFrame, levels: Sequence[str], rest: Sequence[str]) -> DataFrame:
     path = F.slice(F.array(*levels), F.lit(1), F.col("depth"))
     label = F.when(F.col("depth") == 0, F.lit(TOTAL)).otherwise(F.try_element_at(path, F.col("depth")))
     return rolled.select("depth", path.alias("path"), label.alias("label"), *rest)
@@ -188,16 +253,28 @@ def group_tree(h: History, levels: Sequence[str], period: str = "month") -> Data
     Leaves are aggregated first, so the rollup multiplies leaf rows and not commits.
     """
     levels = tree_levels(levels)
-    leaves = bucket_totals(h, {x: level_key(x, period) for x in levels})
+    nodes = bucket_totals(h, level_keys(*levels, period=period))
     counters = ("commits", *METRICS)
-    rolled = leaves.rollup(*levels).agg(*_node(levels), *sums(*counters))
-    return _with_path(rolled, levels, counters)
+    rolled = nodes.rollup(*levels).agg(*_node(levels), *sums(*counters))
+    return with_path(rolled, levels, counters)
 
 
 def tree_languages(h: History, levels: Sequence[str], period: str = "month") -> DataFrame:
     """Language breakdown of every tree node."""
     levels = tree_levels(levels)
-    leaves = bucket_languages(h, {x: level_key(x, period) for x in levels})
+    nodes = bucket_languages(h, level_keys(*levels, period=period))
     sets = [[*levels[:n], "language"] for n in range(len(levels), -1, -1)]
-    rolled = leaves.groupingSets(sets, *levels, "language").agg(*_node(levels), *sums(*METRICS))
-    return _with_path(rolled, levels, ("language", *METRICS))
+    rolled = nodes.groupingSets(sets, *levels, "language").agg(*_node(levels), *sums(*METRICS))
+    return with_path(rolled, levels, ("language", *METRICS))
+
+
+def whole_tree(h: History, levels: Sequence[str], period: str = "month", inner_languages: bool = True) -> DataFrame:
+    """Nodes and their languages in one table and one pass: ``by_language`` tells them apart.
+
+    Without ``inner_languages`` only leaves have languages.
+    """
+    levels = tree_levels(levels)
+    prefixes = [list(levels[:n]) for n in range(len(levels), -1, -1)]
+    sets = prefixes + [[*p, "language"] for p in (prefixes if inner_languages else prefixes[:1])]
+    rolled = with_subtotals(leaves(h, level_keys(*levels, period=period)), levels, sets)
+    return with_path(rolled, levels, ("by_language", "language", "commits", *METRICS))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revtally.functions.display import format_number
-from revtally.functions.timeparts import member_since
+from revtally.functions.timeparts import as_moment, days_before, member_since
 from revtally.operators import filters, remote
 from revtally.operators.filters import readable_history
 from revtally.operators.languages import with_color
@@ -102,7 +102,10 @@ def multi_window(
     """
     if not include_forks:
         repos = filters.drop_forks(repos)
-    spread = in_windows(readable_history(history), days, now, F.col("committed_at"))
+    now = as_moment(now)
+    # the longest window prunes a stored history
+    recent = readable_history(filters.history_in_range(history, days_before(now, max(days)), now))
+    spread = in_windows(recent, days, now, F.col("committed_at"))
     # The window joins the repository key: weeks cut by a window border stay apart.
     tagged = spread.withColumn("repo", F.struct("window_days", "repo"))
     weekly = remote.weekly_buckets(tagged).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from revtally.functions import identity
 from revtally.functions.text import ascii_lower, ascii_lower_str
-from revtally.functions.timeparts import as_moment, days_before
+from revtally.functions.timeparts import as_moment, days_before, month_label
 from revtally.operators.lines import labelled
 
 COLUMNS = ("commits", "adds", "dels", "net", "files")
@@ -95,21 +95,32 @@ def committed_at(column: Column) -> Column:
     return F.when(column.rlike(shape), F.try_to_timestamp(F.upper(column)))
 
 
+def moment_of(history: DataFrame) -> Column:
+    """When a hosted commit was made: ``committed_at`` where the table has it, else from the text."""
+    return F.col("committed_at") if "committed_at" in history.columns else committed_at(F.col("committed_date"))
+
+
 def history_in_range(history: DataFrame, since=None, until=None) -> DataFrame:
-    """History rows in a closed range, compared as moments and not as text."""
-    at = committed_at(F.col("committed_date"))
+    """History rows in a closed range, compared as moments and not as text.
+
+    A stored history is cut before it is read: by its ``month`` partitions, and by
+    ``committed_at`` within the files of the months that are left.
+    """
+    at, monthly = moment_of(history), "month" in history.columns
     if since is not None:
-        history = history.filter(at >= as_moment(since))
+        since = as_moment(since)
+        history = history.filter(at >= since)
+        history = history.filter(F.col("month") >= month_label(since)) if monthly else history
     if until is not None:
-        history = history.filter(at <= as_moment(until))
+        until = as_moment(until)
+        history = history.filter(at <= until)
+        history = history.filter(F.col("month") <= month_label(until)) if monthly else history
     return history
 
 
 def readable_history(history: DataFrame) -> DataFrame:
     """``history`` with ``committed_at``; rows whose date cannot be read are left out."""
-    return history.withColumn("committed_at", committed_at(F.col("committed_date"))).filter(
-        F.col("committed_at").isNotNull()
-    )
+    return history.withColumn("committed_at", moment_of(history)).filter(F.col("committed_at").isNotNull())
 
 
 def drop_inactive(contributions: DataFrame) -> DataFrame:

@@ -18,13 +18,19 @@ class History:
     File changes may repeat the ``ts`` and ``repo`` of their commit. A window or repository
     filter then applies to both tables and prunes the larger one at its scan, before any
     shuffle. ``narrowed`` says that some commits were filtered out and their lines were not, so
-    that file changes on their own no longer describe this history. Every file change belongs to
-    a commit of the history it was loaded with; sums over file changes rely on that.
+    that file changes on their own no longer describe this history.
+
+    A file change without its commit counts nowhere. ``owned`` promises that there is none, as
+    where both tables come from the same records or a foreign key ties them; sums over file
+    changes then need no join. Without the promise they are always joined. ``errors`` are those
+    of the logs it was read from, ``(path, error, records)``.
     """
 
     commits: DataFrame
     file_changes: DataFrame
     narrowed: bool = False
+    owned: bool = False
+    errors: DataFrame | None = None
 
     def where(self, predicate: Column | str) -> History:
         return replace(self, commits=self.commits.filter(predicate), narrowed=True)
@@ -66,6 +72,8 @@ class History:
             self.commits.unionByName(other.commits),
             self.file_changes.unionByName(other.file_changes),
             self.narrowed or other.narrowed,
+            self.owned and other.owned,
+            self.errors.unionByName(other.errors) if self.errors and other.errors else self.errors or other.errors,
         )
 
     def save_bucketed(self, prefix: str, buckets: int = 512) -> None:
@@ -79,5 +87,5 @@ class History:
             writer.bucketBy(buckets, "commit_id").sortBy("commit_id").saveAsTable(f"{prefix}_{suffix}")
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, prefix: str) -> History:
-        return cls(spark.table(f"{prefix}_commits"), spark.table(f"{prefix}_file_changes"))
+    def from_tables(cls, spark: SparkSession, prefix: str, owned: bool = False) -> History:
+        return cls(spark.table(f"{prefix}_commits"), spark.table(f"{prefix}_file_changes"), owned=owned)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revtally.functions.identity import me_noreply, noreply_login
 from revtally.functions.text import split_person
-from revtally.operators.buckets import commits_with_lines, languages_of_commits
+from revtally.operators.buckets import both_grains, commits_with_lines, languages_of_commits
 from revtally.operators.history import History
 from revtally.operators.lines import METRICS, sums
 
@@ -58,12 +58,14 @@ def bucket_people(h: History, keys: dict[str, Column]) -> DataFrame:
     )
 
 
-def bucket_commits(h: History, keys: dict[str, Column]) -> DataFrame:
-    """Commits of the people of every bucket, counted without a look at lines."""
-    rows = _by_role(h.commits.select(*[c.alias(k) for k, c in keys.items()], "author", "co_authors"), *keys)
-    return rows.groupBy(*keys, "person").agg(
-        F.count_if(~F.col("co")).alias("commits"), F.count_if(F.col("co")).alias("co_authored_commits")
-    )
+def bucket_activity(h: History, keys: dict[str, Column]) -> DataFrame:
+    """Counters of the people of every bucket by language: all roles together, and the co-authored
+    part. Commits of a person stand on any of their rows; see :func:`both_grains`."""
+    rows = _by_role(both_grains(h, keys, "author", "co_authors"), *keys, "language", "commits")
+    both = ("commits", *METRICS)
+    zero = F.lit(0).cast("bigint")
+    co = [F.coalesce(F.sum(F.when(F.col("co"), F.col(m))), zero).alias(f"co_authored_{m}") for m in both]
+    return rows.groupBy(*keys, "person", "language").agg(*sums(*both), *co)
 
 
 def bucket_person_languages(h: History, keys: dict[str, Column]) -> DataFrame:
@@ -138,15 +140,19 @@ def mark_login(commits: DataFrame, identity: DataFrame, login: str, into: str =
 
 
 def person_activity(h: History) -> DataFrame:
-    """Counters by (person, e-mail, language); commits sit on the rows without a language."""
-    commits = _by_role(h.commits.select("author", "co_authors")).groupBy("person", "email").agg(
-        F.count_if(~F.col("co")).alias("commits"), F.count_if(F.col("co")).alias("co_authored_commits")
-    )
-    lines = _by_role(languages_of_commits(h, {}, "author", "co_authors"), "language")
-    lines = lines.groupBy("person", "email", "language").agg(
-        *_split("additions"), *_split("deletions"), F.sum("files").alias("files")
+    """Counters by (person, e-mail, language), from one scan of commits and of lines.
+
+    Commits of a person stand on any of their rows, so they are sums over languages. A person
+    without lines has a row without a language.
+    """
+    rows = _by_role(both_grains(h, {}, "author", "co_authors"), "language", "commits")
+    return rows.groupBy("person", "email", "language").agg(
+        *_split("commits"),
+        *_split("additions"),
+        *_split("deletions"),
+        F.coalesce(F.sum("files"), F.lit(0).cast("bigint")).alias("files"),
+        F.coalesce(F.sum(F.when(~F.col("co"), F.col("files"))), F.lit(0).cast("bigint")).alias("authored_files"),
     )
-    return commits.unionByName(lines, allowMissingColumns=True)
 
 
 _COUNTERS = (
@@ -198,13 +204,29 @@ def merged_languages(merged: DataFrame) -> DataFrame:
     )
 
 
-def language_rows(merged: DataFrame, emails: bool = False) -> DataFrame:
-    """Counters of merged people by language, with the e-mails seen on each row if wanted.
+def language_rows(merged: DataFrame) -> DataFrame:
+    """Counters of merged people by language; commits as in :func:`person_activity`."""
+    return merged.groupBy("merge_key", "language").agg(F.min("name").alias("name"), *sums(*_COUNTERS))
+
+
+def people_with_totals(merged: DataFrame, emails: bool = False) -> DataFrame:
+    """Merged people by language, in all, and everybody together, in one aggregate.
 
-    The row without a language carries the commits; every person has one.
+    ``kind`` says which: ``language``, ``author`` or ``total``. The total counts what was
+    authored, so every commit once, and is there even if nobody is. ``emails`` are those seen
+    on a row, if wanted.
     """
     listed = [F.collect_set(F.nullif(F.col("email"), F.lit(""))).alias("emails")] if emails else []
-    return merged.groupBy("merge_key", "language").agg(F.min("name").alias("name"), *sums(*_COUNTERS), *listed)
+    seeded = merged.unionByName(merged.sparkSession.range(1).select(F.lit(None).cast("string").alias("language")), allowMissingColumns=True)
+    rows = seeded.groupingSets([["merge_key", "language"], ["merge_key"], []], "merge_key", "language").agg(
+        F.when(F.grouping("language") == 0, F.lit("language")).when(F.grouping("merge_key") == 0, F.lit("author")).otherwise(F.lit("total")).alias("kind"),
+        F.min("name").alias("name"),
+        *sums(*_COUNTERS, "authored_files"),
+        *listed,
+    )
+    somebody = F.col("commits") + F.col("co_authored_commits") > 0
+    real = F.when(F.col("kind") == "language", F.col("language").isNotNull()).when(F.col("kind") == "author", somebody)
+    return rows.filter(F.coalesce(real, F.lit(True)))
 
 
 def best_language() -> Column:

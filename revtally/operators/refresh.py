@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtally.functions.timeparts import as_moment, month_label
-from revtally.operators.filters import committed_at, history_in_range
+from revtally.operators.filters import history_in_range, moment_of
 
 _KEY = ("repo", "committed_date", "additions", "deletions")
 
@@ -24,8 +24,9 @@ def dedup_history(history: DataFrame) -> DataFrame:
 
 
 def refresh_history(existing: DataFrame, new: DataFrame, since=None, until=None) -> DataFrame:
-    """Old rows in the range and the new ones, each once."""
-    return dedup_history(history_in_range(existing, since, until).unionByName(new))
+    """Old rows in the range and the new ones, each once; ``existing`` may be a stored history."""
+    kept = history_in_range(existing, since, until).select(*new.columns)
+    return dedup_history(kept.unionByName(new))
 
 
 def high_water(marks: DataFrame) -> DataFrame:
@@ -62,25 +63,46 @@ def append_marks(path: str, plan: DataFrame, until) -> None:
     advance_marks(plan, until).write.mode("append").parquet(path)
 
 
-def append_history(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+def touched_months(history: DataFrame) -> list[str]:
+    """The months in which there are commits, as a list: as many as the calendar has."""
+    months = history.select(month_label(moment_of(history)).alias("month")).filter("month IS NOT NULL").distinct()
+    return sorted(r["month"] for r in months.collect())
+
+
+def append_history(spark: SparkSession, path: str, new: DataFrame, months: list[str] | None = None) -> DataFrame:
     """Add the rows of ``new`` that the table at ``path`` lacks; returns those with unreadable dates.
 
-    The table is partitioned by month and only appended to, so a refresh costs what is new:
-    the anti join reads the months that occur in ``new`` and no others. Running it again
-    after a failure adds nothing twice.
+    Rows are stored with ``committed_at``, in partitions by month that are sorted by it, so a
+    range prunes months and parts of files. The table is only appended to, so a refresh costs
+    what is new: the anti join reads the months that occur in ``new`` and no others. Running it
+    again after a failure adds nothing twice. ``months`` are those of ``new``, where they are
+    known already.
     """
-    at = committed_at(F.col("committed_date"))
-    fresh = dedup_history(new.filter(at.isNotNull())).withColumn("month", month_label(at))
+    at = moment_of(new)
+    readable = new.filter(at.isNotNull())
+    fresh = dedup_history(readable).withColumns({"committed_at": at, "month": month_label(at)})
     try:
         old = spark.read.schema(fresh.schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
-        # the rows as they come, before they are deduplicated; calendar-bounded
-        months = [r["month"] for r in new.filter(at.isNotNull()).select(month_label(at).alias("month")).distinct().collect()]
-        old = old.filter(F.col("month").isin(months))
+        # the rows as they come, before they are deduplicated
+        old = old.filter(F.col("month").isin(touched_months(readable) if months is None else months))
         same = [fresh[c].eqNullSafe(old[c]) for c in (*dedup_key(new), "month")]
         fresh = fresh.join(old, reduce(Column.__and__, same), "left_anti")
-    fresh.select(*new.columns, "month").write.mode("append").partitionBy("month").parquet(path)
+    save_by_month(fresh, path, "committed_at")
     return new.filter(at.isNull())
+
+
+def save_by_month(rows: DataFrame, path: str, order: str, replace: bool = False) -> None:
+    """Write rows into partitions by ``month``, sorted within files; a month with many rows is cut
+    into several files. With ``replace`` the months that occur are replaced and no others."""
+    placed = rows.hint("rebalance", "month").sortWithinPartitions("month", order)
+    writer = placed.write.partitionBy("month").option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite" if replace else "append").parquet(path)
+
+
+def stored_history(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`append_history` has written."""
+    return spark.read.parquet(path)

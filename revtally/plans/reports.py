@@ -40,13 +40,14 @@ def _metrics(commits: Column, additions: str = "additions", deletions: str = "de
 
 def language_report(h: History, sort: str = "additions") -> DataFrame:
     """Languages with a total row. A language has no commit count of its own: it shows 0."""
-    rows = buckets.bucket_languages(h, {}).select(
-        F.lit("language").alias("kind"), F.col("language").alias("label"), *_metrics(_zero())
+    rows = buckets.with_subtotals(buckets.leaves(h, buckets.level_keys()), [], [["language"], []])
+    by_language = F.col("by_language")
+    out = rows.select(
+        F.when(by_language, F.lit("language")).otherwise(F.lit("total")).alias("kind"),
+        F.when(by_language, F.col("language")).otherwise(F.lit(TOTAL)).alias("label"),
+        *_metrics(F.when(by_language, _zero()).otherwise(F.col("commits"))),
     )
-    total = buckets.totals(h).select(
-        F.lit("total").alias("kind"), F.lit(TOTAL).alias("label"), *_metrics(F.col("commits"))
-    )
-    return rows.unionByName(total).orderBy(F.col("kind"), *_language_sort(sort))
+    return out.orderBy(F.col("kind"), *_language_sort(sort))
 
 
 def author_report(
@@ -61,101 +62,78 @@ def author_report(
     E-mails are gathered only when ``email`` asks to show them.
     """
     named = email != "none"
-    rows = people.language_rows(people.merged_activity(h, dedup, identity), emails=named)
-    # One window per person, as long as the person has languages, puts the totals on each row.
-    each = Window.partitionBy("merge_key")
-    counters = ("commits", "additions", "deletions", "files")
-    both = {m: F.col(m) + F.col(f"co_authored_{m}") for m in counters[:3]} | {"files": F.col("files")}
+    rows = people.people_with_totals(people.merged_activity(h, dedup, identity), emails=named)
+    kind = F.col("kind")
+    # One window per person, as long as the person has languages, puts the person on each row.
+    each = Window.partitionBy(kind == "total", "merge_key")
+    of_author = F.when(kind == "author", author_rank(sort))
     rows = rows.withColumns(
         {
-            **{f"all_{m}": F.sum(c).over(each) for m, c in both.items()},
-            "rank_value": -F.sum(author_rank(sort)).over(each),
-            "name": F.min("name").over(each),
+            "rank_value": F.when(kind != "total", -F.max(of_author).over(each)),
+            "name": F.when(kind != "total", F.min("name").over(each)),
             "top_language": F.coalesce(people.best_language().over(each)["language"], F.lit("")),
             "n_languages": F.count("language").over(each),
         }
     )
     shown = F.col("name")
     if named:
-        shown = display.author_display(shown, people.merged_lists(F.col("all_emails")), email)
-        rows = rows.withColumn("all_emails", F.collect_list("emails").over(each))
-    is_head = F.col("language").isNull()
+        shown = display.author_display(shown, F.array_sort("emails"), email)
+    a, d, f = (F.col(c) + F.col(f"co_authored_{c}") for c in ("additions", "deletions", "commits"))
 
-    def pick(head: Column, sub: Column, name: str) -> Column:
-        return F.when(is_head, head).otherwise(sub).alias(name)
+    def pick(author: Column, language: Column, total: Column, name: str) -> Column:
+        return F.when(kind == "author", author).when(kind == "language", language).otherwise(total).alias(name)
 
-    a, d = both["additions"], both["deletions"]
-    body = rows.filter(is_head | (F.col("n_languages") > 1)).select(
+    out = rows.filter((kind != "language") | (F.col("n_languages") > 1)).select(
         "rank_value",
         "merge_key",
-        pick(F.lit("author"), F.lit("language"), "kind"),
+        "kind",
         "name",
-        pick(shown, F.col("language"), "label"),
-        pick(F.col("all_commits"), _zero(), "commits"),
-        pick(F.col("all_additions"), a, "adds"),
-        pick(F.col("all_deletions"), d, "dels"),
-        pick(F.col("all_additions") - F.col("all_deletions"), a - d, "net"),
-        pick(F.col("all_files"), F.col("files"), "files"),
-        pick(F.col("top_language"), F.lit(""), "top_language"),
-    )
-    total = buckets.totals(h).select(
-        F.lit("total").alias("kind"), F.lit(TOTAL).alias("label"), *_metrics(F.col("commits")), F.lit("").alias("top_language")
-    )
-    return (
-        body.unionByName(total, allowMissingColumns=True)
-        .orderBy(
-            F.col("rank_value").asc_nulls_last(),
-            F.col("name").asc_nulls_last(),
-            F.col("merge_key").asc_nulls_last(),
-            F.col("kind"),
-            F.col("adds").desc(),
-            F.col("label"),
-        )
-        .drop("rank_value")
+        pick(shown, F.col("language"), F.lit(TOTAL), "label"),
+        pick(f, _zero(), F.col("commits"), "commits"),
+        pick(a, a, F.col("additions"), "adds"),
+        pick(d, d, F.col("deletions"), "dels"),
+        pick(a - d, a - d, F.col("additions") - F.col("deletions"), "net"),
+        pick(F.col("files"), F.col("files"), F.col("authored_files"), "files"),
+        pick(F.col("top_language"), F.lit(""), F.lit(""), "top_language"),
     )
+    return out.orderBy(
+        F.col("rank_value").asc_nulls_last(),
+        F.col("name").asc_nulls_last(),
+        F.col("merge_key").asc_nulls_last(),
+        F.col("kind"),
+        F.col("adds").desc(),
+        F.col("label"),
+    ).drop("rank_value")
 
 
 def bucket_report(h: History, level: str = "period", period: str = "month", sort: str = "additions") -> DataFrame:
     """Period or repository report: each label with its languages, then the total block."""
-    key = {"bucket": buckets.level_key(level, period)}
-    heads = buckets.bucket_totals(h, key)
-    parts = buckets.bucket_languages(h, key)
-    zero = _zero()
-
-    def rows(frame: DataFrame, kind: str, bucket: Column, label: Column, commits: Column, last: bool) -> DataFrame:
-        return frame.select(
-            F.lit(last).alias("is_total"),
-            bucket.alias("bucket"),
-            F.lit(kind).alias("kind"),
-            label.alias("label"),
-            *_metrics(commits),
-        )
-
-    grand = heads.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in heads.columns if c != "bucket"])
-    langs = parts.groupBy("language").agg(*[F.sum(c).alias(c) for c in ("additions", "deletions", "files")])
-    name, lang, total = F.col("bucket"), F.col("language"), F.lit(TOTAL)
-    out = (
-        rows(heads, "bucket", name, name, F.col("commits"), False)
-        .unionByName(rows(parts, "language", name, lang, zero, False))
-        .unionByName(rows(grand, "bucket", total, total, F.col("commits"), True))
-        .unionByName(rows(langs, "language", total, lang, zero, True))
+    sets = [["bucket", "language"], ["bucket"], ["language"], []]
+    leaves = buckets.leaves(h, buckets.level_keys(level, period=period, label="bucket"))
+    rows = buckets.with_subtotals(leaves, ["bucket"], sets)
+    is_total, by_language = F.col("depth") == 0, F.col("by_language")
+    name = F.when(is_total, F.lit(TOTAL)).otherwise(F.col("bucket"))
+    out = rows.select(
+        is_total.alias("is_total"),
+        name.alias("bucket"),
+        F.when(by_language, F.lit("language")).otherwise(F.lit("bucket")).alias("kind"),
+        F.when(by_language, F.col("language")).otherwise(name).alias("label"),
+        *_metrics(F.when(by_language, _zero()).otherwise(F.col("commits"))),
     )
     return out.orderBy("is_total", "bucket", "kind", *_language_sort(sort))
 
 
 def tree_report(h: History, levels: Sequence[str], period: str = "month", sort: str = "additions") -> DataFrame:
     """Tree nodes in reading order; languages hang on the leaves, the grand total comes last."""
-    depth = len(buckets.tree_levels(levels))
-    nodes = buckets.group_tree(h, levels, period).select(
-        "depth", "path", F.lit("node").alias("kind"), "label", *_metrics(F.col("commits"))
-    )
-    leaves = (
-        buckets.tree_languages(h, levels, period)
-        .filter(F.col("depth") == depth)
-        .select("depth", "path", F.lit("language").alias("kind"), F.col("language").alias("label"), *_metrics(_zero()))
+    by_language = F.col("by_language")
+    rows = buckets.whole_tree(h, levels, period, inner_languages=False).select(
+        "depth",
+        "path",
+        F.when(by_language, F.lit("language")).otherwise(F.lit("node")).alias("kind"),
+        F.when(by_language, F.col("language")).otherwise(F.col("label")).alias("label"),
+        *_metrics(F.when(by_language, _zero()).otherwise(F.col("commits"))),
     )
-    is_total, is_language = F.col("depth") == 0, F.col("kind") == "language"
-    return nodes.unionByName(leaves).orderBy(is_total, "path", is_language, *_language_sort(sort))
+    return rows.orderBy(F.col("depth") == 0, "path", F.col("kind") == "language", *_language_sort(sort))
 
 
 def repo_report(repos: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from revtally.operators import buckets, people
 from revtally.operators.history import History
 from revtally.plans import reports
+from revtally.sinks import documents
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,7 @@ class Stats:
     @property
     def key(self) -> dict[str, Column]:
         level = "repo" if self.level == "repo" else "period"
-        return {"label": buckets.level_key(level, self.period)}
+        return buckets.level_keys(level, period=self.period, label="label")
 
     def buckets(self) -> DataFrame:
         """Totals by repository when that is the level, by period otherwise."""
@@ -47,6 +48,16 @@ class Stats:
     def tree(self) -> DataFrame:
         return buckets.group_tree(self.history, self.levels, self.period)
 
+    def document(self) -> DataFrame:
+        """The statistics as JSON: nodes of the tree where there are levels, else buckets and people."""
+        if self.levels:
+            return documents.tree_document(self.history, self.levels, self.period)
+        return documents.to_stats_json(self.history, self.key["label"])
+
+    def errors(self) -> DataFrame | None:
+        """What could not be loaded, if the history knows."""
+        return self.history.errors
+
     def report(self) -> DataFrame:
         sort = self.options.get("sort")
         if self.levels:

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from revtally.operators import buckets, people
 from revtally.operators.history import History
-from revtally.operators.lines import METRICS, sums
-from revtally.session import materialize
+from revtally.operators.lines import METRICS
 
 _LANG = {
     "additions": "additions",
@@ -64,22 +63,8 @@ def _folded(keys: Sequence[str], *frames: DataFrame) -> DataFrame:
     return stacked.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
 
 
-def _people(langs: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per person of each bucket with counters and language maps."""
-    co = F.when(F.col("co_authored_files") > 0, F.struct(F.col("language").alias("k"), _lang_struct("co_authored_").alias("v")))
-    lines = langs.groupBy(*keys, "person").agg(
-        *[F.sum(F.col(m) - F.col(f"co_authored_{m}")).alias(m) for m in METRICS if m != "files"],
-        *sums(*(f"co_authored_{m}" for m in METRICS if m != "files")),
-        _as_map("language", _lang_struct()).alias("languages"),
-        _map_of(co).alias("co_authored_languages"),
-    )
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(_LANG_ARRAY))
-    return _folded([*keys, "person"], lines, commits).select(
-        *keys,
-        "person",
-        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in _PERSON],
-        *[F.coalesce(c, empty).alias(c) for c in ("languages", "co_authored_languages")],
-    )
+def _counters(*names: str) -> list[Column]:
+    return [F.sum(c).alias(c) for c in names]
 
 
 def to_stats_json(h: History, key: Column) -> DataFrame:
@@ -87,35 +72,47 @@ def to_stats_json(h: History, key: Column) -> DataFrame:
     with totals and languages and one ``person`` row for each person. The shape is the same for
     any number of people.
 
-    Lines are joined to commits once: figures of people and buckets are sums over the languages
-    of people, and commits are counted from commits alone.
+    Both tables are scanned once. Rows by bucket, person and language are added up over people,
+    over buckets and over both in one aggregate; another folds the languages of each document.
     """
-    keys = {"label": key}
-    langs = materialize(people.bucket_person_languages(h, keys), "person-languages")
-    commits = materialize(people.bucket_commits(h, keys), "person-commits")
-    out = []
-    for section, names in (("periods", ["label"]), ("totals", [])):
-        if not names:
-            langs, commits = _merged_over(langs, "label"), _merged_over(commits, "label")
-        label = F.col("label") if names else F.lit(buckets.TOTAL)
-        # Every commit has one author, so the authored parts of the people add up to the bucket.
-        authored = langs.groupBy(*names, "language").agg(*[F.sum(F.col(m) - F.col(f"co_authored_{m}")).alias(m) for m in METRICS])
-        lines = authored.groupBy(*names).agg(*sums(*(m for m in METRICS if m != "files")), _as_map("language", _lang_struct()).alias("by_language"))
-        head = _folded(names, commits.groupBy(*names).agg(*sums("commits")), lines)
-        totals = [F.coalesce(m, F.lit(0).cast("bigint")).alias(f"total_{m}") for m in METRICS if m != "files"]
-        body = F.to_json(F.struct(label.alias("period_label"), "by_language", F.col("commits").alias("total_commits"), *totals))
-        none = F.lit(None).cast("string")
-        out.append(head.select(F.lit(section).alias("section"), label.alias("label"), F.lit("head").alias("kind"), none.alias("person"), body.alias("json")))
-        who = _people(langs, commits, names)
-        fields = F.struct(label.alias("period_label"), F.col("person").alias("author"), *_PERSON, "languages", "co_authored_languages")
-        out.append(who.select(F.lit(section), label, F.lit("person"), "person", F.to_json(fields)))
-    return reduce(DataFrame.union, out)
-
-
-def _merged_over(rows: DataFrame, key: str) -> DataFrame:
-    """People rows of all buckets added up."""
-    kept = [c for c in ("person", "language") if c in rows.columns]
-    return rows.groupBy(*kept).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in (key, *kept)])
+    counters = [c for m in ("commits", *METRICS) for c in (m, f"co_authored_{m}")]
+    rows = people.bucket_activity(h, buckets.Keys({"label": key}, ()))
+    names = ("label", "person", "language")
+    sets = [["label", "person", "language"], ["person", "language"], ["label", "language"], ["language"]]
+    by_language = rows.groupingSets(sets, *names).agg(
+        (F.grouping("label") == 1).alias("all_labels"), (F.grouping("person") == 1).alias("everybody"), *_counters(*counters)
+    )
+    # a commit without lines has no language, and stands on a row of its own
+    has = F.col("language").isNotNull()
+    authored = F.struct(*[(F.col(m) - F.col(f"co_authored_{m}")).alias(name) for m, name in _LANG.items()])
+    lines = F.when(F.col("everybody"), authored).otherwise(_lang_struct())
+    co = has & ~F.col("everybody") & (F.col("co_authored_files") > 0)
+    folded = by_language.groupBy("all_labels", "everybody", "label", "person").agg(
+        *_counters(*counters),
+        _map_of(F.when(has, F.struct(F.col("language").alias("k"), lines.alias("v")))).alias("languages"),
+        _map_of(F.when(co, F.struct(F.col("language").alias("k"), _lang_struct("co_authored_").alias("v")))).alias("co_authored_languages"),
+    )
+    label = F.when(F.col("all_labels"), F.lit(buckets.TOTAL)).otherwise(F.col("label")).alias("period_label")
+    # Every commit has one author, so the authored parts of the people add up to the bucket.
+    own = {m: F.col(m) - F.col(f"co_authored_{m}") for m in METRICS if m != "files"}
+    totals = [c.alias(f"total_{m}") for m, c in own.items()]
+    commits = F.col("commits") - F.col("co_authored_commits")
+    head = F.struct(label, F.col("languages").alias("by_language"), commits.alias("total_commits"), *totals)
+    parts = {"commits": commits, **own}
+    person = F.struct(
+        label,
+        F.col("person").alias("author"),
+        *[parts.get(c, F.col(c)).alias(c) for c in _PERSON],
+        "languages",
+        "co_authored_languages",
+    )
+    return folded.select(
+        F.when(F.col("all_labels"), F.lit("totals")).otherwise(F.lit("periods")).alias("section"),
+        label.alias("label"),
+        F.when(F.col("everybody"), F.lit("head")).otherwise(F.lit("person")).alias("kind"),
+        "person",
+        F.when(F.col("everybody"), F.to_json(head)).otherwise(F.to_json(person)).alias("json"),
+    )
 
 
 def to_scan_json(repos: DataFrame) -> DataFrame:
@@ -199,6 +196,19 @@ def to_tree_json(nodes: DataFrame, languages: DataFrame) -> DataFrame:
     return rows.select("depth", "path", body.alias("json"))
 
 
+def tree_document(h: History, levels: Sequence[str], period: str = "month") -> DataFrame:
+    """As :func:`to_tree_json`, from one scan of commits and of lines and one join of both."""
+    levels = buckets.tree_levels(levels)
+    sets = [[*levels[:n], "language"] for n in range(len(levels), -1, -1)]
+    leaves = buckets.leaves(h, buckets.level_keys(*levels, period=period))
+    rolled = buckets.with_path(buckets.rolled_up(leaves, levels, sets), levels, ("language", "commits", *METRICS))
+    entry = F.when(F.col("language").isNotNull(), F.struct(F.col("language").alias("k"), _lang_struct().alias("v")))
+    nodes = rolled.groupBy("depth", "path", "label").agg(*_counters("commits", *METRICS), _map_of(entry).alias("by_language"))
+    nodes = nodes.filter((F.col("commits") > 0) | (F.col("depth") == 0))
+    totals = [F.col(m).alias(f"total_{m}") for m in ("commits", *METRICS) if m != "files"]
+    return nodes.select("depth", "path", F.to_json(F.struct("label", "depth", "path", "by_language", *totals)).alias("json"))
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "error") -> None:
     """Write a whole result to ``path``."""
     df.write.mode(mode).format(fmt).save(path)

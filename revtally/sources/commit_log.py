@@ -9,6 +9,9 @@ The export command writes one record per commit::
 A record starts with \\x1e, its fields are parted by \\x1f, and \\x1d ends the message. What
 follows is either ``--numstat`` lines or, with ``-p`` in its place, the patch. Records are
 split by the text source itself, so one large log is read by many tasks.
+
+A record is one row there. :func:`read_large_logs` reads line by line instead, for patches that
+don't fit into a row: a patch may then be cut over any number of tasks.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revtally.functions.text import co_authors, subject
 from revtally.operators.filters import with_defaults
+from revtally.operators.history import History
 from revtally.operators.languages import with_language
+from revtally.session import materialize
 
 _FIELDS = ("oid", "author_name", "author_email", "committer_name", "committer_email", "seconds", "message")
 _RAW = "path STRING, value STRING"
@@ -212,3 +217,185 @@ def read_many(
     good = records.join(bad.select("path"), "path", "left_anti") if whole_logs else records
     changes = count_patch_lines(good) if patches else read_numstat(good)
     return commits_of(good), changes, errors
+
+
+# ---- line by line -------------------------------------------------------------------
+#
+# What a line means depends on lines before it: the last record header, whether the message has
+# ended, the last file header, the last hunk header. Within a block of a file, as the text source
+# cuts it, a window looks them up; a block's last ones are carried into the blocks that follow.
+# Whether a block begins within a message or within a patch is known only then, so what its lines
+# mean is worked out for both.
+
+_BLOCK = ("path", "block")
+_FILE_HEADER = r"^diff --(git |cc |combined )"
+_STRUCTURE = r"^(diff --|\+\+\+ |--- |@@|index |new file|deleted file|old mode|similarity |Binary files |GIT binary patch)"
+
+
+def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``(path, block, line, value)`` of logs; within a block lines are in the order of ``line``."""
+    paths = [path] if isinstance(path, str) else list(path)
+    text = spark.read.option("lineSep", "\n").text(paths)
+    return text.select(
+        _decoded(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """Lines with what was last seen before them, or in them, within their block.
+
+    ``record`` is the last header, ``part`` whether it is the ``message`` or the ``patch``;
+    ``if_patch`` and ``if_message`` hold the last file header and hunk header, should the block
+    begin in a patch or in a message. Content of hunks keeps its sign only.
+    """
+    upto = Window.partitionBy(*_BLOCK).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins, ends = F.startswith("value", F.lit("\x1e")), F.contains("value", F.lit("\x1d"))
+    fields = F.split(F.substr("value", F.lit(2)), "\x1f", len(_FIELDS))
+    oid, epoch = fields[0], F.expr("try_cast(get(split(substr(value, 2), '\x1f', 7), 5) AS BIGINT)")
+    fine = oid.rlike("^[0-9a-f]{40}([0-9a-f]{24})?$") & epoch.isNotNull()
+    place = [F.col("block").alias("block"), F.col("line").alias("line")]
+    header = F.struct(
+        *place,
+        F.md5(F.concat_ws("\x1f", "path", oid).cast("binary")).alias("commit_id"),
+        F.timestamp_seconds(epoch).alias("ts"),
+        F.coalesce(fine, F.lit(False)).alias("fine"),
+    )
+    state = F.when(ends, F.lit("patch")).when(begins, F.lit("message"))
+    seen = lines.withColumns({"_begins": begins, "_ends": ends}).withColumns(
+        {
+            "record": F.last(F.when(F.col("_begins"), header), ignorenulls=True).over(upto),
+            "part": F.last(state, ignorenulls=True).over(upto),
+        }
+    )
+
+    def marks(inside: Column) -> Column:
+        starts, hunk = inside & F.col("value").rlike(_FILE_HEADER), inside & F.startswith("value", F.lit("@@"))
+        none = F.struct(F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("line"), F.lit("").alias("header"))
+        file = F.when(F.col("_begins"), none).when(starts, F.struct(*place, F.col("value").alias("header")))
+        within = F.when(F.col("_begins") | starts, F.lit(False)).when(hunk, F.lit(True))
+        return F.struct(
+            F.last(file, ignorenulls=True).over(upto).alias("file"), F.last(within, ignorenulls=True).over(upto).alias("hunk")
+        )
+
+    known = (F.col("part") == "patch") & ~F.col("_ends")
+    sign = F.when(F.startswith("value", F.lit("+")), F.lit("+")).when(F.startswith("value", F.lit("-")), F.lit("-"))
+    kept = (F.col("part").isNull() | (F.col("part") == "message") | F.col("_ends") | F.col("value").rlike(_STRUCTURE) | F.col("value").rlike(r"^(\d+\t|-\t)"))
+    return seen.withColumns(
+        {"if_patch": marks(F.coalesce(known, F.lit(True))), "if_message": marks(F.coalesce(known, F.lit(False)))}
+    ).select(*_BLOCK, "line", "record", "part", "if_patch", "if_message", "_ends", sign.alias("sign"), F.when(kept, F.col("value")).alias("value"))
+
+
+def _carries(marked: DataFrame) -> DataFrame:
+    """What each block begins with: the last of everything in the blocks of its file before it.
+
+    One row per block of a file, in the order of its blocks.
+    """
+    state = F.struct("record", "part", "if_patch", "if_message")
+    last = marked.groupBy(*_BLOCK).agg(F.max_by(state, "line").alias("end")).select(*_BLOCK, "end.*")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(value: Column) -> Column:
+        return F.last(value, ignorenulls=True).over(before)
+
+    known = last.withColumns({"in_record": carried(F.col("record")), "in_part": carried(F.col("part"))})
+    chosen = known.withColumn("chosen", F.when(F.col("in_part") == "patch", F.col("if_patch")).otherwise(F.col("if_message")))
+    return chosen.select(
+        *_BLOCK, "in_record", "in_part", carried(F.col("chosen.file")).alias("in_file"), carried(F.col("chosen.hunk")).alias("in_hunk")
+    )
+
+
+def understood(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines with their record, part, file header and whether they are in a hunk. The lines are
+    shuffled by block once and written; what is joined afterwards is one row per block."""
+    marked = materialize(_marked(read_lines(spark, path)), "log-lines")
+    known = marked.join(_carries(marked), list(_BLOCK))
+    own = F.when(F.col("in_part") == "patch", F.col("if_patch")).otherwise(F.col("if_message"))
+    return known.select(
+        *_BLOCK,
+        "line",
+        F.coalesce("record", "in_record").alias("record"),
+        F.coalesce("part", "in_part").alias("part"),
+        F.coalesce(own["file"], F.col("in_file")).alias("file"),
+        F.coalesce(own["hunk"], F.col("in_hunk"), F.lit(False)).alias("hunk"),
+        F.col("_ends").alias("ends"),
+        "sign",
+        "value",
+    ).filter("record IS NOT NULL")
+
+
+def _heads(lines: DataFrame) -> DataFrame:
+    """Records without what follows their message, for :func:`commits_of` and :func:`load_errors`."""
+    head = lines.filter((F.col("part") == "message") | F.col("ends"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+    joined = F.array_join(F.transform(ordered, lambda x: x["value"]), "\n")
+    records = head.groupBy("path", "record.block", "record.line").agg(joined.alias("value"))
+    return records.select("path", F.substr("value", F.lit(2)).alias("value"))
+
+
+def _patch_files(lines: DataFrame) -> DataFrame:
+    """Per-file line counts of patches: partial counts leave each task, however large a file's part."""
+    in_hunk = F.col("hunk")
+    keys = ("path", "record", "file")
+    parts = lines.filter((F.col("file.line") >= 0)).select(
+        *keys,
+        F.when(~in_hunk, F.col("value")).alias("head"),
+        (in_hunk & (F.col("sign") == "+")).cast("bigint").alias("additions"),
+        (in_hunk & (F.col("sign") == "-")).cast("bigint").alias("deletions"),
+    )
+    # content of hunks has no head, so this leaves a few rows per file and task
+    few = parts.groupBy(*keys, "head").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+
+    def side(mark: str, prefix: str) -> Column:
+        name = F.regexp_extract("head", rf"(?d)^{mark} (.*?)\t?$", 1)
+        text = F.regexp_replace(unquoted(name), f"^{prefix}/", "")
+        return F.max(F.when(F.startswith("head", F.lit(mark.replace("\\", "") + " ")) & ~text.isin("", "/dev/null"), text))
+
+    files = few.groupBy(*keys).agg(
+        F.sum("additions").alias("additions"),
+        F.sum("deletions").alias("deletions"),
+        side(r"\+\+\+", "b").alias("new"),
+        side("---", "a").alias("old"),
+        F.max(F.coalesce(F.col("head").rlike("^(Binary files |GIT binary patch)"), F.lit(False))).alias("binary"),
+        F.max(F.coalesce(F.col("head").rlike("^(index |--- |new file|deleted file|old mode|similarity )"), F.lit(False))).alias("real"),
+    )
+    bare = F.regexp_replace("file.header", _FILE_HEADER, "")
+    named = F.regexp_replace(unquoted(F.regexp_extract(bare, r'(?d)^(?:"a/.*" |a/.* )("b/.*"|b/.*)', 1)), "^b/", "")
+    return files.filter("real AND NOT binary").select(
+        "record.commit_id", repo_name(F.col("path")).alias("repo"), "record.ts", F.coalesce("new", "old", named).alias("path"), "additions", "deletions"
+    )
+
+
+def _numstat_files(lines: DataFrame) -> DataFrame:
+    shape = r"^(\d+)\t(\d+)\t(.+)$"
+    counted = lines.filter(F.col("value").rlike(shape))
+    return counted.select(
+        "record.commit_id",
+        repo_name(F.col("path")).alias("repo"),
+        "record.ts",
+        unquoted(F.regexp_extract("value", shape, 3)).alias("path"),
+        F.regexp_extract("value", shape, 1).cast("bigint").alias("additions"),
+        F.regexp_extract("value", shape, 2).cast("bigint").alias("deletions"),
+    )
+
+
+def read_large_logs(spark: SparkSession, paths: str | Sequence[str], patches: bool = True) -> History:
+    """Logs as a history, whatever the size of a record: only a commit's message has to fit into a row.
+
+    Records begin at the beginning of a line here, and lines end with a line feed. The result is
+    that of :func:`read_many`.
+    """
+    lines = understood(spark, paths)
+    inside = lines.filter((F.col("part") == "patch") & ~F.col("ends") & F.col("record.fine"))
+    counted = _patch_files(inside) if patches else _numstat_files(inside)
+    changes = with_language(counted).select(*_COMMIT_KEYS, "path", "language", "additions", "deletions")
+    records = _heads(lines)
+    return History(commits_of(records), changes, owned=True, errors=load_errors(records))
+
+
+def read_history(spark: SparkSession, paths: Sequence[str], patches: bool = False, whole_logs: bool = False) -> History:
+    """Many logs as one history, with what was left out in ``errors``."""
+    commits, changes, errors = read_many(spark, paths, patches, whole_logs)
+    return History(commits, changes, owned=True, errors=errors)

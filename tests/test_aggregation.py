@@ -1,3 +1,6 @@
+import json
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -5,6 +8,8 @@ from pyspark.sql import functions as F
 from revtally import stats
 from revtally.operators import buckets, people, ranking
 from revtally.plans import reports
+from revtally.sinks import documents
+from revtally.sources import commit_log
 
 JANUARY = [
     (1, "a", "Alice", [], "2024-01-10 00:00:00"),
@@ -264,13 +269,117 @@ def test_bucketed_tables_join_without_shuffle(spark, five):
 
 def test_dated_file_changes_need_no_join(five):
     dated = five.file_changes.join(five.commits.select("commit_id", "ts", "repo"), "commit_id")
-    both = type(five)(five.commits, dated)
+    both = type(five)(five.commits, dated, owned=True)
     for h in (both, both.between("2024-01-16", "2024-01-31"), both.in_repos(["demo"])):
         plain = type(five)(h.commits, five.file_changes, narrowed=True)
         for found in (buckets.by_period, buckets.by_repo):
             assert rows(found(h)) == rows(found(plain))
         by_month = {"label": buckets.level_key("period")}
         assert rows(buckets.bucket_languages(h, by_month)) == rows(buckets.bucket_languages(plain, by_month))
-    plan = buckets.by_period(type(five)(five.commits.limit(5), dated.limit(99)))._jdf.queryExecution().optimizedPlan().toString()
+    plan = buckets.by_period(type(five)(five.commits.limit(5), dated.limit(99), owned=True))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the one that made the dated rows
     assert rows(buckets.by_author(both)) == rows(buckets.by_author(five))
+
+
+# ---- one pass, and lines without a commit -----------------------------------------------
+
+
+def test_lines_without_a_commit_count_nowhere(build):
+    h = build([(1, "a", "Alice", [], "2024-01-01 00:00:00"), (2, "a", "Bob", [], "2024-01-02 00:00:00")], [(1, "f", "Rust", 5, 0), (9, "g", "Go", 100, 1)])
+    dated = type(h)(h.commits, h.file_changes.withColumns({"ts": F.lit("2024-01-01").cast("timestamp"), "repo": F.lit("a")}))
+    for history in (h, dated):
+        assert rows(buckets.totals(history), "commits", "additions", "files") == [(2, 5, 1)]
+        assert rows(buckets.by_repo(history), "commits", "additions", "files") == [(2, 5, 1)]
+        assert rows(buckets.by_period(history), "label", "additions") == [("2024-01", 5)]
+        assert rows(buckets.bucket_languages(history, {}), "language") == [("Rust",)]
+        assert rows(reports.language_report(history), "kind", "label", "commits", "adds") == [("language", "Rust", 0, 5), ("total", "Total", 2, 5)]
+    assert rows(buckets.totals(type(h)(h.commits, h.file_changes.filter("commit_id = 1"), owned=True)), "additions") == [(5,)]
+
+
+def report_of(df, *columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
+
+
+def test_reports_of_nothing_have_a_total(build):
+    h = build([], [])
+    columns = ("kind", "label", "commits", "adds", "dels", "net", "files")
+    zero = (0, 0, 0, 0, 0)
+    assert report_of(reports.bucket_report(h), *columns) == [("bucket", "Total", *zero)]
+    assert report_of(reports.tree_report(h, ["repo", "period"]), *columns) == [("node", "Total", *zero)]
+    assert report_of(reports.language_report(h), *columns) == [("total", "Total", *zero)]
+    assert report_of(reports.author_report(h), *columns) == [("total", "Total", *zero)]
+    assert rows(documents.tree_document(h, ["repo"]), "depth") == [(0,)]
+    assert documents.to_stats_json(h, buckets.level_key("period")).count() == 0
+
+
+def test_reports_with_missing_names_and_commits_without_lines(build):
+    h = build(
+        [(1, None, "Alice", ["Bob"], "2024-01-01 00:00:00"), (2, "r", "Alice", [], "2024-02-01 00:00:00"), (3, "r", "Bob", ["Bob"], "2024-02-01 00:00:00")],
+        [(1, "a", "Rust", 3, 1), (1, "b", "Rust", 4, 0), (1, "c", "Go", 2, 2), (3, "d", None, 1, 0)],
+    )
+    got = report_of(reports.bucket_report(h, "repo"), "is_total", "bucket", "kind", "label", "commits", "adds", "files")
+    assert got == [
+        (False, None, "bucket", None, 1, 9, 3), (False, None, "language", "Rust", 0, 7, 2), (False, None, "language", "Go", 0, 2, 1),
+        (False, "r", "bucket", "r", 2, 1, 1), (False, "r", "language", "Other", 0, 1, 1),
+        (True, "Total", "bucket", "Total", 3, 10, 4),
+        (True, "Total", "language", "Rust", 0, 7, 2), (True, "Total", "language", "Go", 0, 2, 1), (True, "Total", "language", "Other", 0, 1, 1),
+    ]
+    got = report_of(reports.author_report(h), "kind", "label", "commits", "adds", "files", "top_language")
+    assert got == [
+        ("author", "Bob", 3, 11, 5, "Rust"), ("language", "Rust", 0, 7, 2, ""), ("language", "Go", 0, 2, 1, ""), ("language", "Other", 0, 2, 2, ""),
+        ("author", "Alice", 2, 9, 3, "Rust"), ("language", "Rust", 0, 7, 2, ""), ("language", "Go", 0, 2, 1, ""),
+        ("total", "Total", 3, 10, 4, ""),
+    ]
+    tree = report_of(reports.tree_report(h, ["repo", "author"]), "depth", "kind", "label", "commits", "adds")
+    assert (2, "node", "Alice", 1, 0) in tree and (0, "node", "Total", 3, 10) == tree[-1] and (2, "language", "Rust", 0, 7) in tree
+    docs = {tuple(r["path"]): json.loads(r["json"]) for r in documents.tree_document(h, ["repo", "author"]).collect()}
+    assert docs["r", "Alice"]["total_commits"] == 1 and docs["r", "Alice"]["by_language"] == {}
+    assert docs[()]["by_language"]["Rust"]["additions"] == 7 and docs[()]["total_commits"] == 3 and docs["r",]["total_additions"] == 1
+    docs = documents.to_stats_json(h, buckets.level_key("period")).collect()
+    heads = {r["label"]: json.loads(r["json"]) for r in docs if r["kind"] == "head"}
+    assert {k: (v["total_commits"], v["total_additions"], sorted(v["by_language"])) for k, v in heads.items()} == {
+        "2024-01": (1, 9, ["Go", "Rust"]), "2024-02": (2, 1, ["Other"]), "Total": (3, 10, ["Go", "Other", "Rust"]),
+    }
+    bob = next(json.loads(r["json"]) for r in docs if r["section"] == "totals" and r["person"] == "Bob")
+    assert (bob["commits"], bob["co_authored_commits"], bob["additions"], bob["co_authored_additions"]) == (1, 2, 1, 10)
+    assert bob["languages"]["Other"]["additions"] == 2 and bob["co_authored_languages"]["Rust"]["files_changed"] == 2
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda h: reports.bucket_report(h),
+        lambda h: reports.tree_report(h, ["repo", "period"]),
+        lambda h: reports.author_report(h),
+        lambda h: documents.tree_document(h, ["repo", "period"]),
+        lambda h: documents.to_stats_json(h, buckets.level_key("period")),
+    ],
+)
+def test_each_table_is_scanned_once(spark, make):
+    from conftest import DATA
+    from workload import tables
+
+    plan = make(tables.history(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and len(re.findall(r"Relation \[.*o_orderkey", plan)) == 1 and len(re.findall(r"Relation \[.*l_orderkey", plan)) == 1
+
+
+def test_one_row_of_each_commit_carries_it_without_another_shuffle(spark, five):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        both = buckets.both_grains(five, {})
+        assert rows(both.groupBy("commit_id").agg(F.sum("commits"), F.count("language"))) == [(1, 1, 2), (2, 1, 2), (3, 1, 1), (4, 1, 3), (5, 1, 2)]
+        plan = both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange" not in above and "Sort [" not in above
+
+
+def test_entry_gives_documents_and_errors(five, spark, tmp_path):
+    flat = stats(five, group=["period"]).document()
+    assert rows(flat.filter("kind = 'head'"), "label") == [("2024-01",), ("2024-02",), ("Total",)]
+    tree = stats(five, group=["author"], groups=["period"]).document()
+    assert rows(tree.filter("depth = 1"), F.array_join("path", ">")) == [("Alice",), ("Bob",)]
+    assert stats(five).errors() is None
+    loaded = commit_log.read_history(spark, [str(tmp_path / "missing.log")])
+    assert rows(stats(loaded).errors(), "error", "records") == [("PATH_NOT_FOUND", 0)]

@@ -44,7 +44,7 @@ def day(ts: str | Column) -> Column:
 
 
 def by_month() -> dict[str, Column]:
-    return {"label": buckets.level_key("period", "month")}
+    return buckets.level_keys("period", label="label")
 
 
 # ---- buckets ------------------------------------------------------------------------
@@ -837,7 +837,7 @@ SELECT t.label, t.commits, {_REMOTE_SUMS} FROM t LEFT JOIN split s ON strftime(s
 )
 def fetch_entry(spark, sf):
     plan = fetch(
-        _merged_chunks(spark, sf), t.hosted_history(spark, sf), "ACME",
+        _merged_chunks(spark, sf), t.stored_history(spark, sf), "ACME",
         since="2024-01-04", until="2024-01-27", group=["period", "repo"], period="day", exclude=["promo", "OTHER"],
     )
     return plan.buckets()
@@ -849,7 +849,7 @@ def fetch_entry(spark, sf):
 )
 def fetch_repo_languages(spark, sf):
     plan = fetch(
-        _merged_chunks(spark, sf), t.hosted_history(spark, sf), "acme", since="2024-01-04", until="2024-01-27", group=["repo"]
+        _merged_chunks(spark, sf), t.stored_history(spark, sf), "acme", since="2024-01-04", until="2024-01-27", group=["repo"]
     )
     return plan.languages()
 
@@ -875,8 +875,9 @@ def _new(history: DataFrame) -> DataFrame:
     f"WHERE ({_OLD} AND {_RANGE}) OR {_NEW}",
 )
 def history_refresh(spark, sf):
-    history = t.hosted_history(spark, sf)
-    return refresh.refresh_history(_old(history), _new(history), "2024-01-05", "2024-01-25")
+    history = t.stored_history(spark, sf)
+    plain = ("repo", "oid", "committed_date", "additions", "deletions")
+    return refresh.refresh_history(_old(history), _new(history).select(*plain), "2024-01-05", "2024-01-25")
 
 
 @query("dedup_history", f"{o.with_(o.HISTORY)} SELECT DISTINCT repo, committed_date, a AS additions, d AS deletions FROM h")
@@ -1016,7 +1017,7 @@ def _multi(spark, sf, *exclude: str) -> tuple[DataFrame, DataFrame]:
     even = F.regexp_extract("name", "([0-9]+)$", 1).cast("int") % 2 == 0
     windows = F.explode(F.array(*[F.lit(d).cast("bigint") for d in days])).alias("window_days")
     counts = repos.select(windows, "owner", "name", F.when(even, F.lit(3)).otherwise(F.lit(0)).alias("commits"))
-    return cards.multi_window(t.hosted_history(spark, sf), repos, days, _NOW, counts, exclude)
+    return cards.multi_window(t.stored_history(spark, sf), repos, days, _NOW, counts, exclude)
 
 
 @query(
@@ -1188,8 +1189,7 @@ def scan_document(spark, sf):
     _tree_sql("repo", "month").replace("SELECT CAST(2 - g", "SELECT depth, path, label, commits, net_additions, additions AS by_language FROM (SELECT CAST(2 - g", 1) + ")",
 )
 def tree_document(spark, sf):
-    h, levels = t.history(spark, sf), ["repo", "period"]
-    docs = documents.to_tree_json(buckets.group_tree(h, levels), buckets.tree_languages(h, levels))
+    docs = documents.tree_document(t.history(spark, sf), ["repo", "period"])
     schema = "STRUCT<label: STRING, total_commits: BIGINT, total_net_additions: BIGINT, by_language: MAP<STRING, STRUCT<additions: BIGINT>>>"
     parsed = docs.select("depth", F.array_join("path", ">").alias("path"), F.from_json("json", schema).alias("d"))
     none = F.array().cast("array<struct<additions:bigint>>")
@@ -1280,21 +1280,31 @@ def commit_log_text(spark, sf):
     return _log_months(commits, changes)
 
 
-@query("patch_line_counts", _LOG_SQL)
-def patch_line_counts(spark, sf):
+def _patch() -> Column:
     plus = F.repeat(F.lit("+line\n"), F.col("n").cast("int"))
     minus = F.repeat(F.lit("--- line\n"), F.col("m").cast("int"))
-    patch = F.concat(
+    return F.concat(
         F.lit("diff --git a/src/main.rs b/src/main.rs\nindex 1..2 100644\n--- a/src/main.rs\n+++ b/src/main.rs\n@@ -1,2 +1,2 @@\n same\n"),
         plus, minus,
         F.lit("diff --git a/logo.png b/logo.png\nindex 1..2 100644\nBinary files a/logo.png and b/logo.png differ\n"),
         F.lit("diff --git a/new.py b/new.py\nnew file mode 100644\nindex 0..2\n--- /dev/null\n+++ b/new.py\n@@ -0,0 +1,3 @@\n+a\n+++ b\n+c\n"),
         F.lit('diff --git "a/a\\"b.py" "b/a\\"b.py"\nindex 1..2\n--- "a/a\\"b.py"\n+++ "b/a\\"b.py"\n@@ -1 +1 @@\n+a\u2028+b\r-c\n'),
     )
-    records = commit_log.read_records(spark, _export(spark, sf, patch))
+
+
+@query("patch_line_counts", _LOG_SQL)
+def patch_line_counts(spark, sf):
+    records = commit_log.read_records(spark, _export(spark, sf, _patch()))
     return _log_months(commit_log.commits_of(records), commit_log.count_patch_lines(records))
 
 
+@query("large_patch", _LOG_SQL)
+def large_patch(spark, sf):
+    """The same patches read line by line, so that no record has to fit into a row."""
+    history = commit_log.read_large_logs(spark, _export(spark, sf, _patch()))
+    return _log_months(history.commits, history.file_changes)
+
+
 # ---- orders made visible ------------------------------------------------------------
 
 
@@ -1523,9 +1533,12 @@ def bad_logs(spark, sf):
 # ---- streams ------------------------------------------------------------------------
 
 
+def _events_stream(spark, sf) -> DataFrame:
+    return spark.readStream.schema(t.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
 def _arriving(spark, sf) -> DataFrame:
-    source = spark.readStream.schema(t.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return source.select(
+    return _events_stream(spark, sf).select(
         F.concat(F.lit("acme/Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("repo"),
         F.col("event_id").cast("string").alias("oid"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("committed_date"),
@@ -1535,10 +1548,10 @@ def _arriving(spark, sf) -> DataFrame:
     )
 
 
-def _stored(spark, stream: DataFrame) -> DataFrame:
+def _refreshed(spark, stream: DataFrame) -> str:
     path = scratch_path(spark, "stream")
     live.refresh(stream, path, scratch_path(spark, "progress")).awaitTermination()
-    return live.stored(spark, path)
+    return path
 
 
 def _stream_sql(name: str, label: str) -> str:
@@ -1552,21 +1565,31 @@ FROM e GROUP BY 1, 2"""
 @query("stream_weekly", _stream_sql("week_start", "strftime(date_trunc('week', ts), '%Y-%m-%d')"))
 def stream_weekly(spark, sf):
     """Weeks of all that has arrived."""
-    weeks = live.week_buckets(_stored(spark, _arriving(spark, sf)))
+    weeks = live.weeks(spark, _refreshed(spark, _arriving(spark, sf)))
     return weeks.withColumn("week_start", day("week_start"))
 
 
 @query("stream_daily", _stream_sql("day_start", "strftime(ts, '%Y-%m-%d')"))
 def stream_daily(spark, sf):
     """Days of all that has arrived."""
-    days = live.day_buckets(_stored(spark, _arriving(spark, sf)))
+    days = live.days(spark, _refreshed(spark, _arriving(spark, sf))).drop("month")
     return days.withColumn("day_start", day("day_start"))
 
 
 @query("stream_monthly", _stream_sql("month", "strftime(ts, '%Y-%m')"))
 def stream_monthly(spark, sf):
     """Months of all that has arrived."""
-    return live.month_buckets(_stored(spark, _arriving(spark, sf)))
+    return live.months(spark, _refreshed(spark, _arriving(spark, sf)))
+
+
+@query("stream_running_months", f"SELECT repo, month, adds, dels, commits FROM ({ORACLES['stream_monthly']})")
+def stream_running_months(spark, sf):
+    """Running totals, whose result replaces what the batch before has left."""
+    path = scratch_path(spark, "months")
+    running = live.month_totals(_arriving(spark, sf)).writeStream.outputMode("complete")
+    put = running.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    put.option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
 
 
 @query(
@@ -1576,5 +1599,19 @@ FROM events GROUP BY 1""",
 )
 def stream_dedup(spark, sf):
     """Every commit arrives twice and is kept once."""
-    rows = _stored(spark, _arriving(spark, sf).unionByName(_arriving(spark, sf)))
+    rows = live.stored(spark, _refreshed(spark, _arriving(spark, sf).unionByName(_arriving(spark, sf))))
     return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"))
+
+
+@query(
+    "stream_rejects",
+    f"""{o.with_(o.HISTORY)} SELECT repo, committed_date, CAST(sum(a) AS BIGINT) AS additions, count(*) AS commits,
+  (SELECT count(*) FROM h WHERE moment IS NOT NULL) AS stored FROM h WHERE moment IS NULL GROUP BY ALL""",
+)
+def stream_rejects(spark, sf):
+    """What could not be stored, beside the number of rows that were."""
+    path = _refreshed(spark, t.hosted(_events_stream(spark, sf)))
+    rejected = live.rejects(spark, path).groupBy("repo", "committed_date").agg(
+        F.sum("additions").alias("additions"), F.count(F.lit(1)).alias("commits")
+    )
+    return rejected.withColumn("stored", live.ledger(spark, path).agg(F.sum("stored")).scalar())

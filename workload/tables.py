@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtally.functions.text import subject
+from revtally.operators import refresh
 from revtally.operators.history import History
 from revtally.operators.remote import merge_languages
+from revtally.session import scratch_path
 
 SCHEMAS = {
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
@@ -101,7 +103,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     author, keys = person("o_custkey"), helper_keys("o_orderkey", "o_custkey")
     return (
-        orders.join(F.broadcast(nation), "n_nationkey")
+        orders.join(nation, "n_nationkey")
         .selectExpr(
             "o_orderkey AS commit_id",
             "n_name AS repo",
@@ -140,14 +142,19 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> History:
-    return History(commits(spark, sf_dir), file_changes(spark, sf_dir))
+    """A line item's order is in the table of orders, so every file change has its commit."""
+    return History(commits(spark, sf_dir), file_changes(spark, sf_dir), owned=True)
 
 
 def hosted_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosted(table(spark, sf_dir, "events"))
+
+
+def hosted(events: DataFrame) -> DataFrame:
     """Commits of hosted repositories; one in 40 has an unreadable date."""
     brand = (F.col("user_id") % 25 + 1).cast("string")
     date = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("acme/Brand#"), brand).alias("repo"),
         F.col("event_id").cast("string").alias("oid"),
         F.when(F.col("event_id") % 40 == 0, F.lit("not a date")).otherwise(date).alias("committed_date"),
@@ -156,6 +163,19 @@ def hosted_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosted history as the library stores it, written once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, "hosted-history")
+        refresh.append_history(spark, path, hosted_history(spark, sf_dir))
+        _STORED[key] = path
+    return refresh.stored_history(spark, _STORED[key])
+
+
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repository per brand. Brand 7 has no language bytes; brands 5, 10, … are forks."""
     part = table(spark, sf_dir, "part").select(
