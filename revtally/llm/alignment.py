@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .blocks import _packed, squeezed, unpacked, widened
 from .common import saved
-from .units import Memo, Sides, by_place, byte_level_tokens, chunks, per_text, units
+from .units import ByteLevel, Memo, Pieces, by_place, chunks, per_text, units
 
 #: Bytes of text whose documents share a block.
 BLOCK = 8 << 20
@@ -46,25 +46,16 @@ class Vocabularies:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_buffer(first)
-        self.first.encode_special_tokens = True
-        self.second = SentencePieceProcessor(model_proto=second)
-        pieces = ((i, self.second.id_to_piece(i)) for i in range(self.second.get_piece_size()))
-        self.a = byte_level_tokens(self.first)
-        self.b = {i: bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
-        self.sides = Sides((self.encode_first, self.a), (self.encode_second, self.b))
-        self.memo, self.lengths = Memo(self.sides, 3), self.sides.lengths
+        library = Tokenizer.from_buffer(first)
+        library.encode_special_tokens = True
+        self.a, self.b = ByteLevel(library), Pieces(SentencePieceProcessor(model_proto=second))
+        self.lengths = [self.a.lengths, self.b.lengths]
+        self.memo = Memo(lambda new: [self.a(new), self.b(new)], 2)
         #: where a pair of ids is one number: the second id's bits
         self.bits = len(self.lengths[1]).bit_length()
-        self.digits = _digits(1 + max([*self.a, *self.b], default=0))
+        self.digits = _digits(max(map(len, self.lengths)))
         #: the library may join pieces over a cut if a piece has a space behind something else
-        self.cuts = not any(b" " in t.lstrip(b" ") for t in self.b.values())
-
-    def encode_first(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.first.encode_batch(texts, add_special_tokens=False)]
-
-    def encode_second(self, texts: list[str]) -> list[list[int]]:
-        return self.second.encode([t[1:] for t in texts], num_threads=1)  # it adds the space
+        self.cuts = not any(b" " in t.lstrip(b" ") for t in self.b.token.values())
 
 
 def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,13 +112,13 @@ def align(texts: list[str | None], vocabularies: Vocabularies) -> tuple[pd.DataF
     which = v.memo.look_up(flat)
     counts = [len(own) for own in cut]
     sides = [v.memo.gather(f, which) for f in (0, 1)]
-    bad = v.memo.gather(2, which)[1] > 0
+    bad = ~v.memo.good[which]
     of_unit = np.repeat(np.arange(len(texts)), counts)
     ids = [np.split(i, np.cumsum(per_text(n, counts))[:-1]) for i, n in sides] if texts else [[], []]
     for k in np.unique(of_unit[bad]):  # a whole text decides, not its units
         text = f" {texts[k]}"
-        first, second = v.encode_first([text])[0], v.encode_second([text])[0]
-        good = v.sides.kept(text, first, second)
+        first, second = v.a.encode(text), v.b.encode(text)
+        good = v.a.keeps(text, first) and v.b.keeps(text, second)
         ids[0][k], ids[1][k] = (np.array(x if good else [], np.int64) for x in (first, second))
     sizes = [np.array([len(x) for x in side], np.int64) for side in ids]
     figures = pd.DataFrame({"n_a": sizes[0], "n_b": sizes[1], "n_groups": 0, "n_links": 0, "groups_sha256": ""})

@@ -10,8 +10,8 @@ A folder holds, for every part of the documents in their order:
 - ``manifest``: a Parquet table of parts: names, counts, where the part begins, bytes of an id;
 - ``schema.json``: the columns of the documents.
 
-Documents are encoded where they are read, their ids are sorted by range, and each range writes its
-part. Counts of parts are added up to prefix sums, from which each part gets its base; only then
+Bounds of parts come from a sample of the documents' ids; a document is encoded where it is read,
+its ids go to its part, are sorted there and written. Counts of parts are added up to prefix sums, from which each part gets its base; only then
 are offsets written. A part is written under another name and moved when it is whole, so a task that
 is run again leaves the same files. All files can be memory-mapped: `TokenFiles` opens a folder for
 random access, `read` gives its documents back as a DataFrame.
@@ -30,20 +30,21 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pfs
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import saved
-from .units import Memo, Sides, by_place, byte_level_tokens, chunks, per_text, units
+from .units import ByteLevel, Memo, by_place, chunks, per_text, units
 
-#: Ids and documents of a part, about; ids read at a time.
-PART_TOKENS, PART_ROWS, READ_TOKENS = 32 << 20, 50_000, 4 << 20
+#: Bytes of text and documents of a part, about; ids read at a time; sampled documents for each part.
+PART_BYTES, PART_ROWS, READ_TOKENS, SAMPLED = 256 << 20, 200_000, 4 << 20, 20
 SCHEMA = "schema.json"
 
 _MANIFEST = (
@@ -65,13 +66,9 @@ def unit_memo(content: bytes) -> Memo:
     """Ids by the tokenizers library, kept for the next task of the same worker."""
     key = hash(content)
     if key not in _MEMOS:
-        library = _library(content)
-
-        def encode(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-
+        side = ByteLevel(_library(content))
         _MEMOS.clear()
-        _MEMOS[key] = Memo(Sides((encode, byte_level_tokens(library))))
+        _MEMOS[key] = Memo(lambda new: [side(new)])
     return _MEMOS[key]
 
 
@@ -85,18 +82,42 @@ def _content(path: str) -> bytes:
         return file.read()
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", end_id: int | None = None) -> DataFrame:
-    """df without its text, with `n_tokens` and `ids` (binary, as in the files)."""
+def bounds_of(df: DataFrame, order: str, text_col: str, least: int) -> list:
+    """Sorted values of a column that cut the documents into parts of about equal size. They come
+    from a sample of some documents for each part; the number of parts is at least `least`. A value
+    that stands for many documents may bound several parts."""
+    value = F.col(f"`{order}`")
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(f"`{text_col}`"))).first()
+    parts = max(least, -(-(size or 0) // PART_BYTES), -(-n // PART_ROWS))
+    drawn = df.select(value.alias("v")).sample(min(1.0, SAMPLED * parts / max(n, 1)), seed=7)
+    values = sorted((r["v"] for r in drawn.collect()), key=lambda v: (v is not None, v))  # a few for each file
+    return [values[len(values) * k // parts] for k in range(1, parts)] if values else []
+
+
+def part_of(value, tie: int, bounds: list) -> int:
+    """The part of a document; those of a value that bounds several parts go by a 64-bit hash."""
+    nulls = bisect.bisect_left(bounds, True, key=lambda v: v is not None)
+    low, high = 0, nulls
+    if value is not None:
+        low, high = bisect.bisect_left(bounds, value, nulls), bisect.bisect_right(bounds, value, nulls)
+    return low + (tie * (high - low + 1) >> 64)
+
+
+def encode(df: DataFrame, path: str, order: str, bounds: list, text_col: str = "text", end_id: int | None = None) -> DataFrame:
+    """df without its text, with `n_tokens`, `ids` (binary, as in the files), and in front of all
+    the part and a hash that tells documents of one id apart."""
     content = _content(path)
     width = id_width(content, end_id)
-    sent = df.sparkSession.sparkContext.broadcast(content)  # a tokenizer's file, of fixed size
-    df = df.drop("ids", "n_tokens", "start")
+    # a tokenizer's file, of fixed size, and a bound for each part
+    sent = df.sparkSession.sparkContext.broadcast((content, bounds))
     kept = [f for f in df.schema.fields if f.name != text_col]
-    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    text_at, kept_at = df.columns.index(text_col), [df.columns.index(f.name) for f in kept]
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_tie", T.LongType()), *kept, *added])
+    order_at, text_at, kept_at = df.columns.index(order), df.columns.index(text_col), [df.columns.index(f.name) for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = unit_memo(sent.value)
+        content, bounds = sent.value
+        memo = unit_memo(content)
         for batch in batches:
             for a, b in chunks(batch.column(text_at)):
                 flat, counts = [], []
@@ -110,11 +131,15 @@ def encode(df: DataFrame, path: str, text_col: str = "text", end_id: int | None
                 n = per_text(sizes, counts)
                 if end_id is not None:
                     ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
-                data = pa.py_buffer(ids.astype(f"<u{width}"))
-                ends = pa.py_buffer((np.concatenate([[0], np.cumsum(n)]) * width).astype(np.int32))
-                binary = pa.Array.from_buffers(pa.binary(), b - a, [None, ends, data])
+                data = ids.astype(f"<u{width}").tobytes()
+                ends = (np.concatenate([[0], np.cumsum(n)]) * width).astype(np.int32)
+                ties = [xxhash.xxh64_intdigest(data[i:j]) for i, j in zip(ends.tolist(), ends[1:].tolist())]
+                parts = [part_of(v, t, bounds) for v, t in zip(batch.column(order_at)[a:b].to_pylist(), ties)]
+                binary = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                # hashes are sorted as signed numbers, in the same order
+                signed = pa.array((np.array(ties, np.uint64) ^ np.uint64(1 << 63)).view(np.int64))
                 columns = [batch.column(k)[a:b] for k in kept_at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n), binary], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), signed, *columns, pa.array(n), binary], names=schema.names)
 
     return by_place(df).mapInArrow(run, schema)
 
@@ -132,53 +157,54 @@ def _moved(fs: pfs.FileSystem, path: str, write) -> None:
     fs.move(own, path)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut where the part in their first column changes."""
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        yield from ((int(part[a]), batch.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def write(df: DataFrame, folder: str, path: str, order: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
     """Writes the token files of documents, in the order of a column; returns the manifest."""
     spark, width = df.sparkSession, id_width(_content(path), end_id)
-    encoded = saved(encode(df, path, text_col, end_id), "encoded")
-    about_docs = T.StructType(encoded.schema.fields[:-1])
+    df = df.drop("ids", "n_tokens", "start")
+    bounds = bounds_of(df, order, text_col, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    encoded = encode(df, path, order, bounds, text_col, end_id)
+    about_docs = T.StructType(encoded.schema.fields[2:-1])
     fs, root = file_system(folder)
     fs.create_dir(root)
     _moved(fs, f"{root}/{SCHEMA}", lambda sink: sink.write(about_docs.json().encode()))
-    rows, tokens = encoded.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-(tokens or 0) // PART_TOKENS), -(-rows // PART_ROWS))
-    # the tie keeps documents of one id from being one range
-    tied = encoded.withColumns({"_hash": F.xxhash64("ids"), "_tie": F.monotonically_increasing_id()})
-    keys = [F.col(f"`{order}`").asc_nulls_first(), F.col("_hash"), F.col("_tie")]
-    ordered = tied.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_hash", "_tie")
-    ids_at, n_at = (ordered.columns.index(c) for c in ("ids", "n_tokens"))
-    rest = {k: c for k, c in enumerate(ordered.columns) if c != "ids"}
-
-    def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, about, total, docs = TaskContext.get().partitionId(), [], 0, 0
-        batches = (b for b in batches if b.num_rows)
-        first = next(batches, None)
-        if first is None:
-            return
+    keys = ["_part", F.col(f"`{order}`").asc_nulls_first(), "_tie"]
+    ordered = encoded.repartitionById(len(bounds) + 1, "_part").sortWithinPartitions(*keys)
+    ids_at = ordered.columns.index("ids")
+    rest = {k: c for k, c in enumerate(ordered.columns) if c not in ("_part", "_tie", "ids")}
+
+    def write_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _MEMOS.clear()  # this worker may have encoded before
         fs, root = file_system(folder)
-        names = [f"tokens-{part:06d}.bin", f"offsets-{part:06d}.bin", f"documents-{part:06d}.arrow"]
-
-        def tokens_of(sink) -> None:
-            nonlocal total, docs
-            for batch in (b for some in ([first], batches) for b in some):
-                for ids in batch.column(ids_at):
-                    sink.write(ids.as_buffer())
-                about.append(pa.RecordBatch.from_arrays([batch.column(k) for k in rest], names=list(rest.values())))
-                total += int(batch.column(n_at).to_numpy().sum())
-                docs += batch.num_rows
-
-        def documents_of(sink) -> None:
-            with pa.ipc.new_file(sink, about[0].schema) as file:
-                for batch in about:
-                    file.write_batch(batch)
-
-        _moved(fs, f"{root}/{names[0]}", tokens_of)
-        _moved(fs, f"{root}/{names[2]}", documents_of)
-        values = [part, *names, width, docs, total]
-        yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, values))], schema=_ARROW)
-
-    written = saved(by_place(ordered).mapInArrow(write_part, _MANIFEST), "parts")
+        for part, runs in groupby(_runs(batches), key=lambda run: run[0]):
+            about: list[pa.RecordBatch] = []
+            names = [f"tokens-{part:06d}.bin", f"offsets-{part:06d}.bin", f"documents-{part:06d}.arrow"]
+
+            def tokens_of(sink) -> None:
+                for _, batch in runs:
+                    for ids in batch.column(ids_at):
+                        sink.write(ids.as_buffer())
+                    about.append(pa.RecordBatch.from_arrays([batch.column(k) for k in rest], names=list(rest.values())))
+
+            def documents_of(sink) -> None:
+                with pa.ipc.new_file(sink, about[0].schema) as file:
+                    for batch in about:
+                        file.write_batch(batch)
+
+            _moved(fs, f"{root}/{names[0]}", tokens_of)
+            _moved(fs, f"{root}/{names[2]}", documents_of)
+            total = sum(int(b.column("n_tokens").to_numpy().sum()) for b in about)
+            values = [part, *names, width, sum(b.num_rows for b in about), total]
+            yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, values))], schema=_ARROW)
+
+    written = saved(by_place(ordered).mapInArrow(write_parts, _MANIFEST), "parts")
     based = with_bases(written)
 
     def write_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +217,7 @@ def write(df: DataFrame, folder: str, path: str, order: str = "doc_id", text_col
                 _moved(fs, f"{root}/{row['offsets']}", lambda sink: sink.write(starts.astype("<i8").tobytes()))
             yield batch
 
-    finished = based.repartition(max(1, min(parts, rows))).mapInArrow(write_offsets, based.schema)
+    finished = based.repartition(len(bounds) + 1).mapInArrow(write_offsets, based.schema)
     finished.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(based.schema).parquet(f"{folder}/manifest")
 

@@ -15,24 +15,29 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
+from tokenizers import pre_tokenizers
 
-#: Bytes of text worked on at a time; characters of units in a memo before it is emptied.
-CHUNK, MEMO = 2 << 20, 8 << 20
-#: New units that a library encodes as one text.
-TOGETHER = 64
+#: Bytes of text worked on at a time; characters of units, and pieces, in a memo before it is emptied.
+CHUNK, MEMO, PIECES = 2 << 20, 3 << 20, 200_000
+#: New units or pieces that a library encodes as one text.
+TOGETHER = 1_000
 
 # behind the space stands what follows it, as a search for a space is fast
 _UNSAFE = re.compile(r" (?:(?<![!-~\w] )|(?![!-~\w]))")
 _CUT = re.compile(r" (?<=[!-~\w] )(?=[!-~\w])")
 
-_ENDS = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.S)
+# Fixed value: how byte-level tokenizers cut a text into pieces.
+_PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters of which all libraries know alike whether they are letters, digits or white space.
+_PLAIN = re.compile(r"[\t\n\r -~\xa1-\u024f]*")
 
-#: Encodes texts as they are; a tuple of one string is a text's first unit, which has lost no space.
-Library = Callable[[list[str]], list[list[int]]]
+#: A unit that has lost the space before it; a tuple of one string is a text's first, which has lost none.
 Unit = str | tuple[str]
-#: Units in an order of its own, and for each side their ids one after another and how many each has.
-Encode = Callable[[list[Unit]], tuple[list[Unit], list[tuple[np.ndarray, np.ndarray]]]]
+#: For some units: ids one after another, how many each has, and whether they keep its bytes.
+Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
+Side = Callable[[list[Unit]], Encoded]
 
 
 def units(text: str) -> list[str]:
@@ -51,52 +56,100 @@ def whole(unit: Unit) -> str:
     return unit[0] if isinstance(unit, tuple) else f" {unit}"
 
 
-class Sides:
-    """Libraries that encode units, many at a time where nothing can join over their ends. The last
-    side has an id for each unit that one of the libraries doesn't keep byte by byte."""
-
-    def __init__(self, *sides: tuple[Library, dict[int, bytes]]):
-        self.sides = sides
-        self.lengths = [lengths(token) for _, token in sides]
-
-    def __call__(self, new: list[Unit]) -> tuple[list[Unit], list[tuple[np.ndarray, np.ndarray]]]:
-        joined = [u for u in new if isinstance(u, str) and _ENDS.fullmatch(u)]
+class ByteLevel:
+    """Units by a byte-level tokenizer of the tokenizers library. Pieces of plain characters are
+    cut here and looked up; the library's model encodes the new ones. All else is the library's."""
+
+    def __init__(self, library):
+        self.library = library
+        self.token = byte_level_tokens(library)
+        self.lengths = lengths(self.token)
+        self.special = [t.content for t in library.get_added_tokens_decoder().values()]
+        self.model = type(library)(library.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # which no mapped byte is
+        of = {b: c for c, b in byte_level().items()}
+        self.mapped = {b: of[b] for b in range(256)}
+        self.pieces = Memo(lambda new: [(*self._encoded(new), np.ones(len(new), bool))], 1, PIECES)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.encode().decode("latin-1").translate(self.mapped) for p in pieces]
+        runs = [" ".join(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)]
+        found = self.model.encode_batch(runs, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids) for e in found])
+        return ids, _sizes(self.lengths[ids], np.cumsum([len(t) for t in texts]))
+
+    def __call__(self, units: list[Unit]) -> Encoded:
+        texts = list(map(whole, units))
+        plain = np.array([_PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts], bool)
+        cut = [_PIECE.findall(t) for t, p in zip(texts, plain) if p]
+        counts = list(map(len, cut))
+        ids, n = self.pieces.gather(0, self.pieces.look_up([p for own in cut for p in own]))
+        rest = [t for t, p in zip(texts, plain) if not p]
+        others = [e.ids for e in self.library.encode_batch(rest, add_special_tokens=False)]
+        sizes, good = np.zeros(len(units), np.int64), np.ones(len(units), bool)
+        sizes[plain], sizes[~plain] = per_text(n, counts), list(map(len, others))
+        good[~plain] = [self.keeps(t, o) for t, o in zip(rest, others)]
+        of_unit = np.repeat(plain, sizes)
+        out = np.zeros(len(of_unit), np.int64)
+        out[of_unit], out[~of_unit] = ids, np.fromiter(chain.from_iterable(others), np.int64)
+        return out, sizes, good
+
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def keeps(self, text: str, ids: list[int]) -> bool:
+        """Whether the tokens make up the text."""
+        return b"".join(self.token.get(i, b"") for i in ids) == text.encode()
+
+
+class Pieces:
+    """Units by a sentencepiece model, which puts a space before a text. Many units are encoded as
+    one text where no piece can join over their ends."""
+
+    def __init__(self, library):
+        self.library = library
+        pieces = ((i, library.id_to_piece(i)) for i in range(library.get_piece_size()))
+        self.token = {i: bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
+        self.lengths = lengths(self.token)
+
+    def __call__(self, units: list[Unit]) -> Encoded:
+        joined = [k for k, u in enumerate(units) if isinstance(u, str) and u and _safe(u[0]) and _safe(u[-1])]
+        alone, sizes, ids = set(range(len(units))).difference(joined), {}, {}
         runs = [joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)]
-        texts = [f" {' '.join(run)}" for run in runs]
-        found = [encode(texts) for encode, _ in self.sides]
-        order, out = [], [([], []) for _ in self.sides]
-        for k, (run, text) in enumerate(zip(runs, texts)):
-            want, ends = text.encode(), np.cumsum([1 + len(u.encode()) for u in run])
-            cut = [self._cut(f, ids[k], want, ends) for f, ids in enumerate(found)]
-            if all(c is not None for c in cut):
-                order += run
-                for f, sizes in enumerate(cut):
-                    out[f][0].append(found[f][k])
-                    out[f][1].append(sizes)
-        taken = set(order)
-        single = [u for u in new if u not in taken]
-        alone = [encode([whole(u) for u in single]) for encode, _ in self.sides]
-        unlike = np.zeros(len(new), np.int64)
-        for k, unit in enumerate(single):
-            unlike[len(order) + k] = not self.kept(whole(unit), *(ids[k] for ids in alone))
-        for f, ids in enumerate(alone):
-            out[f][0].extend(ids)
-            out[f][1].append(np.fromiter(map(len, ids), np.int64, len(ids)))
-        sides = [(np.fromiter(chain.from_iterable(ids), np.int64), np.concatenate(sizes)) for ids, sizes in out]
-        return order + single, [*sides, (np.ones(unlike.sum(), np.int64), unlike)]
-
-    def _cut(self, f: int, ids: list[int], want: bytes, ends: np.ndarray) -> np.ndarray | None:
-        """How many ids each unit of a run has, if they keep its bytes and end where units end."""
-        have = np.cumsum(self.lengths[f][ids])
-        at = np.searchsorted(have, ends)
-        if not len(have) or have[-1] != ends[-1] or (have[at] != ends).any() or b"".join(map(self.sides[f][1].__getitem__, ids)) != want:
-            return None
-        return np.diff(at + 1, prepend=0)
-
-    def kept(self, text: str, *ids: list[int]) -> bool:
-        """Whether the tokens of every side make up the text."""
-        want = text.encode()
-        return all(b"".join(token.get(i, b"") for i in own) == want for (_, token), own in zip(self.sides, ids))
+        texts = [" ".join([units[k] for k in run]) for run in runs]
+        for run, text, found in zip(runs, texts, self.library.encode(texts, num_threads=1)):
+            if self.keeps(f" {text}", found):
+                found = np.array(found)
+                size = _sizes(self.lengths[found], np.cumsum([1 + len(units[k].encode()) for k in run]))
+                sizes.update(zip(run, size.tolist()))
+                ids.update(zip(run, np.split(found, np.cumsum(size)[:-1])))
+            else:
+                alone.update(run)
+        single = sorted(alone)
+        good = np.ones(len(units), bool)
+        for k, found in zip(single, self.library.encode([whole(units[k])[1:] for k in single], num_threads=1)):
+            ids[k], sizes[k], good[k] = np.array(found, np.int64), len(found), self.keeps(whole(units[k]), found)
+        every = range(len(units))
+        return np.concatenate([ids[k] for k in every]), np.array([sizes[k] for k in every], np.int64), good
+
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text[1:])
+
+    keeps = ByteLevel.keeps
+
+
+def _safe(char: str) -> bool:
+    """Whether a cut beside a character is safe, as in the patterns above."""
+    return "!" <= char <= "~" or char.isalnum()
+
+
+def _sizes(length: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many tokens, of some lengths, each of some strings has; tokens end where strings do."""
+    have = np.cumsum(length)
+    at = np.searchsorted(have, ends)
+    if (have[at] != ends).any():
+        raise ValueError("a token reaches over the end of a piece")
+    return np.diff(at + 1, prepend=0)
 
 
 def lengths(token: dict[int, bytes]) -> np.ndarray:
@@ -120,30 +173,34 @@ def byte_level_tokens(library) -> dict[int, bytes]:
 
 
 class Memo:
-    """Ids of units on some sides, as `encode` gives them."""
+    """Ids of units on some sides; `keep` bounds how many characters of units (or pieces) it holds
+    after a call."""
 
-    def __init__(self, encode: Encode, sides: int = 2):
-        self.encode, self.sides = encode, sides
+    def __init__(self, encode: Callable[[list[Unit]], list[Encoded]], sides: int = 1, keep: int | None = None):
+        self.encode, self.sides, self.keep = encode, sides, keep
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[Unit, int] = {}
-        self.chars = 0
+        self.held = 0
         self.ids = [np.zeros(0, np.int32)] * self.sides
         self.sizes = [np.zeros(0, np.int32)] * self.sides
+        self.good = np.ones(0, bool)
 
     def look_up(self, flat: list[Unit]) -> np.ndarray:
         """The numbers of units, valid until the next call."""
-        if self.chars > MEMO:
+        if self.held > (self.keep or MEMO):
             self._clear()
         new = list(set(flat) - self.known.keys())
         if new:
-            new, sides = self.encode(new)
-            for f, (ids, sizes) in enumerate(sides):
+            good = np.ones(len(new), bool)
+            for f, (ids, sizes, fine) in enumerate(self.encode(new)):
                 self.ids[f] = np.concatenate([self.ids[f], ids.astype(np.int32)])
                 self.sizes[f] = np.concatenate([self.sizes[f], sizes.astype(np.int32)])
+                good &= fine
+            self.good = np.concatenate([self.good, good])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.chars += sum(len(u[0]) if isinstance(u, tuple) else len(u) for u in new)
+            self.held += len(new) if self.keep else sum(len(u[0]) if isinstance(u, tuple) else len(u) for u in new)
         return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
 
     def gather(self, f: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

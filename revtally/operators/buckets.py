@@ -51,11 +51,13 @@ def commits_with_lines(h: History, keys: dict[str, Column], *extra: str) -> Data
     Both sides grow with the history, and a size estimate taken from compressed files can be
     far too small. The hint keeps the lines from being broadcast on such an estimate.
     """
+    h = h.settled()
     return keyed(h, keys, *extra).join(per_commit(h.file_changes).hint("merge"), "commit_id", "left")
 
 
 def languages_of_commits(h: History, keys: dict[str, Column], *extra: str) -> DataFrame:
     """One row per commit and language."""
+    h = h.settled()
     return keyed(h, keys, *extra).join(per_commit_language(h.file_changes).hint("merge"), "commit_id")
 
 
@@ -113,6 +115,7 @@ def both_grains(h: History, keys: dict[str, Column], *extra: str) -> DataFrame:
     lines of any group are plain sums. The rows come out of the join by commit and sorted, so
     picking the first language of each needs neither a shuffle nor a sort.
     """
+    h = h.settled()
     lines = per_commit_language(h.file_changes).hint("merge")
     joined = keyed(h, keys, *extra).join(lines, "commit_id", "left")
     first = F.min("language").over(Window.partitionBy("commit_id"))

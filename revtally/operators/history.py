@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtally.operators import filters
+from revtally.operators.lines import summed
+from revtally.session import materialize, scratch_path
+
+#: So many commit ids are broadcast at most: some tens of megabytes.
+FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -23,7 +28,8 @@ class History:
     A file change without its commit counts nowhere. ``owned`` promises that there is none, as
     where both tables come from the same records or a foreign key ties them; sums over file
     changes then need no join. Without the promise they are always joined. ``errors`` are those
-    of the logs it was read from, ``(path, error, records)``.
+    of the logs it was read from, ``(path, error, records)``. ``selective`` says that a filter may
+    have left few commits; see :meth:`settled`.
     """
 
     commits: DataFrame
@@ -31,9 +37,10 @@ class History:
     narrowed: bool = False
     owned: bool = False
     errors: DataFrame | None = None
+    selective: bool = False
 
     def where(self, predicate: Column | str) -> History:
-        return replace(self, commits=self.commits.filter(predicate), narrowed=True)
+        return replace(self, commits=self.commits.filter(predicate), narrowed=True, selective=True)
 
     def _narrow(self, column: str, keep: Callable[[DataFrame], DataFrame]) -> History:
         if column not in self.file_changes.columns:
@@ -50,10 +57,10 @@ class History:
         return self._narrow("ts", lambda df: filters.last_days(df, days, now))
 
     def involving(self, pattern: str) -> History:
-        return replace(self, commits=filters.involving(self.commits, pattern), narrowed=True)
+        return replace(self, commits=filters.involving(self.commits, pattern), narrowed=True, selective=True)
 
     def by_committer(self, pattern: str) -> History:
-        return replace(self, commits=filters.by_committer(self.commits, pattern), narrowed=True)
+        return replace(self, commits=filters.by_committer(self.commits, pattern), narrowed=True, selective=True)
 
     def in_repos(self, names: Iterable[str]) -> History:
         names = list(names)
@@ -77,14 +84,28 @@ class History:
         )
 
     def save_bucketed(self, prefix: str, buckets: int = 512) -> None:
-        """Write both tables bucketed and sorted by ``commit_id``; joins on them need no shuffle.
+        """Write commits, and lines added up by commit and language, both bucketed and sorted by
+        ``commit_id``: joins on it need no shuffle, and a commit with a third of all files is as
+        many rows as it has languages. Worth it for a history that is queried often."""
+        for suffix, frame in (("commits", self.commits), ("file_changes", summed(self.file_changes))):
+            writer = frame.write.mode("overwrite").format("parquet")
+            path = scratch_path(frame.sparkSession, f"{prefix}-{suffix}")
+            writer.option("path", path).bucketBy(buckets, "commit_id").sortBy("commit_id").saveAsTable(f"{prefix}_{suffix}")
+
+    def settled(self) -> History:
+        """For a history narrowed to somebody's commits: leaves out the lines of all others.
 
-        Worth it for a history that is queried often and has no commit larger than a bucket
-        should be, since one task reads one bucket.
+        The ids of the commits that are kept are written first, so their number is known. Up to
+        ``FEW`` of them are broadcast, and lines of other commits go no further than their scan.
+        Beyond, lines are added up per commit before they are shuffled, as without this.
         """
-        for suffix, frame in (("commits", self.commits), ("file_changes", self.file_changes)):
-            writer = frame.write.mode("overwrite").format("parquet")
-            writer.bucketBy(buckets, "commit_id").sortBy("commit_id").saveAsTable(f"{prefix}_{suffix}")
+        if not self.selective:
+            return self
+        kept = materialize(self.commits.select("commit_id"), "kept-commits")
+        if kept.count() > FEW:
+            return replace(self, selective=False)
+        lines = self.file_changes.join(F.broadcast(kept.distinct()), "commit_id", "left_semi")
+        return replace(self, file_changes=lines, selective=False)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, prefix: str, owned: bool = False) -> History:

@@ -25,15 +25,26 @@ def sums(*names: str) -> list[Column]:
     return [F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias(n) for n in names]
 
 
+def _counted(file_changes: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """File changes with their net counters, and how to add them up. Sums that were stored in place
+    of file changes (:func:`summed`) have theirs already."""
+    if "files" in file_changes.columns:
+        return file_changes, sums(*METRICS)
+    return with_net(file_changes), [*sums(*METRICS[:4]), F.count(F.lit(1)).alias("files")]
+
+
 def _rows(file_changes: DataFrame, *keys: str) -> DataFrame:
-    counted = with_net(
-        file_changes.select(
-            *[labelled(F.col("language")).alias("language") if k == "language" else k for k in keys],
-            "additions",
-            "deletions",
-        )
-    )
-    return counted.groupBy(*keys).agg(*sums(*METRICS[:4]), F.count(F.lit(1)).alias("files"))
+    counters = METRICS if "files" in file_changes.columns else METRICS[:2]
+    named = [labelled(F.col("language")).alias("language") if k == "language" else k for k in keys]
+    rows, added = _counted(file_changes.select(*named, *counters))
+    return rows.groupBy(*keys).agg(*added)
+
+
+def summed(file_changes: DataFrame) -> DataFrame:
+    """File changes added up by commit and language, with what they carry of their commit: as many
+    rows per commit as it has languages, however many files it has."""
+    carried = [c for c in ("repo", "ts") if c in file_changes.columns]
+    return _rows(file_changes, "commit_id", "language", *carried)
 
 
 def per_commit(file_changes: DataFrame) -> DataFrame:
@@ -48,6 +59,7 @@ def per_commit_language(file_changes: DataFrame) -> DataFrame:
 
 def per_key(file_changes: DataFrame, keys: list[Column], *more: str) -> DataFrame:
     """Sums by keys that file changes carry themselves, with no regard to commits."""
-    rows = with_net(file_changes.select(*keys, *[labelled(F.col(c)).alias(c) for c in more], "additions", "deletions"))
+    counters = METRICS if "files" in file_changes.columns else METRICS[:2]
+    rows, added = _counted(file_changes.select(*keys, *[labelled(F.col(c)).alias(c) for c in more], *counters))
     names = [c for c in rows.columns if c not in METRICS]
-    return rows.groupBy(*names).agg(*sums(*METRICS[:4]), F.count(F.lit(1)).alias("files"))
+    return rows.groupBy(*names).agg(*added)

@@ -209,23 +209,28 @@ def language_rows(merged: DataFrame) -> DataFrame:
     return merged.groupBy("merge_key", "language").agg(F.min("name").alias("name"), *sums(*_COUNTERS))
 
 
-def people_with_totals(merged: DataFrame, emails: bool = False) -> DataFrame:
+def people_with_totals(merged: DataFrame, emails: str = "none") -> DataFrame:
     """Merged people by language, in all, and everybody together, in one aggregate.
 
     ``kind`` says which: ``language``, ``author`` or ``total``. The total counts what was
-    authored, so every commit once, and is there even if nobody is. ``emails`` are those seen
-    on a row, if wanted.
+    authored, so every commit once, and is there even if nobody is. ``emails`` adds the addresses
+    of each row as a ``list``, or as ``rows`` of their own kind, ``email``, however many there are.
     """
-    listed = [F.collect_set(F.nullif(F.col("email"), F.lit(""))).alias("emails")] if emails else []
+    listed = [F.collect_set(F.nullif(F.col("email"), F.lit(""))).alias("emails")] if emails == "list" else []
+    sets = [["merge_key", "language"], ["merge_key"], [], *([["merge_key", "email"]] if emails == "rows" else [])]
     seeded = merged.unionByName(merged.sparkSession.range(1).select(F.lit(None).cast("string").alias("language")), allowMissingColumns=True)
-    rows = seeded.groupingSets([["merge_key", "language"], ["merge_key"], []], "merge_key", "language").agg(
-        F.when(F.grouping("language") == 0, F.lit("language")).when(F.grouping("merge_key") == 0, F.lit("author")).otherwise(F.lit("total")).alias("kind"),
+    by = ["merge_key", "language", *(["email"] if emails == "rows" else [])]
+    kind = F.when(F.grouping("language") == 0, F.lit("language"))
+    kind = kind.when(F.grouping("email") == 0, F.lit("email")) if emails == "rows" else kind
+    rows = seeded.groupingSets(sets, *by).agg(
+        kind.when(F.grouping("merge_key") == 0, F.lit("author")).otherwise(F.lit("total")).alias("kind"),
         F.min("name").alias("name"),
         *sums(*_COUNTERS, "authored_files"),
         *listed,
     )
     somebody = F.col("commits") + F.col("co_authored_commits") > 0
     real = F.when(F.col("kind") == "language", F.col("language").isNotNull()).when(F.col("kind") == "author", somebody)
+    real = real.when(F.col("kind") == "email", F.col("email") != "") if emails == "rows" else real
     return rows.filter(F.coalesce(real, F.lit(True)))
 
 

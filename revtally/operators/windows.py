@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from revtally.functions.timeparts import as_moment, days_before
 
-# Named look-back periods in days.
-NAMED_DAYS = {"week": 7, "month": 30, "quarter": 90, "half": 180, "year": 365}
-
 
 def in_windows(df: DataFrame, days: Sequence[float], now, on: Column) -> DataFrame:
     """Repeat each row once per window it falls in, with ``window_days``.

@@ -59,10 +59,13 @@ def author_report(
 ) -> DataFrame:
     """Merged people, best first, each followed by its languages when there is more than one.
 
-    E-mails are gathered only when ``email`` asks to show them.
+    E-mails are shown only when ``email`` asks for it: in the label of their person, or with
+    ``rows`` each on a row of its own after it, for people with any number of them.
     """
-    named = email != "none"
-    rows = people.people_with_totals(people.merged_activity(h, dedup, identity), emails=named)
+    apart = email == "rows"
+    named = not apart and email != "none"
+    wanted = "rows" if apart else "list" if named else "none"
+    rows = people.people_with_totals(people.merged_activity(h, dedup, identity), wanted)
     kind = F.col("kind")
     # One window per person, as long as the person has languages, puts the person on each row.
     each = Window.partitionBy(kind == "total", "merge_key")
@@ -78,17 +81,18 @@ def author_report(
     shown = F.col("name")
     if named:
         shown = display.author_display(shown, F.array_sort("emails"), email)
+    sub = F.coalesce("language", F.concat(F.lit("<"), "email", F.lit(">"))) if apart else F.col("language")
     a, d, f = (F.col(c) + F.col(f"co_authored_{c}") for c in ("additions", "deletions", "commits"))
 
     def pick(author: Column, language: Column, total: Column, name: str) -> Column:
-        return F.when(kind == "author", author).when(kind == "language", language).otherwise(total).alias(name)
+        return F.when(kind == "author", author).when(kind != "total", language).otherwise(total).alias(name)
 
     out = rows.filter((kind != "language") | (F.col("n_languages") > 1)).select(
         "rank_value",
         "merge_key",
         "kind",
         "name",
-        pick(shown, F.col("language"), F.lit(TOTAL), "label"),
+        pick(shown, sub, F.lit(TOTAL), "label"),
         pick(f, _zero(), F.col("commits"), "commits"),
         pick(a, a, F.col("additions"), "adds"),
         pick(d, d, F.col("deletions"), "dels"),

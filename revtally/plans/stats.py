@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revtally.operators import buckets, people
+from revtally.operators.filters import metric_columns
 from revtally.operators.history import History
 from revtally.plans import reports
 from revtally.sinks import documents
@@ -59,6 +60,12 @@ class Stats:
         return self.history.errors
 
     def report(self) -> DataFrame:
+        """Report rows; ``columns`` and ``exclude_columns`` choose their metrics."""
+        chosen = [self.options.get(c, ()) for c in ("columns", "exclude_columns")]
+        report = self._report()
+        return reports.select_metrics(report, metric_columns(*chosen)) if any(chosen) else report
+
+    def _report(self) -> DataFrame:
         sort = self.options.get("sort")
         if self.levels:
             return reports.tree_report(self.history, self.levels, self.period, sort or "additions")

@@ -166,7 +166,8 @@ def to_fetch_json(
 
 
 def fetch_document(sections: DataFrame) -> DataFrame:
-    """The sections as one JSON document. Periods are as many as the calendar has, so they fit."""
+    """The sections as one JSON document in one row; for few periods. :func:`write_fetch_document`
+    writes any number of them."""
     def part(name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("section") == name, F.col("json"))), F.lit("null"))
 
@@ -179,6 +180,35 @@ def fetch_document(sections: DataFrame) -> DataFrame:
     return sections.agg(whole.alias("value"))
 
 
+def document_lines(sections: DataFrame) -> DataFrame:
+    """``(place, label, value)``: the lines of one JSON document in the order of place and label.
+
+    The first line opens the document and holds everything but the list of periods (or
+    repositories), each of which is a line, and the last line closes it.
+    """
+    def part(name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("section") == name, F.col("json"))), F.lit("null"))
+
+    listed = sections.filter("section = 'periods'")
+    first = listed.agg(F.min("label")).scalar()
+    fields = [F.concat(F.lit(f'"{n}":'), part(n)) for n in ("metadata", "user", "totals", "summary")]
+    head = sections.filter("section <> 'periods'").agg(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit(',"periods":[')).alias("value"))
+    none = F.lit(None).cast("string").alias("label")
+    comma = F.when(F.col("label").eqNullSafe(first), F.lit("")).otherwise(F.lit(","))
+    return (
+        head.select(F.lit(0).alias("place"), none, "value")
+        .union(listed.select(F.lit(1), "label", F.concat(comma, "json")))
+        .union(sections.sparkSession.range(1).select(F.lit(2), none, F.lit("]}")))
+    )
+
+
+def write_fetch_document(sections: DataFrame, path: str) -> None:
+    """Write one JSON document with many tasks: ranges of its lines become part files, which hold
+    the document one after another. :func:`stats_json.read_document_parts` reads them."""
+    order = ["place", "label"]
+    document_lines(sections).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
 def to_tree_json(nodes: DataFrame, languages: DataFrame) -> DataFrame:
     """One JSON line per tree node with its path; sorting by path gives the nesting."""
     per_node = languages.groupBy("depth", "path").agg(_as_map("language", _lang_struct()).alias("by_language"))

@@ -15,7 +15,20 @@ def read_stats_json(spark: SparkSession, path: str, multi_line: bool = False) ->
 
     Every document needs ``user`` and ``totals``; one without them is an error.
     """
-    docs = spark.read.schema(schemas.STATS_DOCUMENT).option("multiLine", multi_line).json(path)
+    return _filled(spark.read.schema(schemas.STATS_DOCUMENT).option("multiLine", multi_line).json(path))
+
+
+def read_document_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A document written in parts: as :func:`read_stats_json` gives it, and its list of periods or
+    repositories as ``(period_label, json)``. Lines are read where they lie, in no order."""
+    lines = spark.read.text(path)
+    opens = F.startswith("value", F.lit("{")) & F.endswith("value", F.lit('"periods":['))
+    whole = lines.filter(opens).select(F.from_json(F.concat("value", F.lit("]}")), schemas.STATS_DOCUMENT).alias("d"))
+    listed = lines.filter(~opens & (F.col("value") != "]}")).select(F.regexp_replace("value", "^,", "").alias("json"))
+    return _filled(whole.select("d.*")), listed.select(F.get_json_object("json", "$.period_label").alias("period_label"), "json")
+
+
+def _filled(docs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     for part in ("user", "totals"):
         lacking = F.raise_error(F.lit(f"document has no {part}"))

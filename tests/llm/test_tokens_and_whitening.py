@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from revtally.llm import alignment, token_files, whitening
 from revtally.llm.common import new_path, ship
-from revtally.llm.units import Memo, byte_level, units
+from revtally.llm.units import ByteLevel, Memo, Pieces, byte_level, units
 
 JSON, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, start string, n_a int, `odd.name` int"
@@ -50,9 +50,25 @@ def test_units_join_to_the_text_and_encode_as_the_whole():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_pieces_and_joined_units_are_encoded_as_by_the_library():
+    rng = random.Random(11)
+    plain = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)]] + ["\n", " ", "'s", "'ll", "the", "123"] * 20
+    odd = plain + ["\x1c", "\x85", "\xa0", "\u2028", "日", "🙂", "\u0301", "▁"] * 10
+    library, pieces = Tokenizer.from_file(JSON), SentencePieceProcessor(model_file=PIECES)
+    library.encode_special_tokens = True
+    for letters in (plain, odd):
+        made = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(4000)]
+        for side, encode in ((ByteLevel(library), lambda t: library.encode(t, add_special_tokens=False).ids), (Pieces(pieces), lambda t: pieces.encode(t[1:]))):
+            ids, sizes, good = side(made)
+            found = np.split(ids, np.cumsum(sizes)[:-1])
+            for unit, own, fine in zip(made, found, good):
+                want = encode(f" {unit}")
+                assert own.tolist() == want and fine == side.keeps(f" {unit}", want)
+
+
 def test_memo_is_emptied(monkeypatch):
     monkeypatch.setattr("revtally.llm.units.MEMO", 3)
-    memo = Memo(lambda new: (new, [(np.array([x for u in new for x in (len(u), 7)]), np.full(len(new), 2))]), 1)
+    memo = Memo(lambda new: [(np.array([x for u in new for x in (len(u), 7)]), np.full(len(new), 2), np.ones(len(new), bool))])
     for flat in (["aa", "bbb", "aa"], ["c"], ["bbb", "c"], []):
         ids, sizes = memo.gather(0, memo.look_up(flat))
         assert ids.tolist() == [x for u in flat for x in (len(u), 7)] and sizes.tolist() == [2] * len(flat)
@@ -85,6 +101,7 @@ def test_token_files(spark, docs, part_sizes):
     ids = {r["n_a"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got}
     assert ids == {n: i for _, i, n in want}
     assert all(r["n_tokens"] == len(ids[r["n_a"]]) for r in got)
+    assert manifest.count() > 1
     # ascending ids, no gaps
     got.sort(key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [i for i, _, _ in want]
@@ -98,6 +115,15 @@ def test_token_files(spark, docs, part_sizes):
         opened[len(opened)]
 
 
+def test_parts_follow_the_order_of_ids_and_split_hot_ones():
+    bounds = [None, None, 3, 5, 5, 5, 9]
+    top = (1 << 64) - 1
+    values = [None, 1, 3, 4, 5, 7, 9, 10]
+    spans = [(token_files.part_of(v, 0, bounds), token_files.part_of(v, top, bounds)) for v in values]
+    assert spans == [(0, 2), (2, 2), (2, 3), (3, 3), (3, 6), (6, 6), (6, 7), (7, 7)]
+    assert token_files.part_of(5, 1 << 63, bounds) == 5 and token_files.part_of("x", 5, []) == 0
+
+
 def test_token_files_of_nothing(spark, docs):
     folder = new_path(spark, "files")
     assert token_files.write(docs.filter("false"), folder, JSON, end_id=2).count() == 0

@@ -31,7 +31,7 @@ def test_entry(spark):
 
 # The banned operators would cross, nest or leave the JVM.
 BANNED = re.compile(r"CartesianProduct|BroadcastNestedLoopJoin|PythonUDF|ArrowEvalPython|BatchEvalPython|MapInPandas")
-WRITES = {"remote_repo_positions", "owned_repo_positions", "week_positions", "language_churn_positions", "commits_oldest_first", "author_positions_unmerged", "bad_logs", "history_append", "stats_json_roundtrip", "commit_log_text", "patch_line_counts", "stream_weekly", "stream_daily", "stream_monthly", "stream_dedup", "stream_rejects", "stream_running_months", "large_patch", "repo_list"}
+WRITES = {"remote_repo_positions", "owned_repo_positions", "week_positions", "language_churn_positions", "commits_oldest_first", "author_positions_unmerged", "bad_logs", "history_append", "stats_json_roundtrip", "commit_log_text", "patch_line_counts", "stream_weekly", "stream_daily", "stream_monthly", "stream_dedup", "stream_rejects", "stream_running_months", "large_patch", "repo_list", "file_positions", "bucketed_by_author", "fetch_document_parts"}
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in WRITES])

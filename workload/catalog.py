@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -271,6 +272,17 @@ def author_report_emails(spark, sf):
     return report.filter("kind = 'author'").select("merge_key", "label", "commits")
 
 
+@query(
+    "author_email_rows",
+    f"""{o.with_(o.COMMITS, o.ROLES)}, g AS (SELECT CASE WHEN {o.KNOWN} THEN {o.LOGIN} ELSE {o.name('p')} END AS merge_key, * FROM who)
+SELECT DISTINCT merge_key, '<' || {o.email('p')} || '>' AS label FROM g""",
+)
+def author_email_rows(spark, sf):
+    """Each address on a row of its own after its person."""
+    report = reports.author_report(t.history(spark, sf), "remote", t.identity(spark, sf), email="rows")
+    return report.filter("kind = 'email'").select("merge_key", "label")
+
+
 @query(
     "author_report",
     _merged_sql("name")
@@ -1239,6 +1251,34 @@ def stats_json_roundtrip(spark, sf):
     )
 
 
+@query(
+    "fetch_document_parts",
+    f"""{o.with_(o.HISTORY, o.WEEKS, o.REPO_LANGUAGES, o.apportioned('w', 'repo, week'))},
+t AS (SELECT repo, {o.sums(commits='commits', additions='adds')} FROM {_LISTED} GROUP BY repo),
+x AS (SELECT repo, count(DISTINCT language) AS languages, {o.sums(listed='adds')} FROM split GROUP BY repo)
+SELECT repo AS label, t.commits, t.additions, x.languages, x.listed, CAST((SELECT sum(commits) FROM t) AS BIGINT) AS all_commits
+FROM t JOIN x USING (repo)""",
+)
+def fetch_document_parts(spark, sf):
+    """A document by repository, written by many tasks and read again."""
+    contributed = _contributed(spark, sf).filter("week_start IS NOT NULL")
+    some = t.table(spark, sf, "customer").agg(F.lit("acme").alias("login"), F.count(F.lit(1)).alias("followers"))
+    sections = documents.to_fetch_json(some, some, remote.remote_by_repo(contributed), remote.remote_repo_languages(contributed), some)
+    path = scratch_path(spark, "fetch-parts")
+    documents.write_fetch_document(sections, path)
+    whole, listed = stats_json.read_document_parts(spark, path)
+    schema = "STRUCT<total_commits: BIGINT, total_additions: BIGINT, by_language: MAP<STRING, STRUCT<additions: BIGINT>>>"
+    rows = listed.select("period_label", F.from_json("json", schema).alias("d"))
+    return rows.select(
+        F.col("period_label").alias("label"),
+        F.col("d.total_commits").alias("commits"),
+        F.col("d.total_additions").alias("additions"),
+        F.size("d.by_language").cast("bigint").alias("languages"),
+        F.aggregate(F.map_values("d.by_language"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["additions"]).alias("listed"),
+        whole.select("commits").scalar().alias("all_commits"),
+    )
+
+
 # ---- exported logs ------------------------------------------------------------------
 
 
@@ -1356,6 +1396,24 @@ def author_positions_unmerged(spark, sf):
     return placed.select("merge_key", (F.col("additions") + F.col("co_authored_additions")).alias("adds"), "number")
 
 
+@query(
+    "file_positions",
+    f"""SELECT l_orderkey AS commit_id, path, row_number() OVER (ORDER BY l_orderkey, path) AS number FROM (
+  SELECT l_orderkey, 'src/m' || (l_partkey % 97) || CASE WHEN l_partkey % 50 = 0 THEN '/Makefile' ELSE '/part' || l_partkey || '.' || {o.EXT} END AS path FROM lineitem)""",
+)
+def file_positions(spark, sf):
+    rows = t.file_changes(spark, sf).select("commit_id", "path")
+    return ranking.numbered(rows, ranking.files_in_order())
+
+
+@query("bucketed_by_author", o.bucket_sql(o.name("k")))
+def bucketed_by_author(spark, sf):
+    """Over tables that lie bucketed by commit, with lines added up when they were written."""
+    prefix = f"tally_{uuid.uuid4().hex}"
+    t.history(spark, sf).save_bucketed(prefix, 16)
+    return buckets.by_author(t.History.from_tables(spark, prefix, owned=True))
+
+
 @query("active_repos", "SELECT count(DISTINCT p_brand) AS active_repos FROM part")
 def active_repos(spark, sf):
     return remote.active_repos(_contributed(spark, sf).select("repo").distinct())

@@ -20,7 +20,7 @@ def email(k: str) -> str:
 
 
 _LANGUAGE = "CASE l_partkey % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LANGUAGES) if x) + " END"
-_EXT = "CASE l_partkey % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(EXTENSIONS)) + " END"
+EXT = "CASE l_partkey % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(EXTENSIONS)) + " END"
 
 # Commits c(commit_id, repo, k, kind, ts); k is the author's customer key.
 COMMITS = """
@@ -49,7 +49,7 @@ f AS (
 PATHS = f"""
 paths AS (
   SELECT l_orderkey AS commit_id,
-         CASE WHEN l_partkey % 50 = 0 THEN 'Makefile' ELSE {_EXT} END AS ext FROM lineitem)"""
+         CASE WHEN l_partkey % 50 = 0 THEN 'Makefile' ELSE {EXT} END AS ext FROM lineitem)"""
 
 # Hosted history h(repo, oid, moment, a, d); unreadable dates are NULL.
 HISTORY = """
