@@ -19,9 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import pre_tokenizers
 
-#: Bytes of text worked on at a time; characters of units, and pieces, in a memo before it is emptied.
-CHUNK, MEMO, PIECES = 2 << 20, 3 << 20, 200_000
-#: New units or pieces that a library encodes as one text.
+#: Bytes of text worked on at a time; units, and pieces, in a memo before it is emptied; ids that they
+#: may have on average before it is emptied sooner.
+CHUNK, MEMO, PIECES, LONG = 2 << 20, 1_000_000, 500_000, 8
+#: New units that are looked at as one text.
 TOGETHER = 1_000
 
 # behind the space stands what follows it, as a search for a space is fast
@@ -68,31 +69,50 @@ class ByteLevel:
         self.model = type(library)(library.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # which no mapped byte is
         of = {b: c for c, b in byte_level().items()}
-        self.mapped = {b: of[b] for b in range(256)}
+        # no plain character is a zero, so it can stand between pieces
+        self.mapped = {b: of[b] if b else " " for b in range(256)}
         self.pieces = Memo(lambda new: [(*self._encoded(new), np.ones(len(new), bool))], 1, PIECES)
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [p.encode().decode("latin-1").translate(self.mapped) for p in pieces]
-        runs = [" ".join(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)]
-        found = self.model.encode_batch(runs, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids) for e in found])
-        return ids, _sizes(self.lengths[ids], np.cumsum([len(t) for t in texts]))
+        raw = "\0".join(pieces).encode()
+        found = self.model.encode_batch([raw.decode("latin-1").translate(self.mapped)], add_special_tokens=False)[0]
+        ids = np.array(found.ids)
+        gaps = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 0), len(raw))
+        return ids, _sizes(self.lengths[ids], gaps - np.arange(len(gaps)))
+
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(x in text for x in self.special)
 
     def __call__(self, units: list[Unit]) -> Encoded:
-        texts = list(map(whole, units))
-        plain = np.array([_PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts], bool)
-        cut = [_PIECE.findall(t) for t, p in zip(texts, plain) if p]
-        counts = list(map(len, cut))
-        ids, n = self.pieces.gather(0, self.pieces.look_up([p for own in cut for p in own]))
-        rest = [t for t, p in zip(texts, plain) if not p]
+        texts = [" " + u if type(u) is str else u[0] for u in units]
+        # white space apart, a plain character at an end keeps pieces from reaching over it
+        safe = [type(u) is str and u != "" and u[0] > " " and u[-1] > " " for u in units]
+        cut: list[list[str]] = []
+        counts = np.zeros(len(units), np.int64)
+        plain = np.zeros(len(units), bool)
+        together = np.flatnonzero(safe)
+        for at in range(0, len(together), TOGETHER):
+            run = together[at : at + TOGETHER]
+            joined = "".join([texts[k] for k in run])
+            if self._plain(joined):  # pieces end where units do
+                found = _PIECE.findall(joined)
+                ends = np.cumsum([len(texts[k]) for k in run])
+                plain[run], counts[run] = True, _sizes(np.fromiter(map(len, found), np.int64, len(found)), ends)
+                cut.append(found)
+        for k in np.flatnonzero(~plain):
+            if self._plain(texts[k]):
+                cut.append(found := _PIECE.findall(texts[k]))
+                plain[k], counts[k], safe[k] = True, len(found), False
+        order = [*together[plain[together] & np.array(safe, bool)[together]].tolist(), *np.flatnonzero(plain & ~np.array(safe, bool)).tolist()]
+        order = np.array(order, np.int64)
+        ids, n = self.pieces.gather(0, self.pieces.look_up(list(chain.from_iterable(cut))))
+        rest = [texts[k] for k in np.flatnonzero(~plain)]
         others = [e.ids for e in self.library.encode_batch(rest, add_special_tokens=False)]
         sizes, good = np.zeros(len(units), np.int64), np.ones(len(units), bool)
-        sizes[plain], sizes[~plain] = per_text(n, counts), list(map(len, others))
+        sizes[order] = per_text(n, counts[order].tolist())
+        sizes[~plain] = list(map(len, others))
         good[~plain] = [self.keeps(t, o) for t, o in zip(rest, others)]
-        of_unit = np.repeat(plain, sizes)
-        out = np.zeros(len(of_unit), np.int64)
-        out[of_unit], out[~of_unit] = ids, np.fromiter(chain.from_iterable(others), np.int64)
-        return out, sizes, good
+        return _in_order(order, sizes, ids, np.flatnonzero(~plain), others), sizes, good
 
     def encode(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -143,6 +163,16 @@ def _safe(char: str) -> bool:
     return "!" <= char <= "~" or char.isalnum()
 
 
+def _in_order(order: np.ndarray, sizes: np.ndarray, ids: np.ndarray, rest: np.ndarray, others: list[list[int]]) -> np.ndarray:
+    """Ids of all units one after another: those of `order` lie in `ids`, those of `rest` in `others`."""
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.int64)
+    for where, values in ((order, ids), (rest, np.fromiter(chain.from_iterable(others), np.int64))):
+        size = sizes[where]
+        out[np.arange(len(values)) + np.repeat(starts[where] - (np.cumsum(size) - size), size)] = values
+    return out
+
+
 def _sizes(length: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """How many tokens, of some lengths, each of some strings has; tokens end where strings do."""
     have = np.cumsum(length)
@@ -173,8 +203,8 @@ def byte_level_tokens(library) -> dict[int, bytes]:
 
 
 class Memo:
-    """Ids of units on some sides; `keep` bounds how many characters of units (or pieces) it holds
-    after a call."""
+    """Ids of units (or pieces) on some sides. It is emptied when it holds more than `keep` of them,
+    or too many ids of long ones."""
 
     def __init__(self, encode: Callable[[list[Unit]], list[Encoded]], sides: int = 1, keep: int | None = None):
         self.encode, self.sides, self.keep = encode, sides, keep
@@ -182,14 +212,14 @@ class Memo:
 
     def _clear(self) -> None:
         self.known: dict[Unit, int] = {}
-        self.held = 0
+        self.full = False
         self.ids = [np.zeros(0, np.int32)] * self.sides
         self.sizes = [np.zeros(0, np.int32)] * self.sides
         self.good = np.ones(0, bool)
 
     def look_up(self, flat: list[Unit]) -> np.ndarray:
         """The numbers of units, valid until the next call."""
-        if self.held > (self.keep or MEMO):
+        if self.full:
             self._clear()
         new = list(set(flat) - self.known.keys())
         if new:
@@ -200,7 +230,8 @@ class Memo:
                 good &= fine
             self.good = np.concatenate([self.good, good])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.held += len(new) if self.keep else sum(len(u[0]) if isinstance(u, tuple) else len(u) for u in new)
+            keep = self.keep or MEMO
+            self.full = len(self.known) > keep or max(map(len, self.ids)) > LONG * keep
         return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
 
     def gather(self, f: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
