@@ -447,6 +447,87 @@ def test_article_text_beside_the_densest_container():
             assert "elsewhere" not in text
 
 
+def unnamed_pages():
+    """Pages without a class name, and what of them is the article."""
+
+    def p(n):
+        return "<p>" + " ".join(["words of the article"] * n) + "</p>"
+
+    article = f"<h1>The headline of it</h1>{p(9)}{p(14)}{p(6)}"
+    notice, advert = "<div>We use cookies on this site, accept all of them now.</div>", "<div>Buy this thing now, only 9.99!</div>"
+    links = "<div>" + "".join(f"<a href=x>elsewhere {k}</a> " for k in range(30)) + "</div>"
+    for page in (
+        f"{notice}<div>{article}</div>{advert}",
+        f"<div>{notice}<div>{article}</div>{advert}{links}</div>",
+        f"{links}<div><div>{notice}</div><div><div>{article}</div></div></div>{advert}",
+        f'<form id="aspnetForm"><input type=hidden><div>{notice}<div>{article}</div></div><input></form>',
+        f"<div>{article}</div><form><div>Name <input></div><div>Password <input></div></form>",
+    ):
+        yield page, ["The headline of it", *(" ".join(["words of the article"] * n) for n in (9, 14, 6))]
+
+
+def test_density_chooses_the_article(monkeypatch):
+    pages = list(unnamed_pages())
+    for page, want in pages:
+        assert html_density.main_text(f"<html><body>{page}</body></html>").split("\n") == want
+    measure = html_density._measure
+
+    def zeroed(root):
+        nodes = measure(root)
+        for node in nodes:
+            node.density = 0.0
+        return nodes
+
+    monkeypatch.setattr(html_density, "_measure", zeroed)
+    changed = [html_density.main_text(f"<html><body>{page}</body></html>").split("\n") != want for page, want in pages]
+    assert sum(changed) >= 4
+
+
+def test_names_weigh_and_do_not_cut():
+    text = "<p>" + "a sentence of the article " * 8 + "</p>"
+    kept = html_density.main_text(f'<article><div class="article-header"><h1>Headline</h1></div>{text}{text}</article>')
+    assert kept.startswith("Headline\n")
+    whole = html_density.main_text(f'<div class="page with-sidebar sidebar"><div><h1>Headline</h1>{text}{text}</div></div>')
+    assert whole.split("\n")[0] == "Headline" and len(whole.split("\n")) == 3
+    less = html_density.main_text(f"<article>{text}<div class=ad>Buy this thing now</div>{text}<div class=comments><p>A comment of a reader on this.</p></div></article>")
+    assert len(less.split("\n")) == 2 and "Buy" not in less and "reader" not in less
+
+
+def test_densities_by_plain_recursion():
+    rng = random.Random(2)
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.2:
+            words = prose(rng, rng.randint(1, 30))
+            return f"<p>{words}</p>" if rng.random() < 0.7 else f"<p>{words} <a href=x>{prose(rng, 3)}</a></p>"
+        name = rng.choice(["", "", "", " class=ad", " class=story"])
+        return f"<div{name}>" + "".join(page(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+    for _ in range(40):
+        root, _ = html_density.parse(f"<body>{page(4)}{page(3)}</body>")
+
+        def figures(node):
+            """Characters, of these linked, tags, of these links; own figures are there before they are added up."""
+            own = [node.chars, node.link_chars, node.tags, node.link_tags]
+            for kid in node.kids:
+                own = [a + b for a, b in zip(own, figures(kid))]
+            plain[id(node)] = own
+            return own
+
+        plain = {}
+        figures(root)
+        chars, linked, *_ = plain[id(root)]
+        for node in html_density._measure(root):
+            c, lc, t, lt = plain[id(node)]
+            assert [node.chars, node.link_chars, node.tags, node.link_tags] == [c, lc, t, lt]
+            low, up = node.named, node.parent
+            while up:
+                low, up = low or up.named, up.parent
+            base = np.log(c / max(c - lc, 1) * max(lc, 1) + linked / max(chars, 1) * c + np.e) if c else 0
+            ratio = np.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / np.log(base) if c else 0
+            assert np.isclose(node.density, c / max(t, 1) * ratio * (html_density.LOW if low else 1))
+
+
 # --- embeddings
 
 
