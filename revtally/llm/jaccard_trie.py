@@ -285,6 +285,8 @@ def join(documents: DataFrame, percent: int = PERCENT, carry: list[str] | None =
             if len(task) < 2:
                 continue
             left, right = task[task["side"] != 1], task[task["side"] == 1]
+            if not len(right) and not (left["side"] == 2).any():
+                continue  # nothing falls into the other piece
             spanning, linked = links_between(left, right if len(right) else None, percent)
             # a row with two different nodes is a link, one with the same node twice its number of links
             out += [(u, v, 0) for u, v in spanning] + [(u, u, n) for u, n in linked.items() if n]
