@@ -230,7 +230,7 @@ def people_with_totals(merged: DataFrame, emails: str = "none") -> DataFrame:
     )
     somebody = F.col("commits") + F.col("co_authored_commits") > 0
     real = F.when(F.col("kind") == "language", F.col("language").isNotNull()).when(F.col("kind") == "author", somebody)
-    real = real.when(F.col("kind") == "email", F.col("email") != "") if emails == "rows" else real
+    real = real.when(F.col("kind") == "email", F.coalesce(F.col("email") != "", F.lit(False))) if emails == "rows" else real
     return rows.filter(F.coalesce(real, F.lit(True)))
 
 
