@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import hashing as H
-from .common import saved, set_aside
+from .common import collecting, remove, saved, set_aside
 
 ORDER = 5
 #: Robust standard deviations.
@@ -157,27 +157,20 @@ def count(blocks: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             for payload in batch.column("payload"):
                 for lang, words in word_counts(B.unpacked(payload.as_py())).items():
-                    grams: dict[int, list] = {}
                     times = np.fromiter(words.values(), np.int64, len(words))
                     each, done = _per_word(list(words)), 0
                     for keys, codes, start, end in ngrams(list(words), lang, order):
                         n = np.searchsorted(np.cumsum(each[done:]), len(keys)) + 1
-                        distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
+                        place, distinct = pd.factorize(keys)
+                        first = np.zeros(len(distinct), np.int64)
+                        first[place[::-1]] = np.arange(len(keys))[::-1]
                         total = np.bincount(place, weights=np.repeat(times[done : done + n], each[done : done + n]))
                         done += n
+                        # equal n-grams of other words are added up by Spark
                         text = codes.tobytes()
-                        for key, f, t in zip(distinct.tolist(), first.tolist(), total.astype(np.int64).tolist()):
-                            if key in grams:
-                                grams[key][1] += t
-                            else:
-                                grams[key] = [text[4 * start[f] : 4 * end[f]].decode("utf-32-le"), t]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "lang": pa.array([lang] * len(grams), pa.string()),
-                            "gram": pa.array([g for g, _ in grams.values()], pa.string()),
-                            "n": pa.array([n for _, n in grams.values()], pa.int64()),
-                        }
-                    )
+                        grams = [text[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(start[first].tolist(), end[first].tolist())]
+                        columns = [pa.array([lang] * len(distinct), pa.string()), pa.array(grams, pa.string()), pa.array(total.astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
 
     return blocks.select("payload").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -264,8 +257,8 @@ def hash_arrays(model: DataFrame, parts: int) -> DataFrame:
 
 
 def _asked(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    found = [np.unique(keys) for lang, words in word_counts(rows).items() for keys, *_ in ngrams(list(words), lang, order)]
-    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    found = [_distinct(keys) for lang, words in word_counts(rows).items() for keys, *_ in ngrams(list(words), lang, order)]
+    keys = _distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
     return keys, np.zeros(len(keys), np.uint8)
 
 
@@ -324,33 +317,47 @@ _ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 _UNSEEN = 1e-7
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys, sorted."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _summed(group: np.ndarray, place: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (group, place), which of them each row has, and their weights."""
     width = int(place.max()) + 1 if len(place) else 1
-    pairs, which = np.unique(group * width + place, return_inverse=True)
+    which, pairs = pd.factorize(group * width + place)
     return pairs, which, np.bincount(which, weights=weight, minlength=len(pairs))
 
 
+class _Figures:
+    """What the model has for the n-grams of a block, once for all of its languages."""
+
+    def __init__(self, figures: np.ndarray):
+        n, taken, total, rest, shorter = (figures[name].astype(np.float64) for name in FIGURES.names)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            p = (n - taken) / total + rest * shorter
+        self.log_p = np.log(np.where(p > 0, p, _UNSEEN))
+        self.n, self.taken, self.total, self.spared, self.shorter = n, taken, total, rest * total, shorter
+
+
 class _Scores:
     """Log probabilities of the words (or joins) of a block: by the whole model, and without
     what a row itself has counted."""
 
-    def __init__(self, words: list[bytes], lang: str, order: int, keys: np.ndarray, figures: np.ndarray, skip: np.ndarray | None):
+    def __init__(self, words: list[bytes], lang: str, order: int, keys: np.ndarray, figures: _Figures, skip: np.ndarray | None):
         self.each, grams, contexts = _per_word(words), [], []
         for k, codes, start, end in ngrams(words, lang, order):
             grams.append(np.searchsorted(keys, k))
             contexts.append(H.spans(H.prefix_sums(codes.view(np.uint8)), 4 * start, 4 * end - 4))
         empty = [np.zeros(0, np.int64)]
         self.grams = np.concatenate(grams or empty)
-        self.contexts = np.unique(np.concatenate(contexts or empty), return_inverse=True)[1]
+        self.contexts = pd.factorize(np.concatenate(contexts or empty))[0]
         self.begins = np.cumsum(self.each) - self.each
         if skip is not None:
             self.begins, self.each = self.begins + skip, self.each - skip
-        n, taken, total, rest, shorter = (figures[name].astype(np.float64) for name in FIGURES.names)
-        self.n, self.taken, self.total, self.spared, self.shorter = n, taken, total, rest * total, shorter
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p = (n - taken) / total + rest * shorter
-        sums = np.cumsum(np.concatenate([[0.0], np.log(np.where(p > 0, p, _UNSEEN))[self.grams]]))
+        self.figures = figures
+        sums = np.cumsum(np.concatenate([[0.0], figures.log_p[self.grams]]))
         self.of_word = sums[self.begins + self.each] - sums[self.begins] if len(words) else np.zeros(0)
 
     def rows(self, row: np.ndarray, which: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -369,18 +376,19 @@ class _Scores:
         gram, row = pairs % gram_width, pairs // gram_width
         context_own = np.zeros(len(pairs))
         context_own[which] = of_context[in_context]
-        left, total = np.maximum(self.n[gram] - own, 0), np.maximum(self.total[gram] - context_own, 0)
+        f = self.figures
+        left, total = np.maximum(f.n[gram] - own, 0), np.maximum(f.total[gram] - context_own, 0)
         with np.errstate(invalid="ignore", divide="ignore"):
             # of few that are left, no more than half are taken
-            p = (left - np.minimum(self.taken[gram], left / 2)) / total + np.minimum(self.spared[gram] / total, 1) * self.shorter[gram]
-        p = np.where(total > 0, p, self.shorter[gram])
+            p = (left - np.minimum(f.taken[gram], left / 2)) / total + np.minimum(f.spared[gram] / total, 1) * f.shorter[gram]
+        p = np.where(total > 0, p, f.shorter[gram])
         return whole, np.bincount(row, weights=own * np.log(np.where(p > 0, p, _UNSEEN)), minlength=n_rows)
 
 
 def _scored(rows: pa.Table, got: pd.DataFrame, order: int, carried: list[str]) -> Iterable[pd.DataFrame]:
     held = units(rows)
-    keys = np.unique(np.concatenate([np.unique(k) for lang, (words, *_) in held.items() for k, *_ in ngrams(words, lang, order)] or [np.zeros(0, np.uint64)]))
-    figures = B.told(got, FIGURES)
+    keys = _distinct(np.concatenate([_distinct(k) for lang, (words, *_) in held.items() for k, *_ in ngrams(words, lang, order)] or [np.zeros(0, np.uint64)]))
+    figures = _Figures(B.told(got, FIGURES))
     scores = {}
     for lang, (words, *_) in held.items():
         # of a join, what follows the blank is predicted
@@ -418,7 +426,10 @@ def score(documents: DataFrame, order: int = ORDER, carry: list[str] | None = No
         documents, carry = documents.withColumn("lang", F.lit(None).cast("string")), [*carry, "lang"]
     blocks = B.pack(documents)
     parts = B.ranges(blocks)
-    arrays = hash_arrays(fit(count(blocks, order), order), parts)
+    with collecting() as made:
+        model = fit(count(blocks, order), order)
+    arrays = saved(hash_arrays(model, parts), "arrays")
+    remove(documents.sparkSession, made)  # all that led to the arrays
     asked = B.questions(blocks, lambda rows: _asked(rows, order), parts, "uint8")
     answered = look_up(asked, arrays)
     types = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
