@@ -334,11 +334,12 @@ class _Figures:
     """What the model has for the n-grams of a block, once for all of its languages."""
 
     def __init__(self, figures: np.ndarray):
-        n, taken, total, rest, shorter = (figures[name].astype(np.float64) for name in FIGURES.names)
+        # single precision, as they came
+        self.n, self.taken, self.total, rest, self.shorter = (np.ascontiguousarray(figures[name]) for name in FIGURES.names)
+        self.spared = rest * self.total
         with np.errstate(invalid="ignore", divide="ignore"):
-            p = (n - taken) / total + rest * shorter
-        self.log_p = np.log(np.where(p > 0, p, _UNSEEN))
-        self.n, self.taken, self.total, self.spared, self.shorter = n, taken, total, rest * total, shorter
+            p = (self.n - self.taken) / self.total + rest * self.shorter
+        self.log_p = np.log(np.where(p > 0, p, np.float32(_UNSEEN)))
 
 
 class _Scores:
@@ -348,16 +349,16 @@ class _Scores:
     def __init__(self, words: list[bytes], lang: str, order: int, keys: np.ndarray, figures: _Figures, skip: np.ndarray | None):
         self.each, grams, contexts = _per_word(words), [], []
         for k, codes, start, end in ngrams(words, lang, order):
-            grams.append(np.searchsorted(keys, k))
+            grams.append(np.searchsorted(keys, k).astype(np.int32))
             contexts.append(H.spans(H.prefix_sums(codes.view(np.uint8)), 4 * start, 4 * end - 4))
-        empty = [np.zeros(0, np.int64)]
+        empty = [np.zeros(0, np.int32)]
         self.grams = np.concatenate(grams or empty)
-        self.contexts = pd.factorize(np.concatenate(contexts or empty))[0]
+        self.contexts = pd.factorize(np.concatenate(contexts or empty))[0].astype(np.int32)
         self.begins = np.cumsum(self.each) - self.each
         if skip is not None:
             self.begins, self.each = self.begins + skip, self.each - skip
         self.figures = figures
-        sums = np.cumsum(np.concatenate([[0.0], figures.log_p[self.grams]]))
+        sums = np.cumsum(np.concatenate([[0.0], figures.log_p[self.grams]]), dtype=np.float64)
         self.of_word = sums[self.begins + self.each] - sums[self.begins] if len(words) else np.zeros(0)
 
     def rows(self, row: np.ndarray, which: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
