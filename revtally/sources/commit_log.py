@@ -10,8 +10,8 @@ A record starts with \\x1e, its fields are parted by \\x1f, and \\x1d ends the m
 follows is either ``--numstat`` lines or, with ``-p`` in its place, the patch. Records are
 split by the text source itself, so one large log is read by many tasks.
 
-A record is one row there. :func:`read_large_logs` reads line by line instead, for patches that
-don't fit into a row: a patch may then be cut over any number of tasks.
+A record is one row there. :func:`read_large_logs` reads logs with a record that doesn't fit into
+a row line by line instead: a patch may then be cut over any number of tasks.
 """
 
 from __future__ import annotations
@@ -232,10 +232,44 @@ _FILE_HEADER = r"^diff --(git |cc |combined )"
 _STRUCTURE = r"^(diff --|\+\+\+ |--- |@@|index |new file|deleted file|old mode|similarity |Binary files |GIT binary patch)"
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+#: Bytes of the longest record that is read as one row.
+ROW_BYTES = 8 << 20
+
+_SEPARATOR = "\n\x1e"
+_FILE = "_metadata.file_path"
+
+
+def _short_records(spark: SparkSession, paths: Sequence[str], row_bytes: int) -> DataFrame:
+    """Text rows between separators; the reader doesn't hold longer ones, but may give pieces of them."""
+    longest = str(row_bytes)
+    return spark.read.option("lineSep", _SEPARATOR).option("mapreduce.input.linerecordreader.line.maxlength", longest).text(list(paths))
+
+
+def logs_with_long_records(spark: SparkSession, paths: Sequence[str], row_bytes: int = ROW_BYTES) -> list[str]:
+    """Files whose bytes are not all found in short records, by counting them: they hold a longer
+    one, or are compressed. One pass, of which a row per file is left."""
+    size, parted = F.col("size"), len(_SEPARATOR)
+    whole = spark.read.format("binaryFile").load(list(paths)).select(F.col(_FILE).alias("file"), F.col("_metadata.file_size").alias("size"))
+    rows = _short_records(spark, paths, row_bytes).select(F.col(_FILE).alias("file"), (F.octet_length("value") + F.lit(parted)).cast("bigint").alias("found"))
+    found = rows.groupBy("file").agg(F.sum("found").alias("found"))
+    # a separator may stand at the end
+    complete = F.coalesce(F.col("found").isin(size, size + F.lit(parted)), size == 0)
+    return [r["file"] for r in whole.join(found, "file", "left").filter(~complete).select("file").collect()]
+
+
+def read_short_records(spark: SparkSession, paths: Sequence[str], row_bytes: int = ROW_BYTES, but: Sequence[str] = ()) -> DataFrame:
+    """As :func:`read_records`, of all files ``but`` some; records begin at the beginning of a line."""
+    text = _short_records(spark, paths, row_bytes)
+    text = text.filter(~F.col(_FILE).isin(*but)) if but else text
+    begun = F.when(F.startswith("value", F.lit("\x1e")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    return text.select(_decoded(F.col(_FILE)).alias("path"), begun.alias("value")).filter(~F.col("value").rlike(r"^\s*$"))
+
+
+def read_lines(spark: SparkSession, path: str | Sequence[str], only: Sequence[str] = ()) -> DataFrame:
     """``(path, block, line, value)`` of logs; within a block lines are in the order of ``line``."""
     paths = [path] if isinstance(path, str) else list(path)
     text = spark.read.option("lineSep", "\n").text(paths)
+    text = text.filter(F.col(_FILE).isin(*only)) if only else text
     return text.select(
         _decoded(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -307,10 +341,10 @@ def _carries(marked: DataFrame) -> DataFrame:
     )
 
 
-def understood(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def understood(spark: SparkSession, path: str | Sequence[str], only: Sequence[str] = ()) -> DataFrame:
     """Lines with their record, part, file header and whether they are in a hunk. The lines are
     shuffled by block once and written; what is joined afterwards is one row per block."""
-    marked = materialize(_marked(read_lines(spark, path)), "log-lines")
+    marked = materialize(_marked(read_lines(spark, path, only)), "log-lines")
     known = marked.join(_carries(marked), list(_BLOCK))
     own = F.when(F.col("in_part") == "patch", F.col("if_patch")).otherwise(F.col("if_message"))
     return known.select(
@@ -381,17 +415,25 @@ def _numstat_files(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_large_logs(spark: SparkSession, paths: str | Sequence[str], patches: bool = True) -> History:
+def read_large_logs(
+    spark: SparkSession, paths: str | Sequence[str], patches: bool = True, row_bytes: int = ROW_BYTES
+) -> History:
     """Logs as a history, whatever the size of a record: only a commit's message has to fit into a row.
 
     Records begin at the beginning of a line here, and lines end with a line feed. The result is
-    that of :func:`read_many`.
+    that of :func:`read_many`. Reading by lines writes several times the size of a log, so only
+    logs that hold a record of ``row_bytes`` or more are read so.
     """
-    lines = understood(spark, paths)
-    inside = lines.filter((F.col("part") == "patch") & ~F.col("ends") & F.col("record.fine"))
-    counted = _patch_files(inside) if patches else _numstat_files(inside)
-    changes = with_language(counted).select(*_COMMIT_KEYS, "path", "language", "additions", "deletions")
-    records = _heads(lines)
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    long = logs_with_long_records(spark, paths, row_bytes)
+    records = read_short_records(spark, paths, row_bytes, long)
+    changes = count_patch_lines(records) if patches else read_numstat(records)
+    if long:
+        lines = understood(spark, paths, long)
+        inside = lines.filter((F.col("part") == "patch") & ~F.col("ends") & F.col("record.fine"))
+        counted = _patch_files(inside) if patches else _numstat_files(inside)
+        changes = changes.unionByName(with_language(counted).select(*_COMMIT_KEYS, "path", "language", "additions", "deletions"))
+        records = records.unionByName(_heads(lines))
     return History(commits_of(records), changes, owned=True, errors=load_errors(records))
 
 

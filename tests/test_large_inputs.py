@@ -89,6 +89,35 @@ def test_records_cut_over_tasks_count_the_same(spark, tmp_path, split_size, patc
     assert read.commits.count() == 52 and read.file_changes.count() > 40
 
 
+@pytest.mark.parametrize("patches, row_bytes", [(True, 400), (True, 4000), (False, 60)])
+def test_logs_with_long_records_are_read_by_lines(spark, tmp_path, patches, row_bytes):
+    paths = write_logs(tmp_path, patch if patches else numstat)
+    (tmp_path / "empty.log").write_text("")
+    (tmp_path / "a b%20+ü.log").write_text(head(1, "x\n") + "1\t2\ta.py\n")
+    paths += [str(tmp_path / "empty.log"), str(tmp_path / "a b%20+ü.log")]
+    commits, changes, errors = commit_log.read_many(spark, paths, patches)
+    read = commit_log.read_large_logs(spark, paths, patches, row_bytes)
+    assert rows(read.file_changes, *CHANGES) == rows(changes, *CHANGES)
+    assert rows(read.commits, *COMMITS) == rows(commits, *COMMITS)
+    assert rows(read.errors, "path", "error", "records") == rows(errors, "path", "error", "records")
+
+
+def test_only_logs_with_long_records_are_read_by_lines(spark, tmp_path):
+    texts = {"short": head(1, "s\n") + head(2, "t\n"), "long": head(1, "s\n") + "x" * 5000 + "\n" + head(2, "t\n"), "ended": head(1, "s\n") + "\n\x1e", "empty": "", "all": "y" * 5000}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.log").write_text(text)
+    paths = [str(tmp_path / f"{name}.log") for name in texts]
+    found = commit_log.logs_with_long_records(spark, paths, 4000)
+    assert sorted(Path(f).name for f in found) == ["all.log", "long.log"]
+    assert commit_log.logs_with_long_records(spark, paths) == []
+
+
+def test_small_records_are_not_shuffled_line_by_line(spark, tmp_path):
+    paths = write_logs(tmp_path, patch)
+    plan = commit_log.read_large_logs(spark, paths).file_changes._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
 def test_one_patch_in_many_blocks(spark, tmp_path):
     body = "diff --git a/big.py b/big.py\nindex 1..2\n--- a/big.py\n+++ b/big.py\n@@ -1 +1 @@\n" + "+added line\n-- gone\n" * 20_000
     (tmp_path / "big.log").write_text(head(1, "big\n") + body + head(2, "small\n") + "diff --git a/s.py b/s.py\nindex 1..2\n--- a/s.py\n+++ b/s.py\n@@ -1 +1 @@\n+x\n")
