@@ -46,16 +46,28 @@ def read_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Raw records ``(path, value)`` of one or many logs."""
     paths = [path] if isinstance(path, str) else list(path)
     text = spark.read.option("lineSep", "\x1e").text(paths)
-    return text.select(_decoded(F.col("_metadata.file_path")).alias("path"), "value").filter(
-        ~F.col("value").rlike(r"^\s*$")
-    )
+    return text.select(_decoded(F.col("_metadata.file_path")).alias("path"), "value").filter(~_blank())
+
+
+def _blank() -> Column:
+    """Whether a row is white space; what its beginning shows already needs no search of all of it."""
+    filled = F.left("value", F.lit(16)).rlike(r"[^\s\u0085\u2028\u2029]")
+    return ~filled & F.col("value").rlike(r"^\s*$")
+
+
+def _after(text: Column, before: Column) -> Column:
+    """What follows ``before``, with which ``text`` begins, and one more character."""
+    return F.substr(text, F.char_length(before) + F.lit(2))
 
 
 def _parsed(records: DataFrame) -> DataFrame:
-    head = F.split_part("value", F.lit("\x1d"), F.lit(1))
-    fields = F.split(head, "\x1f", len(_FIELDS))
-    body = F.when(F.instr("value", "\x1d") > 0, F.substr("value", F.instr("value", "\x1d") + F.lit(1)))
-    named = {name: F.try_element_at(fields, F.lit(i)) for i, name in enumerate(_FIELDS, 1)}
+    # The filter on flaws repeats these expressions, so they are plain searches for a separator.
+    # Where a record has too few fields the message is NULL and the other fields mean nothing.
+    head = F.substring_index("value", "\x1d", 1)
+    upto = [F.substring_index(head, "\x1f", i) for i in range(1, len(_FIELDS))]
+    named = {name: F.substring_index(upto[i], "\x1f", -1) for i, name in enumerate(_FIELDS[:-1])}
+    named["message"] = F.when(upto[-1] != head, _after(head, upto[-1]))
+    body = F.when(F.contains("value", F.lit("\x1d")), _after(F.col("value"), head))
     return (
         records.withColumns({**named, "body": body})
         .withColumn("epoch", F.expr("try_cast(seconds AS BIGINT)"))
@@ -63,6 +75,10 @@ def _parsed(records: DataFrame) -> DataFrame:
     )
 
 
+# Most records without a flaw have this shape, which one match shows; the others are looked at part by part.
+_USUAL = r"^[0-9a-f]{40}(?:[0-9a-f]{24})?\x1f(?:[^\x1f\x1d]*+\x1f){4}[0-9]{1,18}\x1f[^\x1d]*+\x1d"
+
+
 def _flaw() -> Column:
     return (
         F.when(F.col("message").isNull() | F.col("body").isNull(), F.lit("incomplete record"))
@@ -88,7 +104,8 @@ def unquoted(path: Column) -> Column:
 
     # pairs of backslashes first, so that what follows one is not taken for an escape
     plain = F.try_url_decode(F.array_join(F.transform(F.split(inner, r"\\\\"), decoded), "%5C"))
-    return F.when(path.rlike('(?s)^".*"$') & (F.char_length(path) > 1), F.coalesce(plain, path)).otherwise(path)
+    quoted = F.startswith(path, F.lit('"')) & path.rlike('(?s)^".*"$')
+    return F.when(quoted & (F.char_length(path) > 1), F.coalesce(plain, path)).otherwise(path)
 
 
 # Letters of escapes in quoted paths, as URL codes.
@@ -102,7 +119,7 @@ _COMMIT_KEYS = ("commit_id", "repo", "ts")
 def _well_formed(records: DataFrame) -> DataFrame:
     return (
         _parsed(records)
-        .filter(_flaw().isNull())
+        .filter(F.col("value").rlike(_USUAL) | _flaw().isNull())
         .withColumns({"repo": repo_name(F.col("path")), "ts": F.timestamp_seconds("epoch")})
     )
 
@@ -144,11 +161,12 @@ def read_numstat(records: DataFrame) -> DataFrame:
     """Per-file line counts of records with ``--numstat`` lines; binary files (``-``) have none."""
     shape = r"(?s)^(\d+)\t(\d+)\t(.+)\z"
     lines = _well_formed(records).select(*_COMMIT_KEYS, F.explode(F.split("body", "\n")).alias("line"))
-    counted = lines.filter(F.col("line").rlike(shape)).select(
+    both = F.substring_index("line", "\t", 2)
+    counted = lines.filter(F.col("line").rlike(shape)).withColumn("path", _after(F.col("line"), both)).select(
         *_COMMIT_KEYS,
-        unquoted(F.regexp_extract("line", shape, 3)).alias("path"),
-        F.regexp_extract("line", shape, 1).cast("bigint").alias("additions"),
-        F.regexp_extract("line", shape, 2).cast("bigint").alias("deletions"),
+        unquoted(F.col("path")).alias("path"),
+        F.substring_index("line", "\t", 1).cast("bigint").alias("additions"),
+        F.substring_index(both, "\t", -1).cast("bigint").alias("deletions"),
     )
     return with_language(counted).select(*_COMMIT_KEYS, "path", "language", "additions", "deletions")
 
@@ -159,26 +177,40 @@ def count_patch_lines(records: DataFrame) -> DataFrame:
     A patch is cut at its file headers and each part is counted on its own row: lines that
     begin with ``+`` or ``-`` after the first hunk header. Nothing is shuffled or ordered.
     """
+    # with a line feed before it, every header is found by a search for plain text
     parts = (
         _well_formed(records)
-        .select(*_COMMIT_KEYS, F.explode(F.split("body", r"(?dm)^diff --(?:git |cc |combined )")).alias("part"))
+        .select(*_COMMIT_KEYS, F.explode(F.split(F.concat(F.lit("\n"), "body"), r"\ndiff --(?:git |cc |combined )")).alias("part"))
         .filter(F.col("part").rlike(r"(?dm)^(index |--- |new file|deleted file|old mode|similarity )"))
+        .withColumn("head", F.substring_index("part", "\n@@", 1))
     )
-    head = F.regexp_extract("part", r"(?s)^(.*?)(?=\n@@|\z)", 1)
-    hunks = F.regexp_extract("part", r"(?s)\n(@@.*)\z", 1)
-
-    def side(mark: str, prefix: str) -> Column:
-        return F.regexp_replace(unquoted(F.regexp_extract(head, rf"(?dm)^{mark} (.*?)\t?$", 1)), f"^{prefix}/", "")
-
-    new, old = side(r"\+\+\+", "b"), side("---", "a")
-    named = F.regexp_replace(unquoted(F.regexp_extract(head, r'(?d)^(?:"a/.*" |a/.* )("b/.*"|b/.*)', 1)), "^b/", "")
+    head = F.col("head")
+    binary = F.lit(False)
+    for mark in ("Binary files ", "GIT binary patch"):
+        binary = binary | F.startswith(head, F.lit(mark)) | F.contains(head, F.lit("\n" + mark))
+
+    def side(mark: str) -> Column:
+        return F.regexp_extract(head, rf"(?d)\n{mark} (.*?)\t?(?:\n|\z)", 1)
+
+    def bare(name: Column | str, prefix: str) -> Column:
+        path = unquoted(F.col(name) if isinstance(name, str) else name)
+        return F.when(F.startswith(path, F.lit(f"{prefix}/")), F.substr(path, F.lit(3))).otherwise(path)
+
+    def lines(sign: str) -> Column:
+        found = F.octet_length("hunks") - F.octet_length(F.replace("hunks", F.lit("\n" + sign), F.lit("")))
+        return F.floor(found / 2).cast("bigint")
+
+    # a column for each step: what is used more than once is worked out once
+    stepped = (
+        parts.filter(~binary)
+        .withColumns({"hunks": _after(F.col("part"), head), "new": side(r"\+\+\+"), "old": side("---")})
+        .withColumns({"new": bare("new", "b"), "old": bare("old", "a")})
+    )
+    new, old = F.col("new"), F.col("old")
+    named = bare(F.regexp_extract(head, r'(?d)^(?:"a/.*" |a/.* )("b/.*"|b/.*)', 1), "b")
     path = F.when((new != "") & (new != "/dev/null"), new).when((old != "") & (old != "/dev/null"), old)
-    binary = head.rlike(r"(?dm)^(Binary files |GIT binary patch)")
-    counted = parts.filter(~binary).select(
-        *_COMMIT_KEYS,
-        F.coalesce(path, named).alias("path"),
-        F.regexp_count(hunks, F.lit(r"(?dm)^\+")).cast("bigint").alias("additions"),
-        F.regexp_count(hunks, F.lit(r"(?dm)^-")).cast("bigint").alias("deletions"),
+    counted = stepped.select(
+        *_COMMIT_KEYS, F.coalesce(path, named).alias("path"), lines("+").alias("additions"), lines("-").alias("deletions")
     )
     return with_language(counted).select(*_COMMIT_KEYS, "path", "language", "additions", "deletions")
 
@@ -262,7 +294,7 @@ def read_short_records(spark: SparkSession, paths: Sequence[str], row_bytes: int
     text = _short_records(spark, paths, row_bytes)
     text = text.filter(~F.col(_FILE).isin(*but)) if but else text
     begun = F.when(F.startswith("value", F.lit("\x1e")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
-    return text.select(_decoded(F.col(_FILE)).alias("path"), begun.alias("value")).filter(~F.col("value").rlike(r"^\s*$"))
+    return text.select(_decoded(F.col(_FILE)).alias("path"), begun.alias("value")).filter(~_blank())
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str], only: Sequence[str] = ()) -> DataFrame:

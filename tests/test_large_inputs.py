@@ -210,3 +210,33 @@ def test_report_columns(five):
     report = stats(five, groups=["period"], group=["period"], columns=["net", "adds"]).report()
     assert report.columns == ["depth", "path", "kind", "label", "net", "adds"]
     assert stats(five, group=["language"], exclude_columns=["files"]).report().columns == ["kind", "label", "commits", "adds", "dels"]
+
+
+# ---- logs are searched once for each thing -----------------------------------------------------
+
+
+def test_patches_are_searched_once_for_a_path(spark, tmp_path):
+    """What a path is made of is a column of its own, not repeated wherever the path is used."""
+    paths = write_logs(tmp_path, patch)
+    plan = commit_log.count_patch_lines(commit_log.read_records(spark, paths))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\+\+\+ ") == 1 and "regexp_count" not in plan
+
+
+def test_flaws_of_odd_records(spark, tmp_path):
+    """The shape of most records is a short cut only; others are judged as before."""
+    fields = ["Ann", "a@x", "Ann", "a@x"]
+    odd = {"+7": "kept", " 7 ": "kept", "7.5": "bad commit time", "9" * 18: "kept", "9" * 19: "bad commit time", "": "bad commit time"}
+    texts = ["\x1e" + "\x1f".join([OID % n, *fields, t, "m\x1fn\n"]) + "\x1d\n\n1\t2\ta.py\n" for n, t in enumerate(odd)]
+    cut = ["\x1e" + "\x1f".join([OID % 50, *fields, "7"]) + "\x1d\n", "\x1e" + "\x1f".join([OID % 51, *fields, "7", "no end"]), "\x1e\n  \n", "\x1e \n"]
+    (tmp_path / "odd.log").write_text("".join(texts + cut))
+    records = commit_log.read_records(spark, str(tmp_path / "odd.log"))
+    assert sorted((r["error"], r["records"]) for r in commit_log.load_errors(records).collect()) == [("bad commit time", 3), ("incomplete record", 3)]
+    assert rows(commit_log.commits_of(records), "message") == [("m\x1fn\n",)] * 3
+    assert rows(commit_log.read_numstat(records), "path", "additions", "deletions") == [("a.py", 1, 2)] * 3
+
+
+def test_lines_of_a_log_by_month_need_no_join(spark):
+    from workload import catalog
+
+    plan = catalog.QUERIES["commit_log_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(commit_id" not in plan
