@@ -20,11 +20,12 @@ def subject(message: Column) -> Column:
 
 def co_authors(message: Column) -> Column:
     """People named in co-author trailers, in order, repeats kept."""
-    names = F.regexp_extract_all(message, F.lit(TRAILER), F.lit(1))
-    emails = F.regexp_extract_all(message, F.lit(TRAILER), F.lit(2))
+    # one search of the message, and none without the word; names and addresses are cut from what it finds
+    trailers = F.when(F.contains(F.lower(message), F.lit("co-authored-by:")), F.regexp_extract_all(message, F.lit(TRAILER), F.lit(0)))
     space = F.lit(WHITE_SPACE)
-    people = F.zip_with(
-        names, emails, lambda n, e: F.struct(F.btrim(n, space).alias("name"), F.btrim(e, space).alias("email"))
+    people = F.transform(
+        trailers,
+        lambda t: F.struct(*[F.btrim(F.regexp_extract(t, TRAILER, i), space).alias(n) for i, n in ((1, "name"), (2, "email"))]),
     )
     return F.coalesce(people, F.array().cast("array<struct<name:string,email:string>>"))
 

@@ -1302,7 +1302,8 @@ SELECT month AS label, count(*) AS commits, CAST(sum(n + 4) AS BIGINT) AS additi
 
 
 def _log_months(commits: DataFrame, changes: DataFrame) -> DataFrame:
-    history = t.History(commits, changes)
+    # lines and commits are of the same records, and lines carry the time of theirs
+    history = t.History(commits, changes, owned=True)
     lines = buckets.by_period(history).select("label", "commits", "additions", "deletions")
     helped = commits.groupBy(timeparts.month_label(F.col("ts")).alias("label")).agg(
         F.sum(F.size("co_authors")).alias("helpers")
