@@ -172,7 +172,11 @@ def merged_activity(h: History, dedup: str = "name", identity: DataFrame | None
     ``none`` keeps the recorded name, ``name`` cuts an address off it, ``remote`` takes the
     login known for the e-mail and falls back to the name.
     """
-    rows = person_activity(h).withColumn("name", split_person(F.col("person"))["name"])
+    return _with_merge_key(person_activity(h), dedup, identity)
+
+
+def _with_merge_key(rows: DataFrame, dedup: str, identity: DataFrame | None) -> DataFrame:
+    rows = rows.withColumn("name", split_person(F.col("person"))["name"])
     if dedup == "none":
         return rows.withColumn("merge_key", F.col("person"))
     if dedup == "name":
@@ -191,6 +195,12 @@ def merged_emails(merged: DataFrame) -> DataFrame:
     return merged.filter(F.col("email") != "").select("merge_key", "email").distinct()
 
 
+def people_emails(h: History, dedup: str = "name", identity: DataFrame | None = None) -> DataFrame:
+    """:func:`merged_emails` of a history. Addresses are those of its commits, so no line is read."""
+    people = distinct_people(h.commits).filter(F.col("email") != "").withColumnRenamed("name", "person")
+    return merged_emails(_with_merge_key(people, dedup, identity))
+
+
 def merged_languages(merged: DataFrame) -> DataFrame:
     """Languages of merged people, all roles together."""
     return (

@@ -383,3 +383,18 @@ def test_entry_gives_documents_and_errors(five, spark, tmp_path):
     assert stats(five).errors() is None
     loaded = commit_log.read_history(spark, [str(tmp_path / "missing.log")])
     assert rows(stats(loaded).errors(), "error", "records") == [("PATH_NOT_FOUND", 0)]
+
+
+@pytest.mark.parametrize("dedup", people.DEDUP_MODES)
+def test_emails_of_merged_people_need_no_lines(spark, five, dedup):
+    identity = spark.createDataFrame([("alice@test.com", "Dev"), ("bob@test.com", None), ("charlie@test.com", "Dev")], "email STRING, login STRING")
+    found = people.people_emails(five, dedup, identity)
+    assert rows(found) == rows(people.merged_emails(people.merged_activity(five, dedup, identity)))
+    assert "additions" not in found._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+
+
+def test_emails_query_scans_no_lines(spark):
+    from workload import catalog
+
+    plan = catalog.QUERIES["author_emails"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan

@@ -257,8 +257,7 @@ def author_totals(spark, sf):
   {o.email('p')} AS email FROM who""",
 )
 def author_emails(spark, sf):
-    merged = people.merged_activity(t.history(spark, sf), "remote", t.identity(spark, sf))
-    return people.merged_emails(merged)
+    return people.people_emails(t.history(spark, sf), "remote", t.identity(spark, sf))
 
 
 @query(
