@@ -10,6 +10,7 @@ from revtally.functions.text import split_person
 from revtally.operators.buckets import both_grains, commits_with_lines, languages_of_commits
 from revtally.operators.history import History
 from revtally.operators.lines import METRICS, sums
+from revtally.session import small_parts
 
 DEDUP_MODES = ("none", "name", "remote")
 _LINES = METRICS[:4]
@@ -172,6 +173,7 @@ def merged_activity(h: History, dedup: str = "name", identity: DataFrame | None
     ``none`` keeps the recorded name, ``name`` cuts an address off it, ``remote`` takes the
     login known for the e-mail and falls back to the name.
     """
+    small_parts(h.commits.sparkSession)  # lines, people and e-mails meet in sorts and hash maps of one task
     return _with_merge_key(person_activity(h), dedup, identity)
 
 

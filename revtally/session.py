@@ -33,6 +33,23 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# A task takes some 25 times as much memory as it reads of a shuffle, for sorts and
+# hash maps, so 16 MB make about 400 MB. Up to 256 such parts, one does not grow with the data.
+_PARTS = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "256",
+}
+
+
+def small_parts(spark: SparkSession) -> SparkSession:
+    """Lets adaptive execution deal wide aggregates out into parts of a fixed size, not a fixed
+    number of parts. What the session already sets stays."""
+    for key, value in _PARTS.items():
+        if spark.conf.get(key, None) in (None, "67108864b", "64MB"):
+            spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder: the one the session names, else a scratch one in local mode."""
     sc = spark.sparkContext

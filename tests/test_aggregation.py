@@ -398,3 +398,18 @@ def test_emails_query_scans_no_lines(spark):
 
     plan = catalog.QUERIES["author_emails"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_merged_people_are_dealt_out_in_small_parts(spark, five):
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    try:
+        for key in keys:
+            spark.conf.unset(key)
+        people.merged_activity(five)
+        assert [spark.conf.get(k) for k in keys] == ["16m", "256"]
+        spark.conf.set(keys[0], "8m")
+        people.merged_activity(five)
+        assert spark.conf.get(keys[0]) == "8m"
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
