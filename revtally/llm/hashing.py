@@ -37,8 +37,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums over the bytes before each place, each byte weighted by a power of the base."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_OF_BYTE[data] * _powers(_BASE, len(data)), out=out[1:])
+    return _weighted_sums(_OF_BYTE[data])
+
+
+def code_point_sums(codes: np.ndarray) -> np.ndarray:
+    """As prefix_sums, over code points."""
+    return _weighted_sums(mixed(codes.astype(np.uint64) + np.uint64(_BASE)))
+
+
+def _weighted_sums(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _powers(_BASE, len(values)), out=out[1:])
     return out
 
 

@@ -35,12 +35,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import hashing as H
-from .common import collecting, remove, saved, set_aside
+from .common import collecting, dropping_shuffles, remove, saved, set_aside
 
 ORDER = 5
 #: Robust standard deviations.
@@ -72,6 +73,8 @@ def language(rows: pa.Table) -> list[str]:
 
 #: Words whose n-grams are worked out at a time.
 _AT_A_TIME = 50_000
+#: Pairs of sides of words that are numbered in a table, not by their hashes.
+_TABLE = 1 << 22
 
 
 def _salt(lang: str) -> np.uint64:
@@ -80,32 +83,37 @@ def _salt(lang: str) -> np.uint64:
     return H.spans(H.prefix_sums(raw), np.zeros(1, np.int64), np.array([len(raw)]))[0]
 
 
-def ngrams(words: list[bytes], lang: str, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _codes(words: pa.Array) -> np.ndarray:
+    """The code points of words, one word after another."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = memoryview(data)[offsets[0] : offsets[-1]]
+    return np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), dtype=np.uint32)
+
+
+def ngrams(words: pa.Array, lang: str, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The n-grams that predict each symbol of each word and its end, some words at a time: their
-    keys, the code points with marks, where the n-grams begin and end in these."""
+    keys, the code points with marks, sums for hashes of these, where the n-grams begin and end."""
     salt = _salt(lang)
     for at in range(0, len(words), _AT_A_TIME):
-        texts = [w.decode() for w in words[at : at + _AT_A_TIME]]
-        codes = np.frombuffer((FIRST + (LAST + FIRST).join(texts) + LAST).encode("utf-32-le"), dtype=np.uint32)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        part = words.slice(at, _AT_A_TIME)
+        sizes = _per_word(part)
         begins = np.cumsum(sizes + 1) - sizes - 1
+        codes = np.empty(int((sizes + 1).sum()), np.uint32)
+        inside = np.ones(len(codes), bool)
+        for place, mark in ((begins, FIRST), (begins + sizes, LAST)):
+            codes[place] = ord(mark)
+            inside[place] = False
+        codes[inside] = _codes(part)
         end = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes) + 1
         start = np.maximum(np.repeat(begins, sizes), end - order + 1)
-        sums = H.prefix_sums(codes.view(np.uint8))
-        yield H.mixed(H.spans(sums, 4 * start, 4 * end + 4) ^ salt), codes, start, end + 1
+        sums = H.code_point_sums(codes)
+        yield H.mixed(H.spans(sums, start, end + 1) ^ salt), codes, sums, start, end + 1
 
 
-def _per_word(words: list[bytes]) -> np.ndarray:
+def _per_word(words: pa.Array) -> np.ndarray:
     """How many n-grams each word has: its symbols and its end."""
-    return np.fromiter((len(w.decode()) + 1 for w in words), np.int64, len(words))
-
-
-class _Index(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    return pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
 
 def joins_of(lang: str) -> str:
@@ -114,58 +122,69 @@ def joins_of(lang: str) -> str:
 
 
 #: Words (or joins) of a block, and for each of its rows their numbers, one row after another.
-Units = tuple[list[bytes], np.ndarray, np.ndarray]
+Units = tuple[pa.Array, np.ndarray, np.ndarray]
+
+
+def _numbered(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values, and which one each is."""
+    coded = values.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of texts, the text of each occurrence, and which one it is."""
+    split = pc.ascii_split_whitespace(texts)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    found = pc.list_flatten(split)
+    there = pc.not_equal(found, pa.scalar("", found.type))
+    words, which = _numbered(found.filter(there))
+    return words, row[there.to_numpy(zero_copy_only=False)], which
+
+
+def _joins(words: pa.Array, row: np.ndarray, which: np.ndarray) -> Units:
+    tails, tail = _numbered(pc.utf8_slice_codeunits(words, -SIDE))
+    heads, head = _numbered(pc.utf8_slice_codeunits(words, 0, SIDE))
+    at = np.flatnonzero(row[1:] == row[:-1])
+    width = max(len(heads), 1)
+    pairs = tail[which[at]].astype(np.int64) * width + head[which[at + 1]]
+    if len(tails) * width <= _TABLE:
+        seen = np.zeros(len(tails) * width, bool)
+        seen[pairs] = True
+        distinct, place = np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[pairs]
+    else:
+        place, distinct = pd.factorize(pairs)
+    joined = pc.binary_join_element_wise(tails.take(pa.array(distinct // width)), heads.take(pa.array(distinct % width)), pa.scalar(" ", tails.type))
+    return joined, row[at], place.astype(np.int32)
 
 
 def units(rows: pa.Table) -> dict[str, Units]:
     """By language, and by joins_of(language): the distinct words or joins of a block, the row of
     each occurrence, and which one it is."""
-    index: dict[str, _Index] = {}
-    found: dict[str, list] = {}
-    for row, (lang, text) in enumerate(zip(language(rows), rows.column("text").to_pylist())):
-        if lang not in index:
-            index[lang], found[lang] = _Index(), []
-        words = (text or "").encode().split()
-        found[lang].append((row, np.fromiter(map(index[lang].__getitem__, words), np.int64, len(words))))
+    texts = pc.fill_null(rows.column("text").cast(pa.large_string()), "")
+    of_row, langs = pd.factorize(np.array(language(rows), dtype=object))
     out: dict[str, Units] = {}
-    for lang, own in found.items():
-        words = list(index[lang])
-        row = np.repeat(np.array([r for r, _ in own]), [len(x) for _, x in own])
-        which = np.concatenate([x for _, x in own])
+    for k, lang in enumerate(langs):
+        own = np.flatnonzero(of_row == k).astype(np.int32)
+        words, row, which = _words(pa.concat_arrays(texts.take(pa.array(own)).chunks))
+        row = own[row]
         out[lang] = words, row, which
-        tails, heads = _Index(), _Index()
-        texts = [w.decode() for w in words]
-        tail = np.fromiter((tails[t[-SIDE:]] for t in texts), np.int64, len(texts))
-        head = np.fromiter((heads[t[:SIDE]] for t in texts), np.int64, len(texts))
-        at = np.flatnonzero(row[1:] == row[:-1])
-        codes, place = np.unique(tail[which[at]] * max(len(heads), 1) + head[which[at + 1]], return_inverse=True)
-        before, after = list(tails), list(heads)
-        joined = [f"{before[c // len(after)]} {after[c % len(after)]}".encode() for c in codes.tolist()]
-        out[joins_of(lang)] = joined, row[at], place
+        out[joins_of(lang)] = _joins(words, row, which)
     return out
 
 
-def word_counts(rows: pa.Table) -> dict[str, dict[bytes, int]]:
-    """Words and joins of a block by language."""
-    return {lang: dict(zip(words, np.bincount(which, minlength=len(words)).tolist())) for lang, (words, _, which) in units(rows).items()}
-
-
 def count(blocks: DataFrame, order: int) -> DataFrame:
     """(lang, gram, n): how often each n-gram predicts a symbol, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload in batch.column("payload"):
-                for lang, words in word_counts(B.unpacked(payload.as_py())).items():
-                    times = np.fromiter(words.values(), np.int64, len(words))
-                    each, done = _per_word(list(words)), 0
-                    for keys, codes, start, end in ngrams(list(words), lang, order):
-                        n = np.searchsorted(np.cumsum(each[done:]), len(keys)) + 1
-                        place, distinct = pd.factorize(keys)
-                        first = np.zeros(len(distinct), np.int64)
-                        first[place[::-1]] = np.arange(len(keys))[::-1]
-                        total = np.bincount(place, weights=np.repeat(times[done : done + n], each[done : done + n]))
-                        done += n
+                for lang, (words, _, which) in units(B.unpacked(payload.as_py())).items():
+                    times, each, done = np.bincount(which, minlength=len(words)), _per_word(words), 0
+                    for keys, codes, _, start, end in ngrams(words, lang, order):
+                        here = slice(done, done + _AT_A_TIME)
+                        done += _AT_A_TIME
+                        place, first, distinct = _places(keys)
+                        total = np.bincount(place, weights=np.repeat(times[here], each[here]), minlength=len(distinct))
                         # equal n-grams of other words are added up by Spark
                         text = codes.tobytes()
                         grams = [text[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(start[first].tolist(), end[first].tolist())]
@@ -225,10 +244,9 @@ def fit(counts: DataFrame, order: int) -> DataFrame:
 
 def gram_keys(lang: str, grams: list[str]) -> np.ndarray:
     """The keys of n-grams of a language."""
-    raw = "".join(grams).encode("utf-32-le")
-    ends = 4 * np.cumsum([0, *map(len, grams)])
-    sums = H.prefix_sums(np.frombuffer(raw, dtype=np.uint8))
-    return H.mixed(H.spans(sums, ends[:-1], ends[1:]) ^ _salt(lang))
+    codes = np.frombuffer("".join(grams).encode("utf-32-le"), dtype=np.uint32)
+    ends = np.cumsum([0, *map(len, grams)])
+    return H.mixed(H.spans(H.code_point_sums(codes), ends[:-1], ends[1:]) ^ _salt(lang))
 
 
 def hash_arrays(model: DataFrame, parts: int) -> DataFrame:
@@ -257,8 +275,8 @@ def hash_arrays(model: DataFrame, parts: int) -> DataFrame:
 
 
 def _asked(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    found = [_distinct(keys) for lang, words in word_counts(rows).items() for keys, *_ in ngrams(list(words), lang, order)]
-    keys = _distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    found = [_places(keys)[2] for lang, (words, *_) in units(rows).items() for keys, *_ in ngrams(words, lang, order)]
+    keys = _distinct(found)
     return keys, np.zeros(len(keys), np.uint8)
 
 
@@ -297,8 +315,8 @@ def base_figures(texts: list[str]) -> dict[str, np.ndarray]:
         whole = doc == of_word[WINDOW - 1 :]
         at = np.flatnonzero(whole)
         own = H.mixed(grams[at] ^ H.mixed(doc[at].astype(np.uint64)))
-        _, place, n = np.unique(own, return_inverse=True, return_counts=True)
-        twice = at[n[place] > 1]
+        place, _ = pd.factorize(own)
+        twice = at[np.bincount(place)[place] > 1]
         edge = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(edge, twice, 1)
         np.add.at(edge, twice + WINDOW, -1)
@@ -317,17 +335,46 @@ _ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 _UNSEEN = 1e-7
 
 
-def _distinct(keys: np.ndarray) -> np.ndarray:
-    """Distinct keys, sorted."""
-    keys = np.sort(keys)
-    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-
-
-def _summed(group: np.ndarray, place: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (group, place), which of them each row has, and their weights."""
-    width = int(place.max()) + 1 if len(place) else 1
-    which, pairs = pd.factorize(group * width + place)
-    return pairs, which, np.bincount(which, weights=weight, minlength=len(pairs))
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct keys of all parts, sorted."""
+    keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
+    return keys[_begins(keys)]
+
+
+def _begins(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    new = np.ones(len(sorted_by[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])
+    return np.flatnonzero(new)
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the distinct keys each is, where these are first found, and they themselves."""
+    place, distinct = pd.factorize(keys)
+    first = np.zeros(len(distinct), np.int64)
+    first[place[::-1]] = np.arange(len(keys))[::-1]
+    return place, first, distinct
+
+
+def _summed(row: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, place), sorted, and the sums of their times. None of these is negative."""
+    if not len(row):
+        return row.astype(np.int64), place.astype(np.int64), times
+    widths = [int(x.max()).bit_length() for x in (row, place, times)]
+    if sum(widths) < 64:
+        # sorting one number sorts by all three
+        packed = ((row.astype(np.int64) << widths[1]) + place) << widths[2]
+        packed += times
+        packed.sort()
+        times = packed & ((1 << widths[2]) - 1)
+        packed >>= widths[2]
+        row, place = packed >> widths[1], packed & ((1 << widths[1]) - 1)
+    else:
+        order = np.lexsort((place, row))
+        row, place, times = row[order], place[order], times[order]
+    begins = _begins(row, place)
+    return row[begins], place[begins], np.add.reduceat(times, begins)
 
 
 class _Figures:
@@ -342,59 +389,76 @@ class _Figures:
         self.log_p = np.log(np.where(p > 0, p, np.float32(_UNSEEN)))
 
 
+class _Grams:
+    """The n-grams of the words (or joins) of a block."""
+
+    def __init__(self, words: pa.Array, lang: str, order: int):
+        self.each, keys, contexts, places = _per_word(words), [], [], []
+        for k, _, sums, start, end in ngrams(words, lang, order):
+            place, first, distinct = _places(k)
+            keys.append(distinct)
+            contexts.append(H.spans(sums, start[first], end[first] - 1))
+            places.append(place.astype(np.int32))
+        if not keys:
+            keys, contexts, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        place, first, distinct = _places(np.concatenate(keys))
+        context = np.concatenate(contexts)[first]
+        # n-grams of one context follow one another
+        order_of = np.argsort(context)
+        number = np.empty(len(order_of), np.int32)
+        number[order_of] = np.arange(len(order_of))
+        self.keys, context = distinct[order_of], context[order_of]
+        self.context = np.zeros(len(context), np.int32)
+        self.context[_begins(context)[1:]] = 1
+        self.context = np.cumsum(self.context, dtype=np.int32)
+        cuts = np.cumsum([0, *map(len, keys)])
+        #: Those of each word, one word after another.
+        self.of_words = np.concatenate([number[place[a:b]][p] for a, b, p in zip(cuts, cuts[1:], places)])
+
+
 class _Scores:
     """Log probabilities of the words (or joins) of a block: by the whole model, and without
     what a row itself has counted."""
 
-    def __init__(self, words: list[bytes], lang: str, order: int, keys: np.ndarray, figures: _Figures, skip: np.ndarray | None):
-        self.each, grams, contexts = _per_word(words), [], []
-        for k, codes, start, end in ngrams(words, lang, order):
-            grams.append(np.searchsorted(keys, k).astype(np.int32))
-            contexts.append(H.spans(H.prefix_sums(codes.view(np.uint8)), 4 * start, 4 * end - 4))
-        empty = [np.zeros(0, np.int32)]
-        self.grams = np.concatenate(grams or empty)
-        self.contexts = pd.factorize(np.concatenate(contexts or empty))[0].astype(np.int32)
+    def __init__(self, grams: _Grams, keys: np.ndarray, figures: _Figures, skip: np.ndarray | None):
+        self.grams, self.context, self.each = grams.of_words, grams.context, grams.each
         self.begins = np.cumsum(self.each) - self.each
         if skip is not None:
             self.begins, self.each = self.begins + skip, self.each - skip
+        self.at = np.searchsorted(keys, grams.keys)
         self.figures = figures
-        sums = np.cumsum(np.concatenate([[0.0], figures.log_p[self.grams]]), dtype=np.float64)
-        self.of_word = sums[self.begins + self.each] - sums[self.begins] if len(words) else np.zeros(0)
+        sums = np.concatenate([[0.0], figures.log_p[self.at][self.grams]])
+        np.cumsum(sums, out=sums)
+        self.of_word = sums[self.begins + self.each] - sums[self.begins]
 
     def rows(self, row: np.ndarray, which: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
         """The sums over the rows: by the whole model, and without each row's own counts."""
-        pairs, _, times = _summed(row, which, np.ones(len(row)))
-        width = int(which.max()) + 1 if len(which) else 1
-        row, word = pairs // width, pairs % width
+        row, word, times = _summed(row, which, np.ones(len(row), np.int64))
         whole = np.bincount(row, weights=times * self.of_word[word], minlength=n_rows)
         each = self.each[word]
         at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - self.begins[word], each)
-        row, times = np.repeat(row, each), np.repeat(times, each)
-        gram, context = self.grams[at], self.contexts[at]
-        _, in_context, of_context = _summed(row, context, times)
-        pairs, which, own = _summed(row, gram, times)
-        gram_width = int(gram.max()) + 1 if len(gram) else 1
-        gram, row = pairs % gram_width, pairs // gram_width
-        context_own = np.zeros(len(pairs))
-        context_own[which] = of_context[in_context]
-        f = self.figures
-        left, total = np.maximum(f.n[gram] - own, 0), np.maximum(f.total[gram] - context_own, 0)
+        row, gram, own = _summed(np.repeat(row, each), self.grams[at], np.repeat(times, each))
+        begins = _begins(row, self.context[gram])
+        context_own = np.repeat(np.add.reduceat(own, begins), np.diff(begins, append=len(own))) if len(own) else own
+        f, at = self.figures, self.at[gram]
+        left, total = np.maximum(f.n[at] - own, 0), np.maximum(f.total[at] - context_own, 0)
         with np.errstate(invalid="ignore", divide="ignore"):
             # of few that are left, no more than half are taken
-            p = (left - np.minimum(f.taken[gram], left / 2)) / total + np.minimum(f.spared[gram] / total, 1) * f.shorter[gram]
-        p = np.where(total > 0, p, f.shorter[gram])
+            p = (left - np.minimum(f.taken[at], left / 2)) / total + np.minimum(f.spared[at] / total, 1) * f.shorter[at]
+        p = np.where(total > 0, p, f.shorter[at])
         return whole, np.bincount(row, weights=own * np.log(np.where(p > 0, p, _UNSEEN)), minlength=n_rows)
 
 
 def _scored(rows: pa.Table, got: pd.DataFrame, order: int, carried: list[str]) -> Iterable[pd.DataFrame]:
     held = units(rows)
-    keys = _distinct(np.concatenate([_distinct(k) for lang, (words, *_) in held.items() for k, *_ in ngrams(words, lang, order)] or [np.zeros(0, np.uint64)]))
+    grams = {lang: _Grams(words, lang, order) for lang, (words, *_) in held.items()}
+    keys = _distinct([g.keys for g in grams.values()])
     figures = _Figures(B.told(got, FIGURES))
     scores = {}
     for lang, (words, *_) in held.items():
         # of a join, what follows the blank is predicted
-        skip = np.array([len(w.decode().split(" ")[0]) + 1 for w in words], np.int64) if lang.startswith("+") else None
-        scores[lang] = _Scores(words, lang, order, keys, figures, skip)
+        skip = _per_word(pc.list_element(pc.split_pattern(words, " "), 0)) if lang.startswith("+") and len(words) else None
+        scores[lang] = _Scores(grams.pop(lang), keys, figures, skip)
     first = 0
     for part in B.parts_of(rows):
         last = first + part.num_rows
@@ -427,9 +491,10 @@ def score(documents: DataFrame, order: int = ORDER, carry: list[str] | None = No
         documents, carry = documents.withColumn("lang", F.lit(None).cast("string")), [*carry, "lang"]
     blocks = B.pack(documents)
     parts = B.ranges(blocks)
-    with collecting() as made:
-        model = fit(count(blocks, order), order)
-    arrays = saved(hash_arrays(model, parts), "arrays")
+    with dropping_shuffles(documents.sparkSession):
+        with collecting() as made:
+            model = fit(count(blocks, order), order)
+        arrays = saved(hash_arrays(model, parts), "arrays")
     remove(documents.sparkSession, made)  # all that led to the arrays
     asked = B.questions(blocks, lambda rows: _asked(rows, order), parts, "uint8")
     answered = look_up(asked, arrays)
@@ -450,7 +515,8 @@ def judge(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> Data
     measures = [("log_p", "n_predicted", STEADY), ("own_out", "n_predicted", STEADY), ("own_out", "n_words", STEADY_WORDS), ("joins_out", "n_joins", STEADY_WORDS)]
     xs = {f"_x{k}": F.when(F.col(n) > 0, -F.col(log_p) / F.col(n)) for k, (log_p, n, _) in enumerate(measures)}
     steadiness = [F.sqrt(F.least(F.col(n), F.lit(steady)) / steady) for _, n, steady in measures]
-    rows = saved(scored.withColumn("base_failed", failed).withColumns(xs), "scored")
+    with dropping_shuffles(scored.sparkSession):
+        rows = saved(scored.withColumn("base_failed", failed).withColumns(xs), "scored")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"_x{k}").alias("_x"), s.alias("_steadiness")) for k, s in enumerate(steadiness)]))
     fine = rows.filter(~F.col("base_failed")).select("lang", each.alias("_m")).select("lang", "_m.*").filter("_x is not null")
 

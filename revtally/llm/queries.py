@@ -122,7 +122,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_perplexity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    judged = perplexity.judge(perplexity.score(rows))
+    judged = perplexity.judge(perplexity.score(rows, carry=["doc_id", "lang"]))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "perplexity", "low", "high")
 
 

@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from revtally.llm import blocks as B
-from revtally.llm import byte_bpe, chat, components, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup, toxicity, vector_graph
+from revtally.llm import byte_bpe, chat, common, components, html_density, jaccard_trie, mixing, perplexity, sharding, suffix_dedup, toxicity, vector_graph
 from revtally.llm.common import ship, word_count
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,6 +181,51 @@ def test_band_rejects_junk_among_ordinary_words(spark):
     assert sum(r.kept for k, r in got.items() if k not in (200, 201, 202, 500)) >= 234
 
 
+def test_op2_writes_no_text_beside_its_blocks(spark, docs, tmp_path, monkeypatch):
+    """What is scored is written once; with the texts in it, it took half of the allowed disk."""
+    from revtally.llm import queries
+
+    ship(spark)
+    docs.limit(20).write.parquet(f"{tmp_path}/documents.parquet")
+    written = {}
+    monkeypatch.setattr(perplexity, "saved", lambda df, name: written.setdefault(name, df.columns) and common.saved(df, name))
+    assert queries.QUERIES["op2_ngram_perplexity"](spark, str(tmp_path)).count() == 20
+    assert "doc_id" in written["scored"] and "text" not in written["scored"]
+
+
+def test_shuffles_are_dropped_after_a_write(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle")}
+
+    df = spark.range(10_000).groupBy((F.col("id") * 7).alias("k")).count()
+    before = files()
+    with common.dropping_shuffles(spark):
+        assert common.saved(df, "dropped").count() == 10_000
+    dropped = files() - before
+    assert common.saved(df, "again").count() == 10_000
+    assert len(files() - before) > len(dropped)
+
+
+def test_words_and_joins_of_a_block():
+    texts = ["  a\tbb\x0b\x0ca\n", None, "", "\u00a0x\u0085 \u3000 \U0001f600bb\x1cc a", "a bb"]
+    got = perplexity.units(pa.table({"lang": ["en", "en", None, "en", None], "text": texts}))
+    for lang, rows in (("=en", (0, 1, 3)), ("?", (2, 4))):
+        words = [(k, w) for k in rows for w in WORD.findall(texts[k] or "")]
+        joins = [(k, f"{v[-2:]} {w[:2]}") for (j, v), (k, w) in zip(words, words[1:]) if j == k]
+        for name, wanted in ((lang, words), (perplexity.joins_of(lang), joins)):
+            distinct, row, which = got[name]
+            assert [(r, distinct[k].as_py()) for r, k in zip(row.tolist(), which.tolist())] == wanted
+            assert len(set(distinct.to_pylist())) == len(distinct)
+
+
+@pytest.mark.parametrize("times", [3, 1 << 40])
+def test_sums_of_pairs(times):
+    row, place = np.array([5, 0, 5, 1 << 20]), np.array([7, 1, 7, 3])
+    got = perplexity._summed(row, place, np.array([1, 2, times, 4]))
+    assert [x.tolist() for x in got] == [[0, 5, 1 << 20], [1, 7, 3], [2, 1 + times, 4]]
+
+
 # --- n-gram Jaccard join
 
 
