@@ -52,7 +52,7 @@ def categories(toxic: Column, text: Column) -> dict[str, Column]:
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of words: which word each belongs to, and its bucket."""
     which, bucket, done = [], [], 0
-    for keys, _, _, end in ngrams(words, "", ORDER):
+    for keys, *_, end in ngrams(pa.array(words, pa.large_string()), "", ORDER):
         # a word's n-grams end one after another; a gap lies before the next word
         word = np.cumsum(np.diff(end, prepend=end[0]) > 1) + done
         which.append(word)

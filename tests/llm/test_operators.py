@@ -609,6 +609,26 @@ def test_vector_graph(spark):
 # --- toxicity
 
 
+@pytest.mark.parametrize("at_a_time", [1, 3, 50_000])
+def test_features_are_those_of_the_ngrams_of_each_text(monkeypatch, at_a_time):
+    monkeypatch.setattr(perplexity, "_AT_A_TIME", at_a_time)
+    texts = ["Straße in b", None, "", "b b \x0b an\x0c", "漢字 e\u0301 \U0001f600!", "in\u00a0b \x02 \x03"]
+
+    def grams(text):
+        marked = [perplexity.FIRST + w.decode() + perplexity.LAST for w in (text or "").lower().encode().split()]
+        return {w[max(0, end - toxicity.ORDER) : end] for w in marked for end in range(2, len(w) + 1)}
+
+    expected = set()
+    for k, text in enumerate(texts):
+        keys = perplexity.gram_keys("", sorted(grams(text))) if grams(text) else np.zeros(0, np.uint64)
+        expected |= {(k, int(key) % toxicity.BUCKETS) for key in keys}
+    text, bucket = toxicity.text_features(texts)
+    assert list(zip(text.tolist(), bucket.tolist())) == sorted(expected)
+    chosen = np.array(sorted({b for _, b in expected})[::2])
+    text, place = toxicity.text_features(texts, chosen)
+    assert {(k, int(chosen[p])) for k, p in zip(text.tolist(), place.tolist())} == {(k, b) for k, b in expected if b in chosen}
+
+
 def test_toxicity_finds_held_out_rows(spark):
     ship(spark)
     rng = random.Random(9)
