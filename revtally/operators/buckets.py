@@ -122,6 +122,27 @@ def both_grains(h: History, keys: dict[str, Column], *extra: str) -> DataFrame:
     return joined.withColumn("commits", F.col("language").eqNullSafe(first).cast("bigint"))
 
 
+#: Blocks that commits are dealt into by their id. Fixed: a group is at most so many rows when blocks are added up.
+BLOCKS = 2048
+
+
+def commits_by_block(h: History, commit: Column) -> DataFrame:
+    """``(block, commit, lines)``: a row of each commit with ``commit``, made of its columns, and its
+    lines by language in an array.
+
+    The rows of a block lie in one partition, so whatever is grouped by ``block`` and more is added
+    up there without a shuffle, before it is dealt out by a key that may be hot.
+    """
+    h = h.settled()
+    own = h.commits.select("commit_id", commit.alias("commit"))
+    lines = per_commit_language(h.file_changes.filter("commit_id is not null"))
+    lines = lines.select("commit_id", F.struct("language", *METRICS).alias("line"))
+    both = own.unionByName(lines, allowMissingColumns=True)
+    both = both.withColumn("block", F.pmod(F.xxhash64("commit_id"), F.lit(BLOCKS)).cast("int")).repartition("block")
+    met = both.withColumn("lines", F.collect_list("line").over(Window.partitionBy("commit_id", "block")))
+    return met.filter("commit is not null").select("block", "commit", "lines")
+
+
 def leaves(h: History, keys: dict[str, Column]) -> DataFrame:
     """Both grains by key and language: few rows, from which every total and subtotal follows.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revtally.functions.identity import me_noreply, noreply_login
 from revtally.functions.text import split_person
-from revtally.operators.buckets import both_grains, commits_with_lines, languages_of_commits
+from revtally.operators.buckets import both_grains, commits_by_block, commits_with_lines, languages_of_commits
 from revtally.operators.history import History
 from revtally.operators.lines import METRICS, sums
 from revtally.session import small_parts
@@ -59,14 +59,43 @@ def bucket_people(h: History, keys: dict[str, Column]) -> DataFrame:
     )
 
 
-def bucket_activity(h: History, keys: dict[str, Column]) -> DataFrame:
-    """Counters of the people of every bucket by language: all roles together, and the co-authored
-    part. Commits of a person stand on any of their rows; see :func:`both_grains`."""
-    rows = _by_role(both_grains(h, keys, "author", "co_authors"), *keys, "language", "commits")
+def bucket_activity(h: History, key: Column, few_labels: bool = False) -> DataFrame:
+    """Counters by ``(everybody, person, all_labels, label, language)``: of the people of every bucket
+    and of all buckets, all roles together and the co-authored part, and of ``everybody``, where each
+    commit counts once. Commits stand on any of the rows of a group; see :func:`both_grains`.
+
+    Rows are added up by block, then dealt out by person and label, so that languages are folded
+    without another shuffle; the hottest person arrives as a row per block and language. With
+    ``few_labels``, as periods are, people are dealt out with all their labels, in half the rows, and
+    a person is in one task with a row per block, label and language at most.
+    """
+    small_parts(h.commits.sparkSession)  # the rows of a person meet in sorts and hash maps of one task
+    no, yes, none = F.lit(False), F.lit(True), F.lit(None).cast("string")
+
+    def entry(everybody: Column, person: Column, co: Column, all_labels: Column, label: Column) -> Column:
+        return F.struct(everybody.alias("everybody"), person.alias("person"), co.alias("co"), all_labels.alias("all_labels"), label.alias("label"))
+
+    role = F.transform(roles(), lambda r: F.struct(r["name"].alias("person"), r["co"].alias("co")))
+    commits = commits_by_block(h, F.struct(key.cast("string").alias("label"), role.alias("roles")))
+    label = F.col("commit.label")
+    entries = [F.array(entry(yes, none, no, no, label), entry(yes, none, no, yes, none)), F.transform("commit.roles", lambda r: entry(no, r["person"], r["co"], no, label))]
+    if not few_labels:
+        entries.append(F.transform("commit.roles", lambda r: entry(no, r["person"], r["co"], yes, none)))
     both = ("commits", *METRICS)
+    keys = ["everybody", "person", "all_labels", "label", "language"]
+    rows = commits.select("block", "lines", F.explode(F.concat(*entries)).alias("who"))
+    rows = rows.select("block", "who.*", F.posexplode_outer("lines").alias("place", "line"))
+    rows = rows.select("*", (F.coalesce("place", F.lit(0)) == 0).cast("bigint").alias("commits"), "line.*")
     zero = F.lit(0).cast("bigint")
     co = [F.coalesce(F.sum(F.when(F.col("co"), F.col(m))), zero).alias(f"co_authored_{m}") for m in both]
-    return rows.groupBy(*keys, "person", "language").agg(*sums(*both), *co)
+    rows = rows.groupBy("block", *keys).agg(*sums(*both), *co).drop("block")
+    rows = rows.withColumn("head", F.when(F.col("everybody") | F.lit(not few_labels), F.col("label"))).repartition("everybody", "person", "head")
+    counters = [c for m in both for c in (m, f"co_authored_{m}")]
+    if few_labels:
+        at = F.array(F.struct("label", "all_labels"), F.struct(none.alias("label"), yes.alias("all_labels")))
+        at = F.explode(F.when(F.col("everybody"), F.slice(at, 1, 1)).otherwise(at)).alias("at")
+        rows = rows.select("everybody", "person", "head", "language", *counters, at).select("*", "at.*")
+    return rows.groupBy("head", *keys).agg(*sums(*counters))
 
 
 def bucket_person_languages(h: History, keys: dict[str, Column]) -> DataFrame:

@@ -53,7 +53,7 @@ class Stats:
         """The statistics as JSON: nodes of the tree where there are levels, else buckets and people."""
         if self.levels:
             return documents.tree_document(self.history, self.levels, self.period)
-        return documents.to_stats_json(self.history, self.key["label"])
+        return documents.to_stats_json(self.history, self.key["label"], few_labels=self.level != "repo")
 
     def errors(self) -> DataFrame | None:
         """What could not be loaded, if the history knows."""

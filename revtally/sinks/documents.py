@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from revtally.operators import buckets, people
@@ -37,9 +37,10 @@ def _lang_struct(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c).alias(name) for c, name in _LANG.items()])
 
 
-def _map_of(entry: Column) -> Column:
+def _map_of(entry: Column, within: WindowSpec | None = None) -> Column:
     """Map from ``(key, value)`` entries; the key order of a JSON object means nothing."""
-    return F.map_from_entries(F.collect_list(entry))
+    entries = F.collect_list(entry)
+    return F.map_from_entries(entries.over(within) if within else entries)
 
 
 def _as_map(key: str, value: Column) -> Column:
@@ -67,33 +68,31 @@ def _counters(*names: str) -> list[Column]:
     return [F.sum(c).alias(c) for c in names]
 
 
-def to_stats_json(h: History, key: Column) -> DataFrame:
+def to_stats_json(h: History, key: Column, few_labels: bool = False) -> DataFrame:
     """``(section, label, kind, person, json)``: of every bucket, and of all of them, one ``head``
     with totals and languages and one ``person`` row for each person. The shape is the same for
     any number of people.
 
-    Both tables are scanned once. Rows by bucket, person and language are added up over people,
-    over buckets and over both in one aggregate; another folds the languages of each document.
+    Both tables are scanned once. Commits meet their lines by block, and people's rows are dealt out
+    by person; after that nothing is shuffled. ``few_labels`` says that labels don't grow with the
+    history, as periods; see :func:`people.bucket_activity`.
     """
     counters = [c for m in ("commits", *METRICS) for c in (m, f"co_authored_{m}")]
-    rows = people.bucket_activity(h, buckets.Keys({"label": key}, ()))
-    names = ("label", "person", "language")
-    sets = [["label", "person", "language"], ["person", "language"], ["label", "language"], ["language"]]
-    by_language = rows.groupingSets(sets, *names).agg(
-        (F.grouping("label") == 1).alias("all_labels"), (F.grouping("person") == 1).alias("everybody"), *_counters(*counters)
-    )
-    # a commit without lines has no language, and stands on a row of its own
+    by_language = people.bucket_activity(h, key, few_labels)
+    # a commit without lines has no language
     has = F.col("language").isNotNull()
-    authored = F.struct(*[(F.col(m) - F.col(f"co_authored_{m}")).alias(name) for m, name in _LANG.items()])
-    lines = F.when(F.col("everybody"), authored).otherwise(_lang_struct())
-    co = has & ~F.col("everybody") & (F.col("co_authored_files") > 0)
-    folded = by_language.groupBy("all_labels", "everybody", "label", "person").agg(
-        *_counters(*counters),
-        _map_of(F.when(has, F.struct(F.col("language").alias("k"), lines.alias("v")))).alias("languages"),
-        _map_of(F.when(co, F.struct(F.col("language").alias("k"), _lang_struct("co_authored_").alias("v")))).alias("co_authored_languages"),
-    )
+    co = has & (F.col("co_authored_files") > 0)
+    # one sort, by a number that tells nearly all documents apart; an aggregate would sort twice
+    keys = ["head", "all_labels", "everybody", "label", "person"]
+    document = Window.partitionBy(F.xxhash64(*keys), *keys)
+    folded = by_language.select(
+        *keys,
+        F.col("language").eqNullSafe(F.min("language").over(document)).alias("one"),
+        *[c.over(document).alias(name) for name, c in zip(counters, map(F.sum, counters))],
+        _map_of(F.when(has, F.struct(F.col("language").alias("k"), _lang_struct().alias("v"))), document).alias("languages"),
+        _map_of(F.when(co, F.struct(F.col("language").alias("k"), _lang_struct("co_authored_").alias("v"))), document).alias("co_authored_languages"),
+    ).filter("one")
     label = F.when(F.col("all_labels"), F.lit(buckets.TOTAL)).otherwise(F.col("label")).alias("period_label")
-    # Every commit has one author, so the authored parts of the people add up to the bucket.
     own = {m: F.col(m) - F.col(f"co_authored_{m}") for m in METRICS if m != "files"}
     totals = [c.alias(f"total_{m}") for m, c in own.items()]
     commits = F.col("commits") - F.col("co_authored_commits")

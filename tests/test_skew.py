@@ -1,5 +1,7 @@
 """One commit, author, repository and folder hold a third of everything; joins shuffle."""
 
+import json
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from revtally.operators import buckets, paths, people, ranking, remote
 from revtally.operators.history import History
 from revtally.plans import reports
+from revtally.sinks import documents
 
 N = 30_000
 HOT = N // 3
@@ -65,6 +68,22 @@ def test_hot_person(skewed):
     assert report.count() == 501
 
 
+@pytest.mark.parametrize("few_labels", [True, False])
+def test_documents_of_a_hot_person(skewed, few_labels):
+    """People's rows are shuffled once, as sums of blocks of commits, and never multiplied by grouping sets."""
+    docs = documents.to_stats_json(skewed, buckets.level_key("period", "day"), few_labels)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "Expand" not in plan
+    dealt = plan[plan.index("Exchange hashpartitioning") :]
+    assert dealt.index("HashAggregate(keys=[block#") < dealt.index("Exchange hashpartitioning", 1)
+    own = (N - HOT) // 3
+    docs = {(r["label"], r["person"]): json.loads(r["json"]) for r in docs.filter("section = 'totals' and (person = 'a0' or kind = 'head')").collect()}
+    bot, head = docs["Total", "a0"], docs["Total", None]
+    assert (bot["commits"], bot["co_authored_commits"], bot["additions"], bot["co_authored_additions"]) == (HOT, HOT, 2 * (HOT + own), 2 * (HOT + own))
+    assert sum(x["files_changed"] for x in bot["languages"].values()) == 2 * (HOT + own)
+    assert head["total_commits"] == N and sum(x["files_changed"] for x in head["by_language"].values()) == N
+
+
 def test_hot_email_meets_the_identity_table(spark, skewed):
     identity = spark.range(3000).selectExpr("concat('a', cast(id AS STRING), '@x') AS email", "'dev' AS login")
     merged = people.author_totals(people.merged_activity(skewed, "remote", identity))

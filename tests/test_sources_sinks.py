@@ -1,7 +1,8 @@
 import json
+from collections import Counter
 
 import pytest
-from conftest import rows
+from conftest import CHANGES, COMMITS, rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -213,6 +214,49 @@ def test_stats_document_has_a_head_and_its_people(five):
     assert found["periods", "2024-02", "Alice"]["co_authored_languages"] == {}
 
 
+@pytest.mark.parametrize("few_labels", [True, False])
+def test_stats_document_against_plain_sums(spark, few_labels):
+    who = lambda name: (name, "e")
+    commits = [
+        (1, "r", who("A"), None, [who("B"), who("A"), who("B")], "2024-01-01", None), (2, "r", who(None), None, None, "2024-01-02", None),
+        (None, "r", who("B"), None, [], "2024-02-01", None), (4, "r", who("B"), None, [who(None)], None, None),
+        (5, "r", who("A"), None, [], "2024-02-03", None), (5, "r", who("C"), None, [who("A")], "2024-02-03", None), (6, "r", who("C"), None, [], "2024-02-04", None),
+    ]
+    changes = [
+        (1, "a", "Go", 3, 5), (1, "b", "Go", 4, None), (1, "c", None, None, 2), (2, "d", "Go", None, None), (None, "e", "Go", 7, 7),
+        (4, "f", "C", 1, 0), (4, "g", "Go", 0, 9), (5, "h", "Other", 6, 1), (5, "i", None, 1, 6), (9, "j", "Go", 8, 8),
+    ]
+    frame = spark.createDataFrame(commits, COMMITS)
+    h = History(frame.withColumn("ts", F.col("ts").cast("timestamp")), spark.createDataFrame(changes, CHANGES))
+    names = ("additions", "deletions", "files_changed", "net_modifications", "net_additions")
+    expected = {}
+    for commit, _, author, _, others, ts, _ in commits:
+        roles = [(author[0], False), *((x[0], True) for x in others or [])]
+        for label in (ts and ts[:7], "Total"):
+            for person, co in [("everybody", False), *roles]:
+                doc = expected.setdefault((label, person), {True: Counter(), False: Counter(), "languages": {}, "co": {}})
+                doc[co]["commits"] += 1
+                for _, _, language, a, d in (x for x in changes if commit is not None and x[0] == commit):
+                    given = [x for x in (a, d) if x is not None]
+                    values = (a or 0, d or 0, 1, max(given, default=0), max(a - d, 0) if len(given) == 2 else 0)
+                    for lines in (doc["languages"], *([doc["co"]] if co else [])):
+                        lines.setdefault(language or "Other", Counter()).update(dict(zip(names, values)))
+                    doc[co].update(dict(zip(names, values)))
+    docs = documents.to_stats_json(h, buckets.level_key("period"), few_labels).collect()
+    assert len(docs) == len(expected) == len({(r["label"], r["kind"], r["person"]) for r in docs})
+    plain = lambda lines: {k: {n: v[n] for n in names} for k, v in lines.items()}
+    for r in docs:
+        found, want = json.loads(r["json"]), expected[r["label"], "everybody" if r["kind"] == "head" else r["person"]]
+        assert r["section"] == ("totals" if r["label"] == "Total" else "periods")
+        if r["kind"] == "head":
+            assert found.pop("by_language") == plain(want["languages"])
+            assert found == {k: v for k, v in {"period_label": r["label"], **{f"total_{n}": want[False][n] for n in ("commits", *names) if n != "files_changed"}}.items() if v is not None}
+        else:
+            assert (found.pop("languages"), found.pop("co_authored_languages")) == (plain(want["languages"]), plain(want["co"]))
+            counted = {p + n: want[co][n] for n in ("commits", *names) if n != "files_changed" for p, co in (("", False), ("co_authored_", True))}
+            assert found == {k: v for k, v in {"period_label": r["label"], "author": r["person"], **counted}.items() if v is not None}
+
+
 def test_scan_document(spark):
     repos = spark.createDataFrame([("/b",), ("/a",)], "path STRING")
     docs = [(r["kind"], r["path"], json.loads(r["json"])) for r in documents.to_scan_json(repos).collect()]

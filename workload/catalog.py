@@ -1157,7 +1157,7 @@ UNION ALL SELECT 'totals', 'Total', person, CAST(sum(commits) AS BIGINT), CAST(s
 )
 def stats_document(spark, sf):
     """People read back out of their documents."""
-    docs = documents.to_stats_json(t.history(spark, sf), by_month()["label"]).filter("kind = 'person'")
+    docs = documents.to_stats_json(t.history(spark, sf), by_month()["label"], few_labels=True).filter("kind = 'person'")
     rows = docs.select("section", "label", F.from_json("json", _PERSON_JSON).alias("s"))
     dels = F.aggregate(F.map_values("s.co_authored_languages"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["deletions"])
     return rows.select(
@@ -1172,7 +1172,7 @@ def stats_document(spark, sf):
     + " UNION ALL SELECT 'totals', 'Total', count(*), CAST(sum(a) AS BIGINT), CAST(sum(a) AS BIGINT) FROM c LEFT JOIN fc USING (commit_id)",
 )
 def stats_document_heads(spark, sf):
-    docs = documents.to_stats_json(t.history(spark, sf), by_month()["label"]).filter("kind = 'head'")
+    docs = documents.to_stats_json(t.history(spark, sf), by_month()["label"], few_labels=True).filter("kind = 'head'")
     parsed = docs.select("section", "label", F.from_json("json", _HEAD_JSON).alias("doc"))
     langs = F.aggregate(F.map_values("doc.by_language"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["additions"])
     return parsed.select(
